@@ -38,13 +38,17 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return adapter.read_table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def series_days(self) -> DataFrame:
+        return adapter.series_days(self.spark, self.sf_dir)
+
     @cached_property
     def fact_sales(self) -> DataFrame:
-        return adapter.fact_sales(self.spark, self.sf_dir)
+        return adapter.fact_sales(self.spark, self.sf_dir, self.series_days)
 
     @cached_property
     def fact_prices(self) -> DataFrame:
-        return adapter.fact_prices(self.spark, self.sf_dir)
+        return adapter.fact_prices(self.spark, self.sf_dir, self.series_days)
 
     @cached_property
     def calendar_bounds(self) -> DataFrame:

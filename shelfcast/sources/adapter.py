@@ -102,29 +102,44 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .drop("p_partkey", "s_suppkey"))
 
 
-def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def series_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (series, day): shipped units and the invoiced partial sums.
+
+    Both the sales fact and the weekly price list are derived from this one
+    aggregate, so the order lines are scanned and joined once; the map-side
+    partial aggregation shrinks the lines to series-days before the shuffle.
+    """
+    invoiced = F.col("l_linestatus") == "F"
+    return (sales_lines(spark, sf_dir)
+            .groupBy(*SERIES_COLS, "date")
+            .agg(F.sum("l_quantity").alias("units"),
+                 F.sum(F.when(invoiced, F.col("l_quantity"))).alias("inv_qty"),
+                 F.sum(F.when(invoiced, F.col("l_extendedprice").cast("decimal(18,2)")))
+                 .alias("inv_amount")))
+
+
+def fact_sales(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
     """fact_sales: (id, item_id, dept_id, cat_id, store_id, state_id, date_str, sales_units)."""
-    lines = sales_lines(spark, sf_dir)
-    return (lines.groupBy(*SERIES_COLS, "date")
-            .agg(F.sum("l_quantity").cast("int").alias("sales_units"))
-            .select(F.concat_ws("_", "item_id", "store_id").alias("id"), *SERIES_COLS,
-                    F.date_format("date", "yyyy-MM-dd").alias("date_str"), "sales_units"))
-
-
-def price_cents(qty_col: str = "l_quantity", price_col: str = "l_extendedprice") -> Column:
-    """Aggregate: average unit price in whole cents, half-up (exact decimal sum)."""
-    total = F.sum(F.col(price_col).cast("decimal(18,2)")).cast("double")
-    return F.floor(total / F.sum(qty_col) * F.lit(100.0) + F.lit(0.5))
-
-
-def fact_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fact_prices: weekly price list (store_id, item_id, wm_yr_wk, sell_price double)."""
-    lines = sales_lines(spark, sf_dir).filter(F.col("l_linestatus") == "F")
-    return (lines.withColumn("wm_yr_wk", cal.wm_yr_wk("date"))
-            .groupBy("store_id", "item_id", "wm_yr_wk")
-            .agg(price_cents().alias("cents"))
-            .select("store_id", "item_id", "wm_yr_wk",
-                    (F.col("cents") / F.lit(100.0)).alias("sell_price")))
+    days = days if days is not None else series_days(spark, sf_dir)
+    return days.select(F.concat_ws("_", "item_id", "store_id").alias("id"), *SERIES_COLS,
+                       F.date_format("date", "yyyy-MM-dd").alias("date_str"),
+                       F.col("units").cast("int").alias("sales_units"))
+
+
+def fact_prices(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
+    """fact_prices: weekly price list (store_id, item_id, wm_yr_wk, sell_price double).
+
+    Average invoiced unit price per (store, item, retail week) in whole cents,
+    half-up, from an exact decimal amount.  Weeks without invoiced lines get
+    no price row.
+    """
+    days = days if days is not None else series_days(spark, sf_dir)
+    weekly = (days.filter(F.col("inv_qty").isNotNull())
+              .withColumn("wm_yr_wk", cal.wm_yr_wk("date"))
+              .groupBy("store_id", "item_id", "wm_yr_wk")
+              .agg(F.sum("inv_amount").cast("double").alias("amount"), F.sum("inv_qty").alias("qty")))
+    cents = F.floor(F.col("amount") / F.col("qty") * F.lit(100.0) + F.lit(0.5))
+    return weekly.select("store_id", "item_id", "wm_yr_wk", (cents / F.lit(100.0)).alias("sell_price"))
 
 
 def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
