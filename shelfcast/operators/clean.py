@@ -102,7 +102,10 @@ def clean_prices(df: DataFrame, order_by=None, trim_first: bool = False) -> Data
     price = F.col("sell_price").cast("string").try_cast("double")
     df = df.withColumn("sell_price", price)
     valid = F.col("sell_price").isNotNull() & (F.col("sell_price") > 0)
-    median = df.filter(valid).agg(F.percentile("sell_price", 0.5)).scalar()
+    # median in whole cents: exact, so every engine interpolates to the same value
+    cents = F.round(F.col("sell_price") * F.lit(100.0)).cast("long")
+    median_cents = df.filter(valid).agg(F.percentile(cents, 0.5)).scalar()
+    median = F.floor(median_cents + F.lit(0.5)) / F.lit(100.0)
     fixed = F.when(valid, F.col("sell_price")).otherwise(median)
     out = df.withColumn("sell_price", F.round(fixed.cast("decimal(20,6)"), 2).cast("double"))
     if "ingest_ord" in out.columns:

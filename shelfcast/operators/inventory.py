@@ -45,9 +45,15 @@ def recent_stats(sales: DataFrame, last_n: int = RECENT_DAYS, units: str = "sale
 
 
 def lead_time_forecast(forecasts: DataFrame, horizon: int = 7) -> DataFrame:
-    """Sum of the forward forecast (actual is null) of the given horizon per series."""
+    """Sum of the forward forecast (actual is null) of the given horizon per series.
+
+    Forecasts are stored in cents, so the sum is taken exactly in cents: the
+    order quantity applies ``ceil`` to it and must not depend on summation order.
+    """
     return (forecasts.filter(F.col("actual_demand").isNull() & (F.col("horizon_days") == horizon))
-            .groupBy(*SERIES).agg(F.sum("forecast_demand").alias("forecast_lead_time_demand")))
+            .groupBy(*SERIES)
+            .agg((F.sum(F.round(F.col("forecast_demand") * F.lit(100.0)).cast("long")) / F.lit(100.0))
+                 .alias("forecast_lead_time_demand")))
 
 
 def on_hand_snapshot(stats: DataFrame, lead_time: int = inv.DEFAULT_LEAD_TIME_DAYS,

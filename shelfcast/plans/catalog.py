@@ -111,3 +111,336 @@ def _mart_product_performance(w: Warehouse) -> DataFrame:
 def _mart_store_performance(w: Warehouse) -> DataFrame:
     """T8"""
     return w.store_mart
+
+
+# ---------------------------------------------------------------- cleaning (C)
+@register("clean_calendar", "SELECT * FROM clean_calendar")
+def _clean_calendar(w: Warehouse) -> DataFrame:
+    """C1-C6 over the per-line calendar feed (dedup per date)"""
+    return w.clean_calendar
+
+
+@register("clean_prices", "SELECT * FROM clean_prices")
+def _clean_prices(w: Warehouse) -> DataFrame:
+    """C1, C7-C9 over the per-line price quotes"""
+    return w.clean_prices
+
+
+@register("clean_and_melt_sales", "SELECT * FROM clean_sales")
+def _clean_sales(w: Warehouse) -> DataFrame:
+    """Wide daily file -> long, units cleaned, days mapped to dates"""
+    return w.clean_sales
+
+
+# ---------------------------------------------------------------- quality (V)
+@register("quality_checks", O.quality_sql("clean_calendar", "clean_prices", "clean_sales"))
+def _quality_checks(w: Warehouse) -> DataFrame:
+    """V1-V6 over the three cleaned datasets"""
+    from shelfcast.operators import quality
+    from shelfcast.session import materialize
+    return quality.run_all_checks(materialize(w.clean_calendar), materialize(w.clean_prices),
+                                  materialize(w.clean_sales))
+
+
+@register("quality_summary", f"""
+    SELECT count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASSED') AS passed_checks,
+           count(*) FILTER (WHERE status = 'FAILED') AS failed_checks,
+           count(*) FILTER (WHERE status = 'INFO') AS info_checks
+    FROM ({O.quality_sql('calendar', 'fact_prices', 'fact_sales')})""")
+def _quality_summary(w: Warehouse) -> DataFrame:
+    """V6 summary over the warehouse facts (calendar, price list, daily sales)"""
+    from shelfcast.operators import quality
+    return quality.summarize_checks(quality.run_all_checks(w.calendar, w.fact_prices, w.fact_sales))
+
+
+@register("foreign_key_checks", """
+    SELECT 'sales' AS dataset, 'Foreign Key Integrity' AS "check",
+           CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, n AS total_records,
+           b AS failed_records, 'Rows without dim_stores on [''store_id'']: ' || CAST(b AS VARCHAR) AS details
+    FROM (SELECT count(*) AS n, (SELECT count(*) FROM fact_sales f
+          WHERE NOT EXISTS (SELECT 1 FROM dim_stores d WHERE d.store_id = f.store_id)) AS b FROM fact_sales)
+    UNION ALL
+    SELECT 'sales', 'Foreign Key Integrity', CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END, n, b,
+           'Rows without dim_calendar on [''date_str'']: ' || CAST(b AS VARCHAR)
+    FROM (SELECT count(*) AS n, (SELECT count(*) FROM fact_sales f
+          WHERE NOT EXISTS (SELECT 1 FROM dim_calendar d WHERE d.date_str = f.date_str)) AS b FROM fact_sales)
+    UNION ALL
+    SELECT 'sell_prices', 'Foreign Key Integrity', CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END, n, b,
+           'Rows without dim_stores on [''store_id'']: ' || CAST(b AS VARCHAR)
+    FROM (SELECT count(*) AS n, (SELECT count(*) FROM clean_prices f
+          WHERE NOT EXISTS (SELECT 1 FROM dim_stores d WHERE d.store_id = f.store_id)) AS b FROM clean_prices)""")
+def _foreign_keys(w: Warehouse) -> DataFrame:
+    """V7: declared foreign keys checked with anti joins"""
+    from functools import reduce
+    from shelfcast.operators import quality
+    return reduce(DataFrame.unionByName, [
+        quality.check_foreign_key(w.fact_sales, w.dim_stores, ["store_id"], "sales", "dim_stores"),
+        quality.check_foreign_key(w.fact_sales, w.dim_calendar, ["date_str"], "sales", "dim_calendar"),
+        quality.check_foreign_key(w.clean_prices, w.dim_stores, ["store_id"], "sell_prices", "dim_stores"),
+    ])
+
+
+# ---------------------------------------------------------------- dimensions (D)
+@register("dim_stores", "SELECT * FROM dim_stores")
+def _dim_stores(w: Warehouse) -> DataFrame:
+    """D1"""
+    return w.dim_stores
+
+
+@register("dim_categories", """
+    SELECT cat_id, upper(cat_id[1]) || lower(replace(cat_id[2:], '_', ' ')) AS category_name
+    FROM (SELECT DISTINCT cat_id FROM fact_sales)""")
+def _dim_categories(w: Warehouse) -> DataFrame:
+    """D2"""
+    return w.dim_categories
+
+
+@register("dim_departments", """
+    SELECT dept_id, cat_id, upper(dept_id[1]) || lower(replace(dept_id[2:], '_', ' ')) AS department_name
+    FROM (SELECT DISTINCT dept_id, cat_id FROM fact_sales)""")
+def _dim_departments(w: Warehouse) -> DataFrame:
+    """D3"""
+    return w.dim_departments
+
+
+
+
+@register("dim_products", "SELECT * FROM dim_products")
+def _dim_products(w: Warehouse) -> DataFrame:
+    """D4"""
+    return w.dim_products
+
+
+@register("dim_calendar", "SELECT * FROM dim_calendar")
+def _dim_calendar(w: Warehouse) -> DataFrame:
+    """D5 (calendar dimension from the generated calendar)"""
+    return w.dim_calendar
+
+
+@register("fact_tables", """
+    SELECT 'fact_sales' AS table_name, count(*) AS row_count, CAST(sum(sales_units) AS BIGINT) AS total_units,
+           count(DISTINCT item_id || '|' || store_id) AS series_count FROM fact_sales
+    UNION ALL
+    SELECT 'fact_prices', count(*), 0, count(DISTINCT item_id || '|' || store_id) FROM fact_prices""")
+def _fact_tables(w: Warehouse) -> DataFrame:
+    """D6 fact projections, summarised per table"""
+    from pyspark.sql import functions as F
+    from shelfcast.operators import dims
+    s = dims.fact_sales_table(w.fact_sales).agg(
+        F.lit("fact_sales").alias("table_name"), F.count(F.lit(1)).alias("row_count"),
+        F.sum("sales_units").alias("total_units"),
+        F.count_distinct(F.concat_ws("|", "item_id", "store_id")).alias("series_count"))
+    p = dims.fact_prices_table(w.fact_prices).agg(
+        F.lit("fact_prices").alias("table_name"), F.count(F.lit(1)).alias("row_count"),
+        F.lit(0).cast("long").alias("total_units"),
+        F.count_distinct(F.concat_ws("|", "item_id", "store_id")).alias("series_count"))
+    return s.unionByName(p)
+
+
+@register("generate_calendar", "SELECT * REPLACE (CAST(d AS VARCHAR) AS d) FROM (SELECT date_str AS date, "
+          "wm_yr_wk, weekday, wday, month, year, d, CASE WHEN event_name_1 = 'None' THEN NULL ELSE event_name_1 END "
+          "AS event_name_1, CASE WHEN event_type_1 = 'None' THEN NULL ELSE event_type_1 END AS event_type_1, "
+          "CAST(NULL AS VARCHAR) AS event_name_2, CAST(NULL AS VARCHAR) AS event_type_2, snap_CA, snap_TX, "
+          "snap_WI, is_holiday FROM calendar)")
+def _generate_calendar(w: Warehouse) -> DataFrame:
+    """Calendar spine over the ship-date range"""
+    return w.calendar_generated
+
+
+@register("future_dates", """
+    SELECT item_id, store_id, last_date, strftime(CAST(last_date AS DATE) + CAST(i AS INTEGER), '%Y-%m-%d')
+           AS forecast_date
+    FROM (SELECT item_id, store_id, max(date_str) AS last_date FROM fact_sales GROUP BY item_id, store_id),
+         range(1, 31) t(i)""")
+def _future_dates(w: Warehouse) -> DataFrame:
+    """The next 30 dates after each series' last sale"""
+    from pyspark.sql import functions as F
+    from shelfcast.operators import dims
+    last = w.fact_sales.groupBy("item_id", "store_id").agg(F.max("date_str").alias("last_date"))
+    return dims.future_dates(last.withColumn("last_date", F.to_date("last_date")), 30)
+
+
+# ---------------------------------------------------------------- features (F)
+FEATURE_DOUBLES = ["sin_month", "cos_month", "sell_price", "sales_roll_mean_7", "sales_roll_mean_14",
+                   "sales_roll_mean_28", "sales_roll_std_7", "sales_roll_std_28", "price_lag_7",
+                   "price_change_pct", "price_rel_to_cat"]
+
+
+def _round6_sql(cols, src: str, extra: str = "") -> str:
+    rep = ", ".join(f"{O.half_up(c, 6)} AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({rep}{extra}) FROM {src}"
+
+
+@register("features", _round6_sql(FEATURE_DOUBLES, "features", ", CAST(date AS VARCHAR) AS date"))
+def _features(w: Warehouse) -> DataFrame:
+    """Base join, temporal, cyclical, lags, rolling mean/std, price change,
+    relative price, group totals, null fill (doubles rounded to 6 dp for the oracle)"""
+    from shelfcast.plans.warehouse import round_doubles
+    return round_doubles(w.features, 6)
+
+
+@register("holdout_split", """
+    SELECT item_id, store_id, (SELECT split_date FROM split) AS split_date,
+           count(*) FILTER (WHERE date_str <= (SELECT split_date FROM split)) AS train_rows,
+           count(*) FILTER (WHERE date_str > (SELECT split_date FROM split)) AS test_rows
+    FROM fact_sales GROUP BY item_id, store_id""")
+def _holdout_split(w: Warehouse) -> DataFrame:
+    """train/test split at the 30th latest distinct date, per series counts"""
+    from pyspark.sql import functions as F
+    from shelfcast.operators import features as fe
+    s = fe.split_date(w.fact_sales, 30)
+    return (w.fact_sales.groupBy("item_id", "store_id")
+            .agg(F.count_if(F.col("date_str") <= s).alias("train_rows"),
+                 F.count_if(F.col("date_str") > s).alias("test_rows"))
+            .select("item_id", "store_id", s.alias("split_date"), "train_rows", "test_rows"))
+
+
+def _design_sql() -> str:
+    from shelfcast.operators.features import TWO_PI as TP, YEAR_DAYS
+    cols = ["trend_linear", "trend_quad", "changepoint_0", "changepoint_1", "changepoint_2",
+            "is_holiday", "snap_indicator", "sell_price"]
+    four = []
+    for k in range(1, 4):
+        a = f"CAST({TP * k!r} AS DOUBLE) * dow / 7.0"
+        four += [f"sin({a}) AS sin_week_{k}", f"cos({a}) AS cos_week_{k}"]
+    for k in range(1, 6):
+        a = f"CAST({TP * k!r} AS DOUBLE) * doy / {YEAR_DAYS}"
+        four += [f"sin({a}) AS sin_year_{k}", f"cos({a}) AS cos_year_{k}"]
+    cps = ", ".join(f"greatest(0.0, t - floor({float(i)} * (n - 1) / 4.0)) / {YEAR_DAYS} AS changepoint_{i - 1}"
+                    for i in range(1, 4))
+    inner = f"""
+        SELECT item_id, store_id, date_str, sales_units,
+               CAST(is_holiday AS DOUBLE) AS is_holiday, CAST(snap_indicator AS DOUBLE) AS snap_indicator,
+               sell_price, t / {YEAR_DAYS} AS trend_linear, (t / {YEAR_DAYS}) * (t / {YEAR_DAYS}) AS trend_quad,
+               {cps}, {", ".join(four)}
+        FROM (SELECT *, CAST(date - min(date) OVER (PARTITION BY item_id, store_id) AS DOUBLE) AS t,
+                     CAST(count(*) OVER (PARTITION BY item_id, store_id) AS DOUBLE) AS n,
+                     CAST(isodow(date) - 1 AS DOUBLE) AS dow, CAST(dayofyear(date) AS DOUBLE) AS doy
+              FROM fbase)"""
+    names = cols + [f"{f}_week_{k}" for k in range(1, 4) for f in ("sin", "cos")] + \
+        [f"{f}_year_{k}" for k in range(1, 6) for f in ("sin", "cos")]
+    return _round6_sql(names, f"({inner})")
+
+
+@register("additive_design", _design_sql())
+def _additive_design(w: Warehouse) -> DataFrame:
+    """Fourier, trend, changepoint and regressor columns of the additive model"""
+    from shelfcast.operators import features as fe
+    from shelfcast.plans.warehouse import round_doubles
+    d = fe.add_additive_design(w.feature_base.select(
+        "item_id", "store_id", "date_str", "sales_units", "is_holiday", "snap_indicator", "sell_price", "date"))
+    return round_doubles(d.drop("date"), 6)
+
+
+O.register_cte("last28", """
+    SELECT item_id, store_id, avg(sales_units) AS a, stddev_samp(sales_units) AS sd,
+           arg_max(sell_price, date) AS sell_price, arg_max(dept_id, date) AS dept_id,
+           arg_max(cat_id, date) AS cat_id, arg_max(state_id, date) AS state_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date DESC) AS rn FROM features)
+    WHERE rn <= 28 GROUP BY item_id, store_id""")
+O.register_cte("hz_calendar", f"""
+    SELECT strftime(date, '%Y-%m-%d') AS date_str,
+           CAST(CASE WHEN {O.holiday('date', 1)} IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS is_holiday,
+           {O.snap('date', 'CA')} AS snap_CA, {O.snap('date', 'TX')} AS snap_TX, {O.snap('date', 'WI')} AS snap_WI
+    FROM (SELECT CAST(start_date + CAST(i AS INTEGER) AS DATE) AS date
+          FROM bounds, range(0, CAST(end_date - start_date AS BIGINT) + 91) t(i))""")
+
+
+@register("forward_features", _round6_sql(
+    ["sell_price", "sales_lag_7", "sales_lag_14", "sales_lag_28", "sales_roll_mean_7", "sales_roll_mean_14",
+     "sales_roll_mean_28", "sales_roll_std_7", "sales_roll_std_28"], """(
+    SELECT l.item_id, l.store_id, l.dept_id, l.cat_id, l.state_id, strftime(d, '%Y-%m-%d') AS date_str,
+           strftime(d, '%Y-%m-%d') AS forecast_date, CAST(d AS VARCHAR) AS date,
+           CAST(isodow(d) - 1 AS INTEGER) AS day_of_week, CAST(day(d) AS INTEGER) AS day_of_month,
+           CAST(month(d) AS INTEGER) AS month, CAST(quarter(d) AS INTEGER) AS quarter,
+           CAST(CASE WHEN isodow(d) IN (6, 7) THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
+           coalesce(c.is_holiday, 0) AS is_holiday,
+           coalesce(CAST(CASE WHEN l.state_id = 'CA' THEN c.snap_CA WHEN l.state_id = 'TX' THEN c.snap_TX
+                              WHEN l.state_id = 'WI' THEN c.snap_WI ELSE 0 END AS INTEGER), 0) AS snap_indicator,
+           l.sell_price, 0.0 AS price_change_pct, 1.0 AS price_rel_to_cat,
+           a AS sales_lag_7, a AS sales_lag_14, a AS sales_lag_28, a AS sales_roll_mean_7,
+           a AS sales_roll_mean_14, a AS sales_roll_mean_28, sd AS sales_roll_std_7, sd AS sales_roll_std_28,
+           horizon_days
+    FROM last28 l
+    JOIN (SELECT DISTINCT item_id, store_id FROM features WHERE date_str <= (SELECT split_date FROM split)) s
+      ON l.item_id = s.item_id AND l.store_id = s.store_id,
+         (VALUES (7), (30), (90)) h(horizon_days), range(1, 91) t(i),
+         LATERAL (SELECT (SELECT max(date) FROM features) + CAST(i AS INTEGER) AS d)
+    LEFT JOIN hz_calendar c ON c.date_str = strftime(d, '%Y-%m-%d')
+    WHERE i <= horizon_days)"""))
+def _forward_features(w: Warehouse) -> DataFrame:
+    """forward feature rows (series x horizon x day) from each series' last 28 days"""
+    from shelfcast.operators import features as fe
+    from shelfcast.plans.warehouse import round_doubles
+    train, _ = fe.time_split(w.features, 30)
+    return round_doubles(fe.forward_rows(w.features, w.horizon_calendar, train), 6)
+
+
+# ---------------------------------------------------------------- baseline forecasts (M10), T10
+@register("baseline_forecast", "SELECT * FROM baseline_forward")
+def _baseline_forecast(w: Warehouse) -> DataFrame:
+    """Recent-mean forward forecast (7/30/90 days) for every series"""
+    return w.baseline_forward
+
+
+@register("baseline_holdout", "SELECT * FROM baseline_holdout")
+def _baseline_holdout(w: Warehouse) -> DataFrame:
+    """M10 on the 30-day holdout (actuals and errors filled)"""
+    return w.baseline_holdout
+
+
+@register("mart_forecast_accuracy", f"""
+    SELECT model_used, horizon_days, count(*) AS total_forecast_points,
+           {O.ratio_hu('SUM(abs(CAST(round(actual_demand * 100.0) AS BIGINT) - CAST(round(forecast_demand * 100.0) AS BIGINT)))', 'count(*)', 3, 2)} AS mae,
+           {O.half_up('sqrt(CAST(SUM((CAST(round(actual_demand * 100.0) AS BIGINT) - CAST(round(forecast_demand * 100.0) AS BIGINT)) * (CAST(round(actual_demand * 100.0) AS BIGINT) - CAST(round(forecast_demand * 100.0) AS BIGINT))) AS DOUBLE) / count(*)) / 100.0', 3)} AS rmse,
+           {O.half_up('avg(CASE WHEN actual_demand <> 0 THEN abs(actual_demand - forecast_demand) / actual_demand END) * 100.0', 2)} AS mape_pct
+    FROM forecasts WHERE actual_demand IS NOT NULL GROUP BY model_used, horizon_days""")
+def _mart_forecast_accuracy(w: Warehouse) -> DataFrame:
+    """T10 over the forecast fact table"""
+    return w.accuracy_mart
+
+
+# ---------------------------------------------------------------- inventory (I), T9
+@register("recent_demand_stats", f"""
+    SELECT item_id, store_id, {O.half_up('avg_demand', 6)} AS avg_demand, {O.half_up('std_demand', 6)} AS std_demand,
+           max_demand FROM recent90""")
+def _recent_stats(w: Warehouse) -> DataFrame:
+    """Mean, max, population std of the last 90 days per series"""
+    from shelfcast.plans.warehouse import round_doubles
+    return round_doubles(w.recent_stats, 6)
+
+
+@register("lead_time_forecast", "SELECT * FROM lt_forecast")
+def _lead_time_forecast(w: Warehouse) -> DataFrame:
+    """7-day forward forecast total per series"""
+    from shelfcast.operators import inventory
+    return inventory.lead_time_forecast(w.forecasts, 7)
+
+
+@register("on_hand_snapshot", "SELECT * FROM on_hand")
+def _on_hand(w: Warehouse) -> DataFrame:
+    """I3 input: deterministic on-hand snapshot per series"""
+    return w.on_hand
+
+
+@register("inventory_recommendations", "SELECT * FROM recs")
+def _recommendations(w: Warehouse) -> DataFrame:
+    """fact_inventory_recommendations"""
+    return w.recommendations
+
+
+@register("mart_inventory_health", """
+    SELECT store_id, count(DISTINCT item_id) AS total_monitored_skus,
+           CAST(SUM(current_inventory) AS BIGINT) AS total_inventory_units,
+           CAST(SUM(current_inventory) AS BIGINT) * 5.0 AS estimated_inventory_value,
+           count(*) FILTER (WHERE risk_level = 'High Risk') AS high_risk_sku_count,
+           count(*) FILTER (WHERE risk_level = 'Medium Risk') AS medium_risk_sku_count,
+           count(*) FILTER (WHERE risk_level = 'Low Risk') AS low_risk_sku_count,
+           count(*) FILTER (WHERE inventory_status = 'Critical Stockout Risk') AS stockout_alert_count,
+           count(*) FILTER (WHERE inventory_status = 'Excess Overstock') AS overstock_alert_count,
+           CAST(SUM(recommended_order_qty) AS BIGINT) AS total_recommended_replenishment_units,
+           CAST(SUM(estimated_order_cost) AS DOUBLE) AS total_replenishment_cost
+    FROM recs GROUP BY store_id""")
+def _mart_inventory_health(w: Warehouse) -> DataFrame:
+    """T9"""
+    return w.inventory_mart

@@ -152,3 +152,282 @@ def with_base(body: str) -> str:
     ctes = {**BASE_CTES, **_extra_ctes}
     parts = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
     return f"WITH {parts}\n{body}"
+
+
+# ---------------------------------------------------------------- raw feeds, cleaning
+UNIT_PRICE = "floor(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) / l_quantity * 100.0 + 0.5) / 100.0"
+INGEST = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+register_cte("line_start", "SELECT min(date) AS start_date FROM lines")
+register_cte("clean_calendar", f"""
+    SELECT CAST(date AS VARCHAR) AS date, {wm_yr_wk('date')} AS wm_yr_wk, dayname(date) AS weekday,
+           CAST(dayofweek(date) + 1 AS INTEGER) AS wday, CAST(month(date) AS INTEGER) AS month,
+           CAST(year(date) AS INTEGER) AS year,
+           'd_' || CAST(CAST(date - (SELECT start_date FROM line_start) AS BIGINT) + 1 AS VARCHAR) AS d,
+           coalesce({holiday('date', 1)}, 'None') AS event_name_1,
+           coalesce({holiday('date', 2)}, 'None') AS event_type_1,
+           'None' AS event_name_2, 'None' AS event_type_2,
+           {snap('date', 'CA')} AS snap_CA, {snap('date', 'TX')} AS snap_TX, {snap('date', 'WI')} AS snap_WI,
+           strftime(date, '%Y-%m-%d') AS date_str,
+           CAST(CASE WHEN {holiday('date', 1)} IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS is_holiday
+    FROM (SELECT DISTINCT date FROM lines)""")
+register_cte("raw_prices", f"""
+    SELECT store_id, item_id, {wm_yr_wk('date')} AS wm_yr_wk,
+           CASE WHEN l_linestatus = 'O' THEN NULL WHEN l_returnflag = 'R' THEN -({UNIT_PRICE})
+                ELSE {UNIT_PRICE} END AS sell_price, {INGEST}
+    FROM lines""")
+register_cte("prices_first", f"""
+    SELECT trim(store_id) AS store_id, trim(item_id) AS item_id, wm_yr_wk, sell_price
+    FROM (SELECT *, row_number() OVER (PARTITION BY store_id, item_id, wm_yr_wk ORDER BY {INGEST}) AS rn
+          FROM raw_prices) WHERE rn = 1""")
+register_cte("clean_prices", """
+    SELECT store_id, item_id, wm_yr_wk,
+           CAST(ROUND(CAST(CASE WHEN sell_price IS NOT NULL AND sell_price > 0 THEN sell_price
+                ELSE floor((SELECT quantile_cont(CAST(round(sell_price * 100.0) AS BIGINT), 0.5)
+                            FROM prices_first WHERE sell_price > 0) + 0.5) / 100.0 END
+                AS DECIMAL(20, 6)), 2) AS DOUBLE) AS sell_price
+    FROM prices_first""")
+register_cte("series", "SELECT DISTINCT item_id, dept_id, cat_id, store_id, state_id FROM lines")
+register_cte("net_units", """
+    SELECT item_id, store_id, date,
+           SUM(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS units
+    FROM lines GROUP BY item_id, store_id, date""")
+register_cte("clean_sales", """
+    SELECT s.item_id || '_' || s.store_id AS id, s.item_id, s.dept_id, s.cat_id, s.store_id, s.state_id,
+           c.d, CAST(greatest(coalesce(CAST(n.units AS INTEGER), 0), 0) AS INTEGER) AS sales_units, c.date_str
+    FROM series s CROSS JOIN clean_calendar c
+    LEFT JOIN net_units n ON n.item_id = s.item_id AND n.store_id = s.store_id
+                         AND n.date = CAST(c.date AS DATE)""")
+
+
+def _v_missing(src: str, ds: str, cols: list[str]) -> str:
+    nulls = [f"count(*) - count({c})" for c in cols]
+    parts = " || ', ' || ".join(f"'''{c}'': ' || CAST({n} AS VARCHAR)" for c, n in zip(cols, nulls))
+    total = " + ".join(f"({n})" for n in nulls)
+    return (f"SELECT '{ds}' AS dataset, 'Missing Key Records' AS \"check\", "
+            f"CASE WHEN {total} = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, "
+            f"count(*) AS total_records, CAST({total} AS BIGINT) AS failed_records, "
+            f"'Null counts per column: {{' || {parts} || '}}' AS details FROM {src}")
+
+
+def _v_dups(src: str, ds: str, cols: list[str]) -> str:
+    keys = ", ".join(cols)
+    lst = "[" + ", ".join(f"''{c}''" for c in cols) + "]"
+    return (f"SELECT '{ds}' AS dataset, 'Duplicate Key Records' AS \"check\", "
+            f"CASE WHEN coalesce(sum(c - 1), 0) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, "
+            f"CAST(coalesce(sum(c), 0) AS BIGINT) AS total_records, "
+            f"CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS failed_records, "
+            f"'Duplicates on {lst}: ' || CAST(CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS VARCHAR) AS details "
+            f"FROM (SELECT count(*) AS c FROM {src} GROUP BY {keys})")
+
+
+def fmt_1dp(x: str) -> str:
+    q = f"CAST(floor(({x}) * 10.0 + 0.5) AS BIGINT)"
+    return f"(CAST({q} // 10 AS VARCHAR) || '.' || CAST(({q} % 10 + 10) % 10 AS VARCHAR))"
+
+
+def quality_sql(cal: str, prices: str, sales: str) -> str:
+    """V6: the nine checks over the three cleaned datasets (as one UNION ALL)."""
+    bound = (f"(SELECT q[2] + 4.0 * (q[2] - q[1]) FROM (SELECT quantile_cont(sales_units, [0.25, 0.75]) AS q "
+             f"FROM {sales}))")
+    checks = [
+        _v_missing(cal, "calendar", ["date_str", "wm_yr_wk", "wday"]),
+        _v_dups(cal, "calendar", ["date_str"]),
+        (f"SELECT 'calendar' AS dataset, 'Date Continuity & Completeness' AS \"check\", "
+         f"CASE WHEN m = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, days AS total_records, "
+         f"CAST(greatest(m, 0) AS BIGINT) AS failed_records, "
+         f"'Date span ' || strftime(lo, '%Y-%m-%d') || ' to ' || strftime(hi, '%Y-%m-%d') || "
+         f"', missing days: ' || CAST(m AS VARCHAR) AS details FROM ("
+         f"SELECT lo, hi, days, CAST(hi - lo AS BIGINT) + 1 - days AS m FROM ("
+         f"SELECT min(CAST(date_str AS DATE)) AS lo, max(CAST(date_str AS DATE)) AS hi, "
+         f"count(DISTINCT CAST(date_str AS DATE)) AS days FROM {cal}))"),
+        _v_missing(prices, "sell_prices", ["store_id", "item_id", "wm_yr_wk", "sell_price"]),
+        _v_dups(prices, "sell_prices", ["store_id", "item_id", "wm_yr_wk"]),
+        (f"SELECT 'sell_prices' AS dataset, 'Pricing Integrity' AS \"check\", "
+         f"CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, n AS total_records, b AS failed_records, "
+         f"'Records with price <= 0 or > $1000: ' || CAST(b AS VARCHAR) AS details FROM ("
+         f"SELECT count(*) AS n, CAST(count(*) FILTER (WHERE sell_price <= 0 OR sell_price > 1000.0 "
+         f"OR sell_price IS NULL) AS BIGINT) AS b FROM {prices})"),
+        _v_missing(sales, "sales", ["item_id", "store_id", "date_str", "sales_units"]),
+        _v_dups(sales, "sales", ["item_id", "store_id", "date_str"]),
+        (f"SELECT 'sales' AS dataset, 'Sales Outlier Detection' AS \"check\", 'INFO' AS status, "
+         f"count(*) AS total_records, CAST(count(*) FILTER (WHERE sales_units > {bound}) AS BIGINT) AS failed_records, "
+         f"'Sales units > ' || {fmt_1dp(bound)} || ' (' || "
+         f"CAST(count(*) FILTER (WHERE sales_units > {bound}) AS VARCHAR) || "
+         f"' high spikes flagged for awareness)' AS details FROM {sales}"),
+    ]
+    return " UNION ALL ".join(f"SELECT *, {i + 1} AS check_no FROM ({c})" for i, c in enumerate(checks))
+
+
+# ---------------------------------------------------------------- features (F)
+TWO_PI = "CAST(6.283185307179586 AS DOUBLE)"
+W_SERIES = "PARTITION BY item_id, store_id ORDER BY date"
+
+
+def _roll(fn: str, k: int) -> str:
+    frame = f"OVER ({W_SERIES} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count(sales_units) {frame} >= 3 THEN {fn}(sales_units) {frame} END"
+
+
+register_cte("fbase", """
+    SELECT s.id, s.item_id, s.dept_id, s.cat_id, s.store_id, s.state_id, s.date_str, s.sales_units,
+           c.wm_yr_wk, c.weekday, c.wday, c.month, c.year, c.event_name_1, c.event_type_1, c.is_holiday,
+           CAST(CASE WHEN s.state_id = 'CA' THEN c.snap_CA WHEN s.state_id = 'TX' THEN c.snap_TX
+                     WHEN s.state_id = 'WI' THEN c.snap_WI ELSE 0 END AS INTEGER) AS snap_indicator,
+           CAST(COALESCE(p.sell_price, 5.0) AS DOUBLE) AS sell_price, CAST(s.date_str AS DATE) AS date
+    FROM fact_sales s JOIN dim_calendar c ON s.date_str = c.date_str
+    LEFT JOIN fact_prices p ON s.store_id = p.store_id AND s.item_id = p.item_id AND c.wm_yr_wk = p.wm_yr_wk""")
+register_cte("feat_w", f"""
+    SELECT *, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(day(date) AS INTEGER) AS day_of_month,
+           CAST(quarter(date) AS INTEGER) AS quarter,
+           CAST(CASE WHEN isodow(date) IN (6, 7) THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
+           CAST(dayofyear(date) AS INTEGER) AS day_of_year,
+           sin({TWO_PI} * month / 12.0) AS sin_month, cos({TWO_PI} * month / 12.0) AS cos_month,
+           {", ".join(f"lag(sales_units, {k}) OVER ({W_SERIES}) AS sales_lag_{k}" for k in (7, 14, 28, 60))},
+           {", ".join(f"{_roll('avg', k)} AS sales_roll_mean_{k}" for k in (7, 14, 28))},
+           {", ".join(f"{_roll('stddev_samp', k)} AS sales_roll_std_{k}" for k in (7, 28))},
+           lag(sell_price, 7) OVER ({W_SERIES}) AS price_lag_7
+    FROM fbase""")
+register_cte("features", """
+    SELECT f.* REPLACE (
+               coalesce(sales_lag_7, 0) AS sales_lag_7, coalesce(sales_lag_14, 0) AS sales_lag_14,
+               coalesce(sales_lag_28, 0) AS sales_lag_28, coalesce(sales_lag_60, 0) AS sales_lag_60,
+               coalesce(sales_roll_mean_7, 0.0) AS sales_roll_mean_7,
+               coalesce(sales_roll_mean_14, 0.0) AS sales_roll_mean_14,
+               coalesce(sales_roll_mean_28, 0.0) AS sales_roll_mean_28,
+               coalesce(sales_roll_std_7, 0.0) AS sales_roll_std_7,
+               coalesce(sales_roll_std_28, 0.0) AS sales_roll_std_28,
+               coalesce(price_lag_7, 0.0) AS price_lag_7),
+           coalesce((sell_price - price_lag_7) / nullif(price_lag_7, 0.0), 0.0) AS price_change_pct,
+           coalesce(sell_price / cp.cat_price, 1.0) AS price_rel_to_cat,
+           sd.store_sales_momentum_7, cd.cat_sales_momentum_7
+    FROM feat_w f
+    LEFT JOIN (SELECT cat_id, date_str, SUM(CAST(round(sell_price * 100.0) AS BIGINT))
+                      / COUNT(sell_price) / 100.0 AS cat_price FROM feat_w GROUP BY cat_id, date_str) cp
+           ON f.cat_id = cp.cat_id AND f.date_str = cp.date_str
+    LEFT JOIN (SELECT store_id, date_str, CAST(SUM(sales_units) AS BIGINT) AS store_sales_momentum_7
+               FROM feat_w GROUP BY store_id, date_str) sd ON f.store_id = sd.store_id AND f.date_str = sd.date_str
+    LEFT JOIN (SELECT cat_id, date_str, CAST(SUM(sales_units) AS BIGINT) AS cat_sales_momentum_7
+               FROM feat_w GROUP BY cat_id, date_str) cd ON f.cat_id = cd.cat_id AND f.date_str = cd.date_str""")
+register_cte("split", """
+    SELECT min(date_str) AS split_date FROM (SELECT DISTINCT date_str FROM fact_sales
+                                             ORDER BY date_str DESC LIMIT 30)""")
+
+
+# ---------------------------------------------------------------- baseline forecasts
+def _baseline_vals(d: str, label: str) -> str:
+    mult = f"CASE WHEN isodow({d}) IN (6, 7) THEN CAST(1.3 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END"
+    proj = f"greatest(0.0, {half_up(f'(s / n) * {mult}', 1)})"
+    std = "CASE WHEN n > 1 THEN sqrt(CAST(n * ss - s * s AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) END"
+    z = "CAST(1.96 AS DOUBLE)"
+    return (f"{proj} AS forecast_demand, "
+            f"CASE WHEN ({std}) IS NULL THEN 0.0 ELSE greatest(0.0, {half_up(f'{proj} - {z} * ({std})', 1)}) END "
+            f"AS confidence_lower, {half_up(f'{proj} + {z} * ({std})', 1)} AS confidence_upper, "
+            f"'{label}' AS model_used")
+
+
+def _recent(src: str, n: int) -> str:
+    return (f"SELECT item_id, store_id, count(*) AS n, SUM(CAST(sales_units AS BIGINT)) AS s, "
+            f"SUM(CAST(sales_units AS BIGINT) * sales_units) AS ss, max(date_str) AS last_date "
+            f"FROM (SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date_str DESC) AS rn "
+            f"FROM {src}) WHERE rn <= {n} GROUP BY item_id, store_id")
+
+
+register_cte("recent30", _recent("fact_sales", 30))
+register_cte("baseline_forward", f"""
+    SELECT strftime(d, '%Y-%m-%d') AS forecast_date, item_id, store_id, {_baseline_vals('d', 'LightGBM / Prophet')},
+           CAST(NULL AS DOUBLE) AS actual_demand, CAST(NULL AS DOUBLE) AS forecast_error, horizon_days
+    FROM (SELECT *, CAST(last_date AS DATE) + CAST(i AS INTEGER) AS d
+          FROM recent30, (VALUES (7), (30), (90)) h(horizon_days), range(1, 91) t(i) WHERE i <= horizon_days)""")
+register_cte("train_sales", "SELECT * FROM fact_sales WHERE date_str <= (SELECT split_date FROM split)")
+register_cte("recent30_train", _recent("train_sales", 30))
+register_cte("baseline_holdout", f"""
+    SELECT t.date_str AS forecast_date, t.item_id, t.store_id,
+           {_baseline_vals('CAST(t.date_str AS DATE)', 'Baseline (Recent Mean)')},
+           CAST(t.sales_units AS DOUBLE) AS actual_demand,
+           CAST(t.sales_units AS DOUBLE) - {half_up(
+               "(s / n) * CASE WHEN isodow(CAST(t.date_str AS DATE)) IN (6, 7) THEN CAST(1.3 AS DOUBLE) "
+               "ELSE CAST(0.95 AS DOUBLE) END", 1)} AS forecast_error,
+           30 AS horizon_days
+    FROM fact_sales t JOIN recent30_train r ON t.item_id = r.item_id AND t.store_id = r.store_id
+    WHERE t.date_str > (SELECT split_date FROM split)""")
+register_cte("forecasts", """
+    SELECT forecast_date, item_id, store_id, model_used, actual_demand, forecast_demand, confidence_lower,
+           confidence_upper, forecast_error, horizon_days FROM baseline_holdout
+    UNION ALL
+    SELECT forecast_date, item_id, store_id, model_used, actual_demand, forecast_demand, confidence_lower,
+           confidence_upper, forecast_error, horizon_days FROM baseline_forward""")
+
+
+# ---------------------------------------------------------------- inventory (I)
+_PRODUCTS_SQL = f"""
+    SELECT s.item_id, s.dept_id, s.cat_id,
+           split_part(s.item_id, '_', 1) || ' Product #' || split_part(s.item_id, '_', -1) AS product_name,
+           coalesce({ratio_hu('p.c6', 'p.n10', 2, 2)}, 3.0) AS unit_cost
+    FROM (SELECT DISTINCT item_id, dept_id, cat_id FROM fact_sales) s
+    LEFT JOIN (SELECT item_id, SUM(CAST(round(sell_price * 100.0) AS BIGINT)) * 6 AS c6,
+                      COUNT(sell_price) * 10 AS n10 FROM fact_prices GROUP BY item_id) p
+      ON s.item_id = p.item_id"""
+register_cte("dim_products", _PRODUCTS_SQL)
+register_cte("recent90", """
+    SELECT item_id, store_id, s / n AS avg_demand,
+           sqrt(CAST(n * ss - s * s AS DOUBLE) / CAST(n * n AS DOUBLE)) AS std_demand,
+           CAST(mx AS DOUBLE) AS max_demand
+    FROM (SELECT item_id, store_id, count(*) AS n, SUM(CAST(sales_units AS BIGINT)) AS s,
+                 SUM(CAST(sales_units AS BIGINT) * sales_units) AS ss, max(sales_units) AS mx
+          FROM (SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date_str DESC) AS rn
+                FROM fact_sales) WHERE rn <= 90 GROUP BY item_id, store_id)""")
+register_cte("lt_forecast", """
+    SELECT item_id, store_id, SUM(CAST(round(forecast_demand * 100.0) AS BIGINT)) / 100.0
+           AS forecast_lead_time_demand
+    FROM forecasts WHERE actual_demand IS NULL AND horizon_days = 7 GROUP BY item_id, store_id""")
+register_cte("on_hand", """
+    SELECT r.item_id, r.store_id,
+           CAST(greatest(0, floor(r.avg_demand * 7 *
+                [CAST(0.3 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(1.2 AS DOUBLE), CAST(1.8 AS DOUBLE),
+                 CAST(3.5 AS DOUBLE)][CAST(t.tot % 5 AS INTEGER) + 1] + 0.5)) AS INTEGER) AS current_inventory
+    FROM recent90 r JOIN (SELECT item_id, store_id, SUM(sales_units) AS tot FROM fact_sales
+                          GROUP BY item_id, store_id) t ON r.item_id = t.item_id AND r.store_id = t.store_id""")
+register_cte("rec_base", """
+    SELECT r.item_id, r.store_id, coalesce(o.current_inventory, 0) AS current_inventory,
+           r.avg_demand AS a, r.std_demand AS sd,
+           coalesce(f.forecast_lead_time_demand, r.avg_demand * 7) AS fc,
+           CAST(greatest(1, CAST(ceil(CAST(1.65 AS DOUBLE) * r.std_demand * sqrt(CAST(7 AS DOUBLE))) AS INTEGER))
+                AS INTEGER) AS safety_stock,
+           coalesce(CAST(p.unit_cost AS DOUBLE), 5.0) AS unit_cost
+    FROM recent90 r LEFT JOIN lt_forecast f ON r.item_id = f.item_id AND r.store_id = f.store_id
+    LEFT JOIN on_hand o ON r.item_id = o.item_id AND r.store_id = o.store_id
+    LEFT JOIN dim_products p ON r.item_id = p.item_id""")
+register_cte("rec_pol", f"""
+    SELECT *, CAST(greatest(1, CAST(ceil(a * 7 + safety_stock) AS INTEGER)) AS INTEGER) AS reorder_point,
+           CAST(greatest(0, CAST(ceil(fc + safety_stock - current_inventory) AS INTEGER)) AS INTEGER)
+               AS recommended_order_qty,
+           {half_up('a', 2)} AS average_daily_demand
+    FROM rec_base""")
+register_cte("recs", f"""
+    SELECT (SELECT max(date_str) FROM fact_sales) AS evaluation_date, item_id, store_id, current_inventory,
+           average_daily_demand, {half_up('sd', 2)} AS demand_std_dev, 7 AS lead_time_days, safety_stock,
+           reorder_point, {half_up('fc', 2)} AS forecast_demand_lt, recommended_order_qty,
+           {half_up('current_inventory / greatest(0.1, a)', 1)} AS days_of_supply, unit_cost,
+           CAST(CAST(recommended_order_qty AS DECIMAL(10, 0)) * CAST(unit_cost AS DECIMAL(10, 2))
+                AS DECIMAL(14, 2)) AS estimated_order_cost,
+           CASE WHEN current_inventory < safety_stock THEN 'Critical Stockout Risk'
+                WHEN current_inventory <= reorder_point THEN 'Reorder Needed'
+                WHEN dos > 24.5 THEN 'Excess Overstock' ELSE 'Healthy Buffer' END AS inventory_status,
+           CASE WHEN current_inventory < safety_stock THEN 'High Risk'
+                WHEN current_inventory <= reorder_point THEN 'Medium Risk'
+                WHEN dos > 24.5 THEN CASE WHEN dos > 24.5 * 1.5 THEN 'High Risk' ELSE 'Medium Risk' END
+                ELSE 'Low Risk' END AS risk_level,
+           {half_up('least(100.0, greatest(0.0, (daily * 7 + safety_stock - current_inventory) '
+                    '/ greatest(1.0, daily * 7 + safety_stock) * 100.0))', 1)} AS stockout_risk_pct,
+           {half_up('CASE WHEN dos > 24.5 THEN least(100.0, greatest(0.0, (dos - 24.5) / 24.5 * 100.0)) '
+                    'ELSE 0.0 END', 1)} AS overstock_risk_pct,
+           strftime(CAST((SELECT max(date_str) FROM fact_sales) AS DATE) + CAST(
+               CASE WHEN current_inventory < safety_stock THEN 1
+                    WHEN current_inventory <= reorder_point
+                         THEN greatest(1, CAST(trunc((current_inventory - safety_stock) / daily) AS INTEGER))
+                    WHEN dos > 24.5 THEN CAST(trunc(dos) AS INTEGER)
+                    ELSE greatest(1, CAST(trunc((current_inventory - reorder_point) / daily) AS INTEGER)) END
+               AS INTEGER), '%Y-%m-%d') AS suggested_replenishment_date
+    FROM (SELECT *, greatest(0.1, average_daily_demand) AS daily,
+                 current_inventory / greatest(0.1, average_daily_demand) AS dos FROM rec_pol)""")

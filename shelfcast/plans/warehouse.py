@@ -20,10 +20,14 @@ from shelfcast.sources import adapter
 
 
 def decimals_to_double(df: DataFrame) -> DataFrame:
-    """Output step: exact DECIMAL money columns become doubles for reporting."""
-    return df.select(*[F.col(f.name).cast("double").alias(f.name)
-                       if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-                       for f in df.schema.fields])
+    """Output step: exact DECIMAL money columns become doubles and dates ISO strings."""
+    def out(f):
+        if isinstance(f.dataType, T.DecimalType):
+            return F.col(f.name).cast("double").alias(f.name)
+        if isinstance(f.dataType, T.DateType):
+            return F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name)
+        return F.col(f.name)
+    return df.select(*[out(f) for f in df.schema.fields])
 
 
 class Warehouse:
@@ -116,3 +120,108 @@ class Warehouse:
     @cached_property
     def store_mart(self) -> DataFrame:
         return marts.mart_store_performance(self.daily, self.dim_stores)
+
+    # ---- raw feeds and cleaning (C, V) ----------------------------------
+    @cached_property
+    def raw_calendar(self) -> DataFrame:
+        return adapter.raw_calendar(self.spark, self.sf_dir)
+
+    @cached_property
+    def raw_prices(self) -> DataFrame:
+        return adapter.raw_price_quotes(self.spark, self.sf_dir)
+
+    @cached_property
+    def raw_sales_wide(self) -> DataFrame:
+        return adapter.raw_sales_wide(self.spark, self.sf_dir)
+
+    @cached_property
+    def clean_calendar(self) -> DataFrame:
+        return clean.clean_calendar(self.raw_calendar)
+
+    @cached_property
+    def clean_prices(self) -> DataFrame:
+        return clean.clean_prices(self.raw_prices)
+
+    @cached_property
+    def clean_sales(self) -> DataFrame:
+        return clean.clean_and_melt_sales(self.raw_sales_wide, self.clean_calendar)
+
+    # ---- features (F) ---------------------------------------------------
+    @cached_property
+    def feature_base(self) -> DataFrame:
+        from shelfcast.operators import features
+        return features.load_base(self.fact_sales, self.dim_calendar, self.fact_prices)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        from shelfcast.operators import features
+        return features.build_features(self.feature_base)
+
+    @cached_property
+    def horizon_calendar(self) -> DataFrame:
+        """Calendar extended 90 days past the last sale (for forward rows)."""
+        b = self.calendar_bounds.select("start_date", F.date_add("end_date", 90).alias("end_date"))
+        return dims.dim_calendar(clean.clean_calendar(dims.calendar_between(b)))
+
+    # ---- forecasts (M10 baseline; models) -------------------------------
+    @cached_property
+    def baseline_forward(self) -> DataFrame:
+        from shelfcast.operators import forecast
+        return forecast.baseline_forecast(self.fact_sales)
+
+    @cached_property
+    def baseline_holdout(self) -> DataFrame:
+        from shelfcast.operators import forecast
+        return forecast.baseline_holdout(self.fact_sales)
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        """Forecast fact table of the SQL-checkable baseline (holdout + forward)."""
+        return self.baseline_holdout.unionByName(self.baseline_forward)
+
+    # ---- inventory (I) --------------------------------------------------
+    @cached_property
+    def recent_stats(self) -> DataFrame:
+        from shelfcast.operators import inventory
+        return inventory.recent_stats(self.fact_sales)
+
+    @cached_property
+    def on_hand(self) -> DataFrame:
+        from shelfcast.operators import inventory
+        return inventory.on_hand_snapshot(self.recent_stats, sales=self.fact_sales)
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        from shelfcast.operators import inventory
+        return inventory.recommendations(self.fact_sales, self.forecasts, self.on_hand,
+                                         self.dim_products, stats=self.recent_stats)
+
+    @cached_property
+    def inventory_mart(self) -> DataFrame:
+        return marts.mart_inventory_health(self.recommendations)
+
+    @cached_property
+    def accuracy_mart(self) -> DataFrame:
+        return marts.mart_forecast_accuracy(self.forecasts)
+
+    # ---- scenarios (Q18) ------------------------------------------------
+    @cached_property
+    def scenarios(self) -> DataFrame:
+        """What-if grid: the slider ranges of the scenario page (price -30..30 step 10,
+        promo 0/25/50, holiday 0/50/100, delay 0/7/21) - a small parameter table."""
+        s = self.spark.range(1).select(
+            F.explode(F.array(*[F.lit(x) for x in (-30.0, -10.0, 0.0, 10.0, 30.0)])).alias("price_change_pct"))
+        s = s.select("*", F.explode(F.array(*[F.lit(x) for x in (0.0, 25.0, 50.0)])).alias("promo_uplift_pct"))
+        s = s.select("*", F.explode(F.array(*[F.lit(x) for x in (0.0, 50.0, 100.0)])).alias("holiday_surge_pct"))
+        s = s.select("*", F.explode(F.array(*[F.lit(x) for x in (0, 7, 21)])).alias("lead_time_delay_days"))
+        sid = F.concat_ws("/", *[F.col(c).cast("string") for c in
+                                 ("price_change_pct", "promo_uplift_pct", "holiday_surge_pct",
+                                  "lead_time_delay_days")])
+        return s.select(sid.alias("scenario_id"), "*")
+
+
+def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
+    """Output step for statistics: every double rounded half-up at ``scale`` decimals."""
+    from shelfcast.functions.rounding import half_up
+    return df.select(*[half_up(f.name, scale).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                       else F.col(f.name) for f in df.schema.fields])

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -36,26 +36,35 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir`` (the setting a cluster
-    names for shared, executor-visible storage).  Only when the session has
-    none - local runs and tests - a folder under the system temp dir is
-    registered first.
+    A cluster sets this to executor-visible storage; only when the session
+    has none (local runs, tests) a folder under the system temp dir is
+    registered.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    sc.setCheckpointDir(base)
+    return sc.getCheckpointDir() or base
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the shared checkpoint folder (for written stage tables)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    Used where one intermediate feeds several independent aggregates (the
+    quality checks, model training).  The checkpoint lives in the shared
+    folder, so a lost executor does not force recomputation from the source.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -142,6 +142,12 @@ def fact_prices(spark: SparkSession, sf_dir: str, days: DataFrame | None = None)
     return weekly.select("store_id", "item_id", "wm_yr_wk", (cents / F.lit(100.0)).alias("sell_price"))
 
 
+def _ingest_order():
+    """Arrival order of a line in the raw feeds (a total order over distinct lines)."""
+    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                    "l_extendedprice")
+
+
 def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar feed as it arrives: one calendar record stamped on every order line.
 
@@ -149,8 +155,7 @@ def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     month, year, d, events, SNAP flags) plus ``ingest_ord`` (arrival order).
     Duplicates per date are expected and removed by ``clean_calendar``.
     """
-    lines = sales_lines(spark, sf_dir).select("date", "l_orderkey", "l_linenumber",
-                                              "l_partkey", "l_suppkey")
+    lines = sales_lines(spark, sf_dir)
     start = lines.agg(F.min("date")).scalar()   # scalar subquery, evaluated once
     d = F.col("date")
     return (lines.select(
@@ -168,7 +173,7 @@ def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
                 cal.snap_flag(d, "CA").alias("snap_CA"),
                 cal.snap_flag(d, "TX").alias("snap_TX"),
                 cal.snap_flag(d, "WI").alias("snap_WI"),
-                F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ingest_ord"),
+                _ingest_order().alias("ingest_ord"),
             ))
 
 
@@ -187,7 +192,7 @@ def raw_price_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         "store_id", "item_id", cal.wm_yr_wk("date").alias("wm_yr_wk"),
         price.alias("sell_price"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ingest_ord"))
+        _ingest_order().alias("ingest_ord"))
 
 
 def net_sales_long(spark: SparkSession, sf_dir: str) -> DataFrame:
