@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions import inventory as inv
-from shelfcast.functions.rounding import half_up
+from shelfcast.functions.rounding import half_up, ratio_half_up
 
 SERIES = ["item_id", "store_id"]
 APPROX_UNIT_PRICE = 5.50
@@ -67,7 +67,8 @@ def category_mix(product_mart: DataFrame) -> DataFrame:
     total = product_mart.agg(F.sum("total_revenue")).scalar()
     return (product_mart.groupBy("cat_id")
             .agg(F.sum("total_revenue").alias("total_revenue"), F.sum("total_units_sold").alias("total_units"))
-            .withColumn("revenue_share_pct", half_up(F.col("total_revenue") / total * F.lit(100.0), 2)))
+            .withColumn("revenue_share_pct",
+                        half_up(F.col("total_revenue").cast("double") / total.cast("double") * F.lit(100.0), 2)))
 
 
 def monthly_trend(monthly: DataFrame) -> DataFrame:
@@ -188,7 +189,8 @@ def filtered_kpis(recs: DataFrame) -> DataFrame:
                     F.sum("recommended_order_qty").alias("total_reorder_qty"),
                     F.sum(F.col("estimated_order_cost").cast("decimal(14,2)")).alias("total_po_cost"),
                     F.count_if(F.col("risk_level") == inv.HIGH).alias("high_risk_items"),
-                    F.coalesce(half_up(F.avg("days_of_supply"), 1), F.lit(0.0)).alias("avg_days_of_supply"),
+                    F.coalesce(ratio_half_up(F.sum(F.round(F.col("days_of_supply") * F.lit(10.0)).cast("long")),
+                                             F.count("days_of_supply"), 1, 1), F.lit(0.0)).alias("avg_days_of_supply"),
                     F.count(F.lit(1)).alias("filtered_skus"))
 
 
@@ -218,14 +220,16 @@ def scenario_impact(recs: DataFrame, scenarios: DataFrame) -> DataFrame:
     The network baseline is one aggregate over the recommendations, read as
     a single struct-valued scalar subquery (evaluated once; no join).
     """
+    demand = _cents_sum("average_daily_demand")          # exact: values carry 2 decimals
+    risk_tenths = F.sum(F.round(F.col("stockout_risk_pct") * F.lit(10.0)).cast("long"))
     base = recs.agg(F.struct(
-        F.sum("average_daily_demand").alias("demand"),
+        demand.alias("demand"),
         F.sum("safety_stock").alias("ss"),
         F.sum("recommended_order_qty").alias("qty"),
-        (F.sum("average_daily_demand") * F.lit(APPROX_UNIT_PRICE)).alias("revenue"),
+        (demand * F.lit(APPROX_UNIT_PRICE)).alias("revenue"),
         F.sum(F.col("estimated_order_cost").cast("decimal(14,2)")).cast("double").alias("cost"),
         F.sum("current_inventory").alias("on_hand"),
-        F.avg("stockout_risk_pct").alias("risk"))).scalar()
+        (risk_tenths / F.count(F.lit(1)) / F.lit(10.0)).alias("risk"))).scalar()
     b_dem, b_ss, b_qty, b_rev = base["demand"], base["ss"], base["qty"], base["revenue"]
     b_cost, on_hand, b_risk = base["cost"], base["on_hand"], base["risk"]
     p = F.col("price_change_pct") / F.lit(100.0)

@@ -444,3 +444,359 @@ def _recommendations(w: Warehouse) -> DataFrame:
 def _mart_inventory_health(w: Warehouse) -> DataFrame:
     """T9"""
     return w.inventory_mart
+
+
+# ---------------------------------------------------------------- evaluation (E)
+@register("forecast_metrics", f"""
+    SELECT model_used, n_points, mae, rmse, coalesce(mape_pct, 0.0) AS mape_pct,
+           {O.half_up('''coalesce(CASE WHEN n_points > 1 THEN CASE WHEN (n_points * saa - sa * sa) = 0
+                THEN CASE WHEN see * n_points = 0 THEN 1.0 ELSE 0.0 END
+                ELSE 1.0 - (see * n_points) / (n_points * saa - sa * sa) END END, 0.0)''', 3)} AS r2
+    FROM (SELECT model_used, {O.error_stats_sql(3, 3, 2, 'n_points', 'actual_demand > 0')}
+          FROM forecasts WHERE actual_demand IS NOT NULL AND forecast_demand IS NOT NULL GROUP BY model_used)""")
+def _forecast_metrics(w: Warehouse) -> DataFrame:
+    """MAE, RMSE, MAPE, R2 per model"""
+    from shelfcast.operators import evaluate
+    return evaluate.calculate_metrics(w.forecasts)
+
+
+_SCORECARD_SQL = f"""
+    SELECT model_used, mae, rmse, coalesce(mape_pct, 0.0) AS mape_pct,
+           {O.half_up('1.0 - (see * evaluated_points) / ((evaluated_points * saa - sa * sa) + 1e-8 * 10000.0 * evaluated_points)', 3)} AS r2,
+           evaluated_points
+    FROM (SELECT model_used, {O.error_stats_sql(2, 2, 1, 'evaluated_points', 'actual_demand > 0')}
+          FROM forecasts WHERE actual_demand IS NOT NULL GROUP BY model_used)"""
+
+
+@register("accuracy_scorecard", _SCORECARD_SQL)
+def _accuracy_scorecard(w: Warehouse) -> DataFrame:
+    """Dashboard scorecard per model"""
+    from shelfcast.operators import evaluate
+    return evaluate.scorecard(w.forecasts)
+
+
+@register("champion_model", f"SELECT * FROM ({_SCORECARD_SQL}) ORDER BY rmse, model_used LIMIT 1")
+def _champion_model(w: Warehouse) -> DataFrame:
+    """Lowest-RMSE model of the scorecard"""
+    from shelfcast.operators import evaluate
+    return evaluate.champion(evaluate.scorecard(w.forecasts))
+
+
+@register("residual_histogram", f"""
+    SELECT model_used, bin, {O.half_up('lo + bin * (hi - lo) / 35.0', 6)} AS bin_start, count(*) AS points
+    FROM (SELECT r.model_used, lo, hi,
+                 CASE WHEN hi = lo THEN 0 ELSE CAST(least(34, floor((residual - lo) / ((hi - lo) / 35.0))) AS INTEGER)
+                 END AS bin
+          FROM (SELECT model_used, actual_demand - forecast_demand AS residual FROM forecasts
+                WHERE actual_demand IS NOT NULL) r
+          JOIN (SELECT model_used, min(actual_demand - forecast_demand) AS lo,
+                       max(actual_demand - forecast_demand) AS hi
+                FROM forecasts WHERE actual_demand IS NOT NULL GROUP BY model_used) m
+            ON r.model_used = m.model_used)
+    GROUP BY model_used, bin, lo, hi""")
+def _residual_histogram(w: Warehouse) -> DataFrame:
+    """E5: 35-bin residual histogram per model"""
+    from shelfcast.operators import evaluate
+    from shelfcast.plans.warehouse import round_doubles
+    return round_doubles(evaluate.residual_histogram(w.forecasts), 6)
+
+
+@register("actual_vs_forecast_sample")
+def _sample(w: Warehouse) -> DataFrame:
+    """Repeatable sample of at most 500 holdout rows (rows-only check)"""
+    from shelfcast.operators import evaluate
+    return evaluate.actual_vs_forecast_sample(w.forecasts)
+
+
+@register("trend_lines", f"""
+    SELECT model_used, {O.half_up('regr_slope(forecast_demand, actual_demand)', 6)} AS slope,
+           {O.half_up('regr_intercept(forecast_demand, actual_demand)', 6)} AS intercept,
+           {O.half_up('regr_r2(forecast_demand, actual_demand)', 6)} AS r2, count(*) AS points
+    FROM forecasts WHERE actual_demand IS NOT NULL GROUP BY model_used""")
+def _trend_lines(w: Warehouse) -> DataFrame:
+    """OLS trend of forecast on actual per model"""
+    from shelfcast.operators import evaluate
+    from shelfcast.plans.warehouse import round_doubles
+    return round_doubles(evaluate.trend_lines(w.forecasts), 6)
+
+
+# ---------------------------------------------------------------- analytics (Q)
+def _an():
+    from shelfcast.operators import analytics
+    return analytics
+
+
+@register("sales_totals", """
+    SELECT CAST(SUM(sales_units) AS BIGINT) AS total_units_sold,
+           CAST(SUM(sales_units) AS DOUBLE) * CAST(5.5 AS DOUBLE) AS total_revenue_approx FROM fact_sales""")
+def _sales_totals(w: Warehouse) -> DataFrame:
+    """Q1"""
+    return _an().sales_totals(w.fact_sales)
+
+
+@register("forward_total", """
+    SELECT SUM(CAST(round(forecast_demand * 100.0) AS BIGINT)) / 100.0 AS total_forecast_demand
+    FROM forecasts WHERE actual_demand IS NULL AND horizon_days = 30""")
+def _forward_total(w: Warehouse) -> DataFrame:
+    """Q2"""
+    return _an().forward_total(w.forecasts, 30)
+
+
+_KPI_SQL = """
+    SELECT count(DISTINCT item_id) AS total_skus, CAST(SUM(current_inventory) AS BIGINT) AS total_inventory_units,
+           count(*) FILTER (WHERE risk_level = 'High Risk') AS high_risk_count,
+           count(*) FILTER (WHERE inventory_status = 'Critical Stockout Risk') AS stockout_count,
+           count(*) FILTER (WHERE inventory_status = 'Excess Overstock') AS overstock_count,
+           CAST(SUM(recommended_order_qty) AS BIGINT) AS total_order_qty,
+           CAST(SUM(estimated_order_cost) AS DOUBLE) AS total_order_cost FROM recs"""
+
+
+@register("inventory_kpis", _KPI_SQL)
+def _inventory_kpis(w: Warehouse) -> DataFrame:
+    """Q3"""
+    return _an().inventory_kpis(w.recommendations)
+
+
+@register("category_mix", f"""
+    SELECT cat_id, CAST(SUM(total_revenue) AS DOUBLE) AS total_revenue, CAST(SUM(total_units_sold) AS BIGINT)
+           AS total_units,
+           {O.half_up('CAST(SUM(total_revenue) AS DOUBLE) / (SELECT CAST(SUM(total_revenue) AS DOUBLE) FROM product_mart) * 100.0', 2)}
+           AS revenue_share_pct
+    FROM product_mart GROUP BY cat_id""")
+def _category_mix(w: Warehouse) -> DataFrame:
+    """Q4"""
+    return _an().category_mix(w.product_mart)
+
+
+@register("monthly_trend", """
+    SELECT year, month, CAST(SUM(monthly_sales_units) AS BIGINT) AS units, CAST(SUM(monthly_revenue) AS DOUBLE) AS revenue,
+           CAST(year AS VARCHAR) || '-M' || lpad(CAST(month AS VARCHAR), 2, '0') AS period
+    FROM monthly GROUP BY year, month""")
+def _monthly_trend(w: Warehouse) -> DataFrame:
+    """Q5"""
+    return _an().monthly_trend(w.monthly)
+
+
+@register("health_score", f"""
+    SELECT total_skus, high_risk_count,
+           {O.half_up('least(100.0, greatest(0.0, 100.0 - high_risk_count / greatest(1, total_skus) * 100.0))', 1)}
+           AS health_score,
+           {O.half_up('high_risk_count / greatest(1, total_skus) * 100.0', 1)} AS high_risk_catalog_pct
+    FROM ({_KPI_SQL})""")
+def _health_score(w: Warehouse) -> DataFrame:
+    """Q6"""
+    return _an().health_score(w.recommendations)
+
+
+@register("store_scorecard", """
+    SELECT store_id, store_name, region, total_units_sold, total_gross_revenue,
+           '$' || format('{:,.2f}', total_gross_revenue) AS revenue_display,
+           format('{:,}', total_units_sold) AS units_display FROM store_mart""")
+def _store_scorecard(w: Warehouse) -> DataFrame:
+    """Q7"""
+    return _an().store_scorecard(w.store_mart)
+
+
+@register("hierarchy_products", """
+    SELECT item_id, dept_id, cat_id, product_name, unit_cost FROM dim_products
+    WHERE dept_id = (SELECT min(dept_id) FROM dim_departments
+                     WHERE cat_id = (SELECT min(cat_id) FROM dim_departments))
+       OR (SELECT count(*) FROM dim_products WHERE dept_id = (SELECT min(dept_id) FROM dim_departments
+           WHERE cat_id = (SELECT min(cat_id) FROM dim_departments))) = 0""")
+def _hierarchy(w: Warehouse) -> DataFrame:
+    """Q8: default drill-down (first category, its first department)"""
+    return _an().hierarchy(w.dim_products, w.dim_departments)
+
+
+@register("sku_history_recent", """
+    SELECT item_id, store_id, date_str, sales_units FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date_str DESC) AS rn FROM fact_sales)
+    WHERE rn <= 90""")
+def _sku_history(w: Warehouse) -> DataFrame:
+    """Q9: last 90 days of every series"""
+    return _an().sku_history(w.fact_sales, last_n=90)
+
+
+_SKU_FC_SQL = """
+    SELECT item_id, store_id, forecast_date, model_used, forecast_demand, confidence_lower, confidence_upper,
+           horizon_days FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY forecast_date, model_used) AS rn
+        FROM forecasts WHERE actual_demand IS NULL AND horizon_days = 30) WHERE rn <= 30"""
+
+
+@register("sku_forecast", _SKU_FC_SQL)
+def _sku_forecast(w: Warehouse) -> DataFrame:
+    """Q10: 30-day forward forecast of every series"""
+    return _an().sku_forecast(w.forecasts, 30)
+
+
+@register("sku_kpis", f"""
+    SELECT h.item_id, h.store_id, {O.half_up('h.a', 2)} AS avg_hist_demand,
+           {O.half_up('coalesce(f.tot, 0.0)', 2)} AS total_horizon_forecast,
+           {O.half_up('coalesce(f.avg_fc, 0.0)', 2)} AS avg_forecast_daily,
+           {O.half_up('(coalesce(f.avg_fc, 0.0) - h.a) / greatest(0.1, h.a) * 100.0', 1)} AS growth_pct,
+           {O.half_up('coalesce(f.tot, 0.0) * coalesce(p.unit_cost, 5.0) * CAST(1.6 AS DOUBLE)', 2)} AS demand_value
+    FROM (SELECT item_id, store_id, SUM(sales_units) / count(sales_units) AS a FROM (
+              SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date_str DESC) AS rn
+              FROM fact_sales) WHERE rn <= 30 GROUP BY item_id, store_id) h
+    LEFT JOIN (SELECT item_id, store_id, SUM(CAST(round(forecast_demand * 100.0) AS BIGINT)) / 100.0 AS tot,
+                      SUM(CAST(round(forecast_demand * 100.0) AS BIGINT)) / 100.0 / count(*) AS avg_fc
+               FROM ({_SKU_FC_SQL}) GROUP BY item_id, store_id) f
+      ON h.item_id = f.item_id AND h.store_id = f.store_id
+    LEFT JOIN dim_products p ON h.item_id = p.item_id""")
+def _sku_kpis(w: Warehouse) -> DataFrame:
+    """Q11: per-series explorer KPIs"""
+    return _an().sku_kpis(w.fact_sales, w.forecasts, w.dim_products, 30)
+
+
+@register("forecast_schedule", f"""
+    SELECT item_id, store_id, forecast_date, forecast_demand, confidence_lower, confidence_upper, model_used
+    FROM ({_SKU_FC_SQL})""")
+def _forecast_schedule(w: Warehouse) -> DataFrame:
+    """Q12"""
+    a = _an()
+    return a.forecast_schedule(a.sku_forecast(w.forecasts, 30))
+
+
+@register("filter_recommendations", """
+    SELECT * REPLACE (CAST(estimated_order_cost AS DOUBLE) AS estimated_order_cost) FROM recs
+    WHERE risk_level = 'High Risk'""")
+def _filter_recs(w: Warehouse) -> DataFrame:
+    """Q13: recommendations filtered to one risk level"""
+    return _an().filter_recs(w.recommendations, risk="High Risk")
+
+
+@register("filtered_kpis", f"""
+    SELECT CAST(SUM(current_inventory) AS BIGINT) AS total_on_hand,
+           CAST(SUM(recommended_order_qty) AS BIGINT) AS total_reorder_qty,
+           CAST(SUM(estimated_order_cost) AS DOUBLE) AS total_po_cost,
+           count(*) FILTER (WHERE risk_level = 'High Risk') AS high_risk_items,
+           coalesce({O.ratio_hu('SUM(CAST(round(days_of_supply * 10.0) AS BIGINT))', 'count(days_of_supply)', 1, 1)}, 0.0)
+           AS avg_days_of_supply, count(*) AS filtered_skus FROM recs""")
+def _filtered_kpis(w: Warehouse) -> DataFrame:
+    """Q14"""
+    return _an().filtered_kpis(w.recommendations)
+
+
+@register("risk_distribution", "SELECT risk_level, count(*) AS count FROM recs GROUP BY risk_level")
+def _risk_distribution(w: Warehouse) -> DataFrame:
+    """Q15"""
+    return _an().risk_distribution(w.recommendations)
+
+
+@register("top_reorders", """
+    SELECT item_id, store_id, current_inventory, safety_stock, recommended_order_qty FROM recs
+    ORDER BY recommended_order_qty DESC, item_id, store_id LIMIT 10""")
+def _top_reorders(w: Warehouse) -> DataFrame:
+    """Q16: top-10 order quantities"""
+    return _an().top_reorders(w.recommendations)
+
+
+@register("holdout_rows", """
+    SELECT model_used, forecast_date, item_id, store_id, actual_demand, forecast_demand, forecast_error,
+           horizon_days FROM forecasts WHERE actual_demand IS NOT NULL""")
+def _holdout_rows(w: Warehouse) -> DataFrame:
+    """Q17"""
+    return _an().holdout_rows(w.forecasts)
+
+
+def _scenario_sql() -> str:
+    mult = ("greatest(0.1, 1.0 + CAST(-1.2 AS DOUBLE) * (price_change_pct / 100.0) + promo_uplift_pct / 100.0 "
+            "+ holiday_surge_pct / 100.0)")
+    sim_dem = f"(b.demand * {mult})"
+    sim_rev = f"(b.revenue * {mult} * (1.0 + price_change_pct / 100.0))"
+    sim_lt = "(7 + lead_time_delay_days)"
+    sim_ss = f"CAST(floor(b.ss * sqrt({sim_lt} / 7.0) * sqrt({mult}) + 0.5) AS BIGINT)"
+    sim_qty = f"CAST(floor(greatest(0.0, {sim_dem} * {sim_lt} + {sim_ss} - b.on_hand) + 0.5) AS BIGINT)"
+    sim_risk = f"least(100.0, greatest(0.0, b.risk * {mult} * (1.0 + lead_time_delay_days / 10.0)))"
+    H = O.half_up
+    grid = ("SELECT CAST(p AS DOUBLE) AS price_change_pct, CAST(pr AS DOUBLE) AS promo_uplift_pct, "
+            "CAST(h AS DOUBLE) AS holiday_surge_pct, CAST(d AS INTEGER) AS lead_time_delay_days "
+            "FROM (VALUES (-30), (-10), (0), (10), (30)) a(p), (VALUES (0), (25), (50)) b(pr), "
+            "(VALUES (0), (50), (100)) c(h), (VALUES (0), (7), (21)) e(d)")
+    base = ("SELECT SUM(CAST(round(average_daily_demand * 100.0) AS BIGINT)) / 100.0 AS demand, "
+            "CAST(SUM(safety_stock) AS BIGINT) AS ss, CAST(SUM(recommended_order_qty) AS BIGINT) AS qty, "
+            "SUM(CAST(round(average_daily_demand * 100.0) AS BIGINT)) / 100.0 * CAST(5.5 AS DOUBLE) AS revenue, "
+            "CAST(SUM(estimated_order_cost) AS DOUBLE) AS cost, CAST(SUM(current_inventory) AS BIGINT) AS on_hand, "
+            "SUM(CAST(round(stockout_risk_pct * 10.0) AS BIGINT)) / count(*) / 10.0 AS risk FROM recs")
+    return f"""
+    SELECT CAST(price_change_pct AS VARCHAR) || '/' || CAST(promo_uplift_pct AS VARCHAR) || '/' ||
+           CAST(holiday_surge_pct AS VARCHAR) || '/' || CAST(lead_time_delay_days AS VARCHAR) AS scenario_id,
+           {H(mult, 4)} AS demand_multiplier, {H('b.demand', 2)} AS baseline_daily_demand,
+           {H(sim_dem, 2)} AS sim_daily_demand, {H('b.revenue', 2)} AS baseline_daily_revenue,
+           {H(sim_rev, 2)} AS sim_daily_revenue, b.ss AS baseline_safety_stock, {sim_ss} AS sim_safety_stock,
+           b.qty AS baseline_reorder_qty, {sim_qty} AS sim_reorder_qty, {H('b.cost', 2)} AS baseline_order_cost,
+           {sim_qty} * CAST(5.0 AS DOUBLE) AS sim_order_cost, {H('b.risk', 2)} AS baseline_stockout_risk,
+           {H(sim_risk, 2)} AS sim_stockout_risk,
+           {H(f'({sim_dem} - b.demand) / b.demand * 100.0', 1)} AS demand_delta_pct,
+           {H(f'({sim_rev} - b.revenue) / b.revenue * 100.0', 1)} AS revenue_delta_pct,
+           {H(f'({sim_ss} - b.ss) / b.ss * 100.0', 1)} AS safety_stock_delta_pct,
+           {H(f'{sim_risk} - b.risk', 1)} AS risk_delta
+    FROM ({grid}) s, ({base}) b"""
+
+
+@register("scenario_impact", _scenario_sql())
+def _scenario_impact(w: Warehouse) -> DataFrame:
+    """Q18: what-if grid (135 scenarios) against the network baseline"""
+    return _an().scenario_impact(w.recommendations, w.scenarios)
+
+
+# ---------------------------------------------------------------- reports (R)
+@register("kpi_summary", """
+    SELECT * FROM (VALUES (1, 'Total Monitored SKUs'), (2, 'Total On-Hand Inventory Units'),
+                          (3, 'Total Forecast Replenishment Units'), (4, 'Estimated Replenishment Cost'),
+                          (5, 'Critical Stockout Alert Count'), (6, 'Excess Overstock Alert Count'),
+                          (7, 'Stores Operating'), (8, 'Reporting Date')) m(metric_no, metric)
+    JOIN (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS metric_no,
+                 unnest([CAST(count(*) AS VARCHAR), format('{:,}', CAST(SUM(current_inventory) AS BIGINT)),
+                         format('{:,}', CAST(SUM(recommended_order_qty) AS BIGINT)),
+                         '$' || format('{:,.2f}', CAST(SUM(estimated_order_cost) AS DOUBLE)),
+                         CAST(count(*) FILTER (WHERE inventory_status = 'Critical Stockout Risk') AS VARCHAR),
+                         CAST(count(*) FILTER (WHERE inventory_status = 'Excess Overstock') AS VARCHAR),
+                         CAST(count(DISTINCT store_id) AS VARCHAR), max(evaluation_date)]) AS value
+          FROM recs) v USING (metric_no)""")
+def _kpi_summary(w: Warehouse) -> DataFrame:
+    """R1 (reporting date = evaluation date, for repeatability)"""
+    from pyspark.sql import functions as F
+    d = w.recommendations.agg(F.max("evaluation_date")).scalar()
+    return _an().kpi_summary(w.recommendations, d)
+
+
+@register("planning_sheet", """
+    SELECT item_id, store_id, current_inventory, average_daily_demand, safety_stock, reorder_point,
+           recommended_order_qty, days_of_supply, inventory_status, risk_level, stockout_risk_pct,
+           suggested_replenishment_date, CAST(estimated_order_cost AS DOUBLE) AS estimated_order_cost FROM recs""")
+def _planning_sheet(w: Warehouse) -> DataFrame:
+    """R2"""
+    return _an().planning_sheet(w.recommendations)
+
+
+@register("forecast_sheet", """
+    SELECT forecast_date, item_id, store_id, model_used, forecast_demand, confidence_lower, confidence_upper,
+           horizon_days FROM forecasts WHERE actual_demand IS NULL
+    ORDER BY forecast_date, item_id, store_id, model_used, horizon_days LIMIT 200""")
+def _forecast_sheet(w: Warehouse) -> DataFrame:
+    """200-row forecast sheet"""
+    return _an().forecast_sheet(w.forecasts)
+
+
+@register("briefing_totals", """
+    SELECT count(*) AS total_skus, CAST(SUM(current_inventory) AS BIGINT) AS total_inventory,
+           CAST(SUM(recommended_order_qty) AS BIGINT) AS total_reorder,
+           CAST(SUM(estimated_order_cost) AS DOUBLE) AS total_cost,
+           count(*) FILTER (WHERE risk_level = 'High Risk') AS high_risk_count,
+           count(*) FILTER (WHERE inventory_status = 'Critical Stockout Risk') AS stockouts,
+           floor(count(*) FILTER (WHERE risk_level = 'High Risk') / greatest(1, count(*)) * 100.0 * 10.0 + 0.5) / 10.0
+           AS high_risk_share_pct FROM recs""")
+def _briefing_totals(w: Warehouse) -> DataFrame:
+    """R5"""
+    return _an().briefing_totals(w.recommendations)
+
+
+@register("priority_items", """
+    SELECT item_id, store_id, current_inventory, safety_stock, recommended_order_qty, stockout_risk_pct,
+           CASE WHEN inventory_status = 'Critical Stockout Risk' THEN 'Stockout' ELSE 'Overstock' END AS alert_type
+    FROM recs WHERE risk_level = 'High Risk' ORDER BY stockout_risk_pct DESC, item_id, store_id LIMIT 12""")
+def _priority_items(w: Warehouse) -> DataFrame:
+    """Top-12 high-risk series"""
+    return _an().priority_items(w.recommendations)

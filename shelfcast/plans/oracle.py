@@ -431,3 +431,28 @@ register_cte("recs", f"""
                AS INTEGER), '%Y-%m-%d') AS suggested_replenishment_date
     FROM (SELECT *, greatest(0.1, average_daily_demand) AS daily,
                  current_inventory / greatest(0.1, average_daily_demand) AS dos FROM rec_pol)""")
+
+
+# ---------------------------------------------------------------- marts used by analytics
+register_cte("product_mart", f"""
+    SELECT item_id, cat_id, dept_id, COUNT(DISTINCT store_id) AS stores_count,
+           CAST(SUM(sales_units) AS BIGINT) AS total_units_sold, SUM(daily_revenue) AS total_revenue
+    FROM daily GROUP BY item_id, cat_id, dept_id""")
+register_cte("monthly", """
+    SELECT store_id, cat_id, dept_id, year, month, CAST(SUM(sales_units) AS BIGINT) AS monthly_sales_units,
+           SUM(daily_revenue) AS monthly_revenue FROM daily GROUP BY store_id, cat_id, dept_id, year, month""")
+register_cte("store_mart", """
+    SELECT d.store_id, s.store_name, s.region, CAST(SUM(d.sales_units) AS BIGINT) AS total_units_sold,
+           CAST(SUM(d.daily_revenue) AS DOUBLE) AS total_gross_revenue
+    FROM daily d LEFT JOIN dim_stores s ON d.store_id = s.store_id GROUP BY d.store_id, s.store_name, s.region""")
+register_cte("dim_departments", "SELECT DISTINCT dept_id, cat_id FROM fact_sales")
+E_CENTS = ("(CAST(round(actual_demand * 100.0) AS BIGINT) - CAST(round(forecast_demand * 100.0) AS BIGINT))")
+A_CENTS = "CAST(round(actual_demand * 100.0) AS BIGINT)"
+
+
+def error_stats_sql(mae_s: int, rmse_s: int, mape_s: int, count_name: str, mape_keep: str) -> str:
+    return (f"count(*) AS {count_name}, {ratio_hu(f'SUM(abs({E_CENTS}))', 'count(*)', mae_s, 2)} AS mae, "
+            f"{half_up(f'sqrt(CAST(SUM({E_CENTS} * {E_CENTS}) AS DOUBLE) / count(*)) / 100.0', rmse_s)} AS rmse, "
+            f"{half_up(f'avg(CASE WHEN {mape_keep} THEN abs(actual_demand - forecast_demand) / actual_demand END) * 100.0', mape_s)} AS mape_pct, "
+            f"CAST(SUM({E_CENTS} * {E_CENTS}) AS DOUBLE) AS see, CAST(SUM({A_CENTS}) AS DOUBLE) AS sa, "
+            f"CAST(SUM({A_CENTS} * {A_CENTS}) AS DOUBLE) AS saa")
