@@ -49,6 +49,9 @@ CATEGORICALS = [("store_id", "store_code"), ("cat_id", "cat_code"), ("dept_id",
 # feature and row fraction, estimators, seed)
 GBT_PARAMS = dict(stepSize=0.05, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8",
                   maxIter=150, seed=42)
+# Execution settings (do not change the fitted model): cache node ids between
+# iterations, process a whole tree level per pass, checkpoint every 10 trees
+GBT_EXECUTION = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
 MIN_TRAIN_ROWS = 14
 RIDGE_ALPHA = 1.0
 
@@ -86,7 +89,7 @@ class GlobalTreeModel:
     """M2-M4: one boosted-tree regressor over all series."""
 
     def __init__(self, **params):
-        self.params = {**GBT_PARAMS, **params}
+        self.params = {**GBT_PARAMS, **GBT_EXECUTION, **params}
         self.encoder: PipelineModel | None = None
         self.model = None
         self.residual_std: float = 1.0
@@ -103,6 +106,8 @@ class GlobalTreeModel:
     def fit(self, train: DataFrame, target_col: str = "sales_units") -> "GlobalTreeModel":
         self.encoder = Pipeline(stages=_encoders()).fit(train)
         data = self._assemble(train).withColumn("_label", F.col(target_col).cast("double"))
+        from shelfcast.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(train.sparkSession)
         data = data.select("_features", "_label").persist()
         gbt = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_pred",
                            **self.params)

@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.plans import oracle as O
-from shelfcast.plans.warehouse import Warehouse, decimals_to_double
+from shelfcast.plans.warehouse import ModelRun, Warehouse, decimals_to_double
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -800,3 +800,87 @@ def _briefing_totals(w: Warehouse) -> DataFrame:
 def _priority_items(w: Warehouse) -> DataFrame:
     """Top-12 high-risk series"""
     return _an().priority_items(w.recommendations)
+
+
+# ---------------------------------------------------------------- models (M), E2, R4
+@register("category_codes", """
+    SELECT 'store_id' AS column_name, store_id AS label, CAST(dense_rank() OVER (ORDER BY store_id) - 1 AS DOUBLE) AS code
+    FROM (SELECT DISTINCT store_id FROM fact_sales WHERE date_str <= (SELECT split_date FROM split))
+    UNION ALL
+    SELECT 'cat_id', cat_id, CAST(dense_rank() OVER (ORDER BY cat_id) - 1 AS DOUBLE)
+    FROM (SELECT DISTINCT cat_id FROM fact_sales WHERE date_str <= (SELECT split_date FROM split))
+    UNION ALL
+    SELECT 'dept_id', dept_id, CAST(dense_rank() OVER (ORDER BY dept_id) - 1 AS DOUBLE)
+    FROM (SELECT DISTINCT dept_id FROM fact_sales WHERE date_str <= (SELECT split_date FROM split))""")
+def _category_codes(w: Warehouse) -> DataFrame:
+    """M1: label codes (alphabetical, fitted on the training period) of store, category, department"""
+    from functools import reduce
+    from pyspark.ml import Pipeline
+    from pyspark.sql import functions as F
+    from shelfcast.operators import features as fe
+    from shelfcast.operators import forecast
+    train, _ = fe.time_split(w.fact_sales, 30)
+    model = Pipeline(stages=forecast._encoders()).fit(train)
+    coded = forecast.encode_categoricals(train.select("store_id", "cat_id", "dept_id"), model)
+    parts = [coded.select(F.lit(c).alias("column_name"), F.col(c).alias("label"), F.col(code).alias("code"))
+             .distinct() for c, code in forecast.CATEGORICALS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("additive_coefficients")
+def _additive_coefficients(w: Warehouse) -> DataFrame:
+    """M5: per-series ridge fit (intercept, 24 coefficients, residual std, origin, size)"""
+    return ModelRun(w).coefficients
+
+
+@register("additive_holdout")
+def _additive_holdout(w: Warehouse) -> DataFrame:
+    """M6: additive model scored on the holdout"""
+    from shelfcast.operators import forecast
+    m = ModelRun(w)
+    out = forecast._with_actuals(forecast.score_additive(m.test, m.coefficients), 30)
+    return out.select(*forecast.FORECAST_COLUMNS)
+
+
+@register("additive_forecast_horizon")
+def _additive_horizon(w: Warehouse) -> DataFrame:
+    """M7: 30-day additive forecast after each fitted series' history"""
+    from shelfcast.operators import forecast
+    m = ModelRun(w)
+    return forecast.additive_horizon(m.coefficients, m.train, w.horizon_calendar, 30)
+
+
+@register("model_forecasts")
+def _model_forecasts(w: Warehouse) -> DataFrame:
+    """M2-M4, M6, M9: fact_forecast_results (tree + additive holdout, tree forward 7/30/90)"""
+    return ModelRun(w).fact_forecast_results
+
+
+@register("feature_importances")
+def _feature_importances(w: Warehouse) -> DataFrame:
+    """M8: tree feature importances, descending"""
+    return ModelRun(w).tree.feature_importances(w.spark)
+
+
+@register("model_comparison")
+def _model_comparison(w: Warehouse) -> DataFrame:
+    """Champion between the tree and the additive model on the holdout"""
+    from shelfcast.operators import evaluate
+    from shelfcast.session import materialize
+    return evaluate.compare_models(materialize(ModelRun(w).fact_forecast_results))
+
+
+@register("store_sheet", f"""
+    SELECT d.store_id, s.state_id, s.store_name, s.region,
+           COUNT(DISTINCT d.item_id) AS total_skus_stocked,
+           CAST(SUM(d.sales_units) AS BIGINT) AS total_units_sold,
+           CAST(SUM(d.daily_revenue) AS DOUBLE) AS total_gross_revenue,
+           {O.avg_hu('d.daily_revenue', 2, 2)} AS avg_store_daily_revenue,
+           CAST(SUM(CASE WHEN d.cat_id = 'FOODS' THEN d.daily_revenue ELSE 0 END) AS DOUBLE) AS foods_revenue,
+           CAST(SUM(CASE WHEN d.cat_id = 'HOBBIES' THEN d.daily_revenue ELSE 0 END) AS DOUBLE) AS hobbies_revenue,
+           CAST(SUM(CASE WHEN d.cat_id = 'HOUSEHOLD' THEN d.daily_revenue ELSE 0 END) AS DOUBLE) AS household_revenue
+    FROM daily d LEFT JOIN dim_stores s ON d.store_id = s.store_id
+    GROUP BY d.store_id, s.state_id, s.store_name, s.region""")
+def _store_sheet(w: Warehouse) -> DataFrame:
+    """Store performance sheet (full mart)"""
+    return _an().store_sheet(w.store_mart)

@@ -225,3 +225,41 @@ def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
     from shelfcast.functions.rounding import half_up
     return df.select(*[half_up(f.name, scale).alias(f.name) if isinstance(f.dataType, T.DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
+
+
+class ModelRun:
+    """Forecasting stage over a warehouse: features materialised once, models fitted once."""
+
+    def __init__(self, w: Warehouse, test_days: int = 30, gbt_params: dict | None = None):
+        from shelfcast.operators import features as fe
+        from shelfcast.session import materialize
+        self.w = w
+        self.test_days = test_days
+        self.gbt_params = gbt_params or {}
+        self.features = materialize(w.features)
+        self.train, self.test = fe.time_split(self.features, test_days)
+
+    @cached_property
+    def coefficients(self) -> DataFrame:
+        from shelfcast.operators import forecast
+        from shelfcast.session import materialize
+        return materialize(forecast.fit_additive(self.train, self.test))
+
+    @cached_property
+    def tree(self):
+        from shelfcast.operators import forecast
+        return forecast.GlobalTreeModel(**self.gbt_params).fit(self.train)
+
+    @cached_property
+    def fact_forecast_results(self) -> DataFrame:
+        from shelfcast.operators import features as fe
+        from shelfcast.operators import forecast
+        tree_hold = forecast._with_actuals(self.tree.predict(self.test), self.test_days)
+        add_hold = forecast._with_actuals(forecast.score_additive(self.test, self.coefficients),
+                                          self.test_days)
+        fwd = fe.forward_rows(self.features, self.w.horizon_calendar, self.train)
+        tree_fwd = (self.tree.predict(fwd).withColumn("actual_demand", F.lit(None).cast("double"))
+                    .withColumn("forecast_error", F.lit(None).cast("double")))
+        cols = forecast.FORECAST_COLUMNS
+        return (tree_hold.select(*cols).unionByName(add_hold.select(*cols))
+                .unionByName(tree_fwd.select(*cols)))
