@@ -230,8 +230,11 @@ def scenario_impact(recs: DataFrame, scenarios: DataFrame) -> DataFrame:
         F.sum(F.col("estimated_order_cost").cast("decimal(14,2)")).cast("double").alias("cost"),
         F.sum("current_inventory").alias("on_hand"),
         (risk_tenths / F.count(F.lit(1)) / F.lit(10.0)).alias("risk"))).scalar()
-    b_dem, b_ss, b_qty, b_rev = base["demand"], base["ss"], base["qty"], base["revenue"]
-    b_cost, on_hand, b_risk = base["cost"], base["on_hand"], base["risk"]
+    # one subquery in the plan: attach it once, then read its fields
+    scenarios = scenarios.withColumn("_base", base)
+    b = F.col("_base")
+    b_dem, b_ss, b_qty, b_rev = b["demand"], b["ss"], b["qty"], b["revenue"]
+    b_cost, on_hand, b_risk = b["cost"], b["on_hand"], b["risk"]
     p = F.col("price_change_pct") / F.lit(100.0)
     mult = F.greatest(F.lit(0.1), F.lit(1.0) + F.lit(PRICE_ELASTICITY) * p
                       + F.col("promo_uplift_pct") / F.lit(100.0) + F.col("holiday_surge_pct") / F.lit(100.0))

@@ -123,14 +123,16 @@ def unpivot_days(df: DataFrame, id_cols: Sequence[str] = SALES_ID_COLS,
 
     ``posexplode`` over one array column plus a literal array of names: a
     single Generate node however many day columns there are (Spark's
-    ``unpivot`` would plan one projection per column).
+    ``unpivot`` would plan one projection per column).  The expression is
+    passed as one SQL string - thousands of ``F.col`` calls would each be a
+    round trip to the JVM.
     """
     day_cols = list(day_cols if day_cols is not None else day_columns(df))
-    names = F.array(*[F.lit(c) for c in day_cols])
-    values = F.array(*[F.col(c).cast("string") for c in day_cols])
-    return (df.select(*id_cols, F.posexplode(values).alias("_pos", "sales_units"))
-              .withColumn("d", F.element_at(names, F.col("_pos") + 1))
-              .select(*id_cols, "d", "sales_units"))
+    names = ", ".join(f"'{c}'" for c in day_cols)
+    values = ", ".join(f"CAST(`{c}` AS STRING)" for c in day_cols)
+    ids = [f"`{c}`" for c in id_cols]
+    return (df.selectExpr(*ids, f"posexplode(array({values})) AS (_pos, sales_units)")
+              .selectExpr(*ids, f"element_at(array({names}), _pos + 1) AS d", "sales_units"))
 
 
 def clean_units(col: str = "sales_units") -> Column:
@@ -150,10 +152,23 @@ def attach_dates(long_df: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def clean_and_melt_sales(sales_wide: DataFrame, calendar: DataFrame, order_by=None) -> DataFrame:
-    """C13 = C1 (dedup on id) -> C10 (unpivot) -> C11 (units) -> C12 (dates)."""
-    sales_wide = keep_first(sales_wide, ["id"], order_by)
+    """C13 = C1 (dedup on id) -> C10 (unpivot) -> C11 (units) -> C12 (dates).
+
+    Keep-first on ``id`` is applied after the unpivot, on (id, d) with the
+    row's arrival order: every day of a row shares that order, so the
+    survivor per (id, d) comes from the first row of the id - the same
+    result as deduplicating the wide rows, but the aggregate carries one
+    narrow value instead of a struct of every day column.
+    """
     id_cols = [c for c in SALES_ID_COLS if c in sales_wide.columns]
-    long_df = unpivot_days(sales_wide, id_cols)
+    if order_by is not None:
+        sales_wide = sales_wide.withColumn("ingest_ord", F.struct(*_order_cols(sales_wide, ["id"], order_by)))
+    has_order = "ingest_ord" in sales_wide.columns
+    long_df = unpivot_days(sales_wide, id_cols + (["ingest_ord"] if has_order else []))
+    if has_order:
+        long_df = keep_first(long_df, ["id", "d"], "ingest_ord").drop("ingest_ord")
+    else:
+        long_df = keep_first(long_df, ["id", "d"])
     long_df = long_df.withColumn("sales_units", clean_units("sales_units"))
     out = attach_dates(long_df, calendar)
     return out.select(*id_cols, "d", "sales_units", "date_str")

@@ -132,7 +132,17 @@ class Warehouse:
 
     @cached_property
     def raw_sales_wide(self) -> DataFrame:
-        return adapter.raw_sales_wide(self.spark, self.sf_dir)
+        """The wide daily export as the platform receives it: a CSV file (S9 out, S3 in).
+
+        The export is written once to the shared folder as text lines (no
+        2,500-column plan) and read back by the wide-file reader.
+        """
+        from shelfcast.session import shared_dir
+        from shelfcast.sources import io
+        path = shared_dir(self.spark, "sales-wide-export")
+        lines, day_cols = adapter.raw_sales_wide_lines(self.spark, self.sf_dir)
+        lines.write.mode("overwrite").text(path)
+        return io.read_sales_wide_csv(self.spark, path, day_cols)
 
     @cached_property
     def clean_calendar(self) -> DataFrame:

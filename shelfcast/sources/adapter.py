@@ -217,6 +217,7 @@ def raw_sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide sales file: one row per series, one column per day d_1..d_n (net units).
 
     Days with no line for a series are empty (null), as in a sparse export.
+    Rows arrive in series-id order (``ingest_ord``).
     The column list is fixed by the day span, so the pivot needs no extra
     distinct pass.
     """
@@ -226,4 +227,27 @@ def raw_sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             .pivot("day_no", list(range(1, n + 1)))
             .agg(F.first("units")))
     return wide.select(F.concat_ws("_", "item_id", "store_id").alias("id"), *SERIES_COLS,
-                       *[F.col(str(i)).alias(f"d_{i}") for i in range(1, n + 1)])
+                       *[F.col(str(i)).alias(f"d_{i}") for i in range(1, n + 1)],
+                       F.concat_ws("_", "item_id", "store_id").alias("ingest_ord"))
+
+
+def raw_sales_wide_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The wide daily export rendered as CSV text lines (one string column ``value``).
+
+    One row per series: id columns, then net units for d_1..d_n, empty when
+    the series has no line that day.  Built as a single string expression,
+    so the plan never carries thousands of columns; returns the lines and
+    the day column names (the file layout).
+    """
+    n = day_count(spark, sf_dir)
+    long = net_sales_long(spark, sf_dir)
+    # every series gets one slot per day (bounded by the calendar span), then
+    # the days are gathered in order per series
+    grid = (long.select(*SERIES_COLS).distinct()
+            .select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("day_no")))
+    dense = grid.join(long, SERIES_COLS + ["day_no"], "left")
+    slot = F.struct("day_no", F.coalesce(F.col("units").cast("string"), F.lit("")).alias("v"))
+    per = dense.groupBy(*SERIES_COLS).agg(F.array_sort(F.collect_list(slot)).alias("_days"))
+    days = F.array_join(F.transform("_days", lambda x: x["v"]), ",")
+    line = F.concat_ws(",", F.concat_ws("_", "item_id", "store_id"), *SERIES_COLS, days)
+    return per.select(line.alias("value")), [f"d_{i}" for i in range(1, n + 1)]

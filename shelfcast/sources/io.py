@@ -25,9 +25,23 @@ def read_prices_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schemas.PRICES_RAW, mode="PERMISSIVE")
 
 
-def read_sales_wide_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: wide daily sales file; the d_* column set is dynamic, every value read as text."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_sales_wide_csv(spark: SparkSession, path: str, day_cols: Sequence[str] | None = None) -> DataFrame:
+    """S3: wide daily sales file; every value read as text.
+
+    With a header line the d_* column set is taken from the file; files
+    without a header need ``day_cols`` (the layout) and are read with an
+    explicit schema.  ``ingest_ord`` records the arrival order (file, then
+    line), which keep-first deduplication ranks on.
+    """
+    reader = spark.read.option("inferSchema", False)
+    if day_cols is None:
+        df = reader.option("header", True).csv(path)
+    else:
+        cols = schemas.SALES_ID + list(day_cols)
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
+        df = reader.option("header", False).schema(schema).csv(path)
+    return df.withColumn("ingest_ord", F.struct(F.input_file_name().alias("file"),
+                                                F.monotonically_increasing_id().alias("line")))
 
 
 def write_processed(calendar: DataFrame, prices: DataFrame, sales: DataFrame, out_dir: str) -> dict:
