@@ -110,27 +110,44 @@ def add_price_change(df: DataFrame, lag: int = 7) -> DataFrame:
                                      / F.nullif(F.col(f"price_lag_{lag}"), F.lit(0.0)), F.lit(0.0))))
 
 
-def add_relative_price(df: DataFrame) -> DataFrame:
+def _cents(col: str) -> Column:
+    return F.round(F.col(col) * F.lit(100.0)).cast("long")
+
+
+def category_day_totals(df: DataFrame) -> DataFrame:
+    """(cat_id, date_str) -> mean price (exact, from whole cents) and unit total."""
+    return (df.groupBy("cat_id", "date_str")
+            .agg((F.sum(_cents("sell_price")) / F.count("sell_price") / F.lit(100.0)).alias("_cat_price"),
+                 F.sum("sales_units").alias("cat_sales_momentum_7")))
+
+
+def store_day_totals(df: DataFrame) -> DataFrame:
+    """(store_id, date_str) -> unit total."""
+    return df.groupBy("store_id", "date_str").agg(F.sum("sales_units").alias("store_sales_momentum_7"))
+
+
+def add_relative_price(df: DataFrame, cat_day: DataFrame | None = None) -> DataFrame:
     """F8: price / mean price of the category that day (null -> 1).
 
     The mean is taken over whole cents (exact sum) so that it does not
     depend on the order in which partial sums are combined.
     """
-    cents = F.round(F.col("sell_price") * F.lit(100.0)).cast("long")
-    cat_day = (df.groupBy("cat_id", "date_str")
-               .agg((F.sum(cents) / F.count(cents) / F.lit(100.0)).alias("_cat_price")))
-    return (df.join(cat_day, ["cat_id", "date_str"], "left")
-              .withColumn("price_rel_to_cat",
-                          F.coalesce(F.col("sell_price") / F.col("_cat_price"), F.lit(1.0)))
-              .drop("_cat_price"))
+    from shelfcast.session import join_lookup
+    cat_day = cat_day if cat_day is not None else category_day_totals(df)
+    out = join_lookup(df, cat_day.select("cat_id", "date_str", "_cat_price"), ["cat_id", "date_str"])
+    return (out.withColumn("price_rel_to_cat",
+                           F.coalesce(F.col("sell_price") / F.col("_cat_price"), F.lit(1.0)))
+               .drop("_cat_price"))
 
 
-def add_group_totals(df: DataFrame) -> DataFrame:
+def add_group_totals(df: DataFrame, cat_day: DataFrame | None = None,
+                     store_day: DataFrame | None = None) -> DataFrame:
     """same-day unit totals of the store and of the category."""
-    store_day = df.groupBy("store_id", "date_str").agg(F.sum("sales_units").alias("store_sales_momentum_7"))
-    cat_day = df.groupBy("cat_id", "date_str").agg(F.sum("sales_units").alias("cat_sales_momentum_7"))
-    return (df.join(store_day, ["store_id", "date_str"], "left")
-              .join(cat_day, ["cat_id", "date_str"], "left"))
+    from shelfcast.session import join_lookup
+    cat_day = cat_day if cat_day is not None else category_day_totals(df)
+    store_day = store_day if store_day is not None else store_day_totals(df)
+    out = join_lookup(df, store_day, ["store_id", "date_str"])
+    return join_lookup(out, cat_day.select("cat_id", "date_str", "cat_sales_momentum_7"), ["cat_id", "date_str"])
 
 
 def fill_numeric(df: DataFrame, value: float = 0.0) -> DataFrame:
@@ -141,10 +158,21 @@ def fill_numeric(df: DataFrame, value: float = 0.0) -> DataFrame:
 
 
 def build_features(base: DataFrame) -> DataFrame:
-    """F2 -> F10 over the F1 base; one shuffle for all series windows."""
-    df = add_cyclical(add_temporal(base))
+    """F2 -> F10 over the F1 base.
+
+    The cross-series day totals (F8, F9) only need base columns, so they are
+    aggregated from the base and attached first, through size-checked
+    lookups; the series windows (F4-F7) then cost a single shuffle and sort
+    on (item_id, store_id).
+    """
+    from shelfcast.session import join_lookup
+    cat_day = category_day_totals(base)
+    df = join_lookup(base, cat_day, ["cat_id", "date_str"])
+    df = join_lookup(df, store_day_totals(base), ["store_id", "date_str"])
+    df = df.withColumn("price_rel_to_cat",
+                       F.coalesce(F.col("sell_price") / F.col("_cat_price"), F.lit(1.0))).drop("_cat_price")
+    df = add_cyclical(add_temporal(df))
     df = add_price_change(add_rolling_std(add_rolling_mean(add_lags(df))))
-    df = add_group_totals(add_relative_price(df))
     return fill_numeric(df)
 
 

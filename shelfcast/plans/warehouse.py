@@ -44,7 +44,14 @@ class Warehouse:
 
     @cached_property
     def series_days(self) -> DataFrame:
-        return adapter.series_days(self.spark, self.sf_dir)
+        """Series-day aggregate of the order lines, computed once (stage boundary).
+
+        Both facts derive from it; column pruning would otherwise give the
+        two branches different plans and the lines would be scanned, joined
+        and shuffled twice.
+        """
+        from shelfcast.session import materialize
+        return materialize(adapter.series_days(self.spark, self.sf_dir))
 
     @cached_property
     def fact_sales(self) -> DataFrame:

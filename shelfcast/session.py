@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -68,3 +69,21 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Largest lookup (rows) joined by broadcast after an exact size check.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def join_lookup(big: DataFrame, small: DataFrame, keys, how: str = "left",
+                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join an aggregate lookup onto a large frame, broadcasting it only when it is proven small.
+
+    The lookup is computed once (checkpoint) and counted; at most
+    ``max_rows`` rows are broadcast, larger lookups fall back to a shuffle
+    (sort-merge) join.  The decision uses the exact row count, not a
+    planner estimate.
+    """
+    small = materialize(small)
+    side = F.broadcast(small) if small.count() <= max_rows else small
+    return big.join(side, list(keys), how)

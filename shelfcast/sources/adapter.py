@@ -74,32 +74,42 @@ def products(part: DataFrame) -> DataFrame:
             .select("p_partkey", "item_id", "dept_id", "cat_id"))
 
 
+def geography(nation: DataFrame, region: DataFrame) -> DataFrame:
+    """n_nationkey -> store_id, state_id (25 x 5 rows: fixed by the schema)."""
+    return (nation.select("n_nationkey", "n_regionkey")
+            .join(F.broadcast(region.select("r_regionkey", "r_name")),
+                  F.col("n_regionkey") == F.col("r_regionkey"))
+            .withColumn("state_id", _case(F.col("r_name"), REGION_TO_STATE, F.lit(OTHER_STATE)))
+            .withColumn("store_id", F.concat_ws("_", "state_id",
+                                                (F.pmod("n_nationkey", F.lit(2)) + 1).cast("string")))
+            .select("n_nationkey", "store_id", "state_id"))
+
+
 def stores(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """s_suppkey -> store_id, state_id (nation/region are fixed-size: broadcast)."""
-    geo = (nation.select("n_nationkey", "n_regionkey")
-           .join(F.broadcast(region.select("r_regionkey", "r_name")),
-                 F.col("n_regionkey") == F.col("r_regionkey"))
-           .withColumn("state_id", _case(F.col("r_name"), REGION_TO_STATE, F.lit(OTHER_STATE)))
-           .withColumn("store_id", F.concat_ws("_", "state_id",
-                                               (F.pmod("n_nationkey", F.lit(2)) + 1).cast("string")))
-           .select("n_nationkey", "store_id", "state_id"))
+    """s_suppkey -> store_id, state_id."""
     return (supplier.select("s_suppkey", "s_nationkey")
-            .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(F.broadcast(geography(nation, region)), F.col("s_nationkey") == F.col("n_nationkey"))
             .select("s_suppkey", "store_id", "state_id"))
 
 
 def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with its retail series key and day."""
+    """One row per order line with its retail series key and day.
+
+    Join order: lines x part x supplier, each side a plain (projected) table
+    so the planner sizes it correctly - broadcast while small, sort-merge
+    at scale - then the fixed-size geography lookup, always broadcast.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     prod = products(read_table(spark, sf_dir, "part"))
-    sto = stores(read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation"),
-                 read_table(spark, sf_dir, "region"))
+    supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    geo = geography(read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"))
     return (li.join(prod, li.l_partkey == prod.p_partkey)
-            .join(sto, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
             .withColumn("date", F.to_date("l_shipdate"))
-            .drop("p_partkey", "s_suppkey"))
+            .drop("p_partkey", "s_suppkey", "s_nationkey", "n_nationkey"))
 
 
 def series_days(spark: SparkSession, sf_dir: str) -> DataFrame:
