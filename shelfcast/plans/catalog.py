@@ -884,3 +884,125 @@ def _model_comparison(w: Warehouse) -> DataFrame:
 def _store_sheet(w: Warehouse) -> DataFrame:
     """Store performance sheet (full mart)"""
     return _an().store_sheet(w.store_mart)
+
+
+# ---------------------------------------------------------------- sources and sinks (S)
+def _io():
+    from shelfcast.sources import io
+    return io
+
+
+def _scratch(w: Warehouse, name: str) -> str:
+    from shelfcast.session import shared_dir
+    return shared_dir(w.spark, name)
+
+
+@register("prices_csv_roundtrip", "SELECT * FROM clean_prices")
+def _prices_csv(w: Warehouse) -> DataFrame:
+    """S9 -> S2 -> C9: raw price quotes exported as CSV, read back with the price schema, cleaned"""
+    from pyspark.sql import functions as F
+    from shelfcast.operators import clean
+    path = _scratch(w, "prices-csv")
+    raw = w.raw_prices
+    _io().export_csv(raw.select("store_id", "item_id", "wm_yr_wk", "sell_price",
+                                F.to_json("ingest_ord").alias("ingest_json")), path)
+    back = w.spark.read.csv(path, header=True, schema="store_id string, item_id string, wm_yr_wk string, "
+                                                      "sell_price string, ingest_json string")
+    back = back.withColumn("ingest_ord", F.from_json("ingest_json", raw.schema["ingest_ord"].dataType)) \
+               .drop("ingest_json")
+    return clean.clean_prices(back)
+
+
+@register("calendar_csv_roundtrip", """
+    SELECT date_str AS date, wm_yr_wk, weekday, wday, month, year, d, event_name_1, event_type_1,
+           event_name_2, event_type_2, snap_CA, snap_TX, snap_WI, date_str, is_holiday FROM calendar""")
+def _calendar_csv(w: Warehouse) -> DataFrame:
+    """S9 -> S1 -> C6: generated calendar exported as CSV, read with the calendar schema, cleaned"""
+    from shelfcast.operators import clean
+    path = _scratch(w, "calendar-csv")
+    _io().export_csv(w.calendar_generated, path)
+    return clean.clean_calendar(_io().read_calendar_csv(w.spark, path))
+
+
+
+@register("processed_sales_by_year", """
+    SELECT CAST(substr(date_str, 1, 4) AS INTEGER) AS year, count(*) AS row_count,
+           CAST(SUM(sales_units) AS BIGINT) AS units FROM clean_sales GROUP BY 1""")
+def _processed_sales(w: Warehouse) -> DataFrame:
+    """Cleaned datasets written as Parquet (sales partitioned by year) and read back"""
+    from pyspark.sql import functions as F
+    path = _scratch(w, "processed")
+    paths = _io().write_processed(w.clean_calendar, w.clean_prices, w.clean_sales, path)
+    sales = w.spark.read.parquet(paths["sales"])
+    return sales.groupBy("year").agg(F.count(F.lit(1)).alias("row_count"), F.sum("sales_units").alias("units"))
+
+
+@register("features_by_store", """
+    SELECT store_id, count(*) AS row_count, CAST(SUM(sales_units) AS BIGINT) AS units FROM features
+    GROUP BY store_id""")
+def _features_by_store(w: Warehouse) -> DataFrame:
+    """Feature dataset written partitioned by store and read back per store"""
+    from pyspark.sql import functions as F
+    path = _scratch(w, "features")
+    _io().write_features(w.features, path)
+    f = w.spark.read.parquet(path)
+    return f.groupBy("store_id").agg(F.count(F.lit(1)).alias("row_count"), F.sum("sales_units").alias("units"))
+
+
+@register("fact_layout_by_month", """
+    SELECT substr(date_str, 1, 7) AS month, count(*) AS row_count, CAST(SUM(sales_units) AS BIGINT) AS units
+    FROM fact_sales GROUP BY 1""")
+def _fact_layout(w: Warehouse) -> DataFrame:
+    """S14 (+S6): sales fact written partitioned by month, clustered by store/item, read back"""
+    from pyspark.sql import functions as F
+    path = _scratch(w, "fact-layout")
+    _io().write_fact_layout(w.fact_sales, path, "date_str")
+    f = w.spark.read.parquet(path)
+    return f.groupBy("month").agg(F.count(F.lit(1)).alias("row_count"), F.sum("sales_units").alias("units"))
+
+
+@register("parameterized_query", """
+    SELECT store_id, count(*) AS series_days, CAST(SUM(sales_units) AS BIGINT) AS units FROM fact_sales
+    GROUP BY store_id HAVING count(*) >= 1""")
+def _parameterized_query(w: Warehouse) -> DataFrame:
+    """Parameterised SQL over a registered view (named marker, no string formatting)"""
+    w.fact_sales.createOrReplaceTempView("fact_sales_v")
+    return _io().read_query(w.spark, "SELECT store_id, count(*) AS series_days, SUM(sales_units) AS units "
+                                     "FROM fact_sales_v GROUP BY store_id HAVING count(*) >= :min_rows",
+                            {"min_rows": 1})
+
+
+@register("purchase_orders", """
+    SELECT * REPLACE (CAST(estimated_order_cost AS DOUBLE) AS estimated_order_cost) FROM recs
+    WHERE recommended_order_qty > 0""")
+def _purchase_orders(w: Warehouse) -> DataFrame:
+    """Purchase-order lines (recommendations with a positive order quantity)"""
+    return _io().purchase_orders(w.recommendations)
+
+
+@register("forecast_csv_roundtrip", f"""
+    SELECT item_id, store_id, forecast_date, forecast_demand, confidence_lower, confidence_upper, model_used
+    FROM ({_SKU_FC_SQL})""")
+def _forecast_csv(w: Warehouse) -> DataFrame:
+    """30-day forecast schedule exported as CSV and read back"""
+    path = _scratch(w, "forecast-csv")
+    sched = _an().forecast_schedule(_an().sku_forecast(w.forecasts, 30))
+    _io().sku_forecast_export(sched, path)
+    return w.spark.read.csv(path, header=True, schema=sched.schema)
+
+
+@register("quality_report")
+def _quality_report(w: Warehouse) -> DataFrame:
+    """S10 + S11: checks appended to the audit log and rendered as the one-row JSON report"""
+    from shelfcast.operators import quality
+    from shelfcast.session import materialize
+    checks = materialize(quality.run_all_checks(w.calendar, w.fact_prices, w.fact_sales))
+    _io().append_validation_log(checks, path=_scratch(w, "validation-log"))
+    return _io().quality_report(checks)
+
+
+@register("feature_base", """
+    SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM fbase""")
+def _feature_base(w: Warehouse) -> DataFrame:
+    """base series query (sales x calendar x price list, SNAP by state, default price)"""
+    return w.feature_base
