@@ -2,8 +2,9 @@
 
 Money is DECIMAL end to end (exact sums; averages rounded half-up in the
 integer domain) and is only turned into doubles by the caller's output step.
-Joins against the calendar and store directory use broadcast hints: both
-are bounded by the number of days / stores, not by the volume of sales.
+The calendar join uses a broadcast hint: one row per day, bounded by the
+calendar span, never by the volume of sales.  The store dimension is joined
+after the per-store aggregate (one row per store on both sides).
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def mart_store_performance(daily: DataFrame, dim_stores_df: DataFrame) -> DataFr
                               .otherwise(F.lit(0).cast("decimal(10,2)"))).alias(name)
                         for cat, name in CATEGORY_COLUMNS]))
     stores = dim_stores_df.select("store_id", "state_id", "store_name", "region")
-    return (per_store.join(F.broadcast(stores), "store_id", "left")
+    return (per_store.join(stores, "store_id", "left")          # both sides one row per store
             .select("store_id", "state_id", "store_name", "region", "total_skus_stocked",
                     "total_units_sold", "total_gross_revenue", "avg_store_daily_revenue",
                     *[name for _, name in CATEGORY_COLUMNS]))
