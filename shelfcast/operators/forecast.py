@@ -49,9 +49,11 @@ CATEGORICALS = [("store_id", "store_code"), ("cat_id", "cat_code"), ("dept_id",
 # feature and row fraction, estimators, seed)
 GBT_PARAMS = dict(stepSize=0.05, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8",
                   maxIter=150, seed=42)
-# Execution settings (do not change the fitted model): cache node ids between
-# iterations, process a whole tree level per pass, checkpoint every 10 trees
-GBT_EXECUTION = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
+# Execution settings (they do not change the fitted model).  Measured at sf0.1,
+# 30 trees: default node handling 24 s; node-id cache 32-34 s; 1 GB level
+# buffers 28 s - so the defaults stay.  Checkpointing every 10 trees applies
+# when the node-id cache is switched on for deep trees.
+GBT_EXECUTION = dict(cacheNodeIds=False, maxMemoryInMB=256, checkpointInterval=10)
 MIN_TRAIN_ROWS = 14
 RIDGE_ALPHA = 1.0
 
