@@ -69,8 +69,11 @@ def clean_calendar(df: DataFrame, order_by=None) -> DataFrame:
     for c in SNAP_COLS:
         if c in df.columns:
             df = df.withColumn(c, coerce_int(c, 0))
-    ev = F.col("event_name_1")                                               # C5
-    df = df.withColumn("is_holiday", F.when(~ev.isin("None", ""), 1).otherwise(0))
+    if "event_name_1" in df.columns:                                         # C5
+        ev = F.col("event_name_1")
+        df = df.withColumn("is_holiday", F.when(~ev.isin("None", ""), 1).otherwise(0))
+    else:
+        df = df.withColumn("is_holiday", F.lit(0))
     if "ingest_ord" in df.columns:
         df = df.drop("ingest_ord")
     return df

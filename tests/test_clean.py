@@ -62,3 +62,10 @@ def test_unpivot_and_units(spark):
     out = {(r.id, r.d): r.sales_units for r in clean.clean_and_melt_sales(wide, cal).collect()}
     # d_3 has no calendar day -> dropped; negative and unparsable -> 0; 2.7 truncated to 2
     assert out == {("A_CA_1", "d_1"): 5, ("A_CA_1", "d_2"): 0, ("B_CA_1", "d_1"): 0, ("B_CA_1", "d_2"): 2}
+
+
+def test_clean_calendar_without_event_columns(spark):
+    df = spark.createDataFrame([("2023-01-01", "12252", "1", "1", "2023")],
+                               "date string, wm_yr_wk string, wday string, month string, year string")
+    r = clean.clean_calendar(df).first()
+    assert r.is_holiday == 0 and r.date_str == "2023-01-01"
