@@ -268,32 +268,10 @@ def baseline_holdout(sales: DataFrame, test_days: int = 30, recent: int = 30,
 
 
 # --------------------------------------------------------------------------- M9
+# The fact table itself is assembled by ``plans.warehouse.ModelRun`` (fits both
+# models once and unions tree holdout, additive holdout and tree forward rows).
 def _with_actuals(pred: DataFrame, test_days: int) -> DataFrame:
     return (pred.withColumn("actual_demand", F.col("sales_units").cast("double"))
             .withColumn("forecast_error", F.col("actual_demand") - F.col("forecast_demand"))
             .withColumn("horizon_days", F.lit(test_days))
             .withColumn("forecast_date", F.col("date_str")))
-
-
-def run_forecasting(features: DataFrame, calendar: DataFrame, test_days: int = 30,
-                    horizons: Sequence[int] = (7, 30, 90), gbt_params: dict | None = None
-                    ) -> dict[str, DataFrame]:
-    """M9: tree + additive holdout and tree forward rows -> fact_forecast_results.
-
-    Returns the fact table plus the fitted artefacts (coefficients,
-    importances) for reporting.
-    """
-    features = features.persist()
-    train, test = fe.time_split(features, test_days)
-    tree = GlobalTreeModel(**(gbt_params or {})).fit(train)
-    tree_hold = _with_actuals(tree.predict(test), test_days)
-    coefs = fit_additive(train, test).persist()
-    add_hold = _with_actuals(score_additive(test, coefs), test_days)
-    fwd = fe.forward_rows(features, calendar, train, horizons)
-    tree_fwd = (tree.predict(fwd).withColumn("actual_demand", F.lit(None).cast("double"))
-                .withColumn("forecast_error", F.lit(None).cast("double")))
-    fact = (tree_hold.select(*FORECAST_COLUMNS)
-            .unionByName(add_hold.select(*FORECAST_COLUMNS))
-            .unionByName(tree_fwd.select(*FORECAST_COLUMNS)))
-    return {"fact_forecast_results": fact, "coefficients": coefs, "tree": tree,
-            "importances": tree.feature_importances(features.sparkSession)}
