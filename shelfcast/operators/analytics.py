@@ -16,6 +16,8 @@ from shelfcast.functions import inventory as inv
 from shelfcast.functions.rounding import half_up, ratio_half_up
 
 SERIES = ["item_id", "store_id"]
+# Fixed values of the dashboard and report formulas (unit price for approximate
+# revenue, unit value, base lead time, price elasticity, demand-value markup)
 APPROX_UNIT_PRICE = 5.50
 UNIT_VALUE = 5.00
 BASE_LEAD_TIME = 7

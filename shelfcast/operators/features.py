@@ -22,6 +22,8 @@ from shelfcast.functions import calendar as cal
 from shelfcast.operators.marts import snap_for_state
 
 SERIES = ["item_id", "store_id"]
+# Lag and window lengths, minimum observations, default price,
+# seasonal periods of the feature set
 LAGS = (7, 14, 28, 60)
 ROLL_MEANS = (7, 14, 28)
 ROLL_STDS = (7, 28)

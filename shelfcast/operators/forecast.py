@@ -32,8 +32,10 @@ from shelfcast.operators.inventory import samp_std_from_sums
 
 SERIES = ["item_id", "store_id"]
 GBT_LABEL = "GBT"
+# Model labels written to model_used, as the platform's reports expect them
 ADDITIVE_LABEL = "Prophet (Additive GAM)"
 BASELINE_LABEL = "LightGBM / Prophet"
+HOLDOUT_BASELINE_LABEL = "Baseline (Recent Mean)"
 FORECAST_COLUMNS = ["forecast_date", "item_id", "store_id", "model_used", "actual_demand",
                     "forecast_demand", "confidence_lower", "confidence_upper", "forecast_error",
                     "horizon_days"]
@@ -253,7 +255,7 @@ def baseline_forecast(sales: DataFrame, horizons: Sequence[int] = (7, 30, 90), r
 
 
 def baseline_holdout(sales: DataFrame, test_days: int = 30, recent: int = 30,
-                     label: str = "Baseline (Recent Mean)") -> DataFrame:
+                     label: str = HOLDOUT_BASELINE_LABEL) -> DataFrame:
     """M10 on the holdout: train on dates <= split, forecast each test day of the series."""
     train, test = fe.time_split(sales, test_days)
     st = _recent(train, recent)

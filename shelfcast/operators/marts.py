@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.rounding import avg_half_up
 
+# Default price for weeks without a listed price, category revenue columns
 DEFAULT_PRICE = "5.00"
 CATEGORY_COLUMNS = [("FOODS", "foods_revenue"), ("HOBBIES", "hobbies_revenue"),
                     ("HOUSEHOLD", "household_revenue")]

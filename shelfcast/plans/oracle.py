@@ -315,6 +315,7 @@ register_cte("split", """
 
 
 # ---------------------------------------------------------------- baseline forecasts
+from shelfcast.operators.forecast import BASELINE_LABEL, HOLDOUT_BASELINE_LABEL  # noqa: E402
 def _baseline_vals(d: str, label: str) -> str:
     mult = f"CASE WHEN isodow({d}) IN (6, 7) THEN CAST(1.3 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END"
     proj = f"greatest(0.0, {half_up(f'(s / n) * {mult}', 1)})"
@@ -335,7 +336,7 @@ def _recent(src: str, n: int) -> str:
 
 register_cte("recent30", _recent("fact_sales", 30))
 register_cte("baseline_forward", f"""
-    SELECT strftime(d, '%Y-%m-%d') AS forecast_date, item_id, store_id, {_baseline_vals('d', 'LightGBM / Prophet')},
+    SELECT strftime(d, '%Y-%m-%d') AS forecast_date, item_id, store_id, {_baseline_vals('d', BASELINE_LABEL)},
            CAST(NULL AS DOUBLE) AS actual_demand, CAST(NULL AS DOUBLE) AS forecast_error, horizon_days
     FROM (SELECT *, CAST(last_date AS DATE) + CAST(i AS INTEGER) AS d
           FROM recent30, (VALUES (7), (30), (90)) h(horizon_days), range(1, 91) t(i) WHERE i <= horizon_days)""")
@@ -343,7 +344,7 @@ register_cte("train_sales", "SELECT * FROM fact_sales WHERE date_str <= (SELECT
 register_cte("recent30_train", _recent("train_sales", 30))
 register_cte("baseline_holdout", f"""
     SELECT t.date_str AS forecast_date, t.item_id, t.store_id,
-           {_baseline_vals('CAST(t.date_str AS DATE)', 'Baseline (Recent Mean)')},
+           {_baseline_vals('CAST(t.date_str AS DATE)', HOLDOUT_BASELINE_LABEL)},
            CAST(t.sales_units AS DOUBLE) AS actual_demand,
            CAST(t.sales_units AS DOUBLE) - {half_up(
                "(s / n) * CASE WHEN isodow(CAST(t.date_str AS DATE)) IN (6, 7) THEN CAST(1.3 AS DOUBLE) "
