@@ -158,7 +158,7 @@ def with_base(body: str) -> str:
 UNIT_PRICE = "floor(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) / l_quantity * 100.0 + 0.5) / 100.0"
 INGEST = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
-register_cte("line_start", "SELECT min(date) AS start_date FROM lines")
+register_cte("line_start", "SELECT min(CAST(l_shipdate AS DATE)) AS start_date FROM lineitem")
 register_cte("clean_calendar", f"""
     SELECT CAST(date AS VARCHAR) AS date, {wm_yr_wk('date')} AS wm_yr_wk, dayname(date) AS weekday,
            CAST(dayofweek(date) + 1 AS INTEGER) AS wday, CAST(month(date) AS INTEGER) AS month,

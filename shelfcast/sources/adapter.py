@@ -152,6 +152,14 @@ def fact_prices(spark: SparkSession, sf_dir: str, days: DataFrame | None = None)
     return weekly.select("store_id", "item_id", "wm_yr_wk", (cents / F.lit(100.0)).alias("sell_price"))
 
 
+def first_ship_day(spark: SparkSession, sf_dir: str):
+    """Day 1 of the exports: the earliest ship date, as a scalar subquery.
+
+    A one-column scan of the order lines (no joins), evaluated once.
+    """
+    return read_table(spark, sf_dir, "lineitem").agg(F.min(F.to_date("l_shipdate"))).scalar()
+
+
 def _ingest_order():
     """Arrival order of a line in the raw feeds (a total order over distinct lines)."""
     return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -166,7 +174,7 @@ def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     Duplicates per date are expected and removed by ``clean_calendar``.
     """
     lines = sales_lines(spark, sf_dir)
-    start = lines.agg(F.min("date")).scalar()   # scalar subquery, evaluated once
+    start = first_ship_day(spark, sf_dir)
     d = F.col("date")
     return (lines.select(
                 F.date_format(d, "yyyy-MM-dd").alias("date"),
@@ -208,7 +216,7 @@ def raw_price_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def net_sales_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily net units per series and day id: shipped minus returned (may be negative)."""
     lines = sales_lines(spark, sf_dir)
-    start = lines.agg(F.min("date")).scalar()
+    start = first_ship_day(spark, sf_dir)
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     return (lines.withColumn("day_no", F.datediff("date", start) + 1)
             .groupBy(*SERIES_COLS, "day_no")
