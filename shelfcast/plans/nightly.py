@@ -11,6 +11,7 @@ source platform built them first and so lagged a run).
 from __future__ import annotations
 
 import time
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,22 @@ from shelfcast.plans.warehouse import ModelRun, Warehouse, decimals_to_double
 from shelfcast.session import shared_dir
 from shelfcast.sources import io
 
+SERIES = ["item_id", "store_id"]
+
 
 class StageWriter:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.tables, self.timings = spark, root.rstrip("/"), {}, {}
 
+    def put_bucketed(self, name: str, df: DataFrame, keys, sort_by=()) -> DataFrame:
+        """Stage table bucketed by the series key, so later stages reuse its partitioning."""
+        path = f"{self.root}/{name}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{name}_{uuid.uuid4().hex[:10]}"
+        out = io.write_bucketed(df, table, path, keys, buckets, sort_by)
+        self.tables[name] = path
+        return out
+
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
@@ -41,6 +53,8 @@ def run_platform(spark: SparkSession, sf_dir: str, out_dir: str | None = None, t
                  gbt_params: dict | None = None, with_models: bool = True) -> dict:
     """Run every stage over the driver tables in ``sf_dir``; returns table paths and stage timings."""
     out = StageWriter(spark, out_dir or shared_dir(spark, "platform-run"))
+    # joins keyed on (store, item, week) may reuse the (item, store) bucketing
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     raw = Warehouse(spark, sf_dir)
     t: dict[str, DataFrame] = {}
 
@@ -52,8 +66,11 @@ def run_platform(spark: SparkSession, sf_dir: str, out_dir: str | None = None, t
         io.append_validation_log(checks, path=f"{out.root}/sys_validation_logs")
         io.write_quality_report(checks, f"{out.root}/data_quality_report")
         t["dim_calendar"] = out.put("dim_calendar", dims.dim_calendar(t["calendar"]))
-        t["fact_sales"] = out.put("fact_sales", dims.fact_sales_table(t["sales"]))
-        t["fact_prices"] = out.put("fact_prices", dims.fact_prices_table(t["prices"]))
+        # both facts bucketed by series: the price join, the series windows and the
+        # per-series aggregates downstream then run without shuffling the facts again
+        t["fact_sales"] = out.put_bucketed("fact_sales", dims.fact_sales_table(t["sales"]), SERIES,
+                                           SERIES + ["date_str"])
+        t["fact_prices"] = out.put_bucketed("fact_prices", dims.fact_prices_table(t["prices"]), SERIES)
         for name, fn in (("dim_stores", dims.dim_stores), ("dim_categories", dims.dim_categories),
                          ("dim_departments", dims.dim_departments)):
             t[name] = out.put(name, fn(t["fact_sales"]))
