@@ -66,3 +66,27 @@ def test_keep_first_hot_key_is_partial_aggregate(spark):
     first = out.filter("k = 0").first()
     assert first.ingest_ord == 0 and first.v == 0
     assert out.count() == 5001
+
+
+def test_bucketed_facts_reuse_partitioning(spark):
+    import tempfile
+    from shelfcast.operators import features as fe
+    from shelfcast.plans.warehouse import Warehouse
+    from shelfcast.sources import io
+    root = tempfile.mkdtemp(prefix="shelfcast-bkt-")
+    w = Warehouse(spark, SF_SMALL)
+    keys = ["item_id", "store_id"]
+    fs = io.write_bucketed(w.fact_sales, "t_fs_bkt", f"{root}/fs", keys, 8, keys + ["date_str"])
+    fp = io.write_bucketed(w.fact_prices, "t_fp_bkt", f"{root}/fp", keys, 8)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = fe.load_base(fs, w.dim_calendar, fp)
+        feat = fe.add_price_change(fe.add_rolling_std(fe.add_rolling_mean(fe.add_lags(base))))
+        plan = _plan(feat)
+        assert "SortMergeJoin" in plan                      # the price join is a shuffle join ...
+        assert "Exchange hashpartitioning" not in plan      # ... that, like the windows, reads the buckets
+        assert feat.count() == w.fact_sales.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
