@@ -1,0 +1 @@
+"""Reusable column expressions: engine-independent rounding, calendar codes, inventory formulas."""

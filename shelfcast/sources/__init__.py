@@ -1,0 +1 @@
+"""Sources and sinks: the driver-table adapter, file and table I/O, table schemas."""
