@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import ann, bpe, langid, license, quality, simhash, substring, warc
+from shelfcast.llm import ann, bpe, langid, license, linededup, quality, simhash, substring, warc
 from shelfcast.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -50,11 +50,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_substring, op5_nearest, op6_warc, op7_license_scan, op8_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_substring, op5_nearest, op6_warc, op7_license_scan, op8_simhash, op9_line_dedup, op10_quality)}
 
 
 def _license_sql() -> str:
