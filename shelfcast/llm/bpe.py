@@ -21,9 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries of a memo's newer half; bytes of the widest piece merged side by side; pieces merged at once.
 MEMO, WIDE, BLOCK = 250_000, 64, 20_000
+#: Rows of a batch that are treated at once.
+ROWS = 10_000
 NONE = np.int64(1) << 60
 #: A space between two characters that aren't white space: whatever the pattern cuts, it cuts here.
 INNER = r"(?<=\P{White_Space}) (?=\P{White_Space})"
@@ -212,9 +215,6 @@ class Encoder:
         get = self.words.hold(set().union(*words))
         return [b"".join(map(get, x)) for x in words]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 class Memo:
     """What ``make`` has returned, for the keys of late: a newer and an older half of bounded size."""
@@ -243,6 +243,10 @@ class Shared:
     def __init__(self, spark, path: str, pattern: str):
         self.id, self._b = uuid.uuid4().hex, spark.sparkContext.broadcast((read_ranks(path), pattern))
 
+    @property
+    def tokens(self) -> list[bytes]:
+        return self._b.value[0]
+
     def encoder(self) -> Encoder:
         if self.id not in _encoders:
             _encoders.clear()
@@ -250,6 +254,18 @@ class Shared:
         return _encoders[self.id]
 
 
+def unpack(ids: bytes, tokens: list[bytes]) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _parts(batches):
+    """Slices of few rows, so that their Python objects stay few."""
+    for b in batches:
+        for s in range(0, b.num_rows, ROWS):
+            yield b.slice(s, ROWS)
+
+
 def _chunks(texts: list, size: int = 1 << 21):
     """Runs of texts of about ``size`` characters."""
     held, n = [], 0
@@ -263,30 +279,32 @@ def _chunks(texts: list, size: int = 1 << 21):
         yield held
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids binary)`` for every row: whole texts, no special tokens; ids packed little-endian.
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, ``n_tokens`` and ``ids binary`` of every row: whole texts, no special tokens; ids packed little-endian.
 
     Null and empty texts have no tokens.  Repeated rows, null ids and further
     columns are no special cases; an empty table gives an empty result.
     """
     shared = Shared(docs.sparkSession, path, pattern)
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
 
     def run(batches):
         e = shared.encoder()
-        for b in batches:
-            ids = [x for c in _chunks(b.column(1).to_pylist()) for x in e.encode(c)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for b in _parts(batches):
+            ids = [x for c in _chunks(b.column(len(keep)).to_pylist()) for x in e.encode(c)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    kept = [x for x in rows.schema.fields if x.name != "_text"]
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` (as ``encode`` returns it) with ``decoded binary``, the bytes of its ids."""
+    """``encoded`` (with a column ``ids`` as ``encode`` returns it) and ``decoded binary``, the bytes of its ids."""
     shared = Shared(encoded.sparkSession, path, pattern)
+    at = encoded.columns.index("ids")
 
     def run(batches):
-        e = shared.encoder()
-        for b in batches:
-            yield b.append_column("decoded", pa.array([e.decode(x) for x in b.column(2).to_pylist()], pa.binary()))
+        for b in _parts(batches):
+            yield b.append_column("decoded", pa.array([unpack(x, shared.tokens) for x in b.column(at).to_pylist()], pa.binary()))
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

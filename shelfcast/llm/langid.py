@@ -29,7 +29,9 @@ ORDER = 4
 TRAIN_BYTES, MODEL_BYTES = 2_000_000, 16_000_000
 UNKNOWN = "und"
 #: Slots of a worker's memo of costs, bytes costed at once.
-SLOTS, PIECE = 1 << 20, 1 << 19
+SLOTS, PIECE = 1 << 20, 1 << 18
+#: Rows of a batch that are treated at once.
+ROWS = 512
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -183,6 +185,29 @@ class Shared:
         return self._b.value
 
 
+def _told(shared, texts: list):
+    """(language, score, bits a byte) of each text."""
+    lang, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+    known = [i for i, t in enumerate(texts) if shared and t and LETTER.search(t)]
+    if known:
+        s = _scorer(shared)
+        bits = s.lengths([texts[i] for i in known])
+        best = bits.argmin(axis=1)
+        least = bits[np.arange(len(known)), best]
+        score[known] = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(axis=1)
+        rate[known] = least / [len(fold(texts[i])) - ORDER for i in known]
+        for i, x in zip(known, best):
+            lang[i] = s.langs[x]
+    return lang, score, rate
+
+
+def _parts(batches):
+    """Slices of few rows, so that their Python objects stay few."""
+    for b in batches:
+        for s in range(0, b.num_rows, ROWS):
+            yield b.slice(s, ROWS)
+
+
 def identify(docs: DataFrame, model: list) -> DataFrame:
     """``(doc_id, lang_pred, score, bits_per_byte)`` for every row of ``docs(doc_id, text)``, by whole texts alone.
 
@@ -194,25 +219,27 @@ def identify(docs: DataFrame, model: list) -> DataFrame:
     shared = Shared(docs.sparkSession, model) if model else None
 
     def run(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            lang, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            known = [i for i, t in enumerate(texts) if shared and t and LETTER.search(t)]
-            if known:
-                s = _scorer(shared)
-                bits = s.lengths([texts[i] for i in known])
-                best = bits.argmin(axis=1)
-                least = bits[np.arange(len(known)), best]
-                score[known] = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(axis=1)
-                rate[known] = least / [len(fold(texts[i])) - ORDER for i in known]
-                for i, x in zip(known, best):
-                    lang[i] = s.langs[x]
+        for b in _parts(batches):
+            lang, score, rate = _told(shared, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate, from_pandas=True)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double"))
 
 
+def keep_known(docs: DataFrame, model: list, bits: float = 8.0) -> DataFrame:
+    """The rows of ``docs`` whose language is told, in a code shorter than ``bits`` a byte (8: than no model at all)."""
+    shared = Shared(docs.sparkSession, model) if model else None
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in _parts(batches):
+            lang, _, rate = _told(shared, b.column(at).cast(pa.string()).to_pylist())
+            yield b.filter(pa.array([x != UNKNOWN and r < bits for x, r in zip(lang, rate)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str):
     """The fold that training never sees: crc32 of the id as text leaves remainder 2 by 4 (false for a null id)."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

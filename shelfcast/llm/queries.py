@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import ann, bpe, langid, license, linededup, quality, simhash, substring, warc
+from shelfcast.llm import ann, bpe, decontam, langid, license, linededup, quality, simhash, substring, warc
 from shelfcast.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("common").alias("common"), F.max("answer").alias("answer"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"), size=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -59,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_substring, op5_nearest, op6_warc, op7_license_scan, op8_simhash, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_decontamination, op4_substring, op5_nearest, op6_warc, op7_license_scan, op8_simhash, op9_line_dedup, op10_quality)}
 
 
 def _license_sql() -> str:

@@ -41,10 +41,10 @@ LANES = np.arange(8)
 class Words:
     """The words of several texts: bounds in ``data``, document numbers and hashes."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], separates: np.ndarray = SPACE):
         raw = b"\n".join(texts)
         self.data = np.frombuffer(raw + bytes(8), np.uint8)
-        inside = ~SPACE[self.data[:len(raw)]]
+        inside = ~separates[self.data[:len(raw)]]
         edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
         self.lo, self.hi = edge[::2], edge[1::2]
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
