@@ -191,7 +191,7 @@ def fit(rows: DataFrame, n: int) -> Tree:
     return Tree(sample, longest, max(LEAST_FIT, round(LEAF_ROWS * len(sample) / n)))
 
 
-def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, target: float = TARGET) -> tuple[int, float]:
+def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, target: float | None = None) -> tuple[int, float]:
     """Leaf visits, widened until ``target`` of the true neighbours of a bounded set of queries are found; the recall reached."""
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).toArrow()
     ids, qs = some.column("vec_id").to_numpy(), matrix(pa.concat_arrays(some.column("v").chunks))
@@ -200,6 +200,7 @@ def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, target: f
         return 1, 1.0
     leaf = tree.leaf(matrix(pa.concat_arrays(true.column("v").chunks)))
     place = {q: {x: i for i, x in enumerate(tree.walk(a, tree.leaves))} for q, a in zip(ids.tolist(), tree.aim(qs))}
+    target = TARGET if target is None else target
     need = np.sort([place[q][x] + 1 for q, x in zip(true.column("query_id").to_pylist(), leaf.tolist())])
     visits = int(need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)])
     return visits, float((need <= visits).mean())

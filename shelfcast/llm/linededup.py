@@ -22,8 +22,8 @@ from shelfcast.llm.common import connected_components, stage
 SIMILARITY, BITS = 0.8, 3
 #: (first bit, number of bits) of the five blocks of a SimHash.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Words that one set of 16-bit counters takes.
-COUNTER_WORDS = 65_535
+#: Words that one set of 16-bit counters takes (the highest must not reach the sign).
+COUNTER_WORDS = 32_767
 
 
 def normalised(line: Column) -> Column:
