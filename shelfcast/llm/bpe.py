@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of a memo's newer half; bytes of the widest piece merged side by side; pieces merged at once.
-MEMO, WIDE, BLOCK = 250_000, 64, 20_000
+MEMO, WIDE, BLOCK = 60_000, 64, 8_000
 #: Rows of a batch that are treated at once.
-ROWS = 10_000
+ROWS = 256
 NONE = np.int64(1) << 60
 #: A space between two characters that aren't white space: whatever the pattern cuts, it cuts here.
 INNER = r"(?<=\P{White_Space}) (?=\P{White_Space})"
@@ -266,7 +266,7 @@ def _parts(batches):
             yield b.slice(s, ROWS)
 
 
-def _chunks(texts: list, size: int = 1 << 21):
+def _chunks(texts: list, size: int = 1 << 20):
     """Runs of texts of about ``size`` characters."""
     held, n = [], 0
     for t in texts:

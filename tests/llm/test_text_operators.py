@@ -314,11 +314,11 @@ def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
     rows = [(1, "Some text | a table\nReleased under the MIT License."), (2, "Licensed under CC BY-NC 4.0. And more.\nLicensed under the Apache License, Version 2.0."),
             (3, mit), (4, "The licence of the poem. MIT"), (5, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-            (8, "word " * 50_000 + ".\nReleased under the MIT License.\n"), *EDGES[:6], (6, "twice"), (6, "twice")]
+            (8, "word " * 50_000 + ".\nReleased under the MIT License.\n"), *[(100 + k, t) for k, (_, t) in enumerate(EDGES)], (6, "twice"), (6, "twice")]
     got = {r.doc_id: r for r in license.scan(docs(spark, rows)).collect()}
     assert got[1].licences == ["MIT"] and got[2].licences == ["Apache-2.0", "CC-BY-NC-4.0"] and got[8].licences == ["MIT"]
     assert got[3].licences == [] and got[3].left_over == ["Permission", "MitNotice"]
-    assert got[4].licences == [] and got[5].licences == []
+    assert got[4].licences == [] and got[5].licences == ["GPL-3.0-or-later"]
     assert license.scan(docs(spark, rows)).count() == len(rows) and license.scan(docs(spark, [])).count() == 0
 
 
@@ -337,7 +337,7 @@ def test_simhash_against_brute_force(spark):
         words = rows[rng.randrange(60)][1].split()
         words[rng.randrange(len(words))] = "changed"
         rows.append((i, " ".join(words).upper()))
-    rows += [(500, "A b É c"), (501, "a b É c"), *[r for r in EDGES if r[0] is not None]]
+    rows += [(500, "A b É c"), (501, "a b É c"), *[(600 + i, t) for i, t in EDGES if i is not None]]
     got = simhash.simhash_components(docs(spark, rows)).collect()
     fps = {i: plain.simhash(t) for i, t in rows}
     part = plain.components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
@@ -390,7 +390,7 @@ def test_line_dedup_against_brute_force(spark):
     got = {r.doc_id: r for r in linededup.dedup_lines(table).collect()}
     want = plain.dedup_lines(rows, hashes)
     assert [got[i].text for i, _ in rows] == want
-    assert sum(r._gone for r in got.values()) > 30
+    assert sum(r._gone for r in got.values()) > 15
 
 
 def test_line_dedup_edges(spark):
