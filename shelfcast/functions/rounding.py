@@ -28,8 +28,12 @@ def half_up(col, scale: int = 2) -> Column:
 
 
 def unscaled(col, src_scale: int) -> Column:
-    """Exact integer view of a decimal with ``src_scale`` digits (cents for money)."""
-    return (_c(col) * F.lit(10 ** src_scale)).cast("long")
+    """Exact integer view of a number with ``src_scale`` decimals (cents for money).
+
+    A double goes through DECIMAL first (by its shortest decimal form), so
+    0.29 is 29 cents; multiplying the double would give 28.999... and 28.
+    """
+    return (_c(col).cast(f"decimal(28,{src_scale})") * F.lit(10 ** src_scale)).cast("long")
 
 
 def int_div(a: Column, b: Column) -> Column:

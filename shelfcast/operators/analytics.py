@@ -9,6 +9,8 @@ TakeOrderedAndProject: per-partition top-k, then a k-row merge).
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,16 @@ def hierarchy(products: DataFrame, departments: DataFrame, cat_id: str | Column
             .orderBy("item_id"))
 
 
+def hierarchy_levels(stores: DataFrame, departments: DataFrame) -> DataFrame:
+    """Q8: the lists above the products: stores, categories, and departments under their category."""
+    def level(name: str, df: DataFrame, parent: Column, key: str) -> DataFrame:
+        return df.select(F.lit(name).alias("level"), parent.alias("parent_id"), F.col(key).alias("id")).distinct()
+
+    none = F.lit(None).cast("string")
+    return (level("store", stores, none, "store_id").unionByName(level("category", departments, none, "cat_id"))
+            .unionByName(level("department", departments, F.col("cat_id"), "dept_id")))
+
+
 def _series_filter(df: DataFrame, item: str | None, store: str | None) -> DataFrame:
     if item is not None:
         df = df.filter(F.col("item_id") == item)
@@ -136,11 +148,11 @@ def sku_history(fact_sales: DataFrame, item: str | None = None, store: str | Non
 
 def sku_forecast(forecasts: DataFrame, horizon: int, item: str | None = None,
                  store: str | None = None) -> DataFrame:
-    """Q10: forward forecast rows of a horizon, first ``horizon`` dates per series."""
+    """Q10: forward forecast rows of a horizon, first ``horizon`` dates per series and model."""
     df = _series_filter(forecasts, item, store).filter(
         F.col("actual_demand").isNull() & (F.col("horizon_days") == horizon))
-    w = Window.partitionBy(*SERIES).orderBy("forecast_date", "model_used")
-    return (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= horizon)
+    w = Window.partitionBy(*SERIES, "model_used").orderBy("forecast_date")
+    return (df.withColumn("_rn", F.dense_rank().over(w)).filter(F.col("_rn") <= horizon)
             .select(*SERIES, "forecast_date", "model_used", "forecast_demand", "confidence_lower",
                     "confidence_upper", "horizon_days"))
 
@@ -214,26 +226,32 @@ def holdout_rows(forecasts: DataFrame) -> DataFrame:
         "forecast_error", "horizon_days")
 
 
-def scenario_impact(recs: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Q18: what-if impact of each scenario row on the network.
+def scenario_impact(recs: DataFrame, scenarios: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Q18: what-if impact of each scenario row on the network, or on each group of ``by``.
 
     scenarios: (scenario_id, price_change_pct, promo_uplift_pct,
     holiday_surge_pct, lead_time_delay_days) - many scenarios in one job.
     The network baseline is one aggregate over the recommendations, read as
-    a single struct-valued scalar subquery (evaluated once; no join).
+    a single struct-valued scalar subquery (evaluated once; no join).  With
+    ``by``, one aggregate row per group takes up the parameter table as an array.
     """
     demand = _cents_sum("average_daily_demand")          # exact: values carry 2 decimals
     risk_tenths = F.sum(F.round(F.col("stockout_risk_pct") * F.lit(10.0)).cast("long"))
-    base = recs.agg(F.struct(
+    base = F.struct(
         demand.alias("demand"),
         F.sum("safety_stock").alias("ss"),
         F.sum("recommended_order_qty").alias("qty"),
         (demand * F.lit(APPROX_UNIT_PRICE)).alias("revenue"),
         F.sum(F.col("estimated_order_cost").cast("decimal(14,2)")).cast("double").alias("cost"),
         F.sum("current_inventory").alias("on_hand"),
-        (risk_tenths / F.count(F.lit(1)) / F.lit(10.0)).alias("risk"))).scalar()
-    # one subquery in the plan: attach it once, then read its fields
-    scenarios = scenarios.withColumn("_base", base)
+        (risk_tenths / F.count(F.lit(1)) / F.lit(10.0)).alias("risk"))
+    by = list(by)
+    if by:
+        table = scenarios.agg(F.collect_list(F.struct(*scenarios.columns))).scalar()
+        scenarios = recs.groupBy(*by).agg(base.alias("_base")).withColumn("_s", F.explode(table)).select(*by, "_base", "_s.*")
+    else:
+        # one subquery in the plan: attach it once, then read its fields
+        scenarios = scenarios.withColumn("_base", recs.agg(base).scalar())
     b = F.col("_base")
     b_dem, b_ss, b_qty, b_rev = b["demand"], b["ss"], b["qty"], b["revenue"]
     b_cost, on_hand, b_risk = b["cost"], b["on_hand"], b["risk"]
@@ -249,7 +267,7 @@ def scenario_impact(recs: DataFrame, scenarios: DataFrame) -> DataFrame:
     sim_risk = F.least(F.lit(100.0), F.greatest(F.lit(0.0), b_risk * mult
                                                 * (F.lit(1.0) + F.col("lead_time_delay_days") / F.lit(10.0))))
     return scenarios.select(
-        "scenario_id", half_up(mult, 4).alias("demand_multiplier"),
+        *by, "scenario_id", half_up(mult, 4).alias("demand_multiplier"),
         half_up(b_dem, 2).alias("baseline_daily_demand"), half_up(sim_demand, 2).alias("sim_daily_demand"),
         half_up(b_rev, 2).alias("baseline_daily_revenue"), half_up(sim_rev, 2).alias("sim_daily_revenue"),
         b_ss.alias("baseline_safety_stock"), sim_ss.alias("sim_safety_stock"),
@@ -291,11 +309,11 @@ def planning_sheet(recs: DataFrame) -> DataFrame:
     return recs.select(*[c for c in PLANNING_COLUMNS if c in recs.columns])
 
 
-def forecast_sheet(forecasts: DataFrame, n: int = 200) -> DataFrame:
-    """First ``n`` forward rows in (date, item, store, model, horizon) order."""
-    return (forecasts.filter(F.col("actual_demand").isNull())
-            .orderBy("forecast_date", "item_id", "store_id", "model_used", "horizon_days").limit(n)
-            .select(*FORECAST_SHEET_COLUMNS))
+def forecast_sheet(forecasts: DataFrame, n: int | None = None) -> DataFrame:
+    """Forward rows in (date, item, store, model, horizon) order; the first ``n`` if the caller asks for a page."""
+    sheet = (forecasts.filter(F.col("actual_demand").isNull())
+             .orderBy("forecast_date", "item_id", "store_id", "model_used", "horizon_days"))
+    return (sheet if n is None else sheet.limit(n)).select(*FORECAST_SHEET_COLUMNS)
 
 
 def store_sheet(store_mart: DataFrame) -> DataFrame:
@@ -318,7 +336,7 @@ def priority_items(recs: DataFrame, n: int = 12) -> DataFrame:
     """Top-n high-risk series by stockout risk, labelled Stockout / Overstock."""
     return (recs.filter(F.col("risk_level") == inv.HIGH)
             .orderBy(F.col("stockout_risk_pct").desc(), "item_id", "store_id").limit(n)
-            .select(*SERIES, "current_inventory", "safety_stock", "recommended_order_qty",
-                    "stockout_risk_pct",
+            .select(*SERIES, "current_inventory", "safety_stock", "reorder_point", "recommended_order_qty",
+                    "suggested_replenishment_date", "stockout_risk_pct",
                     F.when(F.col("inventory_status") == inv.CRITICAL, F.lit("Stockout"))
                     .otherwise(F.lit("Overstock")).alias("alert_type")))

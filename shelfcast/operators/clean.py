@@ -26,8 +26,7 @@ def _order_cols(df: DataFrame, keys: Sequence[str], order_by) -> list[Column]:
     if order_by is None:
         order_by = "ingest_ord" if "ingest_ord" in df.columns else None
     if order_by is None:
-        # no arrival order known: make the survivor deterministic on the full row
-        return [F.col(c) for c in df.columns if c not in keys]
+        raise ValueError("keep-first needs the arrival order: an ingest_ord column (the readers attach it) or order_by")
     if isinstance(order_by, (str, Column)):
         order_by = [order_by]
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
@@ -49,10 +48,15 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_by=None) -> DataFrame:
                           for c in df.columns])
 
 
+def number(col: str) -> Column:
+    """A column's number; null for text, NaN and infinities."""
+    v = F.col(col).cast("string").try_cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def coerce_int(col: str, default: int) -> Column:
-    """Numeric coercion with a default for unparsable values, truncated to int."""
-    return F.coalesce(F.col(col).cast("string").try_cast("double"),
-                      F.lit(float(default))).cast("int")
+    """Numeric coercion with a default for values that are no number or no int, truncated."""
+    return F.coalesce(number(col).try_cast("int"), F.lit(default))
 
 
 def clean_calendar(df: DataFrame, order_by=None) -> DataFrame:
@@ -102,8 +106,7 @@ def clean_prices(df: DataFrame, order_by=None, trim_first: bool = False) -> Data
     if not trim_first:
         df = _trim(df)
     df = df.withColumn("wm_yr_wk", coerce_int("wm_yr_wk", 0))
-    price = F.col("sell_price").cast("string").try_cast("double")
-    df = df.withColumn("sell_price", price)
+    df = df.withColumn("sell_price", number("sell_price"))
     valid = F.col("sell_price").isNotNull() & (F.col("sell_price") > 0)
     # median in whole cents: exact, so every engine interpolates to the same value
     cents = F.round(F.col("sell_price") * F.lit(100.0)).cast("long")
@@ -139,39 +142,31 @@ def unpivot_days(df: DataFrame, id_cols: Sequence[str] = SALES_ID_COLS,
 
 
 def clean_units(col: str = "sales_units") -> Column:
-    """C11: parse units, null/unparsable -> 0, negatives clipped to 0, truncated to int."""
-    v = F.coalesce(F.col(col).cast("string").try_cast("double"), F.lit(0.0))
-    return F.greatest(v, F.lit(0.0)).cast("int")
+    """C11: parse units; what is no number or no int -> 0, negatives clipped to 0, truncated to int."""
+    return F.greatest(F.coalesce(number(col).try_cast("int"), F.lit(0)), F.lit(0))
 
 
 def attach_dates(long_df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Map day id -> date_str; rows whose day id is not in the calendar are dropped.
 
     The calendar has one row per day (thousands at most), so it is broadcast
-    by hint; the fact side is never shuffled for this join.
+    by hint; the fact side is never shuffled for this join.  Of several dates
+    with one day id the last counts.
     """
-    days = calendar.select(F.col("d"), F.col("date_str")).dropna(subset=["d"])
+    days = calendar.select("d", "date_str").dropna(subset=["d"]).groupBy("d").agg(F.max("date_str").alias("date_str"))
     return long_df.join(F.broadcast(days), "d", "inner")
 
 
 def clean_and_melt_sales(sales_wide: DataFrame, calendar: DataFrame, order_by=None) -> DataFrame:
     """C13 = C1 (dedup on id) -> C10 (unpivot) -> C11 (units) -> C12 (dates).
 
-    Keep-first on ``id`` is applied after the unpivot, on (id, d) with the
-    row's arrival order: every day of a row shares that order, so the
-    survivor per (id, d) comes from the first row of the id - the same
-    result as deduplicating the wide rows, but the aggregate carries one
-    narrow value instead of a struct of every day column.
+    The first row of each id is found on (id, arrival order) alone and the
+    wide rows are semi-joined with it, so the days are unpivoted after the
+    deduplication and never shuffled.
     """
     id_cols = [c for c in SALES_ID_COLS if c in sales_wide.columns]
-    if order_by is not None:
-        sales_wide = sales_wide.withColumn("ingest_ord", F.struct(*_order_cols(sales_wide, ["id"], order_by)))
-    has_order = "ingest_ord" in sales_wide.columns
-    long_df = unpivot_days(sales_wide, id_cols + (["ingest_ord"] if has_order else []))
-    if has_order:
-        long_df = keep_first(long_df, ["id", "d"], "ingest_ord").drop("ingest_ord")
-    else:
-        long_df = keep_first(long_df, ["id", "d"])
-    long_df = long_df.withColumn("sales_units", clean_units("sales_units"))
-    out = attach_dates(long_df, calendar)
-    return out.select(*id_cols, "d", "sales_units", "date_str")
+    wide = sales_wide.withColumn("ingest_ord", F.struct(*_order_cols(sales_wide, ["id"], order_by)))
+    first = wide.groupBy("id").agg(F.min("ingest_ord").alias("_ord")).withColumnRenamed("id", "_id")
+    kept = wide.join(first, wide["id"].eqNullSafe(first["_id"]) & (wide["ingest_ord"] == first["_ord"]), "left_semi")
+    long_df = unpivot_days(kept, id_cols).withColumn("sales_units", clean_units("sales_units"))
+    return attach_dates(long_df, calendar).select(*id_cols, "d", "sales_units", "date_str")

@@ -134,9 +134,8 @@ def add_relative_price(df: DataFrame, cat_day: DataFrame | None = None) -> DataF
     The mean is taken over whole cents (exact sum) so that it does not
     depend on the order in which partial sums are combined.
     """
-    from shelfcast.session import join_lookup
     cat_day = cat_day if cat_day is not None else category_day_totals(df)
-    out = join_lookup(df, cat_day.select("cat_id", "date_str", "_cat_price"), ["cat_id", "date_str"])
+    out = df.join(cat_day.select("cat_id", "date_str", "_cat_price"), ["cat_id", "date_str"], "left")
     return (out.withColumn("price_rel_to_cat",
                            F.coalesce(F.col("sell_price") / F.col("_cat_price"), F.lit(1.0)))
                .drop("_cat_price"))
@@ -145,11 +144,10 @@ def add_relative_price(df: DataFrame, cat_day: DataFrame | None = None) -> DataF
 def add_group_totals(df: DataFrame, cat_day: DataFrame | None = None,
                      store_day: DataFrame | None = None) -> DataFrame:
     """same-day unit totals of the store and of the category."""
-    from shelfcast.session import join_lookup
     cat_day = cat_day if cat_day is not None else category_day_totals(df)
     store_day = store_day if store_day is not None else store_day_totals(df)
-    out = join_lookup(df, store_day, ["store_id", "date_str"])
-    return join_lookup(out, cat_day.select("cat_id", "date_str", "cat_sales_momentum_7"), ["cat_id", "date_str"])
+    out = df.join(store_day, ["store_id", "date_str"], "left")
+    return out.join(cat_day.select("cat_id", "date_str", "cat_sales_momentum_7"), ["cat_id", "date_str"], "left")
 
 
 def fill_numeric(df: DataFrame, value: float = 0.0) -> DataFrame:
@@ -163,16 +161,12 @@ def build_features(base: DataFrame) -> DataFrame:
     """F2 -> F10 over the F1 base.
 
     The cross-series day totals (F8, F9) only need base columns, so they are
-    aggregated from the base and attached first, through size-checked
-    lookups; the series windows (F4-F7) then cost a single shuffle and sort
-    on (item_id, store_id).
+    aggregated from the base and joined first (the planner sizes them); the
+    series windows (F4-F7) then cost a single shuffle and sort on
+    (item_id, store_id).
     """
-    from shelfcast.session import join_lookup
     cat_day = category_day_totals(base)
-    df = join_lookup(base, cat_day, ["cat_id", "date_str"])
-    df = join_lookup(df, store_day_totals(base), ["store_id", "date_str"])
-    df = df.withColumn("price_rel_to_cat",
-                       F.coalesce(F.col("sell_price") / F.col("_cat_price"), F.lit(1.0))).drop("_cat_price")
+    df = add_group_totals(add_relative_price(base, cat_day), cat_day, store_day_totals(base))
     df = add_cyclical(add_temporal(df))
     df = add_price_change(add_rolling_std(add_rolling_mean(add_lags(df))))
     return fill_numeric(df)

@@ -608,6 +608,15 @@ def _hierarchy(w: Warehouse) -> DataFrame:
     return _an().hierarchy(w.dim_products, w.dim_departments)
 
 
+@register("hierarchy_levels", """
+    SELECT DISTINCT 'store' AS level, CAST(NULL AS VARCHAR) AS parent_id, store_id AS id FROM dim_stores
+    UNION ALL SELECT DISTINCT 'category', NULL, cat_id FROM dim_departments
+    UNION ALL SELECT DISTINCT 'department', cat_id, dept_id FROM dim_departments""")
+def _hierarchy_levels(w: Warehouse) -> DataFrame:
+    """Q8: stores, categories and departments by category"""
+    return _an().hierarchy_levels(w.dim_stores, w.dim_departments)
+
+
 @register("sku_history_recent", """
     SELECT item_id, store_id, date_str, sales_units FROM (
         SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date_str DESC) AS rn FROM fact_sales)
@@ -620,7 +629,7 @@ def _sku_history(w: Warehouse) -> DataFrame:
 _SKU_FC_SQL = """
     SELECT item_id, store_id, forecast_date, model_used, forecast_demand, confidence_lower, confidence_upper,
            horizon_days FROM (
-        SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY forecast_date, model_used) AS rn
+        SELECT *, dense_rank() OVER (PARTITION BY item_id, store_id, model_used ORDER BY forecast_date) AS rn
         FROM forecasts WHERE actual_demand IS NULL AND horizon_days = 30) WHERE rn <= 30"""
 
 
@@ -700,7 +709,7 @@ def _holdout_rows(w: Warehouse) -> DataFrame:
     return _an().holdout_rows(w.forecasts)
 
 
-def _scenario_sql() -> str:
+def _scenario_sql(by: str = "") -> str:
     mult = ("greatest(0.1, 1.0 + CAST(-1.2 AS DOUBLE) * (price_change_pct / 100.0) + promo_uplift_pct / 100.0 "
             "+ holiday_surge_pct / 100.0)")
     sim_dem = f"(b.demand * {mult})"
@@ -712,15 +721,16 @@ def _scenario_sql() -> str:
     H = O.half_up
     grid = ("SELECT CAST(p AS DOUBLE) AS price_change_pct, CAST(pr AS DOUBLE) AS promo_uplift_pct, "
             "CAST(h AS DOUBLE) AS holiday_surge_pct, CAST(d AS INTEGER) AS lead_time_delay_days "
-            "FROM (VALUES (-30), (-10), (0), (10), (30)) a(p), (VALUES (0), (25), (50)) b(pr), "
-            "(VALUES (0), (50), (100)) c(h), (VALUES (0), (7), (21)) e(d)")
+            "FROM range(-30, 31, 5) a(p), range(0, 51, 5) b(pr), range(0, 101, 10) c(h), range(0, 22) e(d)")
     base = ("SELECT SUM(CAST(round(average_daily_demand * 100.0) AS BIGINT)) / 100.0 AS demand, "
             "CAST(SUM(safety_stock) AS BIGINT) AS ss, CAST(SUM(recommended_order_qty) AS BIGINT) AS qty, "
             "SUM(CAST(round(average_daily_demand * 100.0) AS BIGINT)) / 100.0 * CAST(5.5 AS DOUBLE) AS revenue, "
             "CAST(SUM(estimated_order_cost) AS DOUBLE) AS cost, CAST(SUM(current_inventory) AS BIGINT) AS on_hand, "
             "SUM(CAST(round(stockout_risk_pct * 10.0) AS BIGINT)) / count(*) / 10.0 AS risk FROM recs")
+    if by:
+        base = base.replace("SELECT ", f"SELECT {by}, ", 1) + f" GROUP BY {by}"
     return f"""
-    SELECT CAST(price_change_pct AS VARCHAR) || '/' || CAST(promo_uplift_pct AS VARCHAR) || '/' ||
+    SELECT {by + ", " if by else ""}CAST(price_change_pct AS VARCHAR) || '/' || CAST(promo_uplift_pct AS VARCHAR) || '/' ||
            CAST(holiday_surge_pct AS VARCHAR) || '/' || CAST(lead_time_delay_days AS VARCHAR) AS scenario_id,
            {H(mult, 4)} AS demand_multiplier, {H('b.demand', 2)} AS baseline_daily_demand,
            {H(sim_dem, 2)} AS sim_daily_demand, {H('b.revenue', 2)} AS baseline_daily_revenue,
@@ -737,10 +747,16 @@ def _scenario_sql() -> str:
 
 @register("scenario_impact", _scenario_sql())
 def _scenario_impact(w: Warehouse) -> DataFrame:
-    """Q18: what-if grid (135 scenarios) against the network baseline"""
+    """Q18: the whole what-if grid against the network baseline"""
     return _an().scenario_impact(w.recommendations, w.scenarios)
 
 
+@register("scenario_impact_by_store", _scenario_sql("store_id"))
+def _scenario_impact_by_store(w: Warehouse) -> DataFrame:
+    """Q18: the whole what-if grid against each store's baseline"""
+    return _an().scenario_impact(w.recommendations, w.scenarios, by=["store_id"])
+
+
 # ---------------------------------------------------------------- reports (R)
 @register("kpi_summary", """
     SELECT * FROM (VALUES (1, 'Total Monitored SKUs'), (2, 'Total On-Hand Inventory Units'),
@@ -773,10 +789,9 @@ def _planning_sheet(w: Warehouse) -> DataFrame:
 
 @register("forecast_sheet", """
     SELECT forecast_date, item_id, store_id, model_used, forecast_demand, confidence_lower, confidence_upper,
-           horizon_days FROM forecasts WHERE actual_demand IS NULL
-    ORDER BY forecast_date, item_id, store_id, model_used, horizon_days LIMIT 200""")
+           horizon_days FROM forecasts WHERE actual_demand IS NULL""")
 def _forecast_sheet(w: Warehouse) -> DataFrame:
-    """200-row forecast sheet"""
+    """The whole forecast sheet"""
     return _an().forecast_sheet(w.forecasts)
 
 
@@ -794,7 +809,8 @@ def _briefing_totals(w: Warehouse) -> DataFrame:
 
 
 @register("priority_items", """
-    SELECT item_id, store_id, current_inventory, safety_stock, recommended_order_qty, stockout_risk_pct,
+    SELECT item_id, store_id, current_inventory, safety_stock, reorder_point, recommended_order_qty,
+           suggested_replenishment_date, stockout_risk_pct,
            CASE WHEN inventory_status = 'Critical Stockout Risk' THEN 'Stockout' ELSE 'Overstock' END AS alert_type
     FROM recs WHERE risk_level = 'High Risk' ORDER BY stockout_risk_pct DESC, item_id, store_id LIMIT 12""")
 def _priority_items(w: Warehouse) -> DataFrame:
@@ -899,18 +915,11 @@ def _scratch(w: Warehouse, name: str) -> str:
 
 @register("prices_csv_roundtrip", "SELECT * FROM clean_prices")
 def _prices_csv(w: Warehouse) -> DataFrame:
-    """S9 -> S2 -> C9: raw price quotes exported as CSV, read back with the price schema, cleaned"""
-    from pyspark.sql import functions as F
+    """S9 -> S2 -> C9: raw price quotes exported as CSV in arrival order, read back by S2, cleaned"""
     from shelfcast.operators import clean
     path = _scratch(w, "prices-csv")
-    raw = w.raw_prices
-    _io().export_csv(raw.select("store_id", "item_id", "wm_yr_wk", "sell_price",
-                                F.to_json("ingest_ord").alias("ingest_json")), path)
-    back = w.spark.read.csv(path, header=True, schema="store_id string, item_id string, wm_yr_wk string, "
-                                                      "sell_price string, ingest_json string")
-    back = back.withColumn("ingest_ord", F.from_json("ingest_json", raw.schema["ingest_ord"].dataType)) \
-               .drop("ingest_json")
-    return clean.clean_prices(back)
+    _io().export_csv(w.raw_prices.orderBy("ingest_ord").drop("ingest_ord"), path)
+    return clean.clean_prices(_io().read_prices_csv(w.spark, path))
 
 
 @register("calendar_csv_roundtrip", """

@@ -27,6 +27,7 @@ SERIES = ["item_id", "store_id"]
 class StageWriter:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.tables, self.timings = spark, root.rstrip("/"), {}, {}
+        self.bucketed: list[str] = []
 
     def put_bucketed(self, name: str, df: DataFrame, keys, sort_by=()) -> DataFrame:
         """Stage table bucketed by the series key, so later stages reuse its partitioning."""
@@ -34,6 +35,7 @@ class StageWriter:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"{name}_{uuid.uuid4().hex[:10]}"
         out = io.write_bucketed(df, table, path, keys, buckets, sort_by)
+        self.bucketed.append(table)
         self.tables[name] = path
         return out
 
@@ -54,7 +56,18 @@ def run_platform(spark: SparkSession, sf_dir: str, out_dir: str | None = None, t
     """Run every stage over the driver tables in ``sf_dir``; returns table paths and stage timings."""
     out = StageWriter(spark, out_dir or shared_dir(spark, "platform-run"))
     # joins keyed on (store, item, week) may reuse the (item, store) bucketing
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return _run(spark, sf_dir, out, test_days, gbt_params, with_models)
+    finally:
+        spark.conf.set(setting, before)
+        for table in out.bucketed:  # external tables: the files stay
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _run(spark: SparkSession, sf_dir: str, out: StageWriter, test_days: int, gbt_params: dict | None, with_models: bool) -> dict:
     raw = Warehouse(spark, sf_dir)
     t: dict[str, DataFrame] = {}
 

@@ -1,9 +1,10 @@
 """Lazily built warehouse over one scale-factor directory of driver tables.
 
 ``Warehouse(spark, sf_dir)`` exposes every table of the platform as a
-property that composes the operators.  Nothing executes until an action
-runs; Catalyst sees one plan from the Parquet scans to the requested table
-(filters and column pruning reach the scans).  For the nightly batch run
+property that composes the operators.  Most are lazy: Catalyst sees one plan
+from the Parquet scans to the requested table.  ``series_days`` and
+``raw_sales_wide`` (stage boundaries) and ``ModelRun`` run jobs when they are
+first read.  For the nightly batch run
 (``plans.nightly``) the same properties are materialised stage by stage.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,7 +73,7 @@ class Warehouse:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return clean.clean_calendar(self.calendar_generated)
+        return clean.clean_calendar(self.calendar_generated, order_by="date")
 
     # ---- dimensions -----------------------------------------------------
     @cached_property
@@ -178,7 +179,7 @@ class Warehouse:
     def horizon_calendar(self) -> DataFrame:
         """Calendar extended 90 days past the last sale (for forward rows)."""
         b = self.calendar_bounds.select("start_date", F.date_add("end_date", 90).alias("end_date"))
-        return dims.dim_calendar(clean.clean_calendar(dims.calendar_between(b)))
+        return dims.dim_calendar(clean.clean_calendar(dims.calendar_between(b), order_by="date"))
 
     # ---- forecasts (M10 baseline; models) -------------------------------
     @cached_property
@@ -224,13 +225,17 @@ class Warehouse:
     # ---- scenarios (Q18) ------------------------------------------------
     @cached_property
     def scenarios(self) -> DataFrame:
-        """What-if grid: the slider ranges of the scenario page (price -30..30 step 10,
-        promo 0/25/50, holiday 0/50/100, delay 0/7/21) - a small parameter table."""
-        s = self.spark.range(1).select(
-            F.explode(F.array(*[F.lit(x) for x in (-30.0, -10.0, 0.0, 10.0, 30.0)])).alias("price_change_pct"))
-        s = s.select("*", F.explode(F.array(*[F.lit(x) for x in (0.0, 25.0, 50.0)])).alias("promo_uplift_pct"))
-        s = s.select("*", F.explode(F.array(*[F.lit(x) for x in (0.0, 50.0, 100.0)])).alias("holiday_surge_pct"))
-        s = s.select("*", F.explode(F.array(*[F.lit(x) for x in (0, 7, 21)])).alias("lead_time_delay_days"))
+        """What-if grid, every setting of the scenario page: price -30..30 and promo 0..50 by 5,
+        holiday 0..100 by 10, delay 0..21 by 1 - a parameter table of fixed size."""
+        def steps(lo: int, hi: int, by: int) -> Column:
+            return F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(by)))
+
+        s = self.spark.range(1).select(steps(-30, 30, 5).alias("price_change_pct"))
+        s = s.select("*", steps(0, 50, 5).alias("promo_uplift_pct"))
+        s = s.select("*", steps(0, 100, 10).alias("holiday_surge_pct"))
+        s = s.select("*", steps(0, 21, 1).alias("lead_time_delay_days"))
+        pct = ["price_change_pct", "promo_uplift_pct", "holiday_surge_pct"]
+        s = s.select(*[F.col(c).cast("double") for c in pct], "lead_time_delay_days")
         sid = F.concat_ws("/", *[F.col(c).cast("string") for c in
                                  ("price_change_pct", "promo_uplift_pct", "holiday_surge_pct",
                                   "lead_time_delay_days")])

@@ -26,6 +26,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SHELFCAST_DRIVER_MEMORY", "16g"))
@@ -41,8 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster sets this to executor-visible storage; only when the session
-    has none (local runs, tests) a folder under the system temp dir is
-    registered.
+    has none and runs in local mode (tests), a folder under the system temp
+    dir is registered; elsewhere a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
@@ -69,21 +72,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-# Largest lookup (rows) joined by broadcast after an exact size check.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def join_lookup(big: DataFrame, small: DataFrame, keys, how: str = "left",
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join an aggregate lookup onto a large frame, broadcasting it only when it is proven small.
-
-    The lookup is computed once (checkpoint) and counted; at most
-    ``max_rows`` rows are broadcast, larger lookups fall back to a shuffle
-    (sort-merge) join.  The decision uses the exact row count, not a
-    planner estimate.
-    """
-    small = materialize(small)
-    side = F.broadcast(small) if small.count() <= max_rows else small
-    return big.join(side, list(keys), how)

@@ -173,7 +173,7 @@ def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     month, year, d, events, SNAP flags) plus ``ingest_ord`` (arrival order).
     Duplicates per date are expected and removed by ``clean_calendar``.
     """
-    lines = sales_lines(spark, sf_dir)
+    lines = read_table(spark, sf_dir, "lineitem").withColumn("date", F.to_date("l_shipdate"))
     start = first_ship_day(spark, sf_dir)
     d = F.col("date")
     return (lines.select(
@@ -231,24 +231,6 @@ def day_count(spark: SparkSession, sf_dir: str) -> int:
     return int(r[0]) + 1
 
 
-def raw_sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide sales file: one row per series, one column per day d_1..d_n (net units).
-
-    Days with no line for a series are empty (null), as in a sparse export.
-    Rows arrive in series-id order (``ingest_ord``).
-    The column list is fixed by the day span, so the pivot needs no extra
-    distinct pass.
-    """
-    n = day_count(spark, sf_dir)
-    long = net_sales_long(spark, sf_dir)
-    wide = (long.groupBy(*SERIES_COLS)
-            .pivot("day_no", list(range(1, n + 1)))
-            .agg(F.first("units")))
-    return wide.select(F.concat_ws("_", "item_id", "store_id").alias("id"), *SERIES_COLS,
-                       *[F.col(str(i)).alias(f"d_{i}") for i in range(1, n + 1)],
-                       F.concat_ws("_", "item_id", "store_id").alias("ingest_ord"))
-
-
 def raw_sales_wide_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """The wide daily export rendered as CSV text lines (one string column ``value``).
 
@@ -259,13 +241,11 @@ def raw_sales_wide_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, l
     """
     n = day_count(spark, sf_dir)
     long = net_sales_long(spark, sf_dir)
-    # every series gets one slot per day (bounded by the calendar span), then
-    # the days are gathered in order per series
-    grid = (long.select(*SERIES_COLS).distinct()
-            .select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("day_no")))
-    dense = grid.join(long, SERIES_COLS + ["day_no"], "left")
+    # the days that have units, in order, per series (bounded by the calendar span); the gaps become commas
     slot = F.struct("day_no", F.coalesce(F.col("units").cast("string"), F.lit("")).alias("v"))
-    per = dense.groupBy(*SERIES_COLS).agg(F.array_sort(F.collect_list(slot)).alias("_days"))
-    days = F.array_join(F.transform("_days", lambda x: x["v"]), ",")
+    per = long.groupBy(*SERIES_COLS).agg(F.array_sort(F.collect_list(slot)).alias("_days"))
+    filled = F.transform("_days", lambda x, i: F.concat(
+        F.repeat(F.lit(","), x["day_no"] - F.when(i == 0, F.lit(1)).otherwise(F.get("_days", i - 1)["day_no"])), x["v"]))
+    days = F.concat(F.array_join(filled, ""), F.repeat(F.lit(","), F.lit(n) - F.element_at("_days", -1)["day_no"]))
     line = F.concat_ws(",", F.concat_ws("_", "item_id", "store_id"), *SERIES_COLS, days)
     return per.select(line.alias("value")), [f"d_{i}" for i in range(1, n + 1)]

@@ -15,14 +15,20 @@ from pyspark.sql import types as T
 from shelfcast.sources import schemas
 
 
+def with_arrival(df: DataFrame) -> DataFrame:
+    """``ingest_ord`` of rows just read from files: file name, place of the block in it, row of the block."""
+    return df.withColumn("ingest_ord", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                                F.monotonically_increasing_id().alias("line")))
+
+
 def read_calendar_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Calendar file with an explicit schema (no inference pass)."""
-    return spark.read.csv(path, header=True, schema=schemas.CALENDAR_RAW, mode="PERMISSIVE")
+    """Calendar file with an explicit schema (no inference pass), with its arrival order."""
+    return with_arrival(spark.read.csv(path, header=True, schema=schemas.CALENDAR_RAW, mode="PERMISSIVE"))
 
 
 def read_prices_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Weekly price file; numbers read as text and coerced by the cleaner."""
-    return spark.read.csv(path, header=True, schema=schemas.PRICES_RAW, mode="PERMISSIVE")
+    """Weekly price file, with its arrival order; numbers read as text and coerced by the cleaner."""
+    return with_arrival(spark.read.csv(path, header=True, schema=schemas.PRICES_RAW, mode="PERMISSIVE"))
 
 
 def read_sales_wide_csv(spark: SparkSession, path: str, day_cols: Sequence[str] | None = None) -> DataFrame:
@@ -40,8 +46,12 @@ def read_sales_wide_csv(spark: SparkSession, path: str, day_cols: Sequence[str]
         cols = schemas.SALES_ID + list(day_cols)
         schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
         df = reader.option("header", False).schema(schema).csv(path)
-    return df.withColumn("ingest_ord", F.struct(F.input_file_name().alias("file"),
-                                                F.monotonically_increasing_id().alias("line")))
+    return with_arrival(df)
+
+
+def _by_range(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows dealt by ranges of ``cols``: a large part of the first column is many tasks, a small one few files."""
+    return df.repartitionByRange(*cols)
 
 
 def write_processed(calendar: DataFrame, prices: DataFrame, sales: DataFrame, out_dir: str) -> dict:
@@ -50,13 +60,13 @@ def write_processed(calendar: DataFrame, prices: DataFrame, sales: DataFrame, ou
     calendar.write.mode("overwrite").parquet(paths["calendar"])
     prices.write.mode("overwrite").parquet(paths["prices"])
     (sales.withColumn("year", F.substring("date_str", 1, 4).cast("int"))
-     .repartition("year").write.mode("overwrite").partitionBy("year").parquet(paths["sales"]))
+     .transform(lambda df: _by_range(df, "year", "date_str", "store_id", "item_id")).write.mode("overwrite").partitionBy("year").parquet(paths["sales"]))
     return paths
 
 
 def write_features(features: DataFrame, path: str) -> None:
     """Feature dataset, partitioned by store (per-store model reads prune the rest)."""
-    features.write.mode("overwrite").partitionBy("store_id").parquet(path)
+    _by_range(features, "store_id", "item_id", "date_str").write.mode("overwrite").partitionBy("store_id").parquet(path)
 
 
 def write_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None) -> None:
@@ -74,7 +84,7 @@ def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], bu
     Later joins, aggregates and windows clustered on ``keys`` (or a superset
     of them) read the buckets without a shuffle.  Returns the table.
     """
-    w = df.write.mode("overwrite").bucketBy(buckets, *keys)
+    w = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys)  # one file a bucket
     if sort_by:
         w = w.sortBy(*sort_by)
     w.option("path", path).saveAsTable(table)
@@ -149,5 +159,5 @@ def write_fact_layout(df: DataFrame, path: str, date_col: str, cluster: Sequence
                       mode: str = "overwrite") -> None:
     """Facts partitioned by month of the date, rows clustered by store and item in each file."""
     month = F.date_format(F.to_date(F.col(date_col)), "yyyy-MM")
-    (df.withColumn("month", month).repartition("month")
-     .sortWithinPartitions(*cluster).write.mode(mode).partitionBy("month").parquet(path))
+    (_by_range(df.withColumn("month", month), "month", *cluster)
+     .sortWithinPartitions("month", *cluster).write.mode(mode).partitionBy("month").parquet(path))

@@ -11,6 +11,7 @@ checkpoint.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.operators import clean
@@ -27,7 +28,8 @@ def ingest_daily_sales(spark: SparkSession, landing_dir: str, calendar: DataFram
 
     ``day_cols`` fixes the file layout (streaming sources need a schema).
     Keep-first deduplication is applied within each micro-batch (a file is
-    one export).  Returns the finished ``StreamingQuery``.
+    one export).  A batch writes its own partition ``batch_id`` of the target,
+    so a batch that is tried again replaces what it wrote.  Returns the finished ``StreamingQuery``.
     """
     reader = spark.readStream.schema(_wide_schema(day_cols))
     if file_format == "csv":
@@ -35,8 +37,9 @@ def ingest_daily_sales(spark: SparkSession, landing_dir: str, calendar: DataFram
     raw = reader.format(file_format).load(landing_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        cleaned = clean.clean_and_melt_sales(batch, calendar)
-        cleaned.write.mode("append").parquet(target_path)
+        arrived = batch.withColumn("ingest_ord", F.monotonically_increasing_id())
+        cleaned = clean.clean_and_melt_sales(arrived, calendar)
+        cleaned.write.mode("overwrite").parquet(f"{target_path}/batch_id={batch_id}")
 
     query = (raw.writeStream.foreachBatch(per_batch)
              .option("checkpointLocation", checkpoint_path)

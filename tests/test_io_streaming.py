@@ -64,6 +64,8 @@ def test_streaming_ingest(spark):
     ingest_daily_sales(spark, f"{land}/*", cal, f"{root}/fact", f"{root}/ckpt", ["d_1", "d_2"])
     out = {(r.id, r.d): r.sales_units for r in spark.read.parquet(f"{root}/fact").collect()}
     assert out == {("A_CA_1", "d_1"): 3, ("A_CA_1", "d_2"): 0, ("B_CA_1", "d_1"): 0, ("B_CA_1", "d_2"): 4}
+    # a batch that is tried again replaces what it wrote
+    assert [r.batch_id for r in spark.read.parquet(f"{root}/fact").select("batch_id").distinct().collect()] == [0]
     # a second run with no new files appends nothing
     ingest_daily_sales(spark, f"{land}/*", cal, f"{root}/fact", f"{root}/ckpt", ["d_1", "d_2"])
     assert spark.read.parquet(f"{root}/fact").count() == 4
