@@ -20,6 +20,11 @@ def _cents(col: str) -> Column:
     return F.round(F.col(col) * F.lit(100.0)).cast("long")
 
 
+def _sum_exact(x: Column) -> Column:
+    """Sum of integers that may pass the range of a long."""
+    return F.sum(x.cast("decimal(28,0)"))
+
+
 def _err_cents() -> Column:
     return _cents("actual_demand") - _cents("forecast_demand")
 
@@ -39,7 +44,7 @@ def error_stats(mape_mode: str = "positive", mae_scale: int = 3, rmse_scale: int
     return [
         n.alias(count_name),
         ratio_half_up(F.sum(F.abs(e)), n, mae_scale, 2).alias("mae"),
-        half_up(F.sqrt(F.sum(e * e).cast("double") / n) / F.lit(100.0), rmse_scale).alias("rmse"),
+        half_up(F.sqrt(_sum_exact(e * e).cast("double") / n) / F.lit(100.0), rmse_scale).alias("rmse"),
         half_up(F.avg(ape) * F.lit(100.0), mape_scale).alias("mape_pct"),
     ]
 
@@ -64,7 +69,7 @@ def calculate_metrics(forecasts: DataFrame, by: str = "model_used") -> DataFrame
     n = F.count(F.lit(1))
     stats = df.groupBy(by).agg(
         *error_stats("positive", 3, 3, 2, "n_points"),
-        F.sum(e * e).alias("_see"), F.sum(ac).alias("_sa"), F.sum(ac * ac).alias("_saa"))
+        _sum_exact(e * e).alias("_see"), F.sum(ac).alias("_sa"), _sum_exact(ac * ac).alias("_saa"))
     r2 = F.when(F.col("n_points") > 1, _r2(F.col("n_points"), F.col("_see"), F.col("_sa"), F.col("_saa")))
     return stats.select(by, "n_points", "mae", "rmse", F.coalesce("mape_pct", F.lit(0.0)).alias("mape_pct"),
                         half_up(F.coalesce(r2, F.lit(0.0)), 3).alias("r2"))
@@ -88,7 +93,7 @@ def scorecard(forecasts: DataFrame) -> DataFrame:
     e, ac = _err_cents(), _cents("actual_demand")
     stats = df.groupBy("model_used").agg(
         *error_stats("positive", 2, 2, 1, "evaluated_points"),
-        F.sum(e * e).alias("_see"), F.sum(ac).alias("_sa"), F.sum(ac * ac).alias("_saa"))
+        _sum_exact(e * e).alias("_see"), F.sum(ac).alias("_sa"), _sum_exact(ac * ac).alias("_saa"))
     r2 = _r2(F.col("evaluated_points"), F.col("_see"), F.col("_sa"), F.col("_saa"), eps=1e-8)
     return stats.select("model_used", "mae", "rmse", F.coalesce("mape_pct", F.lit(0.0)).alias("mape_pct"),
                         half_up(r2, 3).alias("r2"), "evaluated_points")
@@ -119,7 +124,7 @@ def residual_histogram(forecasts: DataFrame, bins: int = HIST_BINS) -> DataFrame
 def actual_vs_forecast_sample(forecasts: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
     """A repeatable sample of at most ``n`` holdout rows (hash order, not a random draw)."""
     df = forecasts.filter(F.col("actual_demand").isNotNull())
-    key = F.xxhash64(F.lit(seed), "model_used", "item_id", "store_id", "forecast_date")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), "model_used", "item_id", "store_id", "forecast_date"))
     return df.orderBy(key).limit(n)
 
 

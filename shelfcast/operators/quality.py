@@ -80,19 +80,19 @@ def check_pricing_integrity(prices: DataFrame, max_price: float = 1000.0) -> Dat
 def check_sales_outliers(sales: DataFrame, iqr_mult: float = 4.0) -> DataFrame:
     """V4: units above q75 + 4*IQR; status is always INFO.
 
-    Quartiles are exact (``percentile``, linear interpolation) and computed
-    once as a scalar subquery; the count is a second aggregate pass.
+    Units are counted by value first; the exact quartiles (linear
+    interpolation) and the count above the bound come from that histogram.
     """
-    u = F.col("sales_units")
-    q = sales.agg(F.percentile(u, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(
-        (F.col("q")[1] + F.lit(iqr_mult) * (F.col("q")[1] - F.col("q")[0])).alias("b"))
-    bound = q.scalar()
-    stats = sales.agg(F.count(F.lit(1)).alias("_n"), F.count_if(u > bound).alias("_out"),
-                      F.first(bound).alias("_b"))
+    u, n = F.col("sales_units"), F.col("_n")
+    values = sales.groupBy("sales_units").agg(F.count(F.lit(1)).alias("_n"))
+    q = values.filter(u.isNotNull()).agg(F.percentile(u, F.array(F.lit(0.25), F.lit(0.75)), n).alias("q"))
+    bound = q.select((F.col("q")[1] + F.lit(iqr_mult) * (F.col("q")[1] - F.col("q")[0])).alias("b")).scalar()
+    stats = values.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total"), F.coalesce(F.sum(F.when(u > bound, n)), F.lit(0)).alias("_out"),
+                       F.first(bound).alias("_b"))
     details = F.concat(F.lit("Sales units > "), fmt_1dp(F.col("_b")), F.lit(" ("),
                        F.col("_out").cast("string"), F.lit(" high spikes flagged for awareness)"))
     return stats.select(*_row("sales", "Sales Outlier Detection", F.lit("INFO"),
-                              F.col("_n"), F.col("_out"), details))
+                              F.col("_total"), F.col("_out"), details))
 
 
 def check_date_completeness(calendar: DataFrame, date_col: str = "date_str") -> DataFrame:
@@ -120,21 +120,70 @@ def check_foreign_key(fact: DataFrame, dim: DataFrame, keys: Sequence[str], data
                               F.col("_n"), F.col("_bad"), details))
 
 
+def key_checks(df: DataFrame, dataset: str, keys: Sequence[str], not_null: Sequence[str], max_price: float | None = None,
+               dates: bool = False) -> DataFrame:
+    """V1 and V2 of a dataset, with V3 (``max_price``) or V5 (``dates``), from one aggregate by key.
+
+    Each key's rows are counted with their nulls and bad prices; one more
+    aggregate sums the keys.  The rows carry ``_at``, their order here.
+    """
+    p = F.col("sell_price")
+    per_key = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(not_null)],
+        *([F.count_if((p <= 0) | (p > max_price) | p.isNull()).alias("_bad")] if max_price is not None else []))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    d = F.to_date(keys[0]) if dates else None
+    stats = per_key.agg(
+        total("_c").alias("_n"), total(F.col("_c") - 1).alias("_dup"), *[total(f"_null_{i}").alias(f"_null_{i}") for i in range(len(not_null))],
+        *([total("_bad").alias("_bad")] if max_price is not None else []),
+        *([F.min(d).alias("_lo"), F.max(d).alias("_hi"), F.count_distinct(d).alias("_days")] if dates else []))
+    nulls = reduce(lambda a, b: a + b, [F.col(f"_null_{i}") for i in range(len(not_null))])
+    listed = F.concat_ws(", ", *[F.concat(F.lit(f"'{c}': "), F.col(f"_null_{i}").cast("string")) for i, c in enumerate(not_null)])
+    rows = [_row(dataset, "Missing Key Records", _pass_fail(nulls), F.col("_n"), nulls, F.concat(F.lit("Null counts per column: {"), listed, F.lit("}"))),
+            _row(dataset, "Duplicate Key Records", _pass_fail(F.col("_dup")), F.col("_n"), F.col("_dup"),
+                 F.concat(F.lit(f"Duplicates on {_py_list(keys)}: "), F.col("_dup").cast("string")))]
+    if max_price is not None:
+        rows.append(_row(dataset, "Pricing Integrity", _pass_fail(F.col("_bad")), F.col("_n"), F.col("_bad"),
+                         F.concat(F.lit("Records with price <= 0 or > $1000: "), F.col("_bad").cast("string"))))
+    if dates:
+        missing = F.datediff("_hi", "_lo") + 1 - F.col("_days")
+        rows.append(_row(dataset, "Date Continuity & Completeness", _pass_fail(missing), F.col("_days"), F.greatest(missing, F.lit(0)),
+                         F.concat(F.lit("Date span "), F.date_format("_lo", "yyyy-MM-dd"), F.lit(" to "), F.date_format("_hi", "yyyy-MM-dd"),
+                                  F.lit(", missing days: "), missing.cast("string"))))
+    return stats.select(F.inline(F.array(*[F.struct(*r, F.lit(i).alias("_at")) for i, r in enumerate(rows)])))
+
+
 def run_all_checks(calendar: DataFrame, prices: DataFrame, sales: DataFrame) -> DataFrame:
-    """V6: the nine standard checks as one DataFrame (check order kept in ``check_no``)."""
-    checks = [
-        check_missing_records(calendar, "calendar", ["date_str", "wm_yr_wk", "wday"]),
-        check_duplicate_records(calendar, "calendar", ["date_str"]),
-        check_date_completeness(calendar),
-        check_missing_records(prices, "sell_prices", ["store_id", "item_id", "wm_yr_wk", "sell_price"]),
-        check_duplicate_records(prices, "sell_prices", ["store_id", "item_id", "wm_yr_wk"]),
-        check_pricing_integrity(prices),
-        check_missing_records(sales, "sales", ["item_id", "store_id", "date_str", "sales_units"]),
-        check_duplicate_records(sales, "sales", ["item_id", "store_id", "date_str"]),
-        check_sales_outliers(sales),
+    """V6: the nine standard checks as one DataFrame (check order kept in ``check_no``).
+
+    One keyed aggregate per dataset and one histogram of the units: the sales
+    are read twice, the other datasets once.
+    """
+    parts = [
+        (1, key_checks(calendar, "calendar", ["date_str"], ["date_str", "wm_yr_wk", "wday"], dates=True)),
+        (4, key_checks(prices, "sell_prices", ["store_id", "item_id", "wm_yr_wk"], ["store_id", "item_id", "wm_yr_wk", "sell_price"], max_price=1000.0)),
+        (7, key_checks(sales, "sales", ["item_id", "store_id", "date_str"], ["item_id", "store_id", "date_str", "sales_units"])),
+        (9, check_sales_outliers(sales).withColumn("_at", F.lit(0))),
     ]
-    numbered = [c.withColumn("check_no", F.lit(i + 1)) for i, c in enumerate(checks)]
-    return reduce(DataFrame.unionByName, numbered)
+    return reduce(DataFrame.unionByName, [c.withColumn("check_no", F.col("_at") + first).drop("_at") for first, c in parts])
+
+
+#: V7: (fact, dimension, key) of the declared foreign keys (fixed values).
+FOREIGN_KEYS = [
+    ("dim_departments", "dim_categories", "cat_id"),
+    ("dim_products", "dim_departments", "dept_id"),
+    ("dim_products", "dim_categories", "cat_id"),
+    ("fact_sales", "dim_products", "item_id"),
+    ("fact_sales", "dim_stores", "store_id"),
+    ("fact_sales", "dim_calendar", "date_str"),
+    ("fact_prices", "dim_products", "item_id"),
+    ("fact_prices", "dim_stores", "store_id"),
+]
+
+
+def foreign_key_suite(tables: dict[str, DataFrame]) -> DataFrame:
+    """V7 over the declared foreign keys of the tables given by name."""
+    return reduce(DataFrame.unionByName, [check_foreign_key(tables[f], tables[d], [k], f, d) for f, d, k in FOREIGN_KEYS])
 
 
 def summarize_checks(checks: DataFrame) -> DataFrame:

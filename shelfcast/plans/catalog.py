@@ -153,31 +153,31 @@ def _quality_summary(w: Warehouse) -> DataFrame:
     return quality.summarize_checks(quality.run_all_checks(w.calendar, w.fact_prices, w.fact_sales))
 
 
-@register("foreign_key_checks", """
-    SELECT 'sales' AS dataset, 'Foreign Key Integrity' AS "check",
-           CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, n AS total_records,
-           b AS failed_records, 'Rows without dim_stores on [''store_id'']: ' || CAST(b AS VARCHAR) AS details
-    FROM (SELECT count(*) AS n, (SELECT count(*) FROM fact_sales f
-          WHERE NOT EXISTS (SELECT 1 FROM dim_stores d WHERE d.store_id = f.store_id)) AS b FROM fact_sales)
-    UNION ALL
-    SELECT 'sales', 'Foreign Key Integrity', CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END, n, b,
-           'Rows without dim_calendar on [''date_str'']: ' || CAST(b AS VARCHAR)
-    FROM (SELECT count(*) AS n, (SELECT count(*) FROM fact_sales f
-          WHERE NOT EXISTS (SELECT 1 FROM dim_calendar d WHERE d.date_str = f.date_str)) AS b FROM fact_sales)
-    UNION ALL
-    SELECT 'sell_prices', 'Foreign Key Integrity', CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END, n, b,
-           'Rows without dim_stores on [''store_id'']: ' || CAST(b AS VARCHAR)
-    FROM (SELECT count(*) AS n, (SELECT count(*) FROM clean_prices f
-          WHERE NOT EXISTS (SELECT 1 FROM dim_stores d WHERE d.store_id = f.store_id)) AS b FROM clean_prices)""")
+def _foreign_key_sql(*keys: tuple[str, str, str], where: str = "true") -> str:
+    return " UNION ALL ".join(f"""
+    SELECT '{f}' AS dataset, 'Foreign Key Integrity' AS "check", CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END AS status,
+           n AS total_records, b AS failed_records, 'Rows without {d} on [''{k}'']: ' || CAST(b AS VARCHAR) AS details
+    FROM (SELECT count(*) AS n, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {'(SELECT DISTINCT cat_id FROM fact_sales)' if d == 'dim_categories' else d} d
+          WHERE d.{k} = f.{k} AND {where})) AS b FROM {f} f)"""
+                             for f, d, k in keys)
+
+
+@register("foreign_key_checks", _foreign_key_sql(
+    ("dim_departments", "dim_categories", "cat_id"), ("dim_products", "dim_departments", "dept_id"), ("dim_products", "dim_categories", "cat_id"),
+    ("fact_sales", "dim_products", "item_id"), ("fact_sales", "dim_stores", "store_id"), ("fact_sales", "dim_calendar", "date_str"),
+    ("fact_prices", "dim_products", "item_id"), ("fact_prices", "dim_stores", "store_id")))
 def _foreign_keys(w: Warehouse) -> DataFrame:
-    """V7: declared foreign keys checked with anti joins"""
-    from functools import reduce
+    """V7: the eight declared foreign keys checked with anti joins"""
+    from shelfcast.operators import quality
+    names = {n for f, d, _ in quality.FOREIGN_KEYS for n in (f, d)}
+    return quality.foreign_key_suite({n: getattr(w, n) for n in names})
+
+
+@register("foreign_key_orphans", _foreign_key_sql(("fact_sales", "dim_calendar", "date_str"), where="d.is_holiday = 0"))
+def _foreign_key_orphans(w: Warehouse) -> DataFrame:
+    """V7 with orphans: sales against a calendar of working days, so that the holidays' rows fail"""
     from shelfcast.operators import quality
-    return reduce(DataFrame.unionByName, [
-        quality.check_foreign_key(w.fact_sales, w.dim_stores, ["store_id"], "sales", "dim_stores"),
-        quality.check_foreign_key(w.fact_sales, w.dim_calendar, ["date_str"], "sales", "dim_calendar"),
-        quality.check_foreign_key(w.clean_prices, w.dim_stores, ["store_id"], "sell_prices", "dim_stores"),
-    ])
+    return quality.check_foreign_key(w.fact_sales, w.dim_calendar.filter("is_holiday = 0"), ["date_str"], "fact_sales", "dim_calendar")
 
 
 # ---------------------------------------------------------------- dimensions (D)
@@ -501,9 +501,11 @@ def _residual_histogram(w: Warehouse) -> DataFrame:
     return round_doubles(evaluate.residual_histogram(w.forecasts), 6)
 
 
-@register("actual_vs_forecast_sample")
+@register("actual_vs_forecast_sample", """
+    SELECT * FROM forecasts WHERE actual_demand IS NOT NULL
+    ORDER BY md5('42|' || model_used || '|' || item_id || '|' || store_id || '|' || forecast_date) LIMIT 500""")
 def _sample(w: Warehouse) -> DataFrame:
-    """Repeatable sample of at most 500 holdout rows (rows-only check)"""
+    """Repeatable sample of at most 500 holdout rows"""
     from shelfcast.operators import evaluate
     return evaluate.actual_vs_forecast_sample(w.forecasts)
 
@@ -1000,6 +1002,30 @@ def _forecast_csv(w: Warehouse) -> DataFrame:
     return w.spark.read.csv(path, header=True, schema=sched.schema)
 
 
+@register("quality_log", f"""
+    SELECT dataset AS dataset_name, "check" AS check_name, status, total_records AS records_evaluated, failed_records, details
+    FROM ({O.quality_sql('calendar', 'fact_prices', 'fact_sales')})""")
+def _quality_log(w: Warehouse) -> DataFrame:
+    """Checks appended to the audit log and read back, but for the run's time"""
+    from shelfcast.operators import quality
+    path = _scratch(w, "validation-log")
+    _io().append_validation_log(quality.run_all_checks(w.calendar, w.fact_prices, w.fact_sales), path=path)
+    return w.spark.read.parquet(path).drop("run_timestamp")
+
+
+@register("table_append", """
+    SELECT store_id, item_id, wm_yr_wk, sell_price FROM fact_prices
+    UNION ALL SELECT store_id, item_id, wm_yr_wk, sell_price FROM fact_prices WHERE sell_price > 5""")
+def _table_append(w: Warehouse) -> DataFrame:
+    """A table replaced, then appended to, and read back"""
+    path = _scratch(w, "table")
+    prices = w.fact_prices.select("store_id", "item_id", "wm_yr_wk", "sell_price")
+    _io().write_table(prices.limit(1), "prices", "overwrite", path)
+    _io().write_table(prices, "prices", "overwrite", path)
+    _io().write_table(prices.filter("sell_price > 5"), "prices", "append", path)
+    return w.spark.read.parquet(path)
+
+
 @register("quality_report")
 def _quality_report(w: Warehouse) -> DataFrame:
     """S10 + S11: checks appended to the audit log and rendered as the one-row JSON report"""
