@@ -845,17 +845,29 @@ def _category_codes(w: Warehouse) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+_runs: dict[tuple[str, str], ModelRun] = {}
+
+
+def _model_run(w: Warehouse) -> ModelRun:
+    """One fitted run per application and directory, shared by the model queries; the last one is kept."""
+    key = (w.spark.sparkContext.applicationId, w.sf_dir)
+    if key not in _runs:
+        _runs.clear()
+        _runs[key] = ModelRun(w)
+    return _runs[key]
+
+
 @register("additive_coefficients")
 def _additive_coefficients(w: Warehouse) -> DataFrame:
     """M5: per-series ridge fit (intercept, 24 coefficients, residual std, origin, size)"""
-    return ModelRun(w).coefficients
+    return _model_run(w).coefficients
 
 
 @register("additive_holdout")
 def _additive_holdout(w: Warehouse) -> DataFrame:
     """M6: additive model scored on the holdout"""
     from shelfcast.operators import forecast
-    m = ModelRun(w)
+    m = _model_run(w)
     out = forecast._with_actuals(forecast.score_additive(m.test, m.coefficients), 30)
     return out.select(*forecast.FORECAST_COLUMNS)
 
@@ -864,20 +876,20 @@ def _additive_holdout(w: Warehouse) -> DataFrame:
 def _additive_horizon(w: Warehouse) -> DataFrame:
     """M7: 30-day additive forecast after each fitted series' history"""
     from shelfcast.operators import forecast
-    m = ModelRun(w)
+    m = _model_run(w)
     return forecast.additive_horizon(m.coefficients, m.train, w.horizon_calendar, 30)
 
 
 @register("model_forecasts")
 def _model_forecasts(w: Warehouse) -> DataFrame:
     """M2-M4, M6, M9: fact_forecast_results (tree + additive holdout, tree forward 7/30/90)"""
-    return ModelRun(w).fact_forecast_results
+    return _model_run(w).fact_forecast_results
 
 
 @register("feature_importances")
 def _feature_importances(w: Warehouse) -> DataFrame:
     """M8: tree feature importances, descending"""
-    return ModelRun(w).tree.feature_importances(w.spark)
+    return _model_run(w).tree.feature_importances(w.spark)
 
 
 @register("model_comparison")
@@ -885,7 +897,7 @@ def _model_comparison(w: Warehouse) -> DataFrame:
     """Champion between the tree and the additive model on the holdout"""
     from shelfcast.operators import evaluate
     from shelfcast.session import materialize
-    return evaluate.compare_models(materialize(ModelRun(w).fact_forecast_results))
+    return evaluate.compare_models(materialize(_model_run(w).fact_forecast_results))
 
 
 @register("store_sheet", f"""
