@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import mix, stage
+from shelfcast.llm.common import mix, slabs, stage
 
 WINDOW, ROUNDS = 50, 5
 #: Rounds that name runs before pairs; every round would cost a certain symbol more.
 RUN_ROUNDS = (0, 3)
-#: Bytes of text treated at once.
-CHUNK = 1 << 20
+#: Bytes of text treated at once, runs compared at once, documents of an anchor that is compared in one task.
+CHUNK, SLAB_RUNS, MANY = 1 << 20, 20_000, 4096
+RUNS = "anchor long, doc_id long, place long, contents binary"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -168,9 +169,10 @@ def _crc():
 
 
 def find_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``(doc_id, places)``: the windows of a document that a document with a smaller id has too.
+    """``(doc_id, places)``: the windows of a document that a document with a smaller id has too, in runs ``(place, n)``.
 
-    A place is ``31 bits of crc32(text) << 32 | first word``, so that rows which share an
+    All runs of an anchor that at most MANY documents hold are compared in one
+    task.  A place is ``31 bits of crc32(text) << 32 | first word``, so that rows which share an
     id but not their text stay apart.
     """
     rows = docs.filter("doc_id is not null and octet_length(text) >= %d" % (2 * size - 1))
@@ -187,26 +189,65 @@ def find_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[other].view(np.int64)), pa.array(ids[other])], ["anchor", "doc_id"])
 
     named = stage(rows.select("doc_id", "text").mapInArrow(name, "anchor long, doc_id long"), "anchors")
-    shared = named.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    per_doc = named.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    candidates = rows.select("doc_id", "text", _crc().alias("crc")).join(per_doc, "doc_id")
+    shared = (named.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+              .filter("lo < hi").select("anchor", (F.col("n") > MANY).alias("many")))
 
-    def verify(batches):
+    def runs(many: bool) -> DataFrame:
+        """``(anchor, doc_id, place, contents)``: windows in a row that have one shared anchor, and their hashes."""
+        own = named.join(shared.filter(F.col("many") == many).select("anchor"), "anchor")
+        per_doc = own.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+        return rows.select("doc_id", "text", _crc().alias("crc")).join(per_doc, "doc_id").mapInArrow(hash_runs, RUNS)
+
+    def hash_runs(batches):
         for b in batches:
             for part in _chunks(_texts(b, "doc_id", "crc", "anchors")):
                 words = Words([t for _, t in part])
                 at, anchor, own = anchors(words, size)
                 keep = np.isin(anchor, np.concatenate([np.array(r[2], np.int64) for r, _ in part]).view(np.uint64))
-                at, doc = at[keep], words.doc[at[keep]]
+                at, anchor, own, doc = at[keep], anchor[keep], own[keep], words.doc[at[keep]]
+                first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][:len(at)])
                 place = (np.array([r[1] for r, _ in part], np.int64) << 32)[doc] | (at - words.first[doc])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchor[keep].view(np.int64), own[keep].view(np.int64), np.array([r[0] for r, _ in part], np.int64)[doc], place)],
-                    ["anchor", "content", "doc_id", "place"])
-
-    windows = stage(candidates.mapInArrow(verify, "anchor long, content long, doc_id long, place long"), "windows")
-    first = windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
-    return (windows.join(first, ["anchor", "content"]).filter("lo < doc_id")
-            .groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+                ends = 8 * np.r_[first, len(at)].astype(np.int32)
+                contents = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(own.tobytes())])
+                ids = np.array([r[0] for r, _ in part], np.int64)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[first]), pa.array(place[first]), contents], ["anchor", "doc_id", "place", "contents"])
+
+    def compare(batches):
+        """Runs of windows that a smaller document has, from all runs of each anchor."""
+        for t in slabs(batches, ["anchor"], SLAB_RUNS):
+            contents = t.column("contents").to_pylist()
+            n = np.array([len(c) // 8 for c in contents])
+            which = np.repeat(np.arange(len(n)), n)
+            own = np.frombuffer(b"".join(contents), np.int64)
+            anchor, ids, place = (t.column(c).to_numpy()[which] for c in ("anchor", "doc_id", "place"))
+            place = place + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((ids, own, anchor))
+            new = np.r_[True, (own[order][1:] != own[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])][:len(order)]
+            least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            gone = np.zeros(len(order), bool)
+            gone[order] = least < ids[order]
+            at = np.flatnonzero(gone)
+            first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (which[at][1:] != which[at][:-1])][:len(at)])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at[first]], place[at[first]], np.diff(np.r_[first, len(at)]).astype(np.int64))], ["doc_id", "place", "n"])
+
+    few = runs(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc_id long, place long, n long")
+    if not shared.filter("many").isEmpty():
+        # an anchor of very many documents: a row per window, combined before the shuffle, the join's large keys split
+        packed = stage(runs(True), "runs")
+        def unpack(batches):
+            for b in batches:
+                contents = b.column("contents").to_pylist()
+                n = np.array([len(c) // 8 for c in contents], np.int64)
+                which = np.repeat(np.arange(len(n)), n)
+                anchor, ids, place = (b.column(c).to_numpy()[which] for c in ("anchor", "doc_id", "place"))
+                place = place + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, np.frombuffer(b"".join(contents), np.int64), ids, place)], ["anchor", "content", "doc_id", "place"])
+
+        windows = packed.mapInArrow(unpack, "anchor long, content long, doc_id long, place long")
+        first = windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+        repeated = windows.join(first, ["anchor", "content"]).filter("lo < doc_id").select("doc_id", "place", F.lit(1).cast("long").alias("n"))
+        few = few.unionByName(repeated)
+    return few.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("places"))
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -228,10 +269,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 gone = np.zeros(len(words.lo) + 1, np.int64)
                 for i, ((_, crc, places), _) in enumerate(part):
                     if places:
-                        p = np.array(places, np.int64)
-                        p = np.unique(p[p >> 32 == crc] & 0xFFFFFFFF) + words.first[i]
+                        p, n = np.array([(x["place"], x["n"]) for x in places], np.int64).T
+                        own = p >> 32 == crc
+                        p = (p[own] & 0xFFFFFFFF) + words.first[i]
                         np.add.at(gone, p, 1)
-                        np.add.at(gone, p + size, -1)
+                        np.add.at(gone, p + n[own] - 1 + size, -1)
                 keep = np.cumsum(gone)[:-1] == 0
                 total = np.r_[0, np.cumsum(keep)]
                 n, kept = np.diff(words.first), total[words.first[1:]] - total[words.first[:-1]]

@@ -217,7 +217,9 @@ def test_equal_windows_have_equal_anchors():
     assert len(set(own.tolist())) < len(own)
 
 
-def test_substring_against_brute_force(spark):
+@pytest.mark.parametrize("many", [substring.MANY, 2])
+def test_substring_against_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(substring, "MANY", many)
     rng = random.Random(9)
     passage = [prose(rng, n, 50) for n in (49, 50, 51, 120)]
     rows = [(i, " ".join([prose(rng, rng.randrange(60)), rng.choice(passage), prose(rng, rng.randrange(60)), rng.choice(passage)])) for i in range(60)]
