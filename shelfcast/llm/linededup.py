@@ -80,25 +80,28 @@ def files(lines: DataFrame) -> DataFrame:
     return stage(rows.join(other, near, "left_semi"), "files")
 
 
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs of ids ``(a, b)``, those whose words are at least SIMILARITY alike; ``texts(id, words)``.
+def letters(line: Column) -> list[Column]:
+    """A line's words as characters, by two independent hashes; U+0100 up to the surrogates."""
+    words = F.split(line, " ")
 
-    Similarity is 1 - edits / words of the longer line.  A pair's words become
-    characters by their place among the pair's distinct words, and
-    ``levenshtein`` of the characters counts the edits.
-    """
-    x = pairs.join(texts.toDF("a", "words_a"), "a").join(texts.toDF("b", "words_b"), "b")
-    x = x.withColumn("longer", F.greatest(F.size("words_a"), F.size("words_b")))
-    x = x.withColumn("most", F.floor(F.col("longer") * (1 - SIMILARITY) + 1e-9).cast("int"))
-    x = x.filter(F.abs(F.size("words_a") - F.size("words_b")) <= F.col("most")).withColumn("all", F.array_union("words_a", "words_b"))
-
-    def letters(words: str) -> Column:
-        # U+0100 up to the surrogates; lines of over 54,000 distinct words use a character twice
-        code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position("all", w) % 0xD600 + 0x100), 4, "0"))
+    def coded(seed: int) -> Column:
+        code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(F.lit(seed), w), F.lit(0xD6FF)) + 0x100), 4, "0"))
         return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
-    x = x.select("a", "b", "most", letters("words_a").alias("x"), letters("words_b").alias("y"))
-    return x.filter(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+    return [F.size(words).alias("n"), coded(1).alias("x"), coded(2).alias("y")]
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs of ids ``(a, b)``, those whose words are at least SIMILARITY alike; ``texts(id, n, x, y)``.
+
+    Similarity is 1 - edits / words of the longer line.  ``levenshtein`` of a
+    pair's characters counts the edits; both codings must agree, so words
+    that share a character in one of them still differ in the other.
+    """
+    both = pairs.join(texts.toDF("a", "n_a", "x_a", "y_a"), "a").join(texts.toDF("b", "n_b", "x_b", "y_b"), "b")
+    both = both.withColumn("most", F.floor(F.greatest("n_a", "n_b") * (1 - SIMILARITY) + 1e-9).cast("int"))
+    return (both.filter(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("most"))
+            .filter(F.expr("levenshtein(x_a, x_b, most) >= 0 and levenshtein(y_a, y_b, most) >= 0")).select("a", "b"))
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def line_groups(lines: DataFrame) -> DataFrame:
     near = files(once.select("id", "simhash"))
     ids = once.join(near.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2")
     texts = lines.select("k1", "k2", "line").join(ids, ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("line"))
-    texts = stage(texts.select("id", F.split("line", " ").alias("words")), "line-words")
+    texts = stage(texts.select("id", *letters(F.col("line"))), "line-words")
 
     heads = near.groupBy("file").agg(F.min_by(F.struct("id", "simhash"), "id").alias("head"))
     first = (near.join(heads, "file").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.simhash").alias("s"), "simhash")
