@@ -107,9 +107,11 @@ def dedup_lines(rows: list[tuple], hashes: dict[str, int]) -> list[str | None]:
             if n := normalised(line):
                 first[n] = min(first.get(n, (i, k)), (i, k))
 
+    prints = {n: line_simhash(n, hashes) for n in first}
+
     def alike(a: str, b: str) -> bool:
         x, y = a.split(" "), b.split(" ")
-        return (line_simhash(a, hashes) ^ line_simhash(b, hashes)).bit_count() <= 3 and edits(x, y) <= math.floor(max(len(x), len(y)) * 0.2 + 1e-9)
+        return (prints[a] ^ prints[b]).bit_count() <= 3 and edits(x, y) <= math.floor(max(len(x), len(y)) * 0.2 + 1e-9)
 
     part = components(sorted(first), alike)
     keep: dict[str, tuple] = {}
