@@ -22,8 +22,8 @@ from shelfcast.llm.common import connected_components, stage
 SIMILARITY, BITS = 0.8, 3
 #: (first bit, number of bits) of the five blocks of a SimHash.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Words that one set of 16-bit counters takes (the highest must not reach the sign).
-COUNTER_WORDS = 32_767
+#: 2 to this power words are what one set of 16-bit counters takes (the highest must not reach the sign).
+COUNTER_BITS = 14
 
 
 def normalised(line: Column) -> Column:
@@ -40,7 +40,8 @@ def with_row(docs: DataFrame) -> DataFrame:
 def lines_of(rows: DataFrame) -> DataFrame:
     """``(occ, k1, k2, line)`` of every line with a letter or digit; occ orders occurrences, null ids last."""
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    lines = lines.select("doc_id", "row", "at", normalised(F.col("raw")).alias("line")).filter("line <> ''")
+    # what has a letter or digit isn't empty when normalised; a filter on the normalised line would be pushed below it and normalise twice
+    lines = lines.filter(F.col("raw").rlike(r"[\p{L}\p{N}]")).select("doc_id", "row", "at", normalised(F.col("raw")).alias("line"))
     occ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
     return lines.select(occ.alias("occ"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), "line")
 
@@ -50,7 +51,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     once = lines.groupBy("k1", "k2").agg(F.min("occ").alias("occ"), F.count("*").alias("copies"), F.first("line").alias("line"))
     own = ["k1", "k2", "occ", "copies"]
     words = once.select(*own, F.posexplode(F.split("line", " ")).alias("pos", "word"))
-    words = words.select(*own, F.floor(F.col("pos") / COUNTER_WORDS).alias("part"), F.xxhash64("word").alias("h"))
+    words = words.select(*own, F.shiftright("pos", COUNTER_BITS).alias("part"), F.xxhash64("word").alias("h"))
     one, two = (F.lit(x).cast("long") for x in (0x0001000100010001, 0x0000FFFF0000FFFF))
     parts = words.groupBy(*own, "part").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(one)).alias(f"c{j}") for j in range(16)])
     counts = parts.groupBy(*own).agg(F.sum("n").alias("n"), *[F.sum(F.shiftrightunsigned(f"c{j}", 16 * odd).bitwiseAND(two)).alias(f"s{j}_{odd}") for j in range(16) for odd in (0, 1)])
