@@ -1,27 +1,30 @@
 """Fuzzy line deduplication in DataFrame functions alone.
 
-Lines are normalised and deduplicated by two 64-bit hashes.  A distinct line's
-SimHash counts, for each of 64 bits, the words whose hash sets it (four
-16-bit counters to a long).  Two SimHashes within three bits agree on at least
-two of five blocks, so each line is filed under its ten pairs of blocks.  In
-a file, every line is first compared with the file's smallest; the components
-of those links are found, and only lines of one file that are still apart are
-compared with each other.  A comparison is the SimHash distance, then an edit
-similarity of the normalised lines.  One occurrence per component stays.
+Lines are normalised and deduplicated by two 64-bit hashes.  A distinct line is
+filed under the hashes of its runs of three words (of two, in lines of four and
+five): all of them up to ``KEYS``, else the ``KEYS`` that come first in one
+order of all runs.  Lines at least SIMILARITY alike have such a run in common,
+so lines of up to ``KEYS`` + 2 words lose no pair; longer ones lose the few
+whose edits hit every run they are filed under (recall in the README).  A
+line's SimHash counts, for each of 64 bits, the words whose hash sets it (four
+16-bit counters to a long).  In a file, every line is first compared with the
+file's smallest; the components of those links are found, and only lines of one
+file that are still apart are compared with each other.  A comparison is the
+numbers of words, the SimHash distance, then an edit similarity of the
+normalised lines.  One occurrence per component stays.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import connected_components, stage
 
-SIMILARITY, BITS = 0.8, 3
-#: (first bit, number of bits) of the five blocks of a SimHash.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Unrelated lines differ in 32 bits on average, lines that are 0.8 alike in 13.
+SIMILARITY, BITS = 0.8, 28
+#: A line's files.  Runs of at least so many characters come first: shorter ones are mostly of words that many lines use.
+KEYS, LONG_RUN = 24, 18
 #: 2 to this power words are what one set of 16-bit counters takes (the highest must not reach the sign).
 COUNTER_BITS = 14
 
@@ -46,8 +49,23 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return lines.select(occ.alias("occ"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), "line")
 
 
+def runs(line: Column) -> Column:
+    """The hashes of the runs of words that a line is filed under; lines of up to three words have none."""
+    def joined(a, b):
+        return F.struct(F.xxhash64(a["h"], b["h"]).alias("h"), (a["n"] + b["n"]).alias("n"))
+
+    words = F.transform(F.split(line, " "), lambda w: F.struct(F.xxhash64(w).alias("h"), F.length(w).alias("n")))
+    n = F.size(F.split(line, " "))
+    two = F.slice(F.zip_with(words, F.slice(words, F.lit(2), n), joined), F.lit(1), F.greatest(n - 1, F.lit(0)))
+    three = F.slice(F.zip_with(two, F.slice(words, F.lit(3), n), joined), F.lit(1), F.greatest(n - 2, F.lit(0)))
+    found = F.when(n == 4, two).when(n == 5, F.concat(two, three)).when(n > 5, three)
+    top, rest = (F.lit(x).cast("long") for x in (-(1 << 63), (1 << 63) - 1))
+    keys = F.transform(found, lambda r: F.when(r["n"] >= LONG_RUN, r["h"].bitwiseOR(top)).otherwise(r["h"].bitwiseAND(rest)))
+    return F.slice(F.sort_array(F.array_distinct(keys)), 1, KEYS)
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """``(id, k1, k2, occ, copies, simhash)`` of the distinct lines, staged; occ is the first occurrence."""
+    """``(id, k1, k2, occ, copies, n, simhash, line)`` of the distinct lines, staged; occ is the first occurrence, n the words."""
     once = lines.groupBy("k1", "k2").agg(F.min("occ").alias("occ"), F.count("*").alias("copies"), F.first("line").alias("line"))
     own = ["k1", "k2", "occ", "copies"]
     words = once.select(*own, F.posexplode(F.split("line", " ")).alias("pos", "word"))
@@ -60,24 +78,30 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
         for lane in range(4):
             ones = F.shiftrightunsigned(F.col(f"s{j}_{lane % 2}"), 32 * (lane // 2)).bitwiseAND(F.lit(0xFFFFFFFF))
             simhash = simhash.bitwiseOR(F.shiftleft((2 * ones > F.col("n")).cast("long"), 16 * lane + j))
-    return stage(counts.select(F.monotonically_increasing_id().alias("id"), *own, simhash.alias("simhash")), "distinct-lines")
+    # both sides are the same shuffle by k1 and k2
+    counts = counts.select("k1", "k2", F.col("n").cast("int").alias("n"), simhash.alias("simhash"))
+    return stage(once.join(counts, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("id"), *own, "n", "simhash", "line"), "distinct-lines")
 
 
 def apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def near_enough(a: str, b: str) -> Column:
+    """SimHashes within BITS bits, and numbers of words that can be SIMILARITY alike; a and b are what follows the columns' names."""
+    few, many = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
+    return (many - few <= most_edits(many)) & (apart(f"simhash{a}", f"simhash{b}") <= BITS)
+
+
+def most_edits(words: Column) -> Column:
+    return F.floor(words * (1 - SIMILARITY) + 1e-9).cast("int")
+
+
 def files(lines: DataFrame) -> DataFrame:
-    """``(file, id, simhash)``, staged: each line in those of its files that hold another line within BITS bits."""
-    keys = []
-    for n, pair in enumerate(combinations(BLOCKS, 2)):
-        key = F.lit(n).cast("long")
-        for first, size in pair:
-            key = F.shiftleft(key, size).bitwiseOR(F.shiftrightunsigned("simhash", first).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
-        keys.append(key)
-    rows = lines.select(F.explode(F.array(*keys)).alias("file"), "id", "simhash")
-    other = rows.select(F.col("file").alias("file_b"), F.col("id").alias("id_b"), F.col("simhash").alias("simhash_b"))
-    near = (F.col("file") == F.col("file_b")) & (F.col("id") != F.col("id_b")) & (apart("simhash", "simhash_b") <= BITS)
+    """``(file, id, n, simhash)``, staged: each line in those of its files that hold another line near enough."""
+    rows = lines.select(F.explode(runs(F.col("line"))).alias("file"), "id", "n", "simhash")
+    other = rows.toDF("file_b", "id_b", "n_b", "simhash_b")
+    near = (F.col("file") == F.col("file_b")) & (F.col("id") != F.col("id_b")) & near_enough("", "_b")
     return stage(rows.join(other, near, "left_semi"), "files")
 
 
@@ -100,7 +124,7 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     that share a character in one of them still differ in the other.
     """
     both = pairs.join(texts.toDF("a", "n_a", "x_a", "y_a"), "a").join(texts.toDF("b", "n_b", "x_b", "y_b"), "b")
-    both = both.withColumn("most", F.floor(F.greatest("n_a", "n_b") * (1 - SIMILARITY) + 1e-9).cast("int"))
+    both = both.withColumn("most", most_edits(F.greatest("n_a", "n_b")))
     return (both.filter(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("most"))
             .filter(F.expr("levenshtein(x_a, x_b, most) >= 0 and levenshtein(y_a, y_b, most) >= 0")).select("a", "b"))
 
@@ -108,22 +132,21 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def line_groups(lines: DataFrame) -> DataFrame:
     """``(k1, k2, component, occ, copies)`` of the distinct lines of ``lines`` (see ``lines_of``)."""
     once = distinct_lines(lines)
-    near = files(once.select("id", "simhash"))
-    ids = once.join(near.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2")
-    texts = lines.select("k1", "k2", "line").join(ids, ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("line"))
+    near = files(once.select("id", "n", "simhash", "line"))
+    texts = once.join(near.select("id").distinct(), "id", "left_semi")
     texts = stage(texts.select("id", *letters(F.col("line"))), "line-words")
 
-    heads = near.groupBy("file").agg(F.min_by(F.struct("id", "simhash"), "id").alias("head"))
-    first = (near.join(heads, "file").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.simhash").alias("s"), "simhash")
-             .filter((F.col("a") != F.col("b")) & (apart("s", "simhash") <= BITS)).select("a", "b").distinct())
+    heads = near.groupBy("file").agg(F.min_by(F.struct("id", "n", "simhash"), "id").alias("head"))
+    first = (near.join(heads, "file").select("id", "n", "simhash", F.col("head.id").alias("id_h"), F.col("head.n").alias("n_h"), F.col("head.simhash").alias("simhash_h"))
+             .filter((F.col("id") != F.col("id_h")) & near_enough("", "_h")).select(F.col("id_h").alias("a"), F.col("id").alias("b")).distinct())
     links = stage(alike(first, texts), "line-links")
     parts = stage(connected_components(links), "line-parts")
 
-    placed = near.join(parts, near.id == parts.node, "left").select("file", "id", "simhash", F.coalesce("component", "id").alias("part"))
+    placed = near.join(parts, near.id == parts.node, "left").select("file", "id", "n", "simhash", F.coalesce("component", "id").alias("part"))
     open_files = placed.groupBy("file").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("file")
     placed = stage(placed.join(open_files, "file", "left_semi"), "open-files")
-    other = placed.toDF("file", "id_b", "simhash_b", "part_b")
-    rest = (placed.join(other, "file").filter((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & (apart("simhash", "simhash_b") <= BITS))
+    other = placed.toDF("file", "id_b", "n_b", "simhash_b", "part_b")
+    rest = (placed.join(other, "file").filter((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & near_enough("", "_b"))
             .select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more = stage(alike(rest, texts), "line-links")
     if not more.isEmpty():

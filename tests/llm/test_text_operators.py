@@ -403,6 +403,31 @@ def test_line_dedup_edges(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_at_the_limit_are_found(spark):
+    """Against edit similarity alone, without a filter on bits or runs."""
+    rng = random.Random(22)
+    lines = []
+    for n in (4, 5, 6, 9, 10, 14, 15, 18, 20, 30, 60):
+        for _ in range(5):
+            words = prose(rng, n, 5000).split()
+            other = list(words)
+            for i in sorted(rng.sample(range(n), max(1, n // 5)), reverse=True):
+                other[i:i + 1] = rng.choice([["new"], [], [words[i], "more"]])
+            lines += [" ".join(words), " ".join(other)]
+    lines += ["one two three four", "one two three five", "a b", "a c"]
+    got = linededup.line_groups(linededup.lines_of(linededup.with_row(docs(spark, list(enumerate(lines)))))).collect()
+    part = {r.occ.doc_id: r.component for r in got}
+
+    def alike(i, j):
+        x, y = lines[i].split(), lines[j].split()
+        most = int(max(len(x), len(y)) * 0.2 + 1e-9)
+        return abs(len(x) - len(y)) <= most and plain.edits(x, y) <= most
+
+    want = plain.components(sorted(part), alike)
+    assert sum(want[i] != i for i in want) > 45
+    assert {(i, j) for i in part for j in part if part[i] == part[j]} == {(i, j) for i in part for j in part if want[i] == want[j]}
+
+
 # ---- quality
 
 def test_label_model_recovers_accuracies():
