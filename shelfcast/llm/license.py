@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences, each sentence is normalised and looked up in a
-table of known licence sentences, and the identifiers found, in order, are
+A text is cut into sentences, which are normalised and looked up in a table of
+known licence sentences; a known sentence may run on over lines that the cut
+before a capitalised line has split.  The identifiers found, in order, are
 matched against ordered rules.  Rules with more identifiers go first and use
 up what they match, so a longer licence isn't reported as a shorter one too;
 sentences that no rule uses are reported as left over.
@@ -29,6 +30,9 @@ SENTENCES: dict[str, list[str]] = {
     "GplFree": ["this program is free software"],
     "Gpl3Later": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "Gpl2Later": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "GplTerms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "Gpl3Either": ["either version 3 of the license or at your option any later version"],
+    "Gpl2Either": ["either version 2 of the license or at your option any later version"],
     "GplHope": ["this program is distributed in the hope that it will be useful but without any warranty"],
     "BsdName": ["licensed under the bsd license", "released under the bsd license"],
     "BsdGrant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
@@ -38,7 +42,7 @@ SENTENCES: dict[str, list[str]] = {
     "CcBy": ["licensed under cc by 4.0", "this work is licensed under cc by 4.0", "released under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "CcBySa": ["licensed under cc by sa 4.0", "this work is licensed under cc by sa 4.0", "released under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
     "CcByNc": ["licensed under cc by nc 4.0", "this work is licensed under cc by nc 4.0", "released under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
-    "Mpl2": ["this source code form is subject to the terms of the mozilla public license v 2.0"],
+    "Mpl2": ["this source code form is subject to the terms of the mozilla public license v 2.0", "this source code form is subject to the terms of the mozilla public license v"],
     "Proprietary": ["all rights reserved"],
 }
 
@@ -49,8 +53,12 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("ApacheName", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheLimits")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "Gpl3Either", "GplHope")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "Gpl2Either", "GplHope")),
     ("GPL-3.0-or-later", ("GplFree", "Gpl3Later", "GplHope")),
     ("GPL-2.0-or-later", ("GplFree", "Gpl2Later", "GplHope")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "Gpl3Either")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "Gpl2Either")),
     ("GPL-3.0-or-later", ("GplFree", "Gpl3Later")),
     ("GPL-2.0-or-later", ("GplFree", "Gpl2Later")),
     ("MIT", ("MitName",)),
@@ -65,17 +73,25 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Proprietary", ("Proprietary",)),
 ]
 
-#: A sentence ends at a mark before white space or the end, at an empty line, and before a line that starts like a sentence.
-ENDS = r"[.;:!?]+(\s|$)|\n\s*\n"
+#: A line that starts like a sentence may start one, or go on with a wrapped one: the mark WRAP stands before it.
 LINE = r"\n([^A-Za-z0-9\n]*[A-Z][a-z])"
-CUT = "\x01"
+CUT, WRAP = "\x01", "\x02"
+#: A sentence surely ends at a mark before white space or the end, and at an empty line.
+ENDS = r"[.;:!?]+(?:[\s\x02]|$)|\n\s*[\n\x02]"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in order: lower case, letters, digits, inner points and plus signs, single spaces."""
-    cut = F.regexp_replace(F.regexp_replace(text, LINE, CUT + "$1"), ENDS, CUT)
-    plain = F.regexp_replace(F.lower(cut), "[^a-z0-9.+\x01]+", " ")
-    return F.transform(F.split(plain, CUT), lambda s: F.regexp_replace(s, "^[ .]+|[ .]+$", ""))
+def known_sentences(text: Column) -> Column:
+    """The known sentences of a text in order, normalised: lower case, letters, digits, inner points and plus signs, single spaces.
+
+    A known sentence starts and ends at a CUT or WRAP or an end of the text,
+    and may have a WRAP between two of its words; the longest goes first.
+    """
+    marked = F.regexp_replace(F.translate(text, WRAP, " "), LINE, WRAP + "$1")
+    plain = F.regexp_replace(F.lower(F.regexp_replace(marked, ENDS, CUT)), "[^a-z0-9.+\x01\x02]+", " ")
+    names = sorted((t for texts in SENTENCES.values() for t in texts), key=len, reverse=True)
+    any_of = "|".join(t.replace(".", r"\.").replace("+", r"\+").replace(" ", r"(?: |[ .]*+\x02[ .]*+)") for t in names)
+    found = F.regexp_extract_all(plain, F.lit(rf"(?:^|[\x01\x02])[ .]*+({any_of})(?=[ .]*+(?:[\x01\x02]|$))"), F.lit(1))
+    return F.transform(found, lambda s: F.regexp_replace(s, r"[ .]*+\x02[ .]*+", " "))
 
 
 def by_length() -> list[tuple[str, tuple[str, ...]]]:
@@ -90,10 +106,8 @@ def scan(docs: DataFrame) -> DataFrame:
     special cases; nothing is joined or shuffled.
     """
     known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for t in texts for x in (t, name)])
-    names = [t for texts in SENTENCES.values() for t in texts]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = F.filter(sentences(F.col("text")), lambda s: s.isin(*names))
-    rows = rows.select("doc_id", F.transform(found, lambda s: F.element_at(known, s)).alias("sentence_ids"))
+    rows = rows.select("doc_id", F.transform(known_sentences(F.col("text")), lambda s: F.element_at(known, s)).alias("sentence_ids"))
     rows = rows.withColumn("left", F.concat(F.lit(","), F.array_join(F.transform("sentence_ids", lambda s: F.concat(s, F.lit(",,"))), "")))
     for i, (_, ids) in enumerate(by_length()):
         pattern = "," + ",,".join(ids) + ","

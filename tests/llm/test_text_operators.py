@@ -8,6 +8,7 @@ import io
 import os
 import random
 import sys
+import textwrap
 import zlib
 
 import numpy as np
@@ -330,6 +331,30 @@ def test_longer_rules_use_up_their_sentences(spark):
     assert r.licences == ["BSD-3-Clause", "Proprietary"] and r.left_over == ["GplFree"]
 
 
+GPL_2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+MPL_2 = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+
+
+def test_standard_notices_at_any_line_width(spark):
+    notices = {"GPL-2.0-or-later": [GPL_2, HOPE], "GPL-3.0-or-later": [GPL_2.replace("version 2", "version 3").replace("Foundation;", "Foundation,")],
+               "MIT": [MIT_GRANT, MIT_NOTICE, MIT_AS_IS], "MPL-2.0": [MPL_2], "Apache-2.0": [APACHE]}
+    rows, want = [], {}
+    for name, paragraphs in notices.items():
+        for width in [*range(20, 120, 3), 10_000]:
+            for mark in ("", "# ", " * "):
+                lines = [x for p in paragraphs for x in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""]]
+                want[len(rows)] = [name]
+                rows.append((len(rows), "Copyright of a heading\n\n" + "\n".join(mark + x if x else x for x in lines)))
+    got = {r.doc_id: r for r in license.scan(docs(spark, rows)).collect()}
+    assert {i: r.licences for i, r in got.items()} == want
+    assert all(r.left_over == [] or want[i] == ["Apache-2.0"] for i, r in got.items())
+
+
 # ---- SimHash
 
 def test_simhash_against_brute_force(spark):
