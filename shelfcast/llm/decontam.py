@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents and benchmark items are cut into overlapping passages of ``PASSAGE``
-words.  Words are hashed into ``BUCKETS`` terms; the terms that the benchmark
-uses get inverse document frequencies counted over all documents.  A
-randomised SVD of the benchmark passages' TF-IDF rows, whose products are
+words.  Words are hashed into ``BUCKETS`` terms, which get inverse document
+frequencies counted over all documents, whether the benchmark uses them or not.
+A randomised SVD of the benchmark passages' TF-IDF rows, whose products are
 summed by Spark jobs, gives a latent space of ``LATENT`` dimensions.  A
 document passage is a candidate for an item if their latent cosine, lowered by
 the share of the passage's weight that lies outside the benchmark's terms,
-reaches ``COSINE``; passages whose whole benchmark weight can't reach it are
+reaches ``COSINE`` times the cosine that a copy of the item's passage has among
+other words of equal weight; passages whose whole benchmark weight can't reach it are
 passed over, which loses none.  Each candidate is checked on the words around
 the passage: the longest common subsequence with the whole item decides, and
 for paraphrases the item's answer must be there too.
@@ -26,7 +27,8 @@ from shelfcast.llm.substring import CHUNK, Words
 
 PASSAGE, STRIDE = 32, 16
 BUCKETS, LATENT, SPARE, POWERS = 1 << 17, 128, 16, 2
-COSINE = 0.35
+#: Times the root of a passage's share of PASSAGE words; from the recall in the README.
+COSINE = 0.2
 #: Common share of an item's words for a copy; for a paraphrase, with this share of its answer's words.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Items of fewer words match nothing; passages of items compared in one pass over the documents.
@@ -68,8 +70,8 @@ def spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Space:
     """Inverse document frequencies and, once fitted, the latent projection of each benchmark term."""
 
-    def __init__(self, idf: np.ndarray, other: float):
-        self.idf, self.other = idf, other  # idf is 0 where the benchmark has no term; other stands for such terms
+    def __init__(self, idf: np.ndarray, other: np.ndarray):
+        self.idf, self.other = idf, other  # idf is 0 where the benchmark has no term; other has those terms' frequencies
         self.row = np.cumsum(idf > 0) - 1
         self.basis = np.zeros((0, 0))
 
@@ -79,7 +81,7 @@ class Space:
         key, n = np.unique(which * BUCKETS + bucket[at], return_counts=True)
         which, term = key // BUCKETS, key % BUCKETS
         inside = self.idf[term] > 0
-        weight = np.sqrt(n) * np.where(inside, self.idf[term], self.other)
+        weight = np.sqrt(n) * np.where(inside, self.idf[term], self.other[term])
         norm = np.sqrt(np.bincount(which, weight**2, minlength=len(lo)))
         return which[inside], self.row[term[inside]], weight[inside], norm
 
@@ -107,7 +109,7 @@ def _parts(batches, columns: int):
 
 
 def frequencies(docs: DataFrame, items: DataFrame) -> Space:
-    """Document frequencies of the benchmark's terms over all documents, as inverse frequencies."""
+    """Document frequencies of all terms over all documents, as inverse frequencies."""
     spark = docs.sparkSession
 
     def used(batches):
@@ -119,25 +121,22 @@ def frequencies(docs: DataFrame, items: DataFrame) -> Space:
 
     known = np.zeros(BUCKETS, bool)
     known[[r.term for r in items.select("text").mapInArrow(used, "term long").distinct().collect()]] = True
-    shared = spark.sparkContext.broadcast(known)
 
     def count(batches):
         n, docs_seen = np.zeros(BUCKETS, np.int64), 0
         for _, texts in _parts(batches, 1):
             words = Terms(texts)
-            inside = shared.value[words.bucket]
-            n += np.bincount(np.unique(words.doc[inside] * BUCKETS + words.bucket[inside]) % BUCKETS, minlength=BUCKETS)
+            n += np.bincount(np.unique(words.doc * BUCKETS + words.bucket) % BUCKETS, minlength=BUCKETS)
             docs_seen += len(texts)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[n[at], docs_seen])], ["term", "n"])
 
     counts = {r.term: r.n for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop(-1, 0)
-    idf = np.where(known, np.log(1 + total), 0.0)
-    for term, n in counts.items():
-        idf[term] = np.log((1 + total) / (1 + n))
-    idf = np.where(known, np.maximum(idf, 1e-3), 0)
-    return Space(idf, float(np.log(1 + total)) if total else 1.0)
+    seen = np.zeros(BUCKETS, np.int64)
+    seen[list(counts)] = list(counts.values())
+    idf = np.maximum(np.log((1 + total) / (1 + seen)), 1e-3)
+    return Space(np.where(known, idf, 0.0), np.where(known, 0.0, idf))
 
 
 def fit(items: DataFrame, space: Space, seed: int = 3) -> None:
@@ -245,7 +244,8 @@ def _held_by(rows: DataFrame, shared) -> DataFrame:
         size = np.sqrt((latent**2).sum(axis=1))
         # a copy of the item's passage scores 1 whatever share of it the latent space keeps
         aim = (latent * (norm / np.maximum(size, 1e-9) ** 2)[:, None]).T
-        reach = COSINE * np.min(size / np.maximum(norm, 1e-9), where=norm > 0, initial=1.0)
+        least = COSINE * np.sqrt((hi - lo) / PASSAGE)
+        reach = np.min(least * size / np.maximum(norm, 1e-9), where=norm > 0, initial=1.0)
         for ids, texts in _parts(batches, 3):
             docs = Terms(texts)
             out = []
@@ -258,7 +258,7 @@ def _held_by(rows: DataFrame, shared) -> DataFrame:
             keep = able[which]
             score = space.project(new[which[keep]], term[keep], weight[keep], int(able.sum())) @ aim
             score /= np.maximum(norm[able], 1e-9)[:, None]
-            near, passage = np.nonzero(score >= COSINE)
+            near, passage = np.nonzero(score >= least)
             starts, doc = lo[able][near], docs.doc[lo[able][near]] if len(near) else np.zeros(0, int)
             pairs = np.unique(np.stack([doc, item[passage], starts]), axis=1)
             done: dict[tuple[int, int], float] = {}
@@ -267,6 +267,9 @@ def _held_by(rows: DataFrame, shared) -> DataFrame:
                     continue
                 n = len(words[i])
                 around = docs.hash[max(docs.first[d], s - n):min(docs.first[d + 1], s + PASSAGE + n)].tolist()
+                held = set(around)
+                if sum(w in held for w in words[i]) / n < PARAPHRASE:  # the subsequence can't be longer
+                    continue
                 common = common_subsequence(words[i], around) / n
                 if common < PARAPHRASE:
                     continue

@@ -188,6 +188,32 @@ def test_contaminations_against_brute_force(spark):
     assert decontam.contaminations(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_at_the_limits_are_found(spark):
+    rng = random.Random(23)
+    items, rows, held = [], [(i, prose(rng, 200, 20_000)) for i in range(1000, 1100)], set()
+    for i, n in enumerate([8, 10, 12, 15, 17, 19, 30, 45] * 3):
+        words = prose(rng, n, 20_000).split()
+        items.append((i, " ".join(words), " ".join(words[-3:])))
+        most = [n - -(-4 * n // 5), n - -(-3 * n // 5)]
+        for k, lost in enumerate(most):  # a copy at 0.8, a paraphrase at 0.6 with the whole answer
+            gone = set(rng.sample(range(n - 3), min(lost, n - 3)))
+            text = [f"x{rng.randrange(20_000)}" if j in gone else w for j, w in enumerate(words)]
+            host = prose(rng, 120, 20_000).split()
+            at = rng.randrange(120)
+            rows.append((2 * i + k, " ".join([*host[:at], *text, *host[at:]])))
+            held.add((2 * i + k, i))
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    found = decontam.contaminations(docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == held
+
+
+def test_weights_of_other_words_are_their_own(spark):
+    space = decontam.frequencies(docs(spark, [(i, f"often rare{i}") for i in range(50)]), docs(spark, [(0, "an item")]))
+    often, rare = (int(decontam.Terms([w]).bucket[0]) for w in ("often", "rare7"))
+    assert space.idf[often] == space.idf[rare] == 0
+    assert space.other[often] < 0.01 and space.other[rare] == pytest.approx(np.log(51 / 2))
+
+
 def test_latent_space_is_that_of_the_svd(spark):
     rng = random.Random(7)
     items = docs(spark, [(i, prose(rng, 30, 60)) for i in range(50)])
