@@ -6,7 +6,8 @@ sample (``FIT_VALUES`` components, ``FIT_ROWS`` rows) and every row is filed in
 its nearest leaf.  A query keeps the branches it passed in a priority queue
 by the distance to their centres and visits leaves in that order; how many is
 widened until a bounded set of queries, compared with brute force over all
-rows, reaches ``TARGET`` recall.  Leaves and their visitors are dealt out in
+rows, reaches ``TARGET`` recall.  A query goes on past that number until its
+leaves hold enough rows for an answer.  Leaves and their visitors are dealt out in
 blocks of bounded size, so a leaf that holds a third of all rows is many tasks.
 Scores are sums in component order in double precision, so equal vectors have
 equal scores and ties are exact.
@@ -109,11 +110,11 @@ class Tree:
                 todo += [(kid, own[near == i]) for i, kid in enumerate(self.children[node])]
         return out
 
-    def walk(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves of an aimed query, best bin first."""
+    def walk(self, query: np.ndarray, visits: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves of an aimed query, best bin first, and more until those hold ``least`` rows; ``held`` by leaf."""
         out: list[int] = []
-        queue = [(0.0, self.root)]
-        while queue and len(out) < visits:
+        queue, rows = [(0.0, self.root)], 0
+        while queue and (len(out) < visits or rows < least):
             _, node = heapq.heappop(queue)
             while node >= 0:
                 gap = self.centres[node] - query
@@ -124,6 +125,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[i]), kid))
                 node = self.children[node][best]
             out.append(~node)
+            rows += int(held[~node]) if held is not None else 0
         return out
 
 
@@ -229,11 +231,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
 
     def visit(batches):
         for b in batches:
-            walks = [shared.value.walk(q, visits) for q in shared.value.aim(matrix(b.column(1)))]
+            walks = [shared.value.walk(q, visits, held.value, k + 1) for q in shared.value.aim(matrix(b.column(1)))]
             at = np.repeat(np.arange(len(walks)), [len(w) for w in walks])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate(walks).astype(np.int64))], ["query_id", "leaf"])
 
     filed = stage(rows.mapInArrow(file, "vec_id long, v array<double>, leaf long"), "filed")
+    counts = np.zeros(tree.leaves, np.int64)
+    for r in filed.groupBy("leaf").count().collect():
+        counts[r.leaf] = r["count"]
+    held = spark.sparkContext.broadcast(counts)  # k rows beside the query's own
     visited = stage(queries.repartition(max(8, spark.sparkContext.defaultParallelism), "vec_id").select("vec_id", "v")
                     .mapInArrow(visit, "query_id long, leaf long"), "visits")
     blocks = (filed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))

@@ -268,6 +268,16 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, query_id string, leaf int").repartition(3)
 
 
+def test_small_leaves_still_give_k_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((200, 6)).astype(np.float32)
+    rows[:150] = rows[0] + rows[:150] / 1000  # a tight cluster and outliers
+    monkeypatch.setattr(ann, "LEAF_ROWS", 4)
+    monkeypatch.setattr(ann, "calibrate", lambda *a, **b: (1, 1.0))
+    got = ann.search(vectors(spark, list(enumerate(rows.tolist()))), every=10, k=20).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {q: 20 for q in range(0, 200, 10)}
+
+
 def test_nearest_equals_brute_force_when_every_leaf_is_visited(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = rng.standard_normal((300, 8)).astype(np.float32)
