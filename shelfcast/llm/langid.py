@@ -131,15 +131,17 @@ class Scorer:
 
 
 def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, sorted grams, counts) of a bounded sample of ``docs(doc_id, text, lang)``."""
+    """(language, sorted grams, counts) of a bounded sample of ``docs(doc_id, text, lang)``, with at least one text of every language."""
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
             .filter("doc_id is not null and text is not null and lang is not null"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    size = F.octet_length("text")
+    sizes = rows.groupBy("lang").agg(F.sum(size).alias("n"), F.min(F.when(size > 0, draw)).alias("least")).collect()
     if not sizes:
         return []
     share = min(train_bytes, MODEL_BYTES // len(sizes))
-    keep = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, share / max(n, 1)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    keep = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, share / max(r.n, 1)))])
+    first = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, -1.0 if r.least is None else float(r.least))])
 
     def count(batches):
         for b in batches:
@@ -149,7 +151,8 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> list[tuple[str, np
                 keys, n = np.unique(g, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    got = (rows.filter(draw < F.element_at(keep, F.col("lang"))).select("text", "lang")
+    drawn = (draw < F.element_at(keep, F.col("lang"))) | (draw == F.element_at(first, F.col("lang")))
+    got = (rows.filter(drawn).select("text", "lang")
            .mapInArrow(count, "lang string, gram long, n long")
            .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow())
     lang, gram, n = (got.column(c).to_numpy() for c in ("lang", "gram", "n"))

@@ -99,6 +99,12 @@ def test_language_of_held_out_rows(spark):
     assert told.score.between(0, 1).all()
 
 
+def test_every_language_keeps_a_text(spark):
+    rng = random.Random(24)
+    table = docs(spark, [(i, prose(rng, 500)) for i in range(5)], "aa").unionByName(docs(spark, [(i, prose(rng, 5)) for i in range(5, 40)], "bb"))
+    assert [lang for lang, _, _ in langid.train(table, train_bytes=1)] == ["aa", "bb"]
+
+
 def test_language_edges(spark):
     english = docs(spark, [(i, "the cat and the dog") for i in range(20)])
     french = docs(spark, [(i, "le chat et le chien") for i in range(20, 40)], "fr")
