@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import ann, bpe, decontam, langid, license, linededup, quality, simhash, substring, warc
+from shelfcast.llm import ann, bpe, decontam, iblt, langid, license, linededup, quality, simhash, substring, warc
 from shelfcast.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -64,7 +64,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_decontamination, op4_substring, op5_nearest, op6_warc, op7_license_scan, op8_simhash, op9_line_dedup, op10_quality)}
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = iblt.fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.sha2(iblt.serialised(F.col("cells")), 256).alias("fingerprint"),
+                      F.sha2(iblt.serialised(F.col("edited_cells")), 256).alias("edited_fingerprint"), "near_edited", "near_next", "n_paragraphs")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_decontamination, op4_substring, op5_nearest, op6_warc, op7_license_scan, op8_simhash, op9_line_dedup, op10_quality,
+                                  op11_document_fingerprints)}
 
 
 def _license_sql() -> str:
