@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import ann, bpe, decontam, iblt, langid, license, linededup, quality, runs, simhash, substring, warc
+from shelfcast.llm import ann, bpe, decontam, iblt, langid, license, linededup, quality, runs, simhash, substring, trie, warc
 from shelfcast.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -70,13 +70,17 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(iblt.serialised(F.col("edited_cells")), 256).alias("edited_fingerprint"), "near_edited", "near_next", "n_paragraphs")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.with_heads(trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runs.collapse_runs(table(spark, sf_dir, "documents"), planted=True, texts=False)
     return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_decontamination, op4_substring, op5_nearest, op6_warc, op7_license_scan, op8_simhash, op9_line_dedup, op10_quality,
-                                  op11_document_fingerprints, op13_periodic_runs)}
+                                  op11_document_fingerprints, op12_prefix_trie, op13_periodic_runs)}
 
 
 def _license_sql() -> str:
