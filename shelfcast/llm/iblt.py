@@ -9,29 +9,38 @@ Peeling reads them: a cell with one digest left (the check agrees) gives that
 digest, which is taken out of its other cells, until nothing is left.  A
 difference too large for the sketch doesn't peel; it is tried again on a larger
 one, dealt by hash over as many sub-tables of ``CELLS`` cells as the texts have
-digests for, with other hashes; sub-tables that fail are dealt again alone.  So
-every difference is found whole, and a row never holds more than a document's
-digests.
+digests for; digests of sub-tables that fail are dealt again by other hashes.
+So every difference is found whole, and a row never holds more than two
+documents' digests.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import stage
 
-#: Cells of each of the three parts of a sketch, and rounds of peeling before it counts as failed.
-PART, ROUNDS = 8, 10
-CELLS = 3 * PART
-#: Expected digests of both texts in a sub-table of the first larger sketch; sub-tables that a failed one is dealt over.
-LOAD, FAN = 8, 4
-#: Levels of larger sketches before giving up with an error (each deals by new hashes, so none should be near it).
+#: Cells of each of the three parts of a sketch (a power of two), and rounds of peeling, each over one part, before it counts as failed.
+PART, ROUNDS = 8, 18
+CELLS, PART_BITS = 3 * PART, 3
+#: Digests of both texts to a sub-table of a larger sketch, and the fewest sub-tables.
+LOAD, FEWEST = 8, 4
+#: Levels of larger sketches before giving up with an error (each deals by new hashes, so none should come near).
 LEVELS = 30
 #: Two primes: the remainders of a digest by both tell all 60-bit digests apart.
 P, Q = 2147483647, 2147483629
 #: Buckets of neighbouring ids per shuffle partition.
 BUCKETS = 4
+#: Types of a signed digest (n is 1 or -1) and of a cell.
+ENTRY, CELL = "struct<n:bigint,key:bigint>", "struct<n:bigint,key:bigint,chk:bigint>"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
 
 
 def paragraphs(text: Column) -> Column:
@@ -50,49 +59,44 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(paragraphs(text), digest))
 
 
-def _remainders(key: Column) -> tuple[Column, Column]:
-    return F.pmod(key, F.lit(P).cast("long")), F.pmod(key, F.lit(Q).cast("long"))
-
-
 def _hash(key: Column, seed: int) -> Column:
     """One of a family of universal hashes, 0 to P - 1 (products stay under 2**62)."""
-    x, y = _remainders(key)
-    return F.pmod(x * F.lit(pow(48271, seed + 1, P)) + y * F.lit(pow(69621, seed + 1, P)), F.lit(P).cast("long"))
+    return ((key % F.lit(P)) * F.lit(pow(48271, seed, P)) + (key % F.lit(Q)) * F.lit(pow(69621, seed, P))) % F.lit(P).cast("long")
 
 
 def check(key: Column) -> Column:
     """A value that the XOR of several digests doesn't have by chance."""
-    x, y = _remainders(key)
-    return x * y
+    return (key % F.lit(P).cast("long")) * (key % F.lit(Q).cast("long"))
 
 
-def places(key: Column, level: int) -> Column:
-    """The three cells of a digest."""
-    return F.array(*[PART * j + F.pmod(_hash(key, 4 * level + j + 1), F.lit(PART)) for j in range(3)])
+def _placed(entries: Column, level: int) -> Column:
+    """Signed digests with their check and their three cells, from nine bits of one hash."""
+    def one(e: Column) -> Column:
+        return let(_hash(e["key"], 2 * level + 1), lambda h: F.struct(
+            e["n"].alias("n"), e["key"].alias("key"), check(e["key"]).alias("chk"),
+            *[(F.shiftright(h, PART_BITS * j).bitwiseAND(F.lit(PART - 1)) + PART * j).cast("int").alias(f"c{j}") for j in range(3)]))
 
+    return F.transform(entries, one)
 
-def _with_places(keys: Column, level: int) -> Column:
-    def one(k: Column) -> Column:
-        p = places(k, level)
-        return F.struct(k.alias("key"), check(k).alias("chk"), p[0].alias("c0"), p[1].alias("c1"), p[2].alias("c2"))
 
-    return F.transform(keys, one)
+def _falls(e: Column, cell: Column) -> Column:
+    return (e["c0"] == cell) | (e["c1"] == cell) | (e["c2"] == cell)
 
 
-def _falls(k: Column, cell: Column) -> Column:
-    return (k["c0"] == cell) | (k["c1"] == cell) | (k["c2"] == cell)
+def _cell(n: Column, key: Column, chk: Column) -> Column:
+    return F.struct(n.alias("n"), key.alias("key"), chk.alias("chk"))
 
 
-def _cell(n: Column, key: Column, chk: Column) -> Column:
-    return F.struct(n.cast("long").alias("n"), key.alias("key"), chk.alias("chk"))
+def signed(keys: Column, sign: int = 1) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(sign).cast("long").alias("n"), k.alias("key")))
 
 
-def sketch(keys: Column, level: int = 0) -> Column:
-    """The cells ``array<struct<n, key, chk>>`` of a set of digests."""
-    zero, placed = F.lit(0).cast("long"), _with_places(keys, level)
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(
-        F.filter(placed, lambda k: _falls(k, i)), _cell(zero, zero, zero),
-        lambda s, k: _cell(s["n"] + 1, s["key"].bitwiseXOR(k["key"]), s["chk"].bitwiseXOR(k["chk"]))))
+def sketch(entries: Column, level: int = 0) -> Column:
+    """The cells of signed digests; those of one text all have n = 1."""
+    zero = F.lit(0).cast("long")
+    return let(_placed(entries, level), lambda placed: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(
+        F.filter(placed, lambda e: _falls(e, i)), _cell(zero, zero, zero),
+        lambda s, e: _cell(s["n"] + e["n"], s["key"].bitwiseXOR(e["key"]), s["chk"].bitwiseXOR(e["chk"])))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -101,31 +105,27 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column, level: int = 0) -> Column:
-    """``struct<cells, found array<struct<n, key>>>`` after peeling: n is 1 for digests of the first text, -1 of the second."""
-    entry = "array<struct<n:bigint,key:bigint>>"
+    """``struct<cells, found>`` after peeling: signed digests, n is 1 for those of the first text, -1 of the second.
 
-    def step(s: Column, _) -> Column:
-        pure = F.array_distinct(F.transform(
-            F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == check(c["key"]))),
-            lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
-        # several cells may hold the same digest; a digest goes once
-        taken = F.transform(pure, lambda p: F.struct(p["n"].alias("n"), p["key"].alias("key"), check(p["key"]).alias("chk"), *[places(p["key"], level)[j].alias(f"c{j}") for j in range(3)]))
-        left = F.transform(s["cells"], lambda c, i: F.aggregate(
-            F.filter(taken, lambda p: _falls(p, i)), c,
-            lambda a, p: _cell(a["n"] - p["n"], a["key"].bitwiseXOR(p["key"]), a["chk"].bitwiseXOR(p["chk"]))))
-        some = F.exists(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == check(c["key"])))
-        return F.when(some, F.struct(left.alias("cells"), F.concat(s["found"], pure).alias("found"))).otherwise(s)
+    A round takes the digests that are alone in a cell of one part; a digest has one cell in a part, so it goes once.
+    """
+    def step(s: Column, turn: Column) -> Column:
+        pure = F.transform(F.filter(F.slice(s["cells"], turn % 3 * PART + 1, F.lit(PART)), lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == check(c["key"]))),
+                           lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key")))
 
-    start = F.struct(cells.alias("cells"), F.array().cast(entry).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+        def taken(some: Column) -> Column:
+            left = F.aggregate(_placed(some, level), s["cells"], lambda cells, e: F.transform(cells, lambda c, i: F.when(
+                _falls(e, i), _cell(c["n"] - e["n"], c["key"].bitwiseXOR(e["key"]), c["chk"].bitwiseXOR(e["chk"]))).otherwise(c)))
+            return F.when(F.size(some) == 0, s).otherwise(F.struct(left.alias("cells"), F.concat(s["found"], some).alias("found")))
 
+        return let(pure, taken)
 
-def is_peeled(peeled: Column) -> Column:
-    return ~F.exists(peeled["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
+    start = F.struct(cells.alias("cells"), F.array().cast(f"array<{ENTRY}>").alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def side(peeled: Column, sign: int) -> Column:
-    return F.transform(F.filter(peeled["found"], lambda f: f["n"] == sign), lambda f: f["key"])
+def is_peeled(peeled: Column) -> Column:
+    return ~F.exists(peeled["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
 
 
 def serialised(cells: Column) -> Column:
@@ -133,49 +133,54 @@ def serialised(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"].cast("string"), F.lower(F.hex(c["key"])), F.lower(F.hex(c["chk"])))), ",")
 
 
-def _tried(rows: DataFrame, level: int) -> DataFrame:
-    """``pair, part, a, b`` with ``peeled``; digests only of rows that failed."""
-    rows = rows.withColumn("peeled", peel(subtract(sketch(F.col("a"), level), sketch(F.col("b"), level)), level)).withColumn("ok", is_peeled(F.col("peeled")))
-    return stage(rows.select("pair", "part", "ok", *[F.when(~F.col("ok"), F.col(c)).alias(c) for c in ("a", "b")],
-                             F.when(F.col("ok"), side(F.col("peeled"), 1)).alias("only_a"),
-                             F.when(F.col("ok"), side(F.col("peeled"), -1)).alias("only_b")), f"sketches-{level}")
-
-
-def _dealt(rows: DataFrame, level: int, tables: Column) -> DataFrame:
-    """The digests of each row, dealt by hash over ``tables`` sub-tables."""
-    both = F.concat(F.transform("a", lambda k: F.struct(F.lit(True).alias("first"), k.alias("key"))),
-                    F.transform("b", lambda k: F.struct(F.lit(False).alias("first"), k.alias("key"))))
-    keys = rows.select("pair", "part", tables.cast("long").alias("tables"), F.explode(both).alias("k"))
-    part = F.col("part") * F.col("tables") + F.pmod(_hash(F.col("k.key"), 4 * level), F.col("tables"))
-    return (keys.groupBy("pair", part.alias("part"))
-            .agg(*[F.collect_list(F.when(of, F.col("k.key"))).alias(c) for c, of in (("a", F.col("k.first")), ("b", ~F.col("k.first")))]))
-
-
-def recover_larger(pairs: DataFrame) -> DataFrame:
-    """``(pair, only_a, only_b)`` of ``pairs(pair, a, b)``, sets of digests, by sketches larger than ``CELLS``."""
-    size = F.size("a") + F.size("b")
-    rows, done = _dealt(pairs.withColumn("part", F.lit(0).cast("long")), 1, F.greatest(F.lit(FAN), F.ceil(size / LOAD))), []
-    for level in range(1, LEVELS):
-        tried = _tried(rows, level)
-        done.append(tried.filter("ok").select("pair", "only_a", "only_b"))
-        left = tried.filter(~F.col("ok"))
-        if left.isEmpty():
+def peel_larger(entries: Column, level: int) -> Column:
+    """``struct<found, open>`` of the signed digests of both texts: what a sketch of many sub-tables shows, and what it left.
+
+    Digests are sorted by the hash that deals them; each sub-table sums its own with their signs (which is
+    the difference of the two texts' sub-tables) and is peeled; ``open`` has the digests of those that fail.
+    """
+    none = F.array().cast(f"array<{ENTRY}>")
+
+    def tried(own: Column) -> Column:
+        return let(peel(sketch(own, level), level), lambda p: let(is_peeled(p), lambda ok: F.struct(
+            F.when(ok, p["found"]).otherwise(none).alias("found"), F.when(ok, none).otherwise(own).alias("open"))))
+
+    def cut(dealt: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(dealt) - 1), lambda i: (i == 0) | (F.get(dealt, i)["route"] != F.get(dealt, i - 1)["route"]))
+        return let(starts, lambda at: F.transform(at, lambda start, j: tried(F.transform(
+            F.slice(dealt, start + 1, F.coalesce(F.get(at, j + 1), F.size(dealt)) - start), lambda e: F.struct(e["n"].alias("n"), e["key"].alias("key"))))))
+
+    def whole(all_: Column, tables: Column) -> Column:
+        dealt = F.sort_array(F.transform(all_, lambda e: F.struct((_hash(e["key"], 2 * level + 2) % tables).alias("route"), e["n"].alias("n"), e["key"].alias("key"))))
+        return let(let(dealt, cut), lambda ts: F.struct(
+            F.flatten(F.transform(ts, lambda t: t["found"])).alias("found"), F.flatten(F.transform(ts, lambda t: t["open"])).alias("open")))
+
+    return let(entries, lambda all_: F.when(F.size(all_) == 0, F.struct(none.alias("found"), none.alias("open"))).otherwise(
+        let(F.greatest(F.lit(FEWEST), F.ceil(F.size(all_) / LOAD)).cast("long"), lambda tables: whole(all_, tables))))
+
+
+def recover(rows: DataFrame) -> DataFrame:
+    """``(pair, found)`` of ``rows(pair, open)``, signed digests: peeled on larger sketches until none is left."""
+    done = []
+    for level in range(2, LEVELS):
+        tried = stage(rows.select("pair", peel_larger(F.col("open"), level).alias("p")).select("pair", "p.found", "p.open"), f"sketches-{level}")
+        done.append(tried.select("pair", "found"))
+        rows = tried.filter(F.size("open") > 0).select("pair", "open")
+        if rows.isEmpty():
             break
-        rows = _dealt(left, level + 1, F.lit(FAN))
     else:
         raise RuntimeError("sketches that do not peel at any size")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.groupBy("pair").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("only_a", "only_b")])
+    return out.groupBy("pair").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
-def _compared(rows: DataFrame, others: dict[str, str]) -> DataFrame:
-    """For each ``name: column``, adds the peeled difference between sketch ``s_a`` and that of the column."""
-    for name, column in others.items():
-        rows = rows.withColumn(f"p_{name}", peel(subtract(F.col("s_a"), F.col(f"s_{column}"))))
-        rows = rows.withColumn(f"ok_{name}", is_peeled(F.col(f"p_{name}")))
-    return rows
+def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+    """``struct<found, open>`` of two sets of digests and their sketches: on those, else on a larger sketch."""
+    none = F.array().cast(f"array<{ENTRY}>")
+    return let(peel(subtract(cells_a, cells_b)), lambda p: F.when(is_peeled(p), F.struct(p["found"].alias("found"), none.alias("open"))).otherwise(
+        peel_larger(F.concat(signed(a), signed(b, -1)), 1)))
 
 
 def differences(pairs: DataFrame) -> DataFrame:
@@ -185,9 +190,16 @@ def differences(pairs: DataFrame) -> DataFrame:
     are empty; an empty table gives an empty result; other columns are ignored.
     """
     empty = F.array().cast("array<bigint>")
-    rows = pairs.select("pair", F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"), F.lit(0).cast("long").alias("part"))
-    tried = _tried(rows, 0)
-    return tried.filter("ok").select("pair", "only_a", "only_b").unionByName(recover_larger(tried.filter(~F.col("ok"))))
+    rows = pairs.select("pair", F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
+    rows = rows.withColumn("s_a", sketch(signed(F.col("a")))).withColumn("s_b", sketch(signed(F.col("b"))))
+    rows = stage(rows.select("pair", difference(F.col("a"), F.col("b"), F.col("s_a"), F.col("s_b")).alias("p")).select("pair", "p.found", "p.open"), "differences")
+    late = recover(rows.filter(F.size("open") > 0)).withColumnRenamed("found", "late")
+    rows = rows.join(late, "pair", "left").withColumn("found", F.concat("found", F.coalesce("late", F.array().cast(f"array<{ENTRY}>"))))
+
+    def side(sign: int) -> Column:
+        return F.transform(F.filter("found", lambda e: e["n"] == sign), lambda e: e["key"])
+
+    return rows.select("pair", side(1).alias("only_a"), side(-1).alias("only_b"))
 
 
 def changed_paragraphs(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -245,6 +257,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.withColumn("next_text", F.lead("text").over(order)).filter("extra = 0").select("doc_id", "text", "next_text")
 
 
+#: What a text is compared with, and the column of that text's digests.
+KINDS = (("edited", "e"), ("next", "b"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Sketches of each text and of its edited text, and how alike they are to each other and to the next document.
 
@@ -260,24 +276,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"),
                        digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("b"))
     for c in "aeb":
-        rows = rows.withColumn(f"s_{c}", sketch(F.col(c)))
-    rows = _compared(rows, {"edited": "e", "next": "b"})
+        rows = rows.withColumn(f"s_{c}", sketch(signed(F.col(c))))
+    for k, c in KINDS:
+        rows = rows.withColumn(f"p_{k}", difference(F.col("a"), F.col(c), F.col("s_a"), F.col(f"s_{c}")))
     rows = stage(rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "edited_sha256", F.col("s_a").alias("cells"), F.col("s_e").alias("edited_cells"),
         *[F.size(c).alias(f"n_{c}") for c in "aeb"],
-        *[F.when(F.col(f"ok_{k}"), F.size(F.col(f"p_{k}")["found"])).alias(f"d_{k}") for k in ("edited", "next")],
-        F.when(~F.col("ok_edited") | ~F.col("ok_next"), F.col("a")).alias("a"),
-        F.when(~F.col("ok_edited"), F.col("e")).alias("e"), F.when(~F.col("ok_next"), F.col("b")).alias("b")), "fingerprints")
-    pairs = None
-    for kind, (k, c) in enumerate((("edited", "e"), ("next", "b"))):
-        one = rows.filter(F.col(f"d_{k}").isNull()).select((F.shiftleft("row", 1) + kind).alias("pair"), "a", F.col(c).alias("b"))
-        pairs = one if pairs is None else pairs.unionByName(one)
-    late = (recover_larger(pairs).select(F.shiftright("pair", 1).alias("row"), F.pmod("pair", F.lit(2)).alias("kind"), (F.size("only_a") + F.size("only_b")).alias("d"))
-            .groupBy("row").agg(*[F.max(F.when(F.col("kind") == i, F.col("d"))).alias(f"l_{k}") for i, k in enumerate(("edited", "next"))]))
-    rows = rows.drop("a", "e", "b").join(late, "row", "left")
+        *[F.size(f"p_{k}.found").alias(f"d_{k}") for k, _ in KINDS], *[F.col(f"p_{k}.open").alias(f"open_{k}") for k, _ in KINDS]), "fingerprints")
+    left = [rows.filter(F.size(f"open_{k}") > 0).select((F.shiftleft("row", 1) + i).alias("pair"), F.col(f"open_{k}").alias("open")) for i, (k, _) in enumerate(KINDS)]
+    late = recover(left[0].unionByName(left[1])).select(F.shiftright("pair", 1).alias("row"), F.pmod("pair", F.lit(2)).alias("kind"), F.size("found").alias("d"))
+    late = late.groupBy("row").agg(*[F.sum(F.when(F.col("kind") == i, F.col("d"))).alias(f"l_{k}") for i, (k, _) in enumerate(KINDS)])
+    rows = rows.drop(*[f"open_{k}" for k, _ in KINDS]).join(late, "row", "left")
 
     def near(k: str, c: str) -> Column:
-        both, d = F.col("n_a") + F.col(f"n_{c}"), F.coalesce(f"d_{k}", f"l_{k}")
+        both, d = F.col("n_a") + F.col(f"n_{c}"), F.col(f"d_{k}") + F.coalesce(f"l_{k}", F.lit(0))
         return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / both).alias(f"near_{k}")
 
-    return rows.select("doc_id", "n_chars", "edited_sha256", "cells", "edited_cells", F.col("n_a").alias("n_paragraphs"), near("edited", "e"), near("next", "b"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "cells", "edited_cells", F.col("n_a").alias("n_paragraphs"), *[near(k, c) for k, c in KINDS])

@@ -125,4 +125,51 @@ w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM w ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLE = {"op4_substring": SUBSTRING_SQL, "op6_warc": WARC_SQL, "op7_license_scan": _license_sql()}
+#: Of two texts: paragraphs cut at line breaks and after sentence marks, the digests' set, and the cells of a sketch.
+_KEYS = r"""list_distinct(list_transform(list_filter(string_split(regexp_replace({0}, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
+    lambda p: p <> ''), lambda p: ('0x' || md5(p)[1:15])::BIGINT))"""
+
+
+def _cells_sql(keys: str) -> str:
+    """The serialised sketch of a list of digests, from the hash coefficients of level 0."""
+    def place(j: int) -> str:
+        return f"{iblt.PART * j} + (((k % {iblt.P}) * 48271 + (k % {iblt.Q}) * 69621) % {iblt.P} >> {iblt.PART_BITS * j}) % {iblt.PART}"
+
+    hit = " OR ".join(f"i = {place(j)}" for j in range(3))
+    check = f"(k % {iblt.P}) * (k % {iblt.Q})"
+    return f"""array_to_string(list_transform(list_transform(range({iblt.CELLS}), lambda i: list_filter({keys}, lambda k: {hit})),
+    lambda f: len(f) || ':' || lower(to_hex(list_reduce(list_prepend(0::BIGINT, f), lambda a, k: xor(a, k)))) || ':' ||
+              lower(to_hex(list_reduce(list_prepend(0::BIGINT, list_transform(f, lambda k: {check})), lambda a, k: xor(a, k))))), ',')"""
+
+
+FINGERPRINT_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n_chars, coalesce(lead(t) OVER (ORDER BY doc_id DESC NULLS LAST), first_value(t) OVER (ORDER BY doc_id DESC NULLS LAST)) AS nx FROM d),
+e AS (SELECT *, left(t, n_chars - n_chars // 2) || left(nx, n_chars // 2) AS ed FROM n),
+k AS (SELECT doc_id, n_chars, sha256(ed) AS edited_sha256, {_KEYS.format('t')} AS a, {_KEYS.format('ed')} AS e, {_KEYS.format('nx')} AS b FROM e)
+SELECT doc_id, n_chars, edited_sha256, sha256({_cells_sql('a')}) AS fingerprint, sha256({_cells_sql('e')}) AS edited_fingerprint,
+       CASE WHEN len(a) + len(e) = 0 THEN 1 ELSE 2 * len(list_intersect(a, e)) / (len(a) + len(e)) END AS near_edited,
+       CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2 * len(list_intersect(a, b)) / (len(a) + len(b)) END AS near_next,
+       len(a)::INT AS n_paragraphs FROM k"""
+
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, sha256(length(r) || ':' || r || x)[1:32] AS k, len(regexp_extract_all(x, '[^ 	-
+]+')) AS w FROM t),
+c AS (SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS own,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: [ascii(s)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 4 AS h FROM g GROUP BY conv_id),
+m AS (SELECT a.conv_id, list_concat(coalesce(b.own[1:a.h], []), a.own[a.h + 1:]) AS ts FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id - a.conv_id % 20),
+p AS (SELECT conv_id, len(ts) AS n, unnest(range(len(ts) + 1)) AS depth, ts FROM m),
+q AS (SELECT conv_id, n, depth, array_to_string(list_transform(ts[1:depth], lambda s: s.k), '') AS node,
+             CASE WHEN depth > 0 THEN array_to_string(list_transform(ts[1:depth - 1], lambda s: s.k), '') END AS parent, coalesce(ts[depth].w, 0) AS w FROM p),
+v AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saves,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM q GROUP BY node),
+z AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN (SELECT parent AS node, count(*) AS n_children FROM v WHERE parent IS NOT NULL GROUP BY parent) USING (node)),
+s AS (SELECT DISTINCT a.node AS top, b.node FROM q a JOIN q b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+u AS (SELECT top AS node, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saves)::BIGINT AS saved_tokens FROM s JOIN z USING (node) GROUP BY top)
+SELECT z.conv_id, z.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, z.n_convs, z.n_children, n_leaves, saved_tokens, z.ends_sha256
+FROM z JOIN u USING (node) LEFT JOIN z o ON o.node = z.parent"""
+
+ORACLE = {"op4_substring": SUBSTRING_SQL, "op6_warc": WARC_SQL, "op7_license_scan": _license_sql(),
+          "op11_document_fingerprints": FINGERPRINT_SQL, "op12_prefix_trie": TRIE_SQL}
