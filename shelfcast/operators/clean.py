@@ -1,6 +1,6 @@
 """Cleaning operators (C1-C13): dedup, parsing, coercion, imputation, unpivot.
 
-All functions are lazy ``DataFrame -> DataFrame`` transforms.  Row order of a
+All functions are ``DataFrame -> DataFrame`` transforms, lazy but for the price median (``clean_prices``).  Row order of a
 raw feed is carried explicitly in an ordering column (``ingest_ord`` by
 default) because a distributed frame has no intrinsic order; keep-first
 deduplication ranks on it instead of relying on ``dropDuplicates``, whose
@@ -14,6 +14,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.operators.quantiles import exact_quantiles
+from shelfcast.session import materialize
+
 DAY_ID_PREFIX = "d_"
 SALES_ID_COLS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 EVENT_COLS = ["event_name_1", "event_type_1", "event_name_2", "event_type_2"]
@@ -89,10 +92,9 @@ def clean_prices(df: DataFrame, order_by=None, trim_first: bool = False) -> Data
     The dedup runs before trimming by default (padded duplicates survive,
     as in the source platform); ``trim_first=True`` trims first.
 
-    C8: null or non-positive prices become the median of the valid prices
-    (exact ``percentile`` with linear interpolation).  The median is one
-    global aggregate, evaluated once as a scalar subquery - not a window
-    over an unpartitioned frame.
+    C8: null or non-positive prices become the exact median of the valid
+    prices (``quantiles.exact_quantiles``), taken before they are rounded.  The
+    deduplicated rows are staged first, as the median reads them a few times.
     """
     keys = ["store_id", "item_id", "wm_yr_wk"]
 
@@ -107,12 +109,10 @@ def clean_prices(df: DataFrame, order_by=None, trim_first: bool = False) -> Data
         df = _trim(df)
     df = df.withColumn("wm_yr_wk", coerce_int("wm_yr_wk", 0))
     df = df.withColumn("sell_price", number("sell_price"))
+    df = materialize(df)
     valid = F.col("sell_price").isNotNull() & (F.col("sell_price") > 0)
-    # median in whole cents: exact, so every engine interpolates to the same value
-    cents = F.round(F.col("sell_price") * F.lit(100.0)).cast("long")
-    median_cents = df.filter(valid).agg(F.percentile(cents, 0.5)).scalar()
-    median = F.floor(median_cents + F.lit(0.5)) / F.lit(100.0)
-    fixed = F.when(valid, F.col("sell_price")).otherwise(median)
+    median, = exact_quantiles(df.filter(valid), "sell_price", [0.5])
+    fixed = F.when(valid, F.col("sell_price")).otherwise(F.lit(median))
     out = df.withColumn("sell_price", F.round(fixed.cast("decimal(20,6)"), 2).cast("double"))
     if "ingest_ord" in out.columns:
         out = out.drop("ingest_ord")

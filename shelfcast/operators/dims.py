@@ -46,8 +46,13 @@ def dim_stores(sales: DataFrame) -> DataFrame:
 
 
 def title_label(col: str) -> Column:
-    """'FOODS_1' -> 'Foods 1' (underscores to spaces, title case)."""
-    return F.initcap(F.regexp_replace(F.col(col), "_", " "))
+    """'FOODS-NEW_1' -> 'Foods-New 1': underscores to spaces; a letter after another is small, after anything else large.
+
+    Runs of letters and what lies between them are taken apart, the former
+    get their case, and are joined again.
+    """
+    text = F.regexp_replace(F.col(col), "_", " ")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), F.initcap), "")
 
 
 def dim_categories(sales: DataFrame) -> DataFrame:

@@ -4,10 +4,9 @@ a recent-mean baseline, and the combined forecast fact table.
 * Global model (M1-M4, M8): MLlib ``GBTRegressor`` - distributed training,
   scoring with ``transform`` (JVM side, no Python in the scoring path).
 * Additive model (M5-M7): trend + Fourier + regressors, ridge (alpha = 1,
-  free intercept) per item-store series.  The design matrix is built with
-  native column expressions; only the closed-form solve runs in Python, in
-  ``applyInPandas`` (one Arrow batch per series - a series has one row per
-  day, so a group is bounded by the calendar, not by the data volume).
+  free intercept) per item-store series.  The design matrix and the sums of
+  its products (Gram sums) are native; one row a series with those sums
+  reaches Python, where a batch of series is solved at once.
   Scoring joins the coefficients back and evaluates the dot product with
   native higher-order functions.
 * Baseline (M10): recent-mean forecast with a weekend lift; pure SQL.
@@ -19,8 +18,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +26,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions.inventory import z_for_confidence
 from shelfcast.functions.rounding import half_up
 from shelfcast.operators import features as fe
+from shelfcast.operators.codes import ordinal_codes, with_code
 from shelfcast.operators.inventory import samp_std_from_sums
 
 SERIES = ["item_id", "store_id"]
@@ -36,6 +35,7 @@ GBT_LABEL = "GBT"
 ADDITIVE_LABEL = "Prophet (Additive GAM)"
 BASELINE_LABEL = "LightGBM / Prophet"
 HOLDOUT_BASELINE_LABEL = "Baseline (Recent Mean)"
+SMOOTHING_LABEL = "Exponential Smoothing"
 FORECAST_COLUMNS = ["forecast_date", "item_id", "store_id", "model_used", "actual_demand",
                     "forecast_demand", "confidence_lower", "confidence_upper", "forecast_error",
                     "horizon_days"]
@@ -58,6 +58,8 @@ GBT_PARAMS = dict(stepSize=0.05, maxDepth=5, subsamplingRate=0.8, featureSubsetS
 GBT_EXECUTION = dict(cacheNodeIds=False, maxMemoryInMB=256, checkpointInterval=10)
 MIN_TRAIN_ROWS = 14
 RIDGE_ALPHA = 1.0
+# Exponential smoothing: weight of the newest day, and days that are folded
+SMOOTHING_ALPHA, SMOOTHING_DAYS = 0.25, 90
 
 
 def interval(pred: Column, resid_std: Column, confidence_level: float = 0.95) -> list[Column]:
@@ -70,23 +72,16 @@ def interval(pred: Column, resid_std: Column, confidence_level: float = 0.95) ->
 
 
 # --------------------------------------------------------------------------- global model
-def _encoders() -> list[StringIndexer]:
-    return [StringIndexer(inputCol=c, outputCol=f"_{code}", stringOrderType="alphabetAsc",
-                          handleInvalid="keep") for c, code in CATEGORICALS]
+def fit_codes(train: DataFrame) -> dict[str, DataFrame]:
+    """M1: the label codes of each categorical column that ``train`` has (a table a column)."""
+    return {c: ordinal_codes(train, c) for c, _ in CATEGORICALS if c in train.columns}
 
 
-def encode_categoricals(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """M1: alphabetical label codes; unseen labels (index == #labels) -> 0, absent column -> 0."""
-    out = df
+def encode_categoricals(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+    """M1: alphabetical label codes; unseen labels -> 0, absent column -> 0."""
     for c, code in CATEGORICALS:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-    out = model.transform(out)
-    for (c, code), idx in zip(CATEGORICALS, model.stages):
-        n = len(idx.labelsArray[0])
-        out = out.withColumn(code, F.when(F.col(f"_{code}") >= n, 0.0).otherwise(F.col(f"_{code}"))) \
-                 .drop(f"_{code}")
-    return out
+        df = with_code(df, codes[c], c, code) if c in df.columns and c in codes else df.withColumn(code, F.lit(0.0))
+    return df
 
 
 class GlobalTreeModel:
@@ -94,12 +89,12 @@ class GlobalTreeModel:
 
     def __init__(self, **params):
         self.params = {**GBT_PARAMS, **GBT_EXECUTION, **params}
-        self.encoder: PipelineModel | None = None
+        self.codes: dict[str, DataFrame] = {}
         self.model = None
         self.residual_std: float = 1.0
 
     def _assemble(self, df: DataFrame) -> DataFrame:
-        df = encode_categoricals(df, self.encoder)
+        df = encode_categoricals(df, self.codes)
         for c in TREE_FEATURES:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(0.0))
@@ -108,7 +103,7 @@ class GlobalTreeModel:
                                handleInvalid="keep").transform(df.select(*cols))
 
     def fit(self, train: DataFrame, target_col: str = "sales_units") -> "GlobalTreeModel":
-        self.encoder = Pipeline(stages=_encoders()).fit(train)
+        self.codes = fit_codes(train)
         data = self._assemble(train).withColumn("_label", F.col(target_col).cast("double"))
         from shelfcast.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(train.sparkSession)
@@ -137,25 +132,77 @@ class GlobalTreeModel:
 
 
 # --------------------------------------------------------------------------- additive model
+#: Columns of a Gram row: 1, the design, the target.
+MOMENTS = ["_one", *fe.ADDITIVE_FEATURES, "_target"]
 COEF_SCHEMA = ("item_id string, store_id string, intercept double, coef array<double>, "
-               "residual_std double, n_train long")
-
-
-def _ridge_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Closed-form ridge with a free intercept: (Xc'Xc + aI) b = Xc'yc."""
-    pdf = pdf.sort_values("date")
-    X = np.vstack(pdf["x"].to_numpy()).astype(float)
-    y = pdf["y"].to_numpy(dtype=float)
-    xm, ym = X.mean(axis=0), y.mean()
-    Xc, yc = X - xm, y - ym
-    A = Xc.T @ Xc + RIDGE_ALPHA * np.eye(X.shape[1])
-    beta = np.linalg.solve(A, Xc.T @ yc)
-    b0 = ym - xm @ beta
-    resid = y - (X @ beta + b0)
-    std = float(np.std(resid)) if len(resid) > 1 else 1.0
-    return pd.DataFrame({"item_id": [pdf["item_id"].iloc[0]], "store_id": [pdf["store_id"].iloc[0]],
-                         "intercept": [float(b0)], "coef": [beta.tolist()],
-                         "residual_std": [std], "n_train": [len(pdf)]})
+               "residual_std double, n_train long, origin date")
+#: What a Gram row must share to be added: the series, and the trend's origin and length.
+GRAM_KEYS = [*SERIES, "origin", "n_train"]
+
+
+def design_rows(train: DataFrame, test: DataFrame | None = None, target_col: str = "sales_units",
+                min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
+    """The additive design of the series that are fitted, with ``origin``, ``n_train`` and ``_target``.
+
+    Series with fewer than ``min_rows`` training rows, or (when ``test`` is
+    given) without test rows, are skipped.
+    """
+    w = Window.partitionBy(*SERIES)
+    t = train.withColumn("n_train", F.count(F.lit(1)).over(w)).withColumn("origin", F.min("date").over(w)).filter(F.col("n_train") >= min_rows)
+    if test is not None:
+        t = t.join(test.select(*SERIES).distinct(), SERIES, "left_semi")
+    design = fe.add_additive_design(t, origin=F.col("origin"), n_rows=F.col("n_train"))
+    return design.select(*GRAM_KEYS, *[F.col(c).cast("double").alias(c) for c in fe.ADDITIVE_FEATURES],
+                         F.lit(1.0).alias("_one"), F.col(target_col).cast("double").alias("_target"))
+
+
+def _pairs() -> list[tuple[int, int]]:
+    k = len(MOMENTS)
+    return [(i, j) for i in range(k) for j in range(i, k)]
+
+
+def gram_sums(design: DataFrame) -> DataFrame:
+    """One row a series: ``GRAM_KEYS`` and ``gram``, the sums of all products of two of ``MOMENTS`` (upper triangle).
+
+    Plain sums, combined before the shuffle; rows of two disjoint parts of the same training period add
+    up to those of the whole (``add_grams``).
+    """
+    sums = [F.sum(F.col(MOMENTS[i]) * F.col(MOMENTS[j])).alias(f"_{i}_{j}") for i, j in _pairs()]
+    return design.groupBy(*GRAM_KEYS).agg(*sums).select(*GRAM_KEYS, F.array(*[f"_{i}_{j}" for i, j in _pairs()]).alias("gram"))
+
+
+def add_grams(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Gram rows of two parts of the same training period, added; a series may be in one of them only."""
+    both = a.select(*GRAM_KEYS, F.col("gram").alias("_a")).join(b.select(*GRAM_KEYS, F.col("gram").alias("_b")), GRAM_KEYS, "full")
+    total = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).otherwise(F.zip_with("_a", "_b", lambda x, y: x + y))
+    return both.select(*GRAM_KEYS, total.alias("gram"))
+
+
+def _solve(batches):
+    """Ridge with a free intercept of each Gram row: (Xc'Xc + aI) b = Xc'yc, all rows of a batch at once."""
+    k = len(MOMENTS)
+    at = np.array(_pairs())
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        g = np.zeros((len(pdf), k, k))
+        g[:, at[:, 0], at[:, 1]] = np.vstack(pdf["gram"].to_numpy())
+        g[:, at[:, 1], at[:, 0]] = g[:, at[:, 0], at[:, 1]]
+        n = g[:, 0, 0]
+        mean = g[:, 0, 1:] / n[:, None]
+        centred = g[:, 1:, 1:] - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+        xx, xy, yy = centred[:, :-1, :-1], centred[:, :-1, -1], centred[:, -1, -1]
+        beta = np.linalg.solve(xx + RIDGE_ALPHA * np.eye(k - 2), xy[:, :, None])[:, :, 0]
+        intercept = mean[:, -1] - (mean[:, :-1] * beta).sum(axis=1)
+        square = yy - 2 * (beta * xy).sum(axis=1) + np.einsum("si,sij,sj->s", beta, xx, beta)
+        std = np.where(n > 1, np.sqrt(np.maximum(square, 0.0) / n), 1.0)
+        yield pd.DataFrame({"item_id": pdf["item_id"], "store_id": pdf["store_id"], "intercept": intercept, "coef": beta.tolist(),
+                            "residual_std": std, "n_train": n.astype(int), "origin": pdf["origin"]})
+
+
+def solve_additive(grams: DataFrame) -> DataFrame:
+    """Per-series ridge coefficients (+ residual std, training origin and size) of Gram rows, one row a series to Python."""
+    return grams.select(*SERIES, "origin", "gram").mapInPandas(_solve, COEF_SCHEMA)
 
 
 def _design_vector() -> Column:
@@ -164,21 +211,27 @@ def _design_vector() -> Column:
 
 def fit_additive(train: DataFrame, test: DataFrame | None = None, target_col: str = "sales_units",
                  min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
-    """M5: per-series ridge coefficients (+ residual std, training origin and size).
+    """M5: per-series ridge coefficients from Gram sums (see ``design_rows`` for the series that are skipped)."""
+    return solve_additive(gram_sums(design_rows(train, test, target_col, min_rows)))
 
-    Series with fewer than ``min_rows`` training rows, or (when ``test`` is
-    given) without test rows, are skipped.
+
+def ridge_gradient(design: DataFrame, coefs: DataFrame) -> DataFrame:
+    """The largest slope of each series' ridge objective at its coefficients, relative to its terms: 0 at the optimum.
+
+    From the design rows themselves, not from their Gram sums: ``(item_id, store_id, n_train, gradient)``.
     """
-    w = Window.partitionBy(*SERIES)
-    t = train.withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_n") >= min_rows)
-    if test is not None:
-        t = t.join(test.select(*SERIES).distinct(), SERIES, "left_semi")
-    design = fe.add_additive_design(t)
-    rows = design.select(*SERIES, "date", _design_vector().alias("x"),
-                         F.col(target_col).cast("double").alias("y"))
-    coefs = rows.groupBy(*SERIES).applyInPandas(_ridge_fit, COEF_SCHEMA)
-    origin = t.groupBy(*SERIES).agg(F.min("date").alias("origin"))
-    return coefs.join(origin, SERIES)
+    rows = design.join(coefs.select(*SERIES, "intercept", "coef"), SERIES)
+    x = _design_vector()
+    fit = F.aggregate(F.zip_with("coef", x, lambda a, b: a * b), F.col("intercept"), lambda s, v: s + v)
+    rows = rows.withColumn("_resid", F.col("_target") - fit)
+    names = fe.ADDITIVE_FEATURES
+    sums = rows.groupBy(*SERIES, "n_train", "coef").agg(
+        F.sum("_resid").alias("_g"), F.sum(F.abs("_resid")).alias("_m"),
+        *[F.sum(F.col("_resid") * F.col(c)).alias(f"_g{i}") for i, c in enumerate(names)],
+        *[F.sum(F.abs(F.col("_resid") * F.col(c))).alias(f"_m{i}") for i, c in enumerate(names)])
+    slopes = [F.abs(F.col("_g")) / F.greatest(F.col("_m"), F.lit(1.0))] + [
+        F.abs(F.col(f"_g{i}") - RIDGE_ALPHA * F.col("coef")[i]) / F.greatest(F.col(f"_m{i}"), F.lit(1.0)) for i in range(len(names))]
+    return sums.select(*SERIES, "n_train", F.greatest(*slopes).alias("gradient"))
 
 
 def score_additive(df: DataFrame, coefs: DataFrame, confidence_level: float = 0.95) -> DataFrame:
@@ -269,6 +322,34 @@ def baseline_holdout(sales: DataFrame, test_days: int = 30, recent: int = 30,
             .withColumn("horizon_days", F.lit(test_days)).select(*FORECAST_COLUMNS))
 
 
+def smoothed_level(values: Column, alpha: float = SMOOTHING_ALPHA) -> Column:
+    """Simple exponential smoothing as an ordered fold: the level starts at the first value, then alpha * y + (1 - alpha) * level."""
+    first, rest = values[0].cast("double"), F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.aggregate(rest, first, lambda level, y: F.lit(alpha) * y.cast("double") + F.lit(1 - alpha) * level)
+
+
+def smoothing_holdout(sales: DataFrame, test_days: int = 30, recent: int = SMOOTHING_DAYS, label: str = SMOOTHING_LABEL) -> DataFrame:
+    """M10 beside the recent mean: each series' smoothed level over its last ``recent`` training days, on each test day.
+
+    The interval is +-1.96 sample standard deviations of those days.  A series' days in one
+    array are bounded by ``recent``.
+    """
+    train, test = fe.time_split(sales, test_days)
+    w = Window.partitionBy(*SERIES).orderBy(F.col("date_str").desc())
+    u = F.col("sales_units").cast("long")
+    days = train.select(*SERIES, "date_str", "sales_units").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= recent)
+    st = days.groupBy(*SERIES).agg(F.count(u).alias("_n"), F.sum(u).alias("_s"), F.sum(u * u).alias("_ss"),
+                                   F.array_sort(F.collect_list(F.struct("date_str", "sales_units"))).alias("_days"))
+    level = smoothed_level(F.transform("_days", lambda d: d["sales_units"]))
+    st = st.select(*SERIES, half_up(F.greatest(F.lit(0.0), level), 1).alias("_level"), samp_std_from_sums(F.col("_n"), F.col("_s"), F.col("_ss")).alias("_std"))
+    rows = test.select(*SERIES, "date_str", "sales_units").join(st, SERIES, "inner")
+    p, half = F.col("_level"), F.lit(1.96) * F.col("_std")
+    return rows.select(
+        F.col("date_str").alias("forecast_date"), *SERIES, F.lit(label).alias("model_used"), F.col("sales_units").cast("double").alias("actual_demand"),
+        p.alias("forecast_demand"), F.greatest(F.lit(0.0), half_up(p - half, 1)).alias("confidence_lower"), half_up(p + half, 1).alias("confidence_upper"),
+        (F.col("sales_units").cast("double") - p).alias("forecast_error"), F.lit(test_days).alias("horizon_days")).select(*FORECAST_COLUMNS)
+
+
 # --------------------------------------------------------------------------- M9
 # The fact table itself is assembled by ``plans.warehouse.ModelRun`` (fits both
 # models once and unions tree holdout, additive holdout and tree forward rows).

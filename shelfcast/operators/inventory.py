@@ -17,8 +17,6 @@ from shelfcast.functions.rounding import half_up
 SERIES = ["item_id", "store_id"]
 RECENT_DAYS = 90
 DEFAULT_UNIT_COST = 5.00
-# On-hand cover factors of the synthetic snapshot
-ON_HAND_FACTORS = [0.3, 0.7, 1.2, 1.8, 3.5]
 
 
 def pop_std_from_sums(n: Column, s: Column, ss: Column) -> Column:
@@ -56,24 +54,6 @@ def lead_time_forecast(forecasts: DataFrame, horizon: int = 7) -> DataFrame:
                  .alias("forecast_lead_time_demand")))
 
 
-def on_hand_snapshot(stats: DataFrame, lead_time: int = inv.DEFAULT_LEAD_TIME_DAYS,
-                     sales: DataFrame | None = None) -> DataFrame:
-    """I3 input for the driver tables: a deterministic on-hand snapshot.
-
-    current_inventory = max(0, round(avg x LT x factor)); the factor is picked
-    from ``ON_HAND_FACTORS`` by the series' total units modulo 5 (computed
-    per series, no global ranking).  Real deployments pass their own
-    (item_id, store_id, current_inventory) frame instead.
-    """
-    totals = sales.groupBy(*SERIES).agg(F.sum("sales_units").alias("_tot"))
-    factors = F.array(*[F.lit(x) for x in ON_HAND_FACTORS])
-    factor = F.element_at(factors, (F.pmod(F.col("_tot"), F.lit(len(ON_HAND_FACTORS))) + 1).cast("int"))
-    base = F.col("avg_demand") * F.lit(lead_time)
-    return (stats.join(totals, SERIES)
-            .select(*SERIES, F.greatest(F.lit(0), F.floor(base * factor + F.lit(0.5)))
-                    .cast("int").alias("current_inventory")))
-
-
 def recommendations(sales: DataFrame, forecasts: DataFrame, on_hand: DataFrame,
                     products: DataFrame, lead_time: int = inv.DEFAULT_LEAD_TIME_DAYS,
                     z: float = inv.DEFAULT_SERVICE_LEVEL_Z, stats: DataFrame | None = None,

@@ -41,7 +41,7 @@ def _stg_sales(w: Warehouse) -> DataFrame:
 
 @register("stg_calendar", "SELECT * FROM stg_calendar")
 def _stg_calendar(w: Warehouse) -> DataFrame:
-    """T2 (over D5 of C6 of D7)"""
+    """T2 (over D5 of C6 of the feed)"""
     return w.stg_calendar
 
 
@@ -146,38 +146,63 @@ def _quality_checks(w: Warehouse) -> DataFrame:
     SELECT count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASSED') AS passed_checks,
            count(*) FILTER (WHERE status = 'FAILED') AS failed_checks,
            count(*) FILTER (WHERE status = 'INFO') AS info_checks
-    FROM ({O.quality_sql('calendar', 'fact_prices', 'fact_sales')})""")
+    FROM ({O.quality_sql('clean_calendar', 'fact_prices', 'fact_sales')})""")
 def _quality_summary(w: Warehouse) -> DataFrame:
     """V6 summary over the warehouse facts (calendar, price list, daily sales)"""
     from shelfcast.operators import quality
     return quality.summarize_checks(quality.run_all_checks(w.calendar, w.fact_prices, w.fact_sales))
 
 
-def _foreign_key_sql(*keys: tuple[str, str, str], where: str = "true") -> str:
-    return " UNION ALL ".join(f"""
-    SELECT '{f}' AS dataset, 'Foreign Key Integrity' AS "check", CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END AS status,
-           n AS total_records, b AS failed_records, 'Rows without {d} on [''{k}'']: ' || CAST(b AS VARCHAR) AS details
-    FROM (SELECT count(*) AS n, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {'(SELECT DISTINCT cat_id FROM fact_sales)' if d == 'dim_categories' else d} d
-          WHERE d.{k} = f.{k} AND {where})) AS b FROM {f} f)"""
-                             for f, d, k in keys)
+O.register_cte("dim_categories", "SELECT DISTINCT cat_id FROM fact_sales")
 
 
-@register("foreign_key_checks", _foreign_key_sql(
-    ("dim_departments", "dim_categories", "cat_id"), ("dim_products", "dim_departments", "dept_id"), ("dim_products", "dim_categories", "cat_id"),
-    ("fact_sales", "dim_products", "item_id"), ("fact_sales", "dim_stores", "store_id"), ("fact_sales", "dim_calendar", "date_str"),
-    ("fact_prices", "dim_products", "item_id"), ("fact_prices", "dim_stores", "store_id")))
+@register("foreign_key_checks", " UNION ALL ".join(O.foreign_key_sql(t, d, k) for t, _, _, keys in O.CONSTRAINTS for d, k in keys))
 def _foreign_keys(w: Warehouse) -> DataFrame:
-    """V7: the eight declared foreign keys checked with anti joins"""
+    """V7: the eight declared foreign keys, each table scanned once for all of its own"""
     from shelfcast.operators import quality
-    names = {n for f, d, _ in quality.FOREIGN_KEYS for n in (f, d)}
-    return quality.foreign_key_suite({n: getattr(w, n) for n in names})
+    return quality.foreign_key_suite({n: getattr(w, n) for n in quality.CONSTRAINTS if hasattr(type(w), n)})
 
 
-@register("foreign_key_orphans", _foreign_key_sql(("fact_sales", "dim_calendar", "date_str"), where="d.is_holiday = 0"))
+@register("foreign_key_orphans", O.foreign_key_sql("fact_sales", "dim_calendar", "date_str", dim_src="(SELECT * FROM dim_calendar WHERE is_holiday = 0)"))
 def _foreign_key_orphans(w: Warehouse) -> DataFrame:
     """V7 with orphans: sales against a calendar of working days, so that the holidays' rows fail"""
     from shelfcast.operators import quality
-    return quality.check_foreign_key(w.fact_sales, w.dim_calendar.filter("is_holiday = 0"), ["date_str"], "fact_sales", "dim_calendar")
+    tables = {"fact_sales": w.fact_sales, "dim_calendar": w.dim_calendar.filter("is_holiday = 0")}
+    return quality.table_constraints("fact_sales", tables, [], [], [("date_str", "dim_calendar")])
+
+
+def _warehouse_tables(w: Warehouse) -> dict[str, DataFrame]:
+    dims = {n: getattr(w, n) for n in ("dim_stores", "dim_categories", "dim_departments", "dim_products", "dim_calendar", "fact_sales", "fact_prices")}
+    return dims | {"fact_forecast_results": w.forecasts, "fact_inventory_recommendations": w.recommendations}
+
+
+@register("constraint_checks", O.constraints_sql({"fact_forecast_results": "SELECT * FROM forecasts", "fact_inventory_recommendations": "SELECT * FROM recs"}))
+def _constraint_checks(w: Warehouse) -> DataFrame:
+    """V7: every declared primary key, NOT NULL column and foreign key of the warehouse"""
+    from shelfcast.operators import quality
+    return quality.constraint_suite(_warehouse_tables(w))
+
+
+@register("constraint_failures", O.constraints_sql({
+    "dim_stores": "SELECT * FROM dim_stores WHERE state_id <> 'TX'",
+    "dim_departments": "SELECT dept_id, CASE WHEN dept_id = 'FOODS_2' THEN NULL ELSE cat_id END AS cat_id FROM dim_departments",
+    "fact_sales": """SELECT * REPLACE (CASE WHEN sales_units > 45 THEN NULL ELSE sales_units END AS sales_units,
+                                       CASE WHEN sales_units = 44 THEN NULL ELSE item_id END AS item_id) FROM fact_sales
+                     UNION ALL SELECT * FROM fact_sales WHERE store_id = 'WI_2'""",
+    "fact_prices": "SELECT * FROM fact_prices UNION ALL SELECT * REPLACE ('NOWHERE_1' AS store_id) FROM fact_prices WHERE sell_price > 5 AND store_id = 'CA_1'"},
+    ["dim_stores", "dim_categories", "dim_departments", "dim_products", "dim_calendar", "fact_sales", "fact_prices"]))
+def _constraint_failures(w: Warehouse) -> DataFrame:
+    """V7 over the warehouse with planted failures of each kind"""
+    from pyspark.sql import functions as F
+    from shelfcast.operators import quality
+    t = _warehouse_tables(w)
+    sales, prices, units = t["fact_sales"], t["fact_prices"], F.col("sales_units")
+    t["dim_stores"] = t["dim_stores"].filter("state_id <> 'TX'")
+    t["dim_departments"] = t["dim_departments"].withColumn("cat_id", F.when(F.col("dept_id") != "FOODS_2", F.col("cat_id")))
+    planted = sales.withColumn("item_id", F.when(units != 44, F.col("item_id"))).withColumn("sales_units", F.when(units <= 45, units))
+    t["fact_sales"] = planted.unionByName(sales.filter("store_id = 'WI_2'"))
+    t["fact_prices"] = prices.unionByName(prices.filter("sell_price > 5 and store_id = 'CA_1'").withColumn("store_id", F.lit("NOWHERE_1")))
+    return quality.constraint_suite({n: d for n, d in t.items() if n not in ("fact_forecast_results", "fact_inventory_recommendations")})
 
 
 # ---------------------------------------------------------------- dimensions (D)
@@ -187,17 +212,20 @@ def _dim_stores(w: Warehouse) -> DataFrame:
     return w.dim_stores
 
 
-@register("dim_categories", """
-    SELECT cat_id, upper(cat_id[1]) || lower(replace(cat_id[2:], '_', ' ')) AS category_name
-    FROM (SELECT DISTINCT cat_id FROM fact_sales)""")
+def _title_sql(c: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all(replace({c}, '_', ' '), '[A-Za-z]+|[^A-Za-z]+'), "
+            "lambda x: upper(x[1]) || lower(x[2:])), '')")
+
+
+@register("dim_categories", f"""
+    SELECT cat_id, {_title_sql('cat_id')} AS category_name FROM (SELECT DISTINCT cat_id FROM fact_sales)""")
 def _dim_categories(w: Warehouse) -> DataFrame:
     """D2"""
     return w.dim_categories
 
 
-@register("dim_departments", """
-    SELECT dept_id, cat_id, upper(dept_id[1]) || lower(replace(dept_id[2:], '_', ' ')) AS department_name
-    FROM (SELECT DISTINCT dept_id, cat_id FROM fact_sales)""")
+@register("dim_departments", f"""
+    SELECT dept_id, cat_id, {_title_sql('dept_id')} AS department_name FROM (SELECT DISTINCT dept_id, cat_id FROM fact_sales)""")
 def _dim_departments(w: Warehouse) -> DataFrame:
     """D3"""
     return w.dim_departments
@@ -213,7 +241,7 @@ def _dim_products(w: Warehouse) -> DataFrame:
 
 @register("dim_calendar", "SELECT * FROM dim_calendar")
 def _dim_calendar(w: Warehouse) -> DataFrame:
-    """D5 (calendar dimension from the generated calendar)"""
+    """D5 (calendar dimension from the cleaned feed)"""
     return w.dim_calendar
 
 
@@ -419,7 +447,7 @@ def _lead_time_forecast(w: Warehouse) -> DataFrame:
 
 @register("on_hand_snapshot", "SELECT * FROM on_hand")
 def _on_hand(w: Warehouse) -> DataFrame:
-    """I3 input: deterministic on-hand snapshot per series"""
+    """Adapter output: the on-hand stock per series that I3 takes as input"""
     return w.on_hand
 
 
@@ -482,6 +510,40 @@ def _champion_model(w: Warehouse) -> DataFrame:
     return evaluate.champion(evaluate.scorecard(w.forecasts))
 
 
+def _compared_sql(first: str, second: str, source: str) -> str:
+    """E2 over two labels of ``source`` (SQL with model_used, rmse)."""
+    return f"""
+    SELECT CASE WHEN coalesce(a, 0.0) <= coalesce(b, 0.0) THEN '{first}' ELSE '{second}' END AS champion_model, a AS tree_rmse, b AS additive_rmse
+    FROM (SELECT max(CASE WHEN model_used = '{first}' THEN rmse END) AS a, max(CASE WHEN model_used = '{second}' THEN rmse END) AS b FROM ({source}))"""
+
+
+_RMSE_SQL = f"""SELECT model_used, {O.error_stats_sql(3, 3, 2, 'n_points', 'actual_demand > 0')} FROM {{0}}
+    WHERE actual_demand IS NOT NULL AND forecast_demand IS NOT NULL GROUP BY model_used"""
+
+
+@register("baseline_comparison", _compared_sql(O.HOLDOUT_BASELINE_LABEL, O.SMOOTHING_LABEL, _RMSE_SQL.format("forecasts")))
+def _baseline_comparison(w: Warehouse) -> DataFrame:
+    """E2 between the two forecasters that SQL can repeat"""
+    from shelfcast.operators import evaluate, forecast
+    return evaluate.compare_models(w.forecasts, forecast.HOLDOUT_BASELINE_LABEL, forecast.SMOOTHING_LABEL)
+
+
+_TIED_SQL = f"""(SELECT * FROM smoothing_holdout UNION ALL SELECT * REPLACE ('Another ' || model_used AS model_used) FROM smoothing_holdout)"""
+
+
+@register("tied_comparison", f"""
+    SELECT c.*, s.model_used AS scorecard_champion FROM ({_compared_sql(O.SMOOTHING_LABEL, 'Another ' + O.SMOOTHING_LABEL, _RMSE_SQL.format(_TIED_SQL))}) c,
+           (SELECT model_used FROM ({_SCORECARD_SQL.replace('FROM forecasts', 'FROM ' + _TIED_SQL)}) ORDER BY rmse, model_used LIMIT 1) s""")
+def _tied_comparison(w: Warehouse) -> DataFrame:
+    """E2 and E4 on a planted tie: the comparison keeps its first model, the scorecard the first by name"""
+    from pyspark.sql import functions as F
+    from shelfcast.operators import evaluate, forecast
+    own = w.smoothing_holdout
+    tied = own.unionByName(own.withColumn("model_used", F.concat(F.lit("Another "), "model_used")))
+    best = evaluate.champion(evaluate.scorecard(tied)).select("model_used").scalar()
+    return evaluate.compare_models(tied, forecast.SMOOTHING_LABEL, "Another " + forecast.SMOOTHING_LABEL).withColumn("scorecard_champion", best)
+
+
 @register("residual_histogram", f"""
     SELECT model_used, bin, {O.half_up('lo + bin * (hi - lo) / 35.0', 6)} AS bin_start, count(*) AS points
     FROM (SELECT r.model_used, lo, hi,
@@ -833,18 +895,34 @@ def _priority_items(w: Warehouse) -> DataFrame:
 def _category_codes(w: Warehouse) -> DataFrame:
     """M1: label codes (alphabetical, fitted on the training period) of store, category, department"""
     from functools import reduce
-    from pyspark.ml import Pipeline
     from pyspark.sql import functions as F
     from shelfcast.operators import features as fe
     from shelfcast.operators import forecast
     train, _ = fe.time_split(w.fact_sales, 30)
-    model = Pipeline(stages=forecast._encoders()).fit(train)
-    coded = forecast.encode_categoricals(train.select("store_id", "cat_id", "dept_id"), model)
-    parts = [coded.select(F.lit(c).alias("column_name"), F.col(c).alias("label"), F.col(code).alias("code"))
-             .distinct() for c, code in forecast.CATEGORICALS]
+    parts = [codes.select(F.lit(c).alias("column_name"), "label", F.col("code").cast("double").alias("code")) for c, codes in forecast.fit_codes(train).items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+@register("coded_holdout", """
+    SELECT store_id, cat_id, dept_id, coalesce(s.code, 0.0) AS store_code, coalesce(c.code, 0.0) AS cat_code, coalesce(d.code, 0.0) AS dept_code, count(*) AS rows
+    FROM (SELECT CASE WHEN store_id = 'WI_1' THEN 'NEW_1' WHEN store_id = 'WI_2' THEN NULL ELSE store_id END AS store_id, cat_id, dept_id FROM fact_sales
+          WHERE date_str > (SELECT split_date FROM split)) t
+    LEFT JOIN (SELECT store_id AS k, CAST(dense_rank() OVER (ORDER BY store_id) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT store_id FROM train_sales)) s ON s.k = store_id
+    LEFT JOIN (SELECT cat_id AS k, CAST(dense_rank() OVER (ORDER BY cat_id) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT cat_id FROM train_sales)) c ON c.k = cat_id
+    LEFT JOIN (SELECT dept_id AS k, CAST(dense_rank() OVER (ORDER BY dept_id) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT dept_id FROM train_sales)) d ON d.k = dept_id
+    GROUP BY ALL""")
+def _coded_holdout(w: Warehouse) -> DataFrame:
+    """M1: the test period coded with the training period's codes; unseen and null labels get 0"""
+    from pyspark.sql import functions as F
+    from shelfcast.operators import features as fe
+    from shelfcast.operators import forecast
+    train, test = fe.time_split(w.fact_sales, 30)
+    store = F.when(F.col("store_id") == "WI_1", F.lit("NEW_1")).when(F.col("store_id") != "WI_2", F.col("store_id"))
+    columns = [c for c, _ in forecast.CATEGORICALS]
+    coded = forecast.encode_categoricals(test.select(*columns).withColumn("store_id", store), forecast.fit_codes(train))
+    return coded.groupBy(*columns, *[c for _, c in forecast.CATEGORICALS]).agg(F.count(F.lit(1)).alias("rows"))
+
+
 _runs: dict[tuple[str, str], ModelRun] = {}
 
 
@@ -863,6 +941,17 @@ def _additive_coefficients(w: Warehouse) -> DataFrame:
     return _model_run(w).coefficients
 
 
+@register("additive_gradient", """
+    SELECT item_id, store_id, count(*) AS n_train, CAST(0 AS DOUBLE) AS gradient FROM features WHERE date_str <= (SELECT split_date FROM split)
+    GROUP BY item_id, store_id HAVING count(*) >= 14 AND (item_id, store_id) IN (SELECT (item_id, store_id) FROM features WHERE date_str > (SELECT split_date FROM split))""")
+def _additive_gradient(w: Warehouse) -> DataFrame:
+    """M5: the ridge objective's largest relative slope at each series' coefficients, from the rows themselves: 0 at 9 decimals"""
+    from shelfcast.operators import forecast
+    from shelfcast.plans.warehouse import round_doubles
+    m = _model_run(w)
+    return round_doubles(forecast.ridge_gradient(forecast.design_rows(m.train, m.test), m.coefficients), 9)
+
+
 @register("additive_holdout")
 def _additive_holdout(w: Warehouse) -> DataFrame:
     """M6: additive model scored on the holdout"""
@@ -938,12 +1027,14 @@ def _prices_csv(w: Warehouse) -> DataFrame:
 
 @register("calendar_csv_roundtrip", """
     SELECT date_str AS date, wm_yr_wk, weekday, wday, month, year, d, event_name_1, event_type_1,
-           event_name_2, event_type_2, snap_CA, snap_TX, snap_WI, date_str, is_holiday FROM calendar""")
+           event_name_2, event_type_2, snap_CA, snap_TX, snap_WI, date_str, is_holiday FROM clean_calendar""")
 def _calendar_csv(w: Warehouse) -> DataFrame:
-    """S9 -> S1 -> C6: generated calendar exported as CSV, read with the calendar schema, cleaned"""
+    """S9 -> S1 -> C6: the calendar feed exported as CSV in arrival order, read with the calendar schema, cleaned"""
+    from pyspark.sql import functions as F
     from shelfcast.operators import clean
     path = _scratch(w, "calendar-csv")
-    _io().export_csv(w.calendar_generated, path)
+    feed = w.raw_calendar.orderBy("ingest_ord").drop("ingest_ord").withColumn("is_holiday", F.lit(None).cast("int"))
+    _io().export_csv(feed, path)
     return clean.clean_calendar(_io().read_calendar_csv(w.spark, path))
 
 
@@ -1016,7 +1107,7 @@ def _forecast_csv(w: Warehouse) -> DataFrame:
 
 @register("quality_log", f"""
     SELECT dataset AS dataset_name, "check" AS check_name, status, total_records AS records_evaluated, failed_records, details
-    FROM ({O.quality_sql('calendar', 'fact_prices', 'fact_sales')})""")
+    FROM ({O.quality_sql('clean_calendar', 'fact_prices', 'fact_sales')})""")
 def _quality_log(w: Warehouse) -> DataFrame:
     """Checks appended to the audit log and read back, but for the run's time"""
     from shelfcast.operators import quality
@@ -1053,3 +1144,77 @@ def _quality_report(w: Warehouse) -> DataFrame:
 def _feature_base(w: Warehouse) -> DataFrame:
     """base series query (sales x calendar x price list, SNAP by state, default price)"""
     return w.feature_base
+
+
+@register("quality_report_rows", f"""
+    SELECT CAST(check_no AS INTEGER) AS position, count(*) OVER () AS total_checks, count(*) FILTER (WHERE status = 'PASSED') OVER () AS passed_checks,
+           count(*) FILTER (WHERE status = 'FAILED') OVER () AS failed_checks, count(*) FILTER (WHERE status = 'INFO') OVER () AS info_checks,
+           dataset, "check", status, total_records, failed_records, details
+    FROM ({O.quality_sql('clean_calendar', 'fact_prices', 'fact_sales')})""")
+def _quality_report_rows(w: Warehouse) -> DataFrame:
+    """The report written as JSON and read back, but for its time"""
+    from shelfcast.operators import quality
+    path = _scratch(w, "quality-report")
+    _io().write_quality_report(quality.run_all_checks(w.calendar, w.fact_prices, w.fact_sales), path)
+    return _io().read_quality_report(w.spark, path)
+
+
+@register("typed_tables", """
+    SELECT 'dim_calendar' AS table_name, count(*) AS row_count, 15 AS column_count, CAST(sum(wm_yr_wk) AS BIGINT) AS checksum FROM dim_calendar
+    UNION ALL SELECT 'dim_stores', count(*), 4, CAST(sum(length(store_id)) AS BIGINT) FROM dim_stores
+    UNION ALL SELECT 'dim_products', count(*), 5, CAST(sum(CAST(round(unit_cost * 100.0) AS BIGINT)) AS BIGINT) FROM dim_products
+    UNION ALL SELECT 'fact_sales', count(*), 8, CAST(sum(sales_units) AS BIGINT) FROM fact_sales
+    UNION ALL SELECT 'fact_prices', count(*), 4, CAST(sum(CAST(round(sell_price * 100.0) AS BIGINT)) AS BIGINT) FROM fact_prices
+    UNION ALL SELECT 'fact_forecast_results', 0, 10, NULL""")
+def _typed_tables(w: Warehouse) -> DataFrame:
+    """The empty typed tables made in a database of their own, five of them loaded, all read back"""
+    from functools import reduce
+    from pyspark.sql import functions as F
+    path = _scratch(w, "typed-tables")
+    database = path.rsplit("/", 1)[-1].replace("-", "_")
+    _io().init_schemas(w.spark, path, database)
+    _io().init_schemas(w.spark, path, database)  # again: they exist
+    cents = lambda c: F.sum(F.round(F.col(c) * 100.0).cast("long"))
+    sums = {"dim_calendar": F.sum("wm_yr_wk"), "dim_stores": F.sum(F.length("store_id")), "dim_products": cents("unit_cost"),
+            "fact_sales": F.sum("sales_units"), "fact_prices": cents("sell_price")}
+    for name in sums:
+        _io().load_table(getattr(w, name), f"{database}.{name}")
+    sums["fact_forecast_results"] = F.sum("horizon_days")
+    parts = []
+    for name, total in sums.items():
+        t = w.spark.table(f"{database}.{name}")
+        parts.append(t.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"), F.lit(len(t.columns)).alias("column_count"), total.cast("long").alias("checksum")))
+    out = reduce(DataFrame.unionByName, parts).checkpoint()
+    w.spark.sql(f"DROP DATABASE {database} CASCADE")  # the tables' files stay
+    return out
+
+
+@register("table_replace", """
+    SELECT 'after a failed run' AS state, store_id, count(*) AS row_count, SUM(CAST(round(sell_price * 100.0) AS BIGINT))::BIGINT AS cents FROM fact_prices GROUP BY store_id
+    UNION ALL
+    SELECT 'after the next run', store_id, count(*), SUM(CAST(round(sell_price * 100.0) AS BIGINT))::BIGINT FROM fact_prices WHERE sell_price > 5 GROUP BY store_id""")
+def _table_replace(w: Warehouse) -> DataFrame:
+    """A replacement that fails halfway leaves the old rows; the next one shows the new"""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+    root = _scratch(w, "replaced")
+    table = root.rsplit("/", 1)[-1].replace("-", "_")
+    prices = w.fact_prices.select("store_id", "item_id", "wm_yr_wk", "sell_price")
+    _io().replace_table(prices, table, root)
+    broken = F.when(F.col("store_id") == "TX_1", F.raise_error(F.lit("lost halfway")).cast("double")).otherwise(F.col("sell_price"))
+    try:
+        _io().replace_table(prices.withColumn("sell_price", broken), table, root)
+        raise AssertionError("the broken rows were written")
+    except PySparkException:
+        pass
+
+    def state(name: str) -> DataFrame:
+        return w.spark.table(table).groupBy(F.lit(name).alias("state"), "store_id").agg(
+            F.count(F.lit(1)).alias("row_count"), F.sum(F.round(F.col("sell_price") * 100.0).cast("long")).alias("cents"))
+
+    old = state("after a failed run")
+    _io().replace_table(prices.filter("sell_price > 5"), table, root)
+    out = old.unionByName(state("after the next run"))
+    out.columns  # both are resolved to their folders before the table's name goes
+    w.spark.sql(f"DROP TABLE {table}")
+    return out

@@ -7,9 +7,25 @@ CTEs (adapter, calendar, staging, daily table); each query is ``WITH <base>
 
 from __future__ import annotations
 
-from shelfcast.functions.calendar import HOLIDAYS, SNAP_DAYS
-from shelfcast.operators.dims import STORE_DIRECTORY
-from shelfcast.sources.adapter import OTHER_STATE, REGION_TO_STATE, TYPE_TO_DEPT
+# ---------------------------------------------------------------------------
+# Fixed values, stated here once more so that a wrong value on either side shows
+HOLIDAYS = [
+    ("01-01", "NewYear", "National"), ("01-20", "MartinLutherKingDay", "National"), ("02-02", "SuperBowl", "Sporting"),
+    ("02-14", "ValentinesDay", "Cultural"), ("03-17", "StPatricksDay", "Cultural"), ("04-05", "Easter", "Cultural"),
+    ("05-25", "MemorialDay", "National"), ("07-04", "IndependenceDay", "National"), ("09-07", "LaborDay", "National"),
+    ("10-31", "Halloween", "Cultural"), ("11-26", "Thanksgiving", "National"), ("12-25", "Christmas", "National"),
+    ("12-31", "NewYearsEve", "Cultural"),
+]
+SNAP_DAYS = {"CA": [1, 2, 3, 5, 6, 7, 9, 10], "TX": [1, 3, 5, 6, 7, 9, 10, 11], "WI": [2, 3, 5, 8, 9, 11, 12]}
+STORES = [
+    ("CA_1", "Sacramento Supercenter", "Pacific"), ("CA_2", "San Francisco Metro", "Pacific"), ("TX_1", "Dallas Supercenter", "South Central"),
+    ("TX_2", "Austin Central", "South Central"), ("WI_1", "Milwaukee North", "Midwest"), ("WI_2", "Madison West", "Midwest"),
+]
+TYPE_TO_DEPT = [("STANDARD", "FOODS_1"), ("SMALL", "FOODS_2"), ("LARGE", "HOUSEHOLD_1"), ("ECONOMY", "HOUSEHOLD_2"), ("MEDIUM", "HOBBIES_1"), ("PROMO", "HOBBIES_2")]
+REGION_TO_STATE = [("AFRICA", "CA"), ("AMERICA", "TX"), ("ASIA", "WI"), ("EUROPE", "EU")]
+OTHER_STATE = "ME"
+BASELINE_LABEL, HOLDOUT_BASELINE_LABEL, SMOOTHING_LABEL = "LightGBM / Prophet", "Baseline (Recent Mean)", "Exponential Smoothing"
+# ---------------------------------------------------------------------------
 
 
 def _case(expr: str, pairs, default: str) -> str:
@@ -53,7 +69,7 @@ def snap(d: str, state: str) -> str:
 
 DEPT_CASE = _case("upper(split_part(trim(p_type), ' ', 1))", TYPE_TO_DEPT, "'GENERAL_1'")
 STATE_CASE = _case("r_name", REGION_TO_STATE, f"'{OTHER_STATE}'")
-STORE_VALUES = ", ".join(f"('{s}', '{n}', '{r}')" for s, _, n, r in STORE_DIRECTORY)
+STORE_VALUES = ", ".join(f"('{s}', '{n}', '{r}')" for s, n, r in STORES)
 
 BASE_CTES = {
     "prod": f"""
@@ -100,9 +116,21 @@ BASE_CTES = {
                {snap('date', 'WI')} AS snap_WI,
                CAST(CASE WHEN {holiday('date', 1)} IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS is_holiday
         FROM cal_days""",
+    "clean_calendar": f"""
+        SELECT CAST(date AS VARCHAR) AS date, {wm_yr_wk('date')} AS wm_yr_wk, dayname(date) AS weekday,
+               CAST(dayofweek(date) + 1 AS INTEGER) AS wday, CAST(month(date) AS INTEGER) AS month,
+               CAST(year(date) AS INTEGER) AS year,
+               'd_' || CAST(CAST(date - (SELECT start_date FROM bounds) AS BIGINT) + 1 AS VARCHAR) AS d,
+               coalesce({holiday('date', 1)}, 'None') AS event_name_1,
+               coalesce({holiday('date', 2)}, 'None') AS event_type_1,
+               'None' AS event_name_2, 'None' AS event_type_2,
+               {snap('date', 'CA')} AS snap_CA, {snap('date', 'TX')} AS snap_TX, {snap('date', 'WI')} AS snap_WI,
+               strftime(date, '%Y-%m-%d') AS date_str,
+               CAST(CASE WHEN {holiday('date', 1)} IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS is_holiday
+        FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)""",
     "dim_calendar": """
         SELECT date_str, wm_yr_wk, weekday, wday, month, year, d AS d_id, event_name_1, event_type_1,
-               event_name_2, event_type_2, snap_CA, snap_TX, snap_WI, is_holiday FROM calendar""",
+               event_name_2, event_type_2, snap_CA, snap_TX, snap_WI, is_holiday FROM clean_calendar""",
     "stg_sales": """
         SELECT id, item_id, dept_id, cat_id, store_id, state_id, date_str,
                CAST(sales_units AS INTEGER) AS sales_units,
@@ -158,19 +186,6 @@ def with_base(body: str) -> str:
 UNIT_PRICE = "floor(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) / l_quantity * 100.0 + 0.5) / 100.0"
 INGEST = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
-register_cte("line_start", "SELECT min(CAST(l_shipdate AS DATE)) AS start_date FROM lineitem")
-register_cte("clean_calendar", f"""
-    SELECT CAST(date AS VARCHAR) AS date, {wm_yr_wk('date')} AS wm_yr_wk, dayname(date) AS weekday,
-           CAST(dayofweek(date) + 1 AS INTEGER) AS wday, CAST(month(date) AS INTEGER) AS month,
-           CAST(year(date) AS INTEGER) AS year,
-           'd_' || CAST(CAST(date - (SELECT start_date FROM line_start) AS BIGINT) + 1 AS VARCHAR) AS d,
-           coalesce({holiday('date', 1)}, 'None') AS event_name_1,
-           coalesce({holiday('date', 2)}, 'None') AS event_type_1,
-           'None' AS event_name_2, 'None' AS event_type_2,
-           {snap('date', 'CA')} AS snap_CA, {snap('date', 'TX')} AS snap_TX, {snap('date', 'WI')} AS snap_WI,
-           strftime(date, '%Y-%m-%d') AS date_str,
-           CAST(CASE WHEN {holiday('date', 1)} IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS is_holiday
-    FROM (SELECT DISTINCT date FROM lines)""")
 register_cte("raw_prices", f"""
     SELECT store_id, item_id, {wm_yr_wk('date')} AS wm_yr_wk,
            CASE WHEN l_linestatus = 'O' THEN NULL WHEN l_returnflag = 'R' THEN -({UNIT_PRICE})
@@ -183,8 +198,7 @@ register_cte("prices_first", f"""
 register_cte("clean_prices", """
     SELECT store_id, item_id, wm_yr_wk,
            CAST(ROUND(CAST(CASE WHEN sell_price IS NOT NULL AND sell_price > 0 THEN sell_price
-                ELSE floor((SELECT quantile_cont(CAST(round(sell_price * 100.0) AS BIGINT), 0.5)
-                            FROM prices_first WHERE sell_price > 0) + 0.5) / 100.0 END
+                ELSE (SELECT quantile_cont(sell_price, 0.5) FROM prices_first WHERE sell_price > 0) END
                 AS DECIMAL(20, 6)), 2) AS DOUBLE) AS sell_price
     FROM prices_first""")
 register_cte("series", "SELECT DISTINCT item_id, dept_id, cat_id, store_id, state_id FROM lines")
@@ -200,20 +214,20 @@ register_cte("clean_sales", """
                          AND n.date = CAST(c.date AS DATE)""")
 
 
-def _v_missing(src: str, ds: str, cols: list[str]) -> str:
+def _v_missing(src: str, ds: str, cols: list[str], check: str = "Missing Key Records") -> str:
     nulls = [f"count(*) - count({c})" for c in cols]
     parts = " || ', ' || ".join(f"'''{c}'': ' || CAST({n} AS VARCHAR)" for c, n in zip(cols, nulls))
     total = " + ".join(f"({n})" for n in nulls)
-    return (f"SELECT '{ds}' AS dataset, 'Missing Key Records' AS \"check\", "
+    return (f"SELECT '{ds}' AS dataset, '{check}' AS \"check\", "
             f"CASE WHEN {total} = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, "
             f"count(*) AS total_records, CAST({total} AS BIGINT) AS failed_records, "
             f"'Null counts per column: {{' || {parts} || '}}' AS details FROM {src}")
 
 
-def _v_dups(src: str, ds: str, cols: list[str]) -> str:
+def _v_dups(src: str, ds: str, cols: list[str], check: str = "Duplicate Key Records") -> str:
     keys = ", ".join(cols)
     lst = "[" + ", ".join(f"''{c}''" for c in cols) + "]"
-    return (f"SELECT '{ds}' AS dataset, 'Duplicate Key Records' AS \"check\", "
+    return (f"SELECT '{ds}' AS dataset, '{check}' AS \"check\", "
             f"CASE WHEN coalesce(sum(c - 1), 0) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, "
             f"CAST(coalesce(sum(c), 0) AS BIGINT) AS total_records, "
             f"CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS failed_records, "
@@ -259,6 +273,44 @@ def quality_sql(cal: str, prices: str, sales: str) -> str:
     return " UNION ALL ".join(f"SELECT *, {i + 1} AS check_no FROM ({c})" for i, c in enumerate(checks))
 
 
+def foreign_key_sql(fact: str, dim: str, key: str, fact_src: str = "", dim_src: str = "") -> str:
+    return f"""
+    SELECT '{fact}' AS dataset, 'Foreign Key Integrity' AS "check", CASE WHEN b = 0 THEN 'PASSED' ELSE 'FAILED' END AS status,
+           n AS total_records, b AS failed_records, 'Rows without {dim} on [''{key}'']: ' || CAST(b AS VARCHAR) AS details
+    FROM (SELECT count(*) AS n, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {dim_src or dim} d WHERE d.{key} = f.{key})) AS b
+          FROM {fact_src or fact} f)"""
+
+
+# The declared constraints (primary key, NOT NULL columns, foreign keys)
+CONSTRAINTS = [
+    ("dim_stores", "store_id", "store_id state_id", []),
+    ("dim_categories", "cat_id", "cat_id", []),
+    ("dim_departments", "dept_id", "dept_id cat_id", [("dim_categories", "cat_id")]),
+    ("dim_products", "item_id", "item_id dept_id cat_id", [("dim_departments", "dept_id"), ("dim_categories", "cat_id")]),
+    ("dim_calendar", "date_str", "date_str wm_yr_wk weekday wday month year d_id", []),
+    ("fact_sales", "item_id store_id date_str", "item_id store_id date_str sales_units",
+     [("dim_products", "item_id"), ("dim_stores", "store_id"), ("dim_calendar", "date_str")]),
+    ("fact_prices", "store_id item_id wm_yr_wk", "store_id item_id wm_yr_wk sell_price", [("dim_products", "item_id"), ("dim_stores", "store_id")]),
+    ("fact_forecast_results", "", "forecast_date item_id store_id model_used forecast_demand horizon_days", []),
+    ("fact_inventory_recommendations", "", "evaluation_date item_id store_id current_inventory average_daily_demand demand_std_dev lead_time_days "
+     "safety_stock reorder_point forecast_demand_lt recommended_order_qty days_of_supply inventory_status risk_level stockout_risk_pct overstock_risk_pct", []),
+]
+
+
+def constraints_sql(sources: dict[str, str], tables: list[str] | None = None) -> str:
+    """V7 over the declared constraints; ``sources`` has the SQL of tables that aren't a CTE of their name."""
+    src = lambda t: f"({sources[t]})" if t in sources else t
+    parts = []
+    for name, key, columns, foreign in CONSTRAINTS:
+        if tables and name not in tables:
+            continue
+        if key:
+            parts.append(_v_dups(src(name), name, key.split(), "Primary Key Uniqueness"))
+        parts.append(_v_missing(src(name), name, columns.split(), "Not Null Columns"))
+        parts += [foreign_key_sql(name, d, k, src(name), src(d)) for d, k in foreign]
+    return " UNION ALL ".join(f"({x})" for x in parts)
+
+
 # ---------------------------------------------------------------- features (F)
 TWO_PI = "CAST(6.283185307179586 AS DOUBLE)"
 W_SERIES = "PARTITION BY item_id, store_id ORDER BY date"
@@ -315,7 +367,6 @@ register_cte("split", """
 
 
 # ---------------------------------------------------------------- baseline forecasts
-from shelfcast.operators.forecast import BASELINE_LABEL, HOLDOUT_BASELINE_LABEL  # noqa: E402
 def _baseline_vals(d: str, label: str) -> str:
     mult = f"CASE WHEN isodow({d}) IN (6, 7) THEN CAST(1.3 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END"
     proj = f"greatest(0.0, {half_up(f'(s / n) * {mult}', 1)})"
@@ -352,10 +403,27 @@ register_cte("baseline_holdout", f"""
            30 AS horizon_days
     FROM fact_sales t JOIN recent30_train r ON t.item_id = r.item_id AND t.store_id = r.store_id
     WHERE t.date_str > (SELECT split_date FROM split)""")
+_SMOOTHED = half_up("greatest(0.0, level)", 1)
+_SMOOTHED_STD = "CASE WHEN n > 1 THEN sqrt(CAST(n * ss - s * s AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) END"
+register_cte("smoothed", f"""
+    SELECT item_id, store_id, {_SMOOTHED} AS p, CAST(1.96 AS DOUBLE) * ({_SMOOTHED_STD}) AS half
+    FROM (SELECT item_id, store_id, count(*) AS n, SUM(CAST(sales_units AS BIGINT)) AS s, SUM(CAST(sales_units AS BIGINT) * sales_units) AS ss,
+                 list_reduce(list(CAST(sales_units AS DOUBLE) ORDER BY date_str),
+                             lambda l, y: CAST(0.25 AS DOUBLE) * y + CAST(0.75 AS DOUBLE) * l) AS level
+          FROM (SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date_str DESC) AS rn FROM train_sales)
+          WHERE rn <= 90 GROUP BY item_id, store_id)""")
+register_cte("smoothing_holdout", f"""
+    SELECT t.date_str AS forecast_date, t.item_id, t.store_id, '{SMOOTHING_LABEL}' AS model_used, CAST(t.sales_units AS DOUBLE) AS actual_demand,
+           p AS forecast_demand, CASE WHEN half IS NULL THEN 0.0 ELSE greatest(0.0, {half_up('p - half', 1)}) END AS confidence_lower,
+           {half_up('p + half', 1)} AS confidence_upper, CAST(t.sales_units AS DOUBLE) - p AS forecast_error, 30 AS horizon_days
+    FROM fact_sales t JOIN smoothed r ON t.item_id = r.item_id AND t.store_id = r.store_id
+    WHERE t.date_str > (SELECT split_date FROM split)""")
 register_cte("forecasts", """
     SELECT forecast_date, item_id, store_id, model_used, actual_demand, forecast_demand, confidence_lower,
            confidence_upper, forecast_error, horizon_days FROM baseline_holdout
     UNION ALL
+    SELECT * FROM smoothing_holdout
+    UNION ALL
     SELECT forecast_date, item_id, store_id, model_used, actual_demand, forecast_demand, confidence_lower,
            confidence_upper, forecast_error, horizon_days FROM baseline_forward""")
 

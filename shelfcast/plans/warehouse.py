@@ -2,8 +2,8 @@
 
 ``Warehouse(spark, sf_dir)`` exposes every table of the platform as a
 property that composes the operators.  Most are lazy: Catalyst sees one plan
-from the Parquet scans to the requested table.  ``series_days`` and
-``raw_sales_wide`` (stage boundaries) and ``ModelRun`` run jobs when they are
+from the Parquet scans to the requested table.  ``series_days``,
+``calendar`` and ``raw_sales_wide`` (stage boundaries) and ``ModelRun`` run jobs when they are
 first read.  For the nightly batch run
 (``plans.nightly``) the same properties are materialised stage by stage.
 """
@@ -73,7 +73,12 @@ class Warehouse:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return clean.clean_calendar(self.calendar_generated, order_by="date")
+        """The calendar as delivered, cleaned: a day that the feed lacks is missing here too.
+
+        A row a day, staged: the feed is one record an order line, and many tables need the calendar.
+        """
+        from shelfcast.session import materialize
+        return materialize(self.clean_calendar)
 
     # ---- dimensions -----------------------------------------------------
     @cached_property
@@ -192,10 +197,15 @@ class Warehouse:
         from shelfcast.operators import forecast
         return forecast.baseline_holdout(self.fact_sales)
 
+    @cached_property
+    def smoothing_holdout(self) -> DataFrame:
+        from shelfcast.operators import forecast
+        return forecast.smoothing_holdout(self.fact_sales)
+
     @cached_property
     def forecasts(self) -> DataFrame:
-        """Forecast fact table of the SQL-checkable baseline (holdout + forward)."""
-        return self.baseline_holdout.unionByName(self.baseline_forward)
+        """Forecast fact table of the SQL-checkable forecasters: both on the holdout, the recent mean forward."""
+        return self.baseline_holdout.unionByName(self.smoothing_holdout).unionByName(self.baseline_forward)
 
     # ---- inventory (I) --------------------------------------------------
     @cached_property
@@ -205,8 +215,7 @@ class Warehouse:
 
     @cached_property
     def on_hand(self) -> DataFrame:
-        from shelfcast.operators import inventory
-        return inventory.on_hand_snapshot(self.recent_stats, sales=self.fact_sales)
+        return adapter.on_hand_snapshot(self.recent_stats, self.fact_sales)
 
     @cached_property
     def recommendations(self) -> DataFrame:

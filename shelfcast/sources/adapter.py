@@ -46,6 +46,8 @@ REGION_TO_STATE = [
     ("EUROPE", "EU"),
 ]
 OTHER_STATE = "ME"
+# On-hand stock: days of lead time, and cover factors
+ON_HAND_DAYS, ON_HAND_FACTORS = 7, [0.3, 0.7, 1.2, 1.8, 3.5]
 # ---------------------------------------------------------------------------
 
 SERIES_COLS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
@@ -249,3 +251,17 @@ def raw_sales_wide_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, l
     days = F.concat(F.array_join(filled, ""), F.repeat(F.lit(","), F.lit(n) - F.element_at("_days", -1)["day_no"]))
     line = F.concat_ws(",", F.concat_ws("_", "item_id", "store_id"), *SERIES_COLS, days)
     return per.select(line.alias("value")), [f"d_{i}" for i in range(1, n + 1)]
+
+
+def on_hand_snapshot(stats: DataFrame, sales: DataFrame) -> DataFrame:
+    """The on-hand stock of each series, which the driver tables lack: an input of the planning operators.
+
+    current_inventory = max(0, round(avg x days x factor)); the factor is picked
+    from ``ON_HAND_FACTORS`` by the series' total units modulo their number.
+    """
+    series = ["item_id", "store_id"]
+    totals = sales.groupBy(*series).agg(F.sum("sales_units").alias("_tot"))
+    factors = F.array(*[F.lit(x) for x in ON_HAND_FACTORS])
+    factor = F.element_at(factors, (F.pmod(F.col("_tot"), F.lit(len(ON_HAND_FACTORS))) + 1).cast("int"))
+    stock = F.floor(F.col("avg_demand") * F.lit(ON_HAND_DAYS) * factor + F.lit(0.5))
+    return stats.join(totals, series).select(*series, F.greatest(F.lit(0), stock).cast("int").alias("current_inventory"))

@@ -6,6 +6,7 @@ folder); nothing here assumes a local disk.
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,16 +101,46 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def init_schemas(spark: SparkSession, location: str | None = None) -> list[str]:
-    """Create the empty typed warehouse tables if absent."""
+def init_schemas(spark: SparkSession, location: str | None = None, database: str | None = None) -> list[str]:
+    """Create the empty typed warehouse tables if absent, in a database (made if absent) or the current one."""
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{location.rstrip('/')}'" if location else ""))
     made = []
     for name, schema in schemas.WAREHOUSE_TABLES.items():
         loc = f" LOCATION '{location.rstrip('/')}/{name}'" if location else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_ddl(schema)}) USING parquet{loc}")
-        made.append(name)
+        table = f"{database}.{name}" if database else name
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({_ddl(schema)}) USING parquet{loc}")
+        made.append(table)
     return made
 
 
+def load_table(df: DataFrame, table: str) -> None:
+    """S8 + S6: rows appended to a typed table, every column cast to the table's type by name."""
+    target = df.sparkSession.table(table).schema
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target]).write.mode("append").insertInto(table)
+
+
+def replace_table(df: DataFrame, table: str, root: str) -> str:
+    """Replace a table as a whole, so that a run that fails halfway leaves the old rows.
+
+    The rows are written to a fresh folder under ``root``; only when all are
+    there, the table is pointed at it, which is the commit.  Old folders stay for readers
+    that began before (``root`` may be cleared of all but the current one later).  The
+    columns must be those the table has.  Returns the folder.
+    """
+    spark, path = df.sparkSession, f"{root.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+    exists = spark.catalog.tableExists(table)
+    if exists and [(f.name, f.dataType) for f in spark.table(table).schema] != [(f.name, f.dataType) for f in df.schema]:
+        raise ValueError(f"{table} has other columns")
+    df.write.parquet(path)
+    if exists:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"CREATE TABLE {table} ({_ddl(df.schema)}) USING parquet LOCATION '{path}'")
+    return path
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV export of any table (header row, one folder of part files)."""
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -140,6 +171,19 @@ def quality_report(checks: DataFrame) -> DataFrame:
             lambda c: c.dropFields("check_no")).alias("checks"))
 
 
+#: The report's JSON fields but its time.
+REPORT_FIELDS = ("total_checks long, passed_checks long, failed_checks long, info_checks long, checks array<struct<dataset: string, "
+                 "`check`: string, status: string, total_records: long, failed_records: long, details: string>>")
+
+
+def read_quality_report(spark: SparkSession, path: str) -> DataFrame:
+    """S11 read back: a row a check in the report's order (``position`` from 1), with the report's counts."""
+    report = spark.read.schema(REPORT_FIELDS).json(path)
+    counts = [c for c in report.columns if c != "checks"]
+    rows = report.select(*counts, F.posexplode("checks").alias("_at", "_check"))
+    return rows.select((F.col("_at") + 1).alias("position"), *counts, "_check.*")
+
+
 def write_quality_report(checks: DataFrame, path: str) -> None:
     """S11 sink: the report as a single JSON document (nine checks: one small row)."""
     quality_report(checks).coalesce(1).write.mode("overwrite").json(path)
