@@ -1,32 +1,30 @@
 """Fuzzy line deduplication in DataFrame functions alone.
 
-Lines are normalised and deduplicated by two 64-bit hashes.  A distinct line is
-filed under the hashes of its runs of three words (of two, in lines of four and
-five): all of them up to ``KEYS``, else the ``KEYS`` that come first in one
-order of all runs.  Lines at least SIMILARITY alike have such a run in common,
-so lines of up to ``KEYS`` + 2 words lose no pair; longer ones lose the few
-whose edits hit every run they are filed under (recall in the README).  A
-line's SimHash counts, for each of 64 bits, the words whose hash sets it (four
-16-bit counters to a long).  In a file, every line is first compared with the
-file's smallest; the components of those links are found, and only lines of one
-file that are still apart are compared with each other.  A comparison is the
-numbers of words, the SimHash distance, then an edit similarity of the
-normalised lines.  One occurrence per component stays.
+Lines are normalised and deduplicated by two 64-bit hashes.  A distinct line
+has a SimHash of its words (a bit is set if over half of the words' hashes set
+it).  Two lines are alike if their SimHashes differ in at most ``BITS`` bits and
+the edit similarity of their words is at least ``SIMILARITY``.  SimHashes within
+three bits agree in one of four blocks of 16 bits, so each line is filed under
+its four blocks; files that hold too many lines are split again by four columns
+of the remaining bits (the same pigeonhole argument), and once more.  In a file,
+every line is first compared with the file's smallest; the components of those
+links are found, and only lines of one file that are still apart are compared
+with each other.  One occurrence per component stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import connected_components, stage
 
-#: Unrelated lines differ in 32 bits on average, lines that are 0.8 alike in 13.
-SIMILARITY, BITS = 0.8, 28
-#: A line's files.  Runs of at least so many characters come first: shorter ones are mostly of words that many lines use.
-KEYS, LONG_RUN = 24, 18
-#: 2 to this power words are what one set of 16-bit counters takes (the highest must not reach the sign).
-COUNTER_BITS = 14
+#: Two lines are alike within so many bits of their SimHashes and at so much edit similarity.
+SIMILARITY, BITS = 0.8, 3
+#: Lines of a file before it is split by further blocks.
+SPLIT_ROWS = 2000
+#: Four disjoint masks that cover the word: 16-bit blocks, nibble columns, bit columns.
+MASKS = [(0xFFFF, 16), (0x000F000F000F000F, 4), (0x1111111111111111, 1)]
 
 
 def normalised(line: Column) -> Column:
@@ -49,38 +47,25 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return lines.select(occ.alias("occ"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), "line")
 
 
-def runs(line: Column) -> Column:
-    """The hashes of the runs of words that a line is filed under; lines of up to three words have none."""
-    def joined(a, b):
-        return F.struct(F.xxhash64(a["h"], b["h"]).alias("h"), (a["n"] + b["n"]).alias("n"))
-
-    words = F.transform(F.split(line, " "), lambda w: F.struct(F.xxhash64(w).alias("h"), F.length(w).alias("n")))
-    n = F.size(F.split(line, " "))
-    two = F.slice(F.zip_with(words, F.slice(words, F.lit(2), n), joined), F.lit(1), F.greatest(n - 1, F.lit(0)))
-    three = F.slice(F.zip_with(two, F.slice(words, F.lit(3), n), joined), F.lit(1), F.greatest(n - 2, F.lit(0)))
-    found = F.when(n == 4, two).when(n == 5, F.concat(two, three)).when(n > 5, three)
-    top, rest = (F.lit(x).cast("long") for x in (-(1 << 63), (1 << 63) - 1))
-    keys = F.transform(found, lambda r: F.when(r["n"] >= LONG_RUN, r["h"].bitwiseOR(top)).otherwise(r["h"].bitwiseAND(rest)))
-    return F.slice(F.sort_array(F.array_distinct(keys)), 1, KEYS)
+def simhash(counts: str, words: Column) -> Column:
+    """The bits that over half of the words set, from 32 sums of two 32-bit counters each."""
+    bits = F.lit(0).cast("long")
+    for j in range(32):
+        for half in (0, 1):
+            ones = F.shiftrightunsigned(F.col(f"{counts}{j}"), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
+            bits = bits.bitwiseOR(F.shiftleft((2 * ones > words).cast("long"), 32 * half + j))
+    return bits
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """``(id, k1, k2, occ, copies, n, simhash, line)`` of the distinct lines, staged; occ is the first occurrence, n the words."""
     once = lines.groupBy("k1", "k2").agg(F.min("occ").alias("occ"), F.count("*").alias("copies"), F.first("line").alias("line"))
-    own = ["k1", "k2", "occ", "copies"]
-    words = once.select(*own, F.posexplode(F.split("line", " ")).alias("pos", "word"))
-    words = words.select(*own, F.shiftright("pos", COUNTER_BITS).alias("part"), F.xxhash64("word").alias("h"))
-    one, two = (F.lit(x).cast("long") for x in (0x0001000100010001, 0x0000FFFF0000FFFF))
-    parts = words.groupBy(*own, "part").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(one)).alias(f"c{j}") for j in range(16)])
-    counts = parts.groupBy(*own).agg(F.sum("n").alias("n"), *[F.sum(F.shiftrightunsigned(f"c{j}", 16 * odd).bitwiseAND(two)).alias(f"s{j}_{odd}") for j in range(16) for odd in (0, 1)])
-    simhash = F.lit(0).cast("long")
-    for j in range(16):
-        for lane in range(4):
-            ones = F.shiftrightunsigned(F.col(f"s{j}_{lane % 2}"), 32 * (lane // 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-            simhash = simhash.bitwiseOR(F.shiftleft((2 * ones > F.col("n")).cast("long"), 16 * lane + j))
+    words = once.select("k1", "k2", F.explode(F.split("line", " ")).alias("word")).select("k1", "k2", F.xxhash64("word").alias("h"))
+    lanes = F.lit(0x0000000100000001).cast("long")
+    counts = words.groupBy("k1", "k2").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(lanes)).alias(f"c{j}") for j in range(32)])
     # both sides are the same shuffle by k1 and k2
-    counts = counts.select("k1", "k2", F.col("n").cast("int").alias("n"), simhash.alias("simhash"))
-    return stage(once.join(counts, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("id"), *own, "n", "simhash", "line"), "distinct-lines")
+    counts = counts.select("k1", "k2", F.col("n").cast("int").alias("n"), simhash("c", F.col("n")).alias("simhash"))
+    return stage(once.join(counts, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "occ", "copies", "n", "simhash", "line"), "distinct-lines")
 
 
 def apart(a: str, b: str) -> Column:
@@ -97,12 +82,40 @@ def most_edits(words: Column) -> Column:
     return F.floor(words * (1 - SIMILARITY) + 1e-9).cast("int")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _split(rows: DataFrame, kind: int) -> DataFrame:
+    """Each row under four further masks: ``mask`` the bits that a file's lines share, ``file`` their values."""
+    base, step = MASKS[kind]
+    masks = F.explode(F.array(*[F.lit(_signed(base << (step * i))).cast("long") for i in range(4)]))
+    return (rows.select("id", "n", "simhash", "mask", masks.alias("_m")).withColumn("mask", F.col("mask").bitwiseOR(F.col("_m"))).drop("_m")
+            .withColumn("file", F.col("simhash").bitwiseAND(F.col("mask"))))
+
+
 def files(lines: DataFrame) -> DataFrame:
-    """``(file, id, n, simhash)``, staged: each line in those of its files that hold another line near enough."""
-    rows = lines.select(F.explode(runs(F.col("line"))).alias("file"), "id", "n", "simhash")
-    other = rows.toDF("file_b", "id_b", "n_b", "simhash_b")
-    near = (F.col("file") == F.col("file_b")) & (F.col("id") != F.col("id_b")) & near_enough("", "_b")
-    return stage(rows.join(other, near, "left_semi"), "files")
+    """``(mask, file, id, n, simhash)``, staged: each line in its files that hold other lines.
+
+    Lines of too few words for an edit (SIMILARITY allows none) have no file: equal ones are one line already.
+    """
+    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", F.lit(0).cast("long").alias("mask"))
+    rows, done = _split(able, 0), []
+    for kind in range(1, len(MASKS) + 1):
+        size = rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter("lines > 1")
+        sized = stage(rows.join(size, ["mask", "file"]), "files")
+        if kind == len(MASKS):
+            done.append(sized)
+            break
+        done.append(sized.filter(F.col("lines") <= SPLIT_ROWS))
+        large = sized.filter(F.col("lines") > SPLIT_ROWS)
+        if large.isEmpty():
+            break
+        rows = _split(large, kind)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("mask", "file", "id", "n", "simhash")
 
 
 def letters(line: Column) -> list[Column]:
@@ -116,39 +129,40 @@ def letters(line: Column) -> list[Column]:
     return [F.size(words).alias("n"), coded(1).alias("x"), coded(2).alias("y")]
 
 
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs of ids ``(a, b)``, those whose words are at least SIMILARITY alike; ``texts(id, n, x, y)``.
+def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of pairs of ids ``(a, b)``, those whose words are at least SIMILARITY alike; ``lines(id, line)``.
 
     Similarity is 1 - edits / words of the longer line.  ``levenshtein`` of a
     pair's characters counts the edits; both codings must agree, so words
     that share a character in one of them still differ in the other.
     """
+    pairs = stage(pairs, "line-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = lines.join(needed, "id", "left_semi").select("id", *letters(F.col("line")))
     both = pairs.join(texts.toDF("a", "n_a", "x_a", "y_a"), "a").join(texts.toDF("b", "n_b", "x_b", "y_b"), "b")
     both = both.withColumn("most", most_edits(F.greatest("n_a", "n_b")))
-    return (both.filter(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("most"))
-            .filter(F.expr("levenshtein(x_a, x_b, most) >= 0 and levenshtein(y_a, y_b, most) >= 0")).select("a", "b"))
+    return both.filter(F.expr("levenshtein(x_a, x_b, most) >= 0 and levenshtein(y_a, y_b, most) >= 0")).select("a", "b")
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
     """``(k1, k2, component, occ, copies)`` of the distinct lines of ``lines`` (see ``lines_of``)."""
     once = distinct_lines(lines)
-    near = files(once.select("id", "n", "simhash", "line"))
-    texts = once.join(near.select("id").distinct(), "id", "left_semi")
-    texts = stage(texts.select("id", *letters(F.col("line"))), "line-words")
-
-    heads = near.groupBy("file").agg(F.min_by(F.struct("id", "n", "simhash"), "id").alias("head"))
-    first = (near.join(heads, "file").select("id", "n", "simhash", F.col("head.id").alias("id_h"), F.col("head.n").alias("n_h"), F.col("head.simhash").alias("simhash_h"))
-             .filter((F.col("id") != F.col("id_h")) & near_enough("", "_h")).select(F.col("id_h").alias("a"), F.col("id").alias("b")).distinct())
-    links = stage(alike(first, texts), "line-links")
+    near = files(once.select("id", "n", "simhash"))
+    key = ["mask", "file"]
+    heads = near.groupBy(*key).agg(F.min("id").alias("id")).join(near, [*key, "id"])
+    heads = heads.select(*key, F.col("id").alias("id_h"), F.col("n").alias("n_h"), F.col("simhash").alias("simhash_h"))
+    first = (near.join(heads, key).filter((F.col("id") != F.col("id_h")) & near_enough("", "_h"))
+             .select(F.col("id_h").alias("a"), F.col("id").alias("b")).distinct())
+    links = stage(alike(first, once), "line-links")
     parts = stage(connected_components(links), "line-parts")
 
-    placed = near.join(parts, near.id == parts.node, "left").select("file", "id", "n", "simhash", F.coalesce("component", "id").alias("part"))
-    open_files = placed.groupBy("file").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("file")
-    placed = stage(placed.join(open_files, "file", "left_semi"), "open-files")
-    other = placed.toDF("file", "id_b", "n_b", "simhash_b", "part_b")
-    rest = (placed.join(other, "file").filter((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & near_enough("", "_b"))
+    placed = near.join(parts, near.id == parts.node, "left").select(*key, "id", "n", "simhash", F.coalesce("component", "id").alias("part"))
+    open_files = placed.groupBy(*key).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select(*key)
+    placed = stage(placed.join(open_files, key, "left_semi"), "open-files")
+    other = placed.toDF(*key, "id_b", "n_b", "simhash_b", "part_b")
+    rest = (placed.join(other, key).filter((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & near_enough("", "_b"))
             .select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = stage(alike(rest, texts), "line-links")
+    more = stage(alike(rest, once), "line-links")
     if not more.isEmpty():
         parts = stage(connected_components(links.unionByName(more)), "line-parts")
     return once.join(parts, once.id == parts.node, "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), "occ", "copies")
@@ -157,13 +171,20 @@ def line_groups(lines: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, row, gone array<int>)``: the numbers (from 0) of lines that go, for rows that lose any."""
     lines = lines_of(with_row(docs))
-    groups = stage(line_groups(lines), "line-groups")
+    groups = line_groups(lines)
     kept = groups.groupBy("component").agg(F.min("occ").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
-    keys = groups.select("k1", "k2", "component").join(kept, "component").select("k1", "k2", "keep")
+    keys = stage(groups.select("k1", "k2", "component").join(kept, "component").select("k1", "k2", "keep"), "repeated-lines")
     gone = lines.select("k1", "k2", "occ").join(keys, ["k1", "k2"]).filter("occ <> keep").select("occ.*")
     return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column has it (names don't tell upper from lower case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without the lines that go, and ``_lines``, ``_gone`` (counts).
 
@@ -172,14 +193,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Lines without a letter or digit are never removed.  Repeated rows (same id
     and text) are one occurrence and keep or lose the same lines.  A null text
     stays null, a text that loses every line becomes empty, an empty table
-    stays empty.
+    stays empty.  Where ``docs`` has a column ``_lines`` or ``_gone``, the count's
+    name gets further underscores in front.
     """
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_at"))
     text = F.col("text").cast("string")
-    row = F.xxhash64(F.coalesce(text, F.lit("")))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (row == gone["_row"]), "left")
+    at, key, lines_name, gone_name = (_free(x, docs.columns) for x in ("_at", "_key", "_lines", "_gone"))
+    gone = removed_lines(docs.select("doc_id", "text")).select(F.struct("doc_id", "row").alias(key), F.col("gone").alias(at))
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"))
+    joined = docs.withColumn(f"_{key}", own).join(gone, F.col(f"_{key}").eqNullSafe(F.col(key)), "left")
     lines = F.split(text, "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_at", i)), "\n")
-    columns = [F.when(F.col("_at").isNull(), text).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"),
-                         F.coalesce(F.array_size("_at"), F.lit(0)).cast("long").alias("_gone"))
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(at, i)), "\n")
+    columns = [F.when(F.col(at).isNull(), text).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(lines_name),
+                         F.coalesce(F.array_size(at), F.lit(0)).cast("long").alias(gone_name))

@@ -470,29 +470,49 @@ def test_line_dedup_edges(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
-def test_lines_at_the_limit_are_found(spark):
-    """Against edit similarity alone, without a filter on bits or runs."""
+def test_lines_at_the_limits_are_found(spark, monkeypatch):
+    """Lines near both limits, bits and edits, with files split at every size; against all pairs."""
+    from pyspark.sql import functions as F
+
     rng = random.Random(22)
     lines = []
-    for n in (4, 5, 6, 9, 10, 14, 15, 18, 20, 30, 60):
-        for _ in range(5):
+    for n in (1, 4, 5, 6, 10, 15, 30, 60, 200):
+        for _ in range(8):
             words = prose(rng, n, 5000).split()
             other = list(words)
-            for i in sorted(rng.sample(range(n), max(1, n // 5)), reverse=True):
+            for i in sorted(rng.sample(range(n), min(n, rng.choice([1, 1, 2, n // 5 + 1]))), reverse=True):
                 other[i:i + 1] = rng.choice([["new"], [], [words[i], "more"]])
-            lines += [" ".join(words), " ".join(other)]
-    lines += ["one two three four", "one two three five", "a b", "a c"]
-    got = linededup.line_groups(linededup.lines_of(linededup.with_row(docs(spark, list(enumerate(lines)))))).collect()
-    part = {r.occ.doc_id: r.component for r in got}
-
-    def alike(i, j):
-        x, y = lines[i].split(), lines[j].split()
-        most = int(max(len(x), len(y)) * 0.2 + 1e-9)
-        return abs(len(x) - len(y)) <= most and plain.edits(x, y) <= most
-
-    want = plain.components(sorted(part), alike)
-    assert sum(want[i] != i for i in want) > 45
-    assert {(i, j) for i in part for j in part if part[i] == part[j]} == {(i, j) for i in part for j in part if want[i] == want[j]}
+            lines += [" ".join(words), " ".join(other), " ".join(sorted(words))]
+    table = docs(spark, list(enumerate(lines)))
+    words = sorted({w for x in lines for w in x.split()})
+    hashes = {r.w: r.h % 2**64 for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    first = {}
+    for i, x in enumerate(lines):
+        if x:
+            first.setdefault(x, i)
+    prints = {x: plain.line_simhash(x, hashes) for x in first}
+
+    def linked(a, b):
+        x, y = a.split(" "), b.split(" ")
+        return (prints[a] ^ prints[b]).bit_count() <= linededup.BITS and plain.edits(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)
+
+    part = plain.components(sorted(first), linked)
+    want = {first[x]: first[part[x]] for x in first}
+    assert sum(a != b for a, b in want.items()) > 10
+    for split in (1, 2000):
+        monkeypatch.setattr(linededup, "SPLIT_ROWS", split)
+        got = linededup.line_groups(linededup.lines_of(linededup.with_row(table))).collect()
+        own = {r.occ.doc_id: r.component for r in got}
+        assert {(i, j) for i in own for j in own if own[i] == own[j]} == {(i, j) for i in want for j in want if want[i] == want[j]}
+
+
+def test_line_dedup_with_columns_of_its_own_names(spark):
+    table = docs(spark, [(1, "the same line here\nother one"), (2, "The same line here!")]).withColumnsRenamed(
+        {"lang": "_lines", "score": "_gone", "ids": "_at", "fp": "_key", "occ": "__key"})
+    got = {r.doc_id: r for r in linededup.dedup_lines(table).collect()}
+    assert [got[i].text for i in (1, 2)] == ["the same line here\nother one", ""]
+    assert [(got[i]["_lines"], got[i]["_gone"], got[i]["_at"], got[i]["_key"]) for i in (1, 2)] == [("en", "x", "x", "x")] * 2
+    assert [(got[i]["__lines"], got[i]["__gone"]) for i in (1, 2)] == [(2, 0), (1, 1)]
 
 
 # ---- quality
