@@ -7,8 +7,8 @@ the edit similarity of their words is at least ``SIMILARITY``.  SimHashes within
 three bits agree in one of four blocks of 16 bits, so each line is filed under
 its four blocks; files that hold too many lines are split again by four columns
 of the remaining bits (the same pigeonhole argument), and once more.  In a file,
-every line is first compared with the file's smallest; the components of those
-links are found, and only lines of one file that are still apart are compared
+every line is first compared with the file's head, the line with the most exact
+copies (of near copies, mostly the one they come from); the components of those links are found, and only lines of one file that are still apart are compared
 with each other.  One occurrence per component stays.
 """
 
@@ -47,35 +47,37 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return lines.select(occ.alias("occ"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), "line")
 
 
-def simhash(counts: str, words: Column) -> Column:
-    """The bits that over half of the words set, from 32 sums of two 32-bit counters each."""
+def simhash(words: Column) -> Column:
+    """The bits that over half of the words set, from the sums ``c0`` to ``c31`` of two 32-bit counters each."""
     bits = F.lit(0).cast("long")
     for j in range(32):
         for half in (0, 1):
-            ones = F.shiftrightunsigned(F.col(f"{counts}{j}"), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
+            ones = F.shiftrightunsigned(F.col(f"c{j}"), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
             bits = bits.bitwiseOR(F.shiftleft((2 * ones > words).cast("long"), 32 * half + j))
     return bits
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """``(id, k1, k2, occ, copies, n, simhash, line)`` of the distinct lines, staged; occ is the first occurrence, n the words."""
+    """``(id, k1, k2, occ, copies, n, simhash, line)`` of the distinct lines, staged; occ is the first occurrence, n the words.
+
+    The join of the lines with their words' sums needs no shuffle: both sides read the one that made lines
+    distinct.  (The words carry what the other side reads too, or that shuffle would be run twice, with fewer columns.)
+    """
     once = lines.groupBy("k1", "k2").agg(F.min("occ").alias("occ"), F.count("*").alias("copies"), F.first("line").alias("line"))
-    words = once.select("k1", "k2", F.explode(F.split("line", " ")).alias("word")).select("k1", "k2", F.xxhash64("word").alias("h"))
+    words = once.select("k1", "k2", F.col("copies").alias("c"), F.col("occ.at").alias("a"), F.explode(F.split("line", " ")).alias("word"))
     lanes = F.lit(0x0000000100000001).cast("long")
-    counts = words.groupBy("k1", "k2").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(lanes)).alias(f"c{j}") for j in range(32)])
-    # both sides are the same shuffle by k1 and k2
-    counts = counts.select("k1", "k2", F.col("n").cast("int").alias("n"), simhash("c", F.col("n")).alias("simhash"))
-    return stage(once.join(counts, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "occ", "copies", "n", "simhash", "line"), "distinct-lines")
-
-
-def apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    words = words.select("k1", "k2", "c", "a", F.xxhash64("word").alias("h"))
+    counts = words.groupBy("k1", "k2").agg(F.max("c").alias("c"), F.max("a").alias("a"), F.count("*").alias("n"),
+                                           *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(lanes)).alias(f"c{j}") for j in range(32)])
+    counts = counts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "c", "a", F.col("n").cast("int").alias("n"), simhash(F.col("n")).alias("simhash"))
+    both = once.join(counts, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & (F.abs(F.col("copies") - F.col("c")) + F.abs(F.col("occ.at") - F.col("a")) <= 0))
+    return stage(both.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "occ", "copies", "n", "simhash", "line"), "distinct-lines")
 
 
 def near_enough(a: str, b: str) -> Column:
     """SimHashes within BITS bits, and numbers of words that can be SIMILARITY alike; a and b are what follows the columns' names."""
     few, many = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
-    return (many - few <= most_edits(many)) & (apart(f"simhash{a}", f"simhash{b}") <= BITS)
+    return (many - few <= most_edits(many)) & (F.bit_count(F.col(f"simhash{a}").bitwiseXOR(F.col(f"simhash{b}"))) <= BITS)
 
 
 def most_edits(words: Column) -> Column:
@@ -90,32 +92,32 @@ def _split(rows: DataFrame, kind: int) -> DataFrame:
     """Each row under four further masks: ``mask`` the bits that a file's lines share, ``file`` their values."""
     base, step = MASKS[kind]
     masks = F.explode(F.array(*[F.lit(_signed(base << (step * i))).cast("long") for i in range(4)]))
-    return (rows.select("id", "n", "simhash", "mask", masks.alias("_m")).withColumn("mask", F.col("mask").bitwiseOR(F.col("_m"))).drop("_m")
+    return (rows.select("id", "n", "simhash", "copies", "mask", masks.alias("_m")).withColumn("mask", F.col("mask").bitwiseOR(F.col("_m"))).drop("_m")
             .withColumn("file", F.col("simhash").bitwiseAND(F.col("mask"))))
 
 
 def files(lines: DataFrame) -> DataFrame:
-    """``(mask, file, id, n, simhash)``, staged: each line in its files that hold other lines.
+    """``(mask, file, id, n, simhash, copies)``: each line in its files.
 
     Lines of too few words for an edit (SIMILARITY allows none) have no file: equal ones are one line already.
     """
-    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", F.lit(0).cast("long").alias("mask"))
+    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", "copies", F.lit(0).cast("long").alias("mask"))
     rows, done = _split(able, 0), []
     for kind in range(1, len(MASKS) + 1):
-        size = rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter("lines > 1")
-        sized = stage(rows.join(size, ["mask", "file"]), "files")
         if kind == len(MASKS):
-            done.append(sized)
+            done.append(rows)
             break
-        done.append(sized.filter(F.col("lines") <= SPLIT_ROWS))
-        large = sized.filter(F.col("lines") > SPLIT_ROWS)
+        # at most a file for every SPLIT_ROWS rows
+        large = stage(rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > SPLIT_ROWS).select("mask", "file"), "large-files")
         if large.isEmpty():
+            done.append(rows)
             break
-        rows = _split(large, kind)
+        done.append(rows.join(large, ["mask", "file"], "left_anti"))
+        rows = _split(rows.join(large, ["mask", "file"], "left_semi"), kind)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("mask", "file", "id", "n", "simhash")
+    return out.select("mask", "file", "id", "n", "simhash", "copies")
 
 
 def letters(line: Column) -> list[Column]:
@@ -138,7 +140,8 @@ def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     pairs = stage(pairs, "line-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = lines.join(needed, "id", "left_semi").select("id", *letters(F.col("line")))
+    # staged: a filter on the letters would be pushed below the semi-join and code every line
+    texts = stage(lines.join(needed, "id", "left_semi").select("id", *letters(F.col("line"))), "line-letters")
     both = pairs.join(texts.toDF("a", "n_a", "x_a", "y_a"), "a").join(texts.toDF("b", "n_b", "x_b", "y_b"), "b")
     both = both.withColumn("most", most_edits(F.greatest("n_a", "n_b")))
     return both.filter(F.expr("levenshtein(x_a, x_b, most) >= 0 and levenshtein(y_a, y_b, most) >= 0")).select("a", "b")
@@ -147,9 +150,9 @@ def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def line_groups(lines: DataFrame) -> DataFrame:
     """``(k1, k2, component, occ, copies)`` of the distinct lines of ``lines`` (see ``lines_of``)."""
     once = distinct_lines(lines)
-    near = files(once.select("id", "n", "simhash"))
+    near = files(once)
     key = ["mask", "file"]
-    heads = near.groupBy(*key).agg(F.min("id").alias("id")).join(near, [*key, "id"])
+    heads = near.groupBy(*key).agg(F.max_by("id", "copies").alias("id")).join(near, [*key, "id"])
     heads = heads.select(*key, F.col("id").alias("id_h"), F.col("n").alias("n_h"), F.col("simhash").alias("simhash_h"))
     first = (near.join(heads, key).filter((F.col("id") != F.col("id_h")) & near_enough("", "_h"))
              .select(F.col("id_h").alias("a"), F.col("id").alias("b")).distinct())
