@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import WORD, mix
+from shelfcast.llm.common import WORD, mix, stage
 
 BUCKETS, FIT_DOCS = 4096, 4000
 #: Bytes hashed at once.
@@ -134,7 +134,8 @@ def classify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     said = votes(F.col("text"))
     names = list(said)
-    voted = rows.select("doc_id", "text", *[v.cast("int").alias(f"v_{k}") for k, v in said.items()])
+    # staged: the labellers read every text once, the counts and the scores come from their votes
+    voted = stage(rows.select("doc_id", "text", *[v.cast("int").alias(f"v_{k}") for k, v in said.items()]), "votes")
     counted = voted.groupBy(*[f"v_{k}" for k in names]).count().toPandas()
     if counted.empty:
         return spark.createDataFrame([], "doc_id long, weak_label double, score double, good boolean")

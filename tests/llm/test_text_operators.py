@@ -536,6 +536,66 @@ def test_quality_agrees_with_hand_labels(spark):
     assert got[got.quality == 1].good.mean() > 0.97
 
 
+def test_quality_against_plain_loops(spark):
+    """Label model, posterior, trigram shares and scorer of small documents, step by step."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(31)
+    words = quality.STOP_WORDS
+    rows = [(i, rng.choice([" ".join(rng.choice(words + [f"lore{rng.randrange(90)}"] * 40) for _ in range(rng.randrange(1, 90))), "?! " * rng.randrange(20), "AA BB " * rng.randrange(1, 30), None]))
+            for i in range(60)]
+    table = docs(spark, rows)
+    got = {r.doc_id: r for r in quality.classify(table).collect()}
+    text = F.coalesce("text", F.lit(""))
+    voted = {r[0]: list(r[1:]) for r in table.select("doc_id", *[v.cast("int") for v in quality.votes(text).values()]).collect()}
+    share, acc = 0.5, [[0.8, 0.8] for _ in range(9)]
+
+    def good(v):
+        odds = math.log(share / (1 - share))
+        for x, (bad_right, good_right) in zip(v, acc):
+            if x == 1:
+                odds += math.log(good_right / (1 - bad_right))
+            elif x == 0:
+                odds += math.log((1 - good_right) / bad_right)
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(200):
+        p = {i: good(v) for i, v in voted.items()}
+        new = [[(sum((p[i] if c else 1 - p[i]) for i, v in voted.items() if v[j] == c) + 8) / (sum((p[i] if c else 1 - p[i]) for i, v in voted.items() if v[j] >= 0) + 10)
+                for c in (0, 1)] for j in range(9)]
+        last, share = share, (sum(p.values()) + 1) / (len(p) + 2)
+        done = abs(share - last) < 1e-10 and max(abs(a - b) for x, y in zip(new, acc) for a, b in zip(x, y)) < 1e-10
+        acc = new
+        if done:
+            break
+    label = {i: good(v) for i, v in voted.items()}
+    assert {i: r.weak_label for i, r in got.items()} == pytest.approx(label, abs=1e-9)
+
+    def shares(t):
+        data, out = b" " + (t or "").encode() + b" ", [0.0] * quality.BUCKETS
+        for k in range(len(data) - 2):
+            g = data[k] << 16 | data[k + 1] << 8 | data[k + 2]
+            out[int(common.mix(np.array([g], np.uint64))[0] % np.uint64(quality.BUCKETS))] += 1
+        return [x / max(sum(out), 1) for x in out]
+
+    own = {i: shares(t) for i, t in rows}
+    used = sorted({k for x in own.values() for k, v in enumerate(x) if v})
+    mean = {k: sum(x[k] for x in own.values()) / len(rows) for k in used}
+    scale = {k: math.sqrt(sum((x[k] - mean[k]) ** 2 for x in own.values()) / len(rows)) + 1e-4 for k in used}
+    z = {i: {k: (x[k] - mean[k]) / scale[k] for k in used} for i, x in own.items()}
+    step = 0.5 / max(1.0, sum(v * v for x in z.values() for v in x.values()) / len(rows) / 4)
+    w, vw, b, vb = dict.fromkeys(used, 0.0), dict.fromkeys(used, 0.0), 0.0, 0.0
+    for _ in range(300):
+        gap = {i: label[i] - 1 / (1 + math.exp(-max(-30, min(30, sum(w[k] * x[k] for k in used) + b)))) for i, x in z.items()}
+        vw = {k: 0.9 * vw[k] + sum(gap[i] * z[i][k] for i in z) / len(rows) - 1e-3 * w[k] for k in used}
+        vb = 0.9 * vb + sum(gap.values()) / len(rows)
+        w, b = {k: w[k] + step * vw[k] for k in used}, b + step * vb
+    want = {i: 1 / (1 + math.exp(-(sum(w[k] * x[k] for k in used) + b))) for i, x in z.items()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=2e-4)  # the operator fits in single precision
+
+
 def test_quality_edges(spark):
     got = quality.classify(docs(spark, [*EDGES, (8, "word " * 30_000)])).collect()
     assert len(got) == len(EDGES) + 1 and all(0 <= r.score <= 1 for r in got)
