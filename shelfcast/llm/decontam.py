@@ -8,14 +8,16 @@ summed by Spark jobs, gives a latent space of ``LATENT`` dimensions.  A
 document passage is a candidate for an item if their latent cosine, lowered by
 the share of the passage's weight that lies outside the benchmark's terms,
 reaches ``COSINE`` times the cosine that a copy of the item's passage has among
-other words of equal weight; passages whose whole benchmark weight can't reach it are
-passed over, which loses none.  Each candidate is checked on the words around
+other words of equal weight; passages whose whole benchmark weight can't reach it, or without
+the rarer words that any item needs nearby, are passed over, which loses none.  Each candidate is checked on the words around
 the passage: the longest common subsequence with the whole item decides, and
 for paraphrases the item's answer must be there too.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -34,6 +36,9 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Items of fewer words match nothing; passages of items compared in one pass over the documents.
 LEAST_WORDS, ITEM_BLOCK = 5, 8192
 
+#: Rare words of an item that a passage must have around it before it is projected.
+SEVERAL = 4
+
 SEPARATES = np.ones(256, bool)
 SEPARATES[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 SENTENCE = regex.compile(r"(?<=[.!?:])\s+")
@@ -89,7 +94,11 @@ class Space:
         out = np.zeros((n, self.basis.shape[1]), np.float32)
         if len(which):
             first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-            out[which[first]] = np.add.reduceat(weight[:, None].astype(np.float32) * self.basis[term], first, axis=0)
+            weight = weight[:, None].astype(np.float32)
+            for s in range(0, len(first), 256):  # passages at a time, so that their rows stay in the processor's cache
+                own = first[s:s + 256]
+                a, b = own[0], first[s + 256] if s + 256 < len(first) else len(which)
+                out[which[own]] = np.add.reduceat(weight[a:b] * self.basis[term[a:b]], own - a, axis=0)
         return out
 
 
@@ -231,6 +240,48 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("common", "answer")).alias("best")).select("doc_id", "row", "item_id", "best.*")
 
 
+class Needed:
+    """Words that a held item must have near a passage, to pass over passages that can hold none.
+
+    An item is held only if PARAPHRASE of its words lie around the passage, so at most ``spare`` of them are
+    missing.  Of its ``spare`` + SEVERAL rarest words (or all) at least SEVERAL (or what all less ``spare`` are) must be there.
+    """
+
+    def __init__(self, items: Terms, idf: np.ndarray):
+        words, item, self.n, self.least = [], [], np.diff(items.first), []
+        for i, (a, b) in enumerate(zip(items.first[:-1].tolist(), items.first[1:].tolist())):
+            spare = (b - a) - math.ceil(PARAPHRASE * (b - a) - 1e-9)
+            chosen = items.hash[a:b][np.argsort(-idf[items.bucket[a:b]], kind="stable")[:spare + SEVERAL]]
+            self.least.append(len(chosen) - spare)
+            chosen = np.unique(chosen)
+            words.append(chosen)
+            item += [i] * len(chosen)
+        by = np.argsort(words := np.concatenate(words), kind="stable")
+        self.words, self.item, self.least = words[by], np.array(item)[by], np.array(self.least)
+
+    def near(self, docs: Terms, lo: np.ndarray) -> np.ndarray:
+        """Whether the passages that start at ``lo`` have as many needed words of some item around them, in their document."""
+        if not len(lo):
+            return np.zeros(0, bool)
+        start = np.searchsorted(self.words, docs.hash)
+        at = np.flatnonzero(self.words[np.minimum(start, len(self.words) - 1)] == docs.hash)
+        start, many = start[at], np.searchsorted(self.words, docs.hash[at], "right") - start[at]
+        place = np.repeat(at, many)
+        item = self.item[np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)]
+        by = np.lexsort((place, item))
+        place, item = place[by], item[by]
+        last = np.arange(len(place)) + self.least[item] - 1
+        inside = last < len(place)
+        first, last = np.flatnonzero(inside), last[inside]
+        n, p, q = self.n[item[first]], place[first], place[last]
+        ok = (item[first] == item[last]) & (docs.doc[p] == docs.doc[q]) & (q - p < PASSAGE + 2 * n)
+        n, p, q = n[ok], p[ok], q[ok]
+        cover = np.zeros(len(docs.hash) + 1, np.int64)
+        np.add.at(cover, np.maximum(q - PASSAGE - n + 1, docs.first[docs.doc[p]]), 1)
+        np.add.at(cover, np.minimum(p + n + 1, docs.first[docs.doc[p] + 1]), -1)
+        return np.cumsum(cover)[lo] > 0
+
+
 def _held_by(rows: DataFrame, shared) -> DataFrame:
     def run(batches):
         space, own = shared.value
@@ -246,10 +297,13 @@ def _held_by(rows: DataFrame, shared) -> DataFrame:
         aim = (latent * (norm / np.maximum(size, 1e-9) ** 2)[:, None]).T
         least = COSINE * np.sqrt((hi - lo) / PASSAGE)
         reach = np.min(least * size / np.maximum(norm, 1e-9), where=norm > 0, initial=1.0)
+        needed = Needed(items, space.idf)
         for ids, texts in _parts(batches, 3):
             docs = Terms(texts)
             out = []
             lo, hi = passages(docs.first)
+            some = needed.near(docs, lo)
+            lo, hi = lo[some], hi[some]
             which, term, weight, norm = space.rows(docs.bucket, lo, hi)
             inside = np.sqrt(np.bincount(which, weight**2, minlength=len(lo)))
             able = inside >= reach * norm * (1 - 1e-6)
