@@ -14,7 +14,7 @@ with each other.  One occurrence per component stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import connected_components, stage
@@ -71,7 +71,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
                                            *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(lanes)).alias(f"c{j}") for j in range(32)])
     counts = counts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "c", "a", F.col("n").cast("int").alias("n"), simhash(F.col("n")).alias("simhash"))
     both = once.join(counts, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & (F.abs(F.col("copies") - F.col("c")) + F.abs(F.col("occ.at") - F.col("a")) <= 0))
-    return stage(both.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "occ", "copies", "n", "simhash", "line"), "distinct-lines")
+    return stage(both.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "occ", "copies", "n", "simhash", "line"), "distinct-lines", free=True)
 
 
 def near_enough(a: str, b: str) -> Column:
@@ -92,32 +92,27 @@ def _split(rows: DataFrame, kind: int) -> DataFrame:
     """Each row under four further masks: ``mask`` the bits that a file's lines share, ``file`` their values."""
     base, step = MASKS[kind]
     masks = F.explode(F.array(*[F.lit(_signed(base << (step * i))).cast("long") for i in range(4)]))
-    return (rows.select("id", "n", "simhash", "copies", "mask", masks.alias("_m")).withColumn("mask", F.col("mask").bitwiseOR(F.col("_m"))).drop("_m")
-            .withColumn("file", F.col("simhash").bitwiseAND(F.col("mask"))))
+    rows = rows.drop("file").withColumn("_m", masks).withColumn("mask", F.col("mask").bitwiseOR(F.col("_m"))).drop("_m")
+    return rows.withColumn("file", F.col("simhash").bitwiseAND(F.col("mask")))
 
 
-def files(lines: DataFrame) -> DataFrame:
-    """``(mask, file, id, n, simhash, copies)``: each line in its files.
+def files(lines: DataFrame, also: str) -> DataFrame:
+    """``(mask, file, id, n, simhash)`` and a further column: each line in its files.
 
     Lines of too few words for an edit (SIMILARITY allows none) have no file: equal ones are one line already.
     """
-    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", "copies", F.lit(0).cast("long").alias("mask"))
+    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", also, F.lit(0).cast("long").alias("mask"))
     rows, done = _split(able, 0), []
-    for kind in range(1, len(MASKS) + 1):
-        if kind == len(MASKS):
-            done.append(rows)
-            break
+    for kind in range(1, len(MASKS)):
         # at most a file for every SPLIT_ROWS rows
-        large = stage(rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > SPLIT_ROWS).select("mask", "file"), "large-files")
+        large = stage(rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > SPLIT_ROWS).select("mask", "file"), "large-files", free=True)
         if large.isEmpty():
-            done.append(rows)
             break
         done.append(rows.join(large, ["mask", "file"], "left_anti"))
         rows = _split(rows.join(large, ["mask", "file"], "left_semi"), kind)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("mask", "file", "id", "n", "simhash", "copies")
+    for d in done:
+        rows = rows.unionByName(d)
+    return rows
 
 
 def letters(line: Column) -> list[Column]:
@@ -138,34 +133,34 @@ def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     pair's characters counts the edits; both codings must agree, so words
     that share a character in one of them still differ in the other.
     """
-    pairs = stage(pairs, "line-pairs")
+    pairs = stage(pairs, "line-pairs", free=True)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # staged: a filter on the letters would be pushed below the semi-join and code every line
-    texts = stage(lines.join(needed, "id", "left_semi").select("id", *letters(F.col("line"))), "line-letters")
+    texts = stage(lines.join(needed, "id", "left_semi").select("id", *letters(F.col("line"))), "line-letters", free=True)
     both = pairs.join(texts.toDF("a", "n_a", "x_a", "y_a"), "a").join(texts.toDF("b", "n_b", "x_b", "y_b"), "b")
     both = both.withColumn("most", most_edits(F.greatest("n_a", "n_b")))
-    return both.filter(F.expr("levenshtein(x_a, x_b, most) >= 0 and levenshtein(y_a, y_b, most) >= 0")).select("a", "b")
+    both = both.filter(F.expr("levenshtein(x_a, x_b, most) >= 0 and levenshtein(y_a, y_b, most) >= 0"))
+    return stage(both.select("a", "b"), "line-links", free=True)
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
     """``(k1, k2, component, occ, copies)`` of the distinct lines of ``lines`` (see ``lines_of``)."""
     once = distinct_lines(lines)
-    near = files(once)
-    key = ["mask", "file"]
-    heads = near.groupBy(*key).agg(F.max_by("id", "copies").alias("id")).join(near, [*key, "id"])
-    heads = heads.select(*key, F.col("id").alias("id_h"), F.col("n").alias("n_h"), F.col("simhash").alias("simhash_h"))
-    first = (near.join(heads, key).filter((F.col("id") != F.col("id_h")) & near_enough("", "_h"))
-             .select(F.col("id_h").alias("a"), F.col("id").alias("b")).distinct())
-    links = stage(alike(first, once), "line-links")
+    file = Window.partitionBy("mask", "file")
+    near = files(once, "copies")
+    for c in ("id", "n", "simhash"):  # of ties, the same line for each column
+        near = near.withColumn(f"{c}_h", F.max_by(c, "copies").over(file))
+    first = near.filter((F.col("id") != F.col("id_h")) & near_enough("", "_h"))
+    first = first.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct()
+    links = alike(first, once)
     parts = stage(connected_components(links), "line-parts")
 
-    placed = near.join(parts, near.id == parts.node, "left").select(*key, "id", "n", "simhash", F.coalesce("component", "id").alias("part"))
-    open_files = placed.groupBy(*key).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select(*key)
-    placed = stage(placed.join(open_files, key, "left_semi"), "open-files")
-    other = placed.toDF(*key, "id_b", "n_b", "simhash_b", "part_b")
-    rest = (placed.join(other, key).filter((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & near_enough("", "_b"))
-            .select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = stage(alike(rest, once), "line-links")
+    placed = once.join(parts, once.id == parts.node, "left").select("id", "n", "simhash", F.coalesce("component", "id").alias("part"))
+    placed = files(placed, "part")
+    other = placed.select("mask", "file", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "simhash", "part")])
+    rest = (placed.join(other, ["mask", "file"]).filter((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & near_enough("", "_b"))
+            .select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
+    more = alike(rest, once)
     if not more.isEmpty():
         parts = stage(connected_components(links.unionByName(more)), "line-parts")
     return once.join(parts, once.id == parts.node, "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), "occ", "copies")
@@ -176,9 +171,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(with_row(docs))
     groups = line_groups(lines)
     kept = groups.groupBy("component").agg(F.min("occ").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
-    keys = stage(groups.select("k1", "k2", "component").join(kept, "component").select("k1", "k2", "keep"), "repeated-lines")
+    keys = stage(groups.select("k1", "k2", "component").join(kept, "component").select("k1", "k2", "keep"), "repeated-lines", free=True)
     gone = lines.select("k1", "k2", "occ").join(keys, ["k1", "k2"]).filter("occ <> keep").select("occ.*")
-    return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
+    return stage(gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone")), "gone-lines", free=True)
 
 
 def _free(name: str, taken: list[str]) -> str:
