@@ -70,19 +70,15 @@ def check(key: Column) -> Column:
 
 
 def _placed(entries: Column, level: int) -> Column:
-    """Signed digests with their check and their three cells, from nine bits of one hash."""
+    """Signed digests with their check and their cell in each part, from nine bits of one hash."""
     def one(e: Column) -> Column:
         return let(_hash(e["key"], 2 * level + 1), lambda h: F.struct(
             e["n"].alias("n"), e["key"].alias("key"), check(e["key"]).alias("chk"),
-            *[(F.shiftright(h, PART_BITS * j).bitwiseAND(F.lit(PART - 1)) + PART * j).cast("int").alias(f"c{j}") for j in range(3)]))
+            *[F.shiftright(h, PART_BITS * j).bitwiseAND(F.lit(PART - 1)).cast("int").alias(f"c{j}") for j in range(3)]))
 
     return F.transform(entries, one)
 
 
-def _falls(e: Column, cell: Column) -> Column:
-    return (e["c0"] == cell) | (e["c1"] == cell) | (e["c2"] == cell)
-
-
 def _cell(n: Column, key: Column, chk: Column) -> Column:
     return F.struct(n.alias("n"), key.alias("key"), chk.alias("chk"))
 
@@ -93,10 +89,13 @@ def signed(keys: Column, sign: int = 1) -> Column:
 
 def sketch(entries: Column, level: int = 0) -> Column:
     """The cells of signed digests; those of one text all have n = 1."""
-    zero = F.lit(0).cast("long")
-    return let(_placed(entries, level), lambda placed: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(
-        F.filter(placed, lambda e: _falls(e, i)), _cell(zero, zero, zero),
-        lambda s, e: _cell(s["n"] + e["n"], s["key"].bitwiseXOR(e["key"]), s["chk"].bitwiseXOR(e["chk"])))))
+    zero, own = F.lit(0).cast("long"), F.sequence(F.lit(0), F.lit(PART - 1))
+
+    def part(placed: Column, j: int) -> Column:
+        return F.transform(own, lambda i: F.aggregate(F.filter(placed, lambda e: e[f"c{j}"] == i), _cell(zero, zero, zero), lambda s, e: _cell(
+            s["n"] + e["n"], s["key"].bitwiseXOR(e["key"]), s["chk"].bitwiseXOR(e["chk"]))))
+
+    return let(_placed(entries, level), lambda placed: F.concat(*[part(placed, j) for j in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -113,9 +112,12 @@ def peel(cells: Column, level: int = 0) -> Column:
         pure = F.transform(F.filter(F.slice(s["cells"], turn % 3 * PART + 1, F.lit(PART)), lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == check(c["key"]))),
                            lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key")))
 
+        def without(cells: Column, e: Column) -> Column:
+            return F.concat(*[F.transform(F.slice(cells, PART * j + 1, PART), lambda c, i: F.when(
+                e[f"c{j}"] == i, _cell(c["n"] - e["n"], c["key"].bitwiseXOR(e["key"]), c["chk"].bitwiseXOR(e["chk"]))).otherwise(c)) for j in range(3)])
+
         def taken(some: Column) -> Column:
-            left = F.aggregate(_placed(some, level), s["cells"], lambda cells, e: F.transform(cells, lambda c, i: F.when(
-                _falls(e, i), _cell(c["n"] - e["n"], c["key"].bitwiseXOR(e["key"]), c["chk"].bitwiseXOR(e["chk"]))).otherwise(c)))
+            left = F.aggregate(_placed(some, level), s["cells"], without)
             return F.when(F.size(some) == 0, s).otherwise(F.struct(left.alias("cells"), F.concat(s["found"], some).alias("found")))
 
         return let(pure, taken)
