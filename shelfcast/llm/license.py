@@ -43,7 +43,32 @@ SENTENCES: dict[str, list[str]] = {
     "CcBySa": ["licensed under cc by sa 4.0", "this work is licensed under cc by sa 4.0", "released under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
     "CcByNc": ["licensed under cc by nc 4.0", "this work is licensed under cc by nc 4.0", "released under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
     "Mpl2": ["this source code form is subject to the terms of the mozilla public license v 2.0", "this source code form is subject to the terms of the mozilla public license v"],
+    "MplCopy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0"],
+    "BsdAsIs": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "BsdLiability": ["in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"],
+    "LgplFree": ["this library is free software"],
+    "LgplTerms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "Lgpl21Either": ["either version 2.1 of the license or at your option any later version"],
+    "LgplHope": ["this library is distributed in the hope that it will be useful but without any warranty"],
+    "Lgpl3Name": ["licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3"],
+    "AgplTerms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "Agpl3Later": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "Lgpl3Later": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "Agpl3Name": ["licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"],
+    "IscName": ["isc license", "the isc license", "licensed under the isc license", "released under the isc license"],
+    "IscGrant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "IscAsIs": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "IscLiability": ["in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "UnlicenseFree": ["this is free and unencumbered software released into the public domain"],
+    "UnlicenseAnyone": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "ZlibAsIs": ["this software is provided as is without any express or implied warranty"],
+    "ZlibLiability": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "ZlibGrant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "Epl2": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0", "licensed under the eclipse public license 2.0"],
+    "Cc0": ["licensed under cc0 1.0", "this work is licensed under cc0 1.0", "released under cc0 1.0", "cc0 1.0 universal"],
+    "Artistic2": ["licensed under the artistic license 2.0", "released under the artistic license 2.0", "the artistic license 2.0"],
     "Proprietary": ["all rights reserved"],
+    "SpdxTag": ["spdx license identifier"],
 }
 
 #: Licence, then its identifiers in order.  Longer rules are tried first; ties in this order.
@@ -51,6 +76,21 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("MitName", "Permission", "MitNotice", "MitAsIs", "MitLiability")),
     ("MIT", ("Permission", "MitNotice", "MitAsIs", "MitLiability")),
     ("Apache-2.0", ("ApacheName", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheLimits")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs", "BsdLiability")),
+    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs", "BsdLiability")),
+    ("LGPL-2.1-or-later", ("LgplFree", "LgplTerms", "Lgpl21Either", "LgplHope")),
+    ("AGPL-3.0-or-later", ("GplFree", "AgplTerms", "Gpl3Either", "GplHope")),
+    ("ISC", ("IscName", "IscGrant", "IscAsIs", "IscLiability")),
+    ("ISC", ("IscGrant", "IscAsIs", "IscLiability")),
+    ("Zlib", ("ZlibAsIs", "ZlibLiability", "ZlibGrant")),
+    ("Unlicense", ("UnlicenseFree", "UnlicenseAnyone")),
+    ("MPL-2.0", ("Mpl2", "MplCopy")),
+    ("LGPL-2.1-or-later", ("LgplFree", "LgplTerms", "Lgpl21Either")),
+    ("AGPL-3.0-or-later", ("GplFree", "Agpl3Later", "GplHope")),
+    ("AGPL-3.0-or-later", ("GplFree", "Agpl3Later")),
+    ("LGPL-3.0-or-later", ("LgplFree", "Lgpl3Later")),
+    ("LGPL-3.0-or-later", ("GplFree", "Lgpl3Later")),
+    ("AGPL-3.0-or-later", ("GplFree", "AgplTerms", "Gpl3Either")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("GPL-3.0-or-later", ("GplFree", "GplTerms", "Gpl3Either", "GplHope")),
@@ -70,9 +110,22 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-SA-4.0", ("CcBySa",)),
     ("CC-BY-NC-4.0", ("CcByNc",)),
     ("MPL-2.0", ("Mpl2",)),
+    ("LGPL-3.0-only", ("Lgpl3Name",)),
+    ("AGPL-3.0-only", ("Agpl3Name",)),
+    ("ISC", ("IscName",)),
+    ("Unlicense", ("UnlicenseFree",)),
+    ("EPL-2.0", ("Epl2",)),
+    ("CC0-1.0", ("Cc0",)),
+    ("Artistic-2.0", ("Artistic2",)),
     ("Proprietary", ("Proprietary",)),
 ]
 
+#: Licences whose name alone counts after an SPDX tag.
+SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "AGPL-3.0-only", "AGPL-3.0-or-later", "ISC", "MPL-2.0", "Unlicense", "Zlib", "EPL-2.0", "CC0-1.0", "Artistic-2.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
+SENTENCES |= {f"Spdx:{name}": [name.lower().replace("-", " ")] for name in SPDX}
+RULES += [(name, ("SpdxTag", f"Spdx:{name}")) for name in SPDX]
+
 #: A line that starts like a sentence may start one, or go on with a wrapped one: the mark WRAP stands before it.
 LINE = r"\n([^A-Za-z0-9\n]*[A-Z][a-z])"
 CUT, WRAP = "\x01", "\x02"

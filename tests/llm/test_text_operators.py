@@ -436,6 +436,23 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_more_licences_are_known(spark):
+    texts = {
+        "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "MIT": "# SPDX-License-Identifier: MIT\n\nimport os",
+        "ISC": "ISC License\n\nCopyright (c) 2020, Somebody",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "Zlib": "This software is provided 'as-is', without any express or implied warranty.  In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+        "CC0-1.0": "This work is licensed under CC0 1.0.",
+        "Artistic-2.0": "Released under the Artistic License 2.0.",
+    }
+    rows = list(enumerate(texts.values()))
+    got = {r.doc_id: r.licences for r in license.scan(docs(spark, rows)).collect()}
+    assert {name: got[i] for i, name in enumerate(texts)} == {name: [name] for name in texts}
+
+
 # ---- line dedup
 
 def test_line_dedup_against_brute_force(spark):
