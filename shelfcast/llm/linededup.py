@@ -88,30 +88,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _split(rows: DataFrame, kind: int) -> DataFrame:
-    """Each row under four further masks: ``mask`` the bits that a file's lines share, ``file`` their values."""
+def _masks(kind: int) -> list[Column]:
+    """Four further masks: ``mask`` has the bits that a file's lines share."""
     base, step = MASKS[kind]
-    masks = F.explode(F.array(*[F.lit(_signed(base << (step * i))).cast("long") for i in range(4)]))
-    rows = rows.drop("file").withColumn("_m", masks).withColumn("mask", F.col("mask").bitwiseOR(F.col("_m"))).drop("_m")
-    return rows.withColumn("file", F.col("simhash").bitwiseAND(F.col("mask")))
+    return [F.col("mask").bitwiseOR(F.lit(_signed(base << (step * i))).cast("long")) for i in range(4)]
+
+
+def _filed(rows: DataFrame, masks: Column) -> DataFrame:
+    """Each row under each of its masks; ``file`` has the values of the mask's bits."""
+    return rows.withColumn("_m", F.explode(masks)).withColumn("mask", F.col("_m")).drop("_m").withColumn("file", F.col("simhash").bitwiseAND(F.col("mask")))
 
 
 def files(lines: DataFrame, also: str) -> DataFrame:
     """``(mask, file, id, n, simhash)`` and a further column: each line in its files.
 
     Lines of too few words for an edit (SIMILARITY allows none) have no file: equal ones are one line already.
+    Lines of a file of more than SPLIT_ROWS go to the file's parts by further masks instead.
     """
     able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", also, F.lit(0).cast("long").alias("mask"))
-    rows, done = _split(able, 0), []
+    rows = _filed(able, F.array(*_masks(0)))
     for kind in range(1, len(MASKS)):
         # at most a file for every SPLIT_ROWS rows
-        large = stage(rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > SPLIT_ROWS).select("mask", "file"), "large-files", free=True)
+        size = rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > SPLIT_ROWS)
+        large = stage(size.select("mask", "file", F.lit(True).alias("large")), "large-files", free=True)
         if large.isEmpty():
             break
-        done.append(rows.join(large, ["mask", "file"], "left_anti"))
-        rows = _split(rows.join(large, ["mask", "file"], "left_semi"), kind)
-    for d in done:
-        rows = rows.unionByName(d)
+        rows = rows.join(large, ["mask", "file"], "left")
+        rows = _filed(rows, F.when(F.col("large"), F.array(*_masks(kind))).otherwise(F.array("mask"))).drop("large")
     return rows
 
 
