@@ -29,7 +29,7 @@ ORDER = 4
 TRAIN_BYTES, MODEL_BYTES = 2_000_000, 16_000_000
 UNKNOWN = "und"
 #: Slots of a worker's memo of costs, bytes costed at once.
-SLOTS, PIECE = 1 << 20, 1 << 18
+SLOTS, PIECE = 1 << 20, 1 << 16
 #: Rows of a batch that are treated at once.
 ROWS = 512
 LETTER = regex.compile(r"\p{L}")
