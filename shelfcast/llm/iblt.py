@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from shelfcast.llm.common import stage
 
 #: Cells of each of the three parts of a sketch (a power of two), and rounds of peeling, each over one part, before it counts as failed.
-PART, ROUNDS = 8, 18
+PART, ROUNDS = 8, 9
 CELLS, PART_BITS = 3 * PART, 3
 #: Digests of both texts to a sub-table of a larger sketch, and the fewest sub-tables.
 LOAD, FEWEST = 8, 4
