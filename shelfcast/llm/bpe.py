@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfcast.llm.common import held
+
 #: Entries of a memo's newer half; bytes of the widest piece merged side by side; pieces merged at once.
 MEMO, WIDE, BLOCK = 60_000, 64, 8_000
 #: Rows of a batch that are treated at once.
@@ -234,9 +236,6 @@ class Memo:
         return self.new.__getitem__
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 class Shared:
     """The ranks (a file's worth), broadcast; a worker builds one encoder."""
 
@@ -248,10 +247,7 @@ class Shared:
         return self._b.value[0]
 
     def encoder(self) -> Encoder:
-        if self.id not in _encoders:
-            _encoders.clear()
-            _encoders[self.id] = Encoder(*self._b.value)
-        return _encoders[self.id]
+        return held(self.id, lambda: Encoder(*self._b.value))
 
 
 def unpack(ids: bytes, tokens: list[bytes]) -> bytes:

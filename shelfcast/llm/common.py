@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Iterable, Iterator
+from typing import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,20 @@ def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, build: Callable[[], object]) -> object:
+    """What ``build`` gives, kept by a worker under ``key`` until another key is asked for: one model at a time.
+
+    Workers outlive a stage; so the model of one operator doesn't stay in memory under the next.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of ``edges(a, b)`` (long) as ``(node, component)``, component = smallest node.
 

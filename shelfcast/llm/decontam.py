@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import stage
+from shelfcast.llm.common import held, stage
 from shelfcast.llm.substring import CHUNK, Words
 
 PASSAGE, STRIDE = 32, 16
@@ -284,6 +284,7 @@ class Needed:
 
 def _held_by(rows: DataFrame, shared) -> DataFrame:
     def run(batches):
+        held("decontamination", lambda: None)
         space, own = shared.value
         items = Terms([t for _, _, t in own])
         words = [items.hash[a:b].tolist() for a, b in zip(items.first[:-1], items.first[1:])]
@@ -321,8 +322,8 @@ def _held_by(rows: DataFrame, shared) -> DataFrame:
                     continue
                 n = len(words[i])
                 around = docs.hash[max(docs.first[d], s - n):min(docs.first[d + 1], s + PASSAGE + n)].tolist()
-                held = set(around)
-                if sum(w in held for w in words[i]) / n < PARAPHRASE:  # the subsequence can't be longer
+                there = set(around)
+                if sum(w in there for w in words[i]) / n < PARAPHRASE:  # the subsequence can't be longer
                     continue
                 common = common_subsequence(words[i], around) / n
                 if common < PARAPHRASE:

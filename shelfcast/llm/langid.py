@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import mix
+from shelfcast.llm.common import held, mix
 
 ORDER = 4
 TRAIN_BYTES, MODEL_BYTES = 2_000_000, 16_000_000
@@ -164,15 +164,9 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> list[tuple[str, np
     return model
 
 
-_scorers: dict = {}
-
-
 def _scorer(model) -> Scorer:
     """One scorer per worker and model."""
-    if model.id not in _scorers:
-        _scorers.clear()
-        _scorers[model.id] = Scorer(*map(list, zip(*model.value)))
-    return _scorers[model.id]
+    return held(model.id, lambda: Scorer(*map(list, zip(*model.value))))
 
 
 class Shared:
