@@ -56,6 +56,9 @@ GBT_PARAMS = dict(stepSize=0.05, maxDepth=5, subsamplingRate=0.8, featureSubsetS
 # buffers 28 s - so the defaults stay.  Checkpointing every 10 trees applies
 # when the node-id cache is switched on for deep trees.
 GBT_EXECUTION = dict(cacheNodeIds=False, maxMemoryInMB=256, checkpointInterval=10)
+# Rows of a training task, and tasks a core below which they are not merged: every tree
+# runs two stages a level over all tasks, however few rows each of them has
+TRAIN_ROWS, TASKS_PER_CORE = 50_000, 2
 MIN_TRAIN_ROWS = 14
 RIDGE_ALPHA = 1.0
 # Exponential smoothing: weight of the newest day, and days that are folded
@@ -84,6 +87,11 @@ def encode_categoricals(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame
     return df
 
 
+def training_tasks(spark, rows: int) -> int:
+    """Tasks that ``rows`` training rows are worth: by their number, not by the shuffle partitions of the joins before."""
+    return max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-rows // TRAIN_ROWS))
+
+
 class GlobalTreeModel:
     """M2-M4: one boosted-tree regressor over all series."""
 
@@ -102,12 +110,16 @@ class GlobalTreeModel:
         return VectorAssembler(inputCols=TREE_FEATURES, outputCol="_features",
                                handleInvalid="keep").transform(df.select(*cols))
 
+    def _training_rows(self, train: DataFrame, target_col: str) -> DataFrame:
+        """``(_features, _label)``, merged without a shuffle: the label joins leave ``spark.sql.shuffle.partitions`` parts."""
+        data = self._assemble(train).select("_features", F.col(target_col).cast("double").alias("_label"))
+        return data.coalesce(training_tasks(train.sparkSession, train.count()))
+
     def fit(self, train: DataFrame, target_col: str = "sales_units") -> "GlobalTreeModel":
         self.codes = fit_codes(train)
-        data = self._assemble(train).withColumn("_label", F.col(target_col).cast("double"))
         from shelfcast.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(train.sparkSession)
-        data = data.select("_features", "_label").persist()
+        data = self._training_rows(train, target_col).persist()
         gbt = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_pred",
                            **self.params)
         self.model = gbt.fit(data)

@@ -98,3 +98,20 @@ def test_gbt_beats_mean_and_intervals(spark):
     assert (p["confidence_lower"] <= p["forecast_demand"]).all() and (p["forecast_demand"] >= 0).all()
     imp = model.feature_importances(spark).collect()
     assert len(imp) == 21 and imp[0].importance >= imp[-1].importance
+
+
+def test_training_tasks_follow_the_rows_not_the_shuffle_partitions(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("s"), F.col("id") % 7).alias("store_id"), F.concat(F.lit("c"), F.col("id") % 3).alias("cat_id"),
+                                    F.lit("d").alias("dept_id"), F.col("id").alias("sales_lag_7"), (F.col("id") % 11).alias("sales_units"))
+    model = forecast.GlobalTreeModel()
+    model.codes = forecast.fit_codes(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        data = model._training_rows(rows, "sales_units").persist()
+        assert data.count() == 4000 and data.agg(F.sum("_label")).first()[0] == sum(i % 11 for i in range(4000))
+        assert data.rdd.getNumPartitions() <= forecast.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        data.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert forecast.training_tasks(spark, 10**9) == 20_000
