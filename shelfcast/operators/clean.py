@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from shelfcast.operators.quantiles import exact_quantiles
 from shelfcast.session import materialize
 
+#: Bytes of a source file that one task reads where keep-first is staged: it sorts a task's rows before they are combined.
+KEEP_FIRST_BYTES = 16 * 2**20
 DAY_ID_PREFIX = "d_"
 SALES_ID_COLS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 EVENT_COLS = ["event_name_1", "event_type_1", "event_name_2", "event_type_2"]
@@ -109,7 +111,7 @@ def clean_prices(df: DataFrame, order_by=None, trim_first: bool = False) -> Data
         df = _trim(df)
     df = df.withColumn("wm_yr_wk", coerce_int("wm_yr_wk", 0))
     df = df.withColumn("sell_price", number("sell_price"))
-    df = materialize(df)
+    df = materialize(df, KEEP_FIRST_BYTES)
     valid = F.col("sell_price").isNotNull() & (F.col("sell_price") > 0)
     median, = exact_quantiles(df.filter(valid), "sell_price", [0.5])
     fixed = F.when(valid, F.col("sell_price")).otherwise(F.lit(median))

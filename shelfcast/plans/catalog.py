@@ -1021,7 +1021,7 @@ def _prices_csv(w: Warehouse) -> DataFrame:
     """S9 -> S2 -> C9: raw price quotes exported as CSV in arrival order, read back by S2, cleaned"""
     from shelfcast.operators import clean
     path = _scratch(w, "prices-csv")
-    _io().export_csv(w.raw_prices.orderBy("ingest_ord").drop("ingest_ord"), path)
+    _io().export_csv_in_order(w.raw_prices, path, "ingest_ord")
     return clean.clean_prices(_io().read_prices_csv(w.spark, path))
 
 
@@ -1032,10 +1032,11 @@ def _calendar_csv(w: Warehouse) -> DataFrame:
     """S9 -> S1 -> C6: the calendar feed exported as CSV in arrival order, read with the calendar schema, cleaned"""
     from pyspark.sql import functions as F
     from shelfcast.operators import clean
+    from shelfcast.session import materialize
     path = _scratch(w, "calendar-csv")
-    feed = w.raw_calendar.orderBy("ingest_ord").drop("ingest_ord").withColumn("is_holiday", F.lit(None).cast("int"))
-    _io().export_csv(feed, path)
-    return clean.clean_calendar(_io().read_calendar_csv(w.spark, path))
+    feed = w.raw_calendar.withColumn("is_holiday", F.lit(None).cast("int"))
+    _io().export_csv_in_order(feed, path, "ingest_ord")
+    return materialize(clean.clean_calendar(_io().read_calendar_csv(w.spark, path)), clean.KEEP_FIRST_BYTES)
 
 
 

@@ -72,7 +72,7 @@ def _run(spark: SparkSession, sf_dir: str, out: StageWriter, test_days: int, gbt
     t: dict[str, DataFrame] = {}
 
     def etl():
-        t["calendar"] = out.put("processed_calendar", clean.clean_calendar(raw.raw_calendar))
+        t["calendar"] = out.put("processed_calendar", raw.clean_calendar)
         t["prices"] = out.put("processed_prices", clean.clean_prices(raw.raw_prices))
         t["sales"] = out.put("processed_sales", clean.clean_and_melt_sales(raw.raw_sales_wide, t["calendar"]))
         checks = out.put("quality_checks", quality.run_all_checks(t["calendar"], t["prices"], t["sales"]))

@@ -3,7 +3,7 @@
 ``Warehouse(spark, sf_dir)`` exposes every table of the platform as a
 property that composes the operators.  Most are lazy: Catalyst sees one plan
 from the Parquet scans to the requested table.  ``series_days``,
-``calendar`` and ``raw_sales_wide`` (stage boundaries) and ``ModelRun`` run jobs when they are
+``clean_calendar`` and ``raw_sales_wide`` (stage boundaries) and ``ModelRun`` run jobs when they are
 first read.  For the nightly batch run
 (``plans.nightly``) the same properties are materialised stage by stage.
 """
@@ -73,12 +73,8 @@ class Warehouse:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        """The calendar as delivered, cleaned: a day that the feed lacks is missing here too.
-
-        A row a day, staged: the feed is one record an order line, and many tables need the calendar.
-        """
-        from shelfcast.session import materialize
-        return materialize(self.clean_calendar)
+        """The calendar as delivered, cleaned: a day that the feed lacks is missing here too."""
+        return self.clean_calendar
 
     # ---- dimensions -----------------------------------------------------
     @cached_property
@@ -159,7 +155,9 @@ class Warehouse:
 
     @cached_property
     def clean_calendar(self) -> DataFrame:
-        return clean.clean_calendar(self.raw_calendar)
+        """A row a day, staged: the feed is one record an order line, and many tables need the calendar."""
+        from shelfcast.session import materialize
+        return materialize(clean.clean_calendar(self.raw_calendar), clean.KEEP_FIRST_BYTES)
 
     @cached_property
     def clean_prices(self) -> DataFrame:

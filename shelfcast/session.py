@@ -9,6 +9,7 @@ shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -63,12 +64,32 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+_UNITS = {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40, "p": 2**50}
+
+
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?b?)", size.strip().lower()).groups()
+    return int(number) * _UNITS[unit if unit == "b" else unit.rstrip("b")]
+
+
+def materialize(df: DataFrame, split_bytes: int | None = None) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint.
 
     Used where one intermediate feeds several independent aggregates (the
     quality checks, model training).  The checkpoint lives in the shared
     folder, so a lost executor does not force recomputation from the source.
+
+    ``split_bytes`` lowers what one task reads of the source files, where a task
+    sorts all rows it has read; a session that reads less at once keeps its setting.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(SPLIT_BYTES)
+    if split_bytes is None or _bytes(before) <= split_bytes:
+        return df.checkpoint(eager=True)
+    spark.conf.set(SPLIT_BYTES, str(split_bytes))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(SPLIT_BYTES, before)

@@ -69,3 +69,32 @@ def test_streaming_ingest(spark):
     # a second run with no new files appends nothing
     ingest_daily_sales(spark, f"{land}/*", cal, f"{root}/fact", f"{root}/ckpt", ["d_1", "d_2"])
     assert spark.read.parquet(f"{root}/fact").count() == 4
+
+
+def test_export_in_order_writes_part_files_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "EXPORT_ROWS", 100)
+    path = str(tmp_path / "csv")
+    feed = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("v"), F.struct(((F.col("id") * 7919) % 3000).alias("k"), F.lit(1)).alias("ingest_ord"))
+    assert io.export_csv_in_order(feed, path, "ingest_ord") == 3000
+    files = sorted((tmp_path / "csv").glob("part-*"))
+    parts = [[int(v) for v in f.read_text().split()[1:]] for f in files]
+    assert [v for p in parts for v in p] == list(range(3000))
+    assert len(parts) == 30 and max(map(len, parts)) <= 300   # ranges are sampled
+    empty = str(tmp_path / "empty")
+    assert io.export_csv_in_order(feed.filter("v < 0"), empty, "ingest_ord") == 0
+
+
+def test_staging_reads_small_splits(spark, tmp_path):
+    from shelfcast.session import SPLIT_BYTES, materialize
+    path = str(tmp_path / "prices")
+    rows = spark.range(20000).select(F.lit("s").alias("store_id"), F.lit("i").alias("item_id"), F.col("id").alias("wm_yr_wk"), F.lit("1.5").alias("sell_price"))
+    rows.coalesce(1).write.option("header", True).csv(path)
+    before = spark.conf.get(SPLIT_BYTES)
+    staged = materialize(io.read_prices_csv(spark, path), 2**14)
+    assert staged.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and staged.count() == 20000
+    assert spark.conf.get(SPLIT_BYTES) == before
+    try:
+        spark.conf.set(SPLIT_BYTES, "8k")   # a session that reads less keeps its setting
+        assert materialize(io.read_prices_csv(spark, path), 2**14).rdd.getNumPartitions() > staged.rdd.getNumPartitions()
+    finally:
+        spark.conf.set(SPLIT_BYTES, before)
