@@ -110,23 +110,27 @@ class GlobalTreeModel:
         return VectorAssembler(inputCols=TREE_FEATURES, outputCol="_features",
                                handleInvalid="keep").transform(df.select(*cols))
 
-    def _training_rows(self, train: DataFrame, target_col: str) -> DataFrame:
-        """``(_features, _label)``, merged without a shuffle: the label joins leave ``spark.sql.shuffle.partitions`` parts."""
-        data = self._assemble(train).select("_features", F.col(target_col).cast("double").alias("_label"))
-        return data.coalesce(training_tasks(train.sparkSession, train.count()))
+    def _training_rows(self, train: DataFrame, target_col: str) -> tuple[DataFrame, DataFrame]:
+        """``(_features, _label)``, persisted, and the same merged without a shuffle where it is in more parts than its rows are worth.
+
+        The label joins leave ``spark.sql.shuffle.partitions`` parts, however few the rows.
+        """
+        data = self._assemble(train).select("_features", F.col(target_col).cast("double").alias("_label")).persist()
+        tasks = training_tasks(train.sparkSession, data.count())
+        return data, data.coalesce(tasks) if data.rdd.getNumPartitions() > tasks else data
 
     def fit(self, train: DataFrame, target_col: str = "sales_units") -> "GlobalTreeModel":
         self.codes = fit_codes(train)
         from shelfcast.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(train.sparkSession)
-        data = self._training_rows(train, target_col).persist()
+        cached, data = self._training_rows(train, target_col)
         gbt = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_pred",
                            **self.params)
         self.model = gbt.fit(data)
         r = self.model.transform(data).agg(F.count(F.lit(1)).alias("n"),
                                            F.stddev_pop(F.col("_label") - F.col("_pred")).alias("s")).first()
         self.residual_std = float(r["s"]) if r["n"] and r["n"] > 1 and r["s"] is not None else 1.0
-        data.unpersist()
+        cached.unpersist()
         return self
 
     def predict(self, df: DataFrame, confidence_level: float = 0.95) -> DataFrame:

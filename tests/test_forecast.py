@@ -108,10 +108,10 @@ def test_training_tasks_follow_the_rows_not_the_shuffle_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "150")
     try:
-        data = model._training_rows(rows, "sales_units").persist()
+        cached, data = model._training_rows(rows, "sales_units")
         assert data.count() == 4000 and data.agg(F.sum("_label")).first()[0] == sum(i % 11 for i in range(4000))
         assert data.rdd.getNumPartitions() <= forecast.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-        data.unpersist()
+        cached.unpersist()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert forecast.training_tasks(spark, 10**9) == 20_000
