@@ -14,6 +14,8 @@ with each other.  One occurrence per component stays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ from shelfcast.llm.common import connected_components, stage
 SIMILARITY, BITS = 0.8, 3
 #: Lines of a file before it is split by further blocks.
 SPLIT_ROWS = 2000
+#: Words of a line whose bits are added up in the row, in counters of eight bits, before they are summed by line.
+GROUP = 8
+#: Words of 64 bits, at most, by which a task knows most of the lines that no pair has (a power of two; 16 bytes each).
+WORDS = 1 << 19
 #: Four disjoint masks that cover the word: 16-bit blocks, nibble columns, bit columns.
 MASKS = [(0xFFFF, 16), (0x000F000F000F000F, 4), (0x1111111111111111, 1)]
 
@@ -47,16 +53,35 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return lines.select(occ.alias("occ"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), "line")
 
 
-def simhash(words: Column) -> Column:
-    """The bits that over half of the words set, from the sums ``c0`` to ``c31`` of two 32-bit counters each."""
+def simhash(over: Column) -> Column:
+    """The bits that over half of the words set, from the sums ``c0`` to ``c31`` of two 32-bit counters each.
+
+    ``over`` has 2**30 - 1 less the words in both halves: with twice a counter added, bit 30 is set if the counter is over
+    half of the words (of under 2**30).  Both counters are compared at once, and the code stays short enough to be compiled.
+    """
+    lanes = F.lit(0x0000000100000001).cast("long")
     bits = F.lit(0).cast("long")
     for j in range(32):
-        for half in (0, 1):
-            ones = F.shiftrightunsigned(F.col(f"c{j}"), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-            bits = bits.bitwiseOR(F.shiftleft((2 * ones > words).cast("long"), 32 * half + j))
+        twice = F.shiftleft(F.coalesce(f"c{j}", F.lit(0).cast("long")), 1)
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(twice + over, 30).bitwiseAND(lanes), j))
     return bits
 
 
+def word_groups(once: DataFrame) -> DataFrame:
+    """``(k1, k2, c, a, n, b0 to b7)`` of every GROUP words of a line: n words; ``bj`` has eight counters, of every eighth bit from j on."""
+    # in the order in which lines were aggregated, else their shuffle is run twice
+    words = once.select("k1", "k2", F.col("occ.at").alias("a"), F.col("copies").alias("c"), F.split("line", " ").alias("words"))
+    rows = words.select("k1", "k2", "c", "a", "words", F.size("words").alias("of"), F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(GROUP))).alias("at"))
+    hashes = [F.when(F.col("at") + i < F.col("of"), F.xxhash64(F.get("words", F.col("at") + i))).otherwise(F.lit(0).cast("long")).alias(f"h{i}") for i in range(GROUP)]
+    rows = rows.select("k1", "k2", "c", "a", F.least(F.lit(GROUP), F.col("of") - F.col("at")).alias("n"), *hashes)
+    lanes = F.lit(0x0101010101010101).cast("long")
+
+    def added(j: int) -> Column:
+        return reduce(Column.__add__, [F.shiftrightunsigned(f"h{i}", j).bitwiseAND(lanes) for i in range(GROUP)])
+
+    return rows.select("k1", "k2", "c", "a", "n", *[added(j).alias(f"b{j}") for j in range(8)])
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """``(id, k1, k2, occ, copies, n, simhash, line)`` of the distinct lines, staged; occ is the first occurrence, n the words.
 
@@ -64,20 +89,19 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     distinct.  (The words carry what the other side reads too, or that shuffle would be run twice, with fewer columns.)
     """
     once = lines.groupBy("k1", "k2").agg(F.min("occ").alias("occ"), F.count("*").alias("copies"), F.first("line").alias("line"))
-    words = once.select("k1", "k2", F.col("copies").alias("c"), F.col("occ.at").alias("a"), F.explode(F.split("line", " ")).alias("word"))
-    lanes = F.lit(0x0000000100000001).cast("long")
-    words = words.select("k1", "k2", "c", "a", F.xxhash64("word").alias("h"))
-    counts = words.groupBy("k1", "k2").agg(F.max("c").alias("c"), F.max("a").alias("a"), F.count("*").alias("n"),
-                                           *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(lanes)).alias(f"c{j}") for j in range(32)])
-    counts = counts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "c", "a", F.col("n").cast("int").alias("n"), simhash(F.col("n")).alias("simhash"))
+    lanes = F.lit(0x000000FF000000FF).cast("long")
+    counts = word_groups(once).groupBy("k1", "k2").agg(F.max("c").alias("c"), F.max("a").alias("a"), F.sum("n").alias("n"),
+                                                       *[F.sum(F.shiftrightunsigned(f"b{j % 8}", j // 8 * 8).bitwiseAND(lanes)).alias(f"c{j}") for j in range(32)])
+    counts = counts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "c", "a", F.coalesce("n", F.lit(0)).cast("int").alias("n"), *[f"c{j}" for j in range(32)])
+    counts = counts.select("w1", "w2", "c", "a", "n", simhash((F.lit(2**30 - 1).cast("long") - F.col("n")) * F.lit(0x0000000100000001).cast("long")).alias("simhash"))
     both = once.join(counts, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & (F.abs(F.col("copies") - F.col("c")) + F.abs(F.col("occ.at") - F.col("a")) <= 0))
     return stage(both.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "occ", "copies", "n", "simhash", "line"), "distinct-lines", free=True)
 
 
 def near_enough(a: str, b: str) -> Column:
-    """SimHashes within BITS bits, and numbers of words that can be SIMILARITY alike; a and b are what follows the columns' names."""
-    few, many = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
-    return (many - few <= most_edits(many)) & (F.bit_count(F.col(f"simhash{a}").bitwiseXOR(F.col(f"simhash{b}"))) <= BITS)
+    """SimHashes within BITS bits, and numbers of words that can be SIMILARITY alike; a and b are the columns' names but for ``{}``."""
+    few, many = F.least(a.format("n"), b.format("n")), F.greatest(a.format("n"), b.format("n"))
+    return (F.bit_count(F.col(a.format("simhash")).bitwiseXOR(F.col(b.format("simhash")))) <= BITS) & (many - few <= most_edits(many))
 
 
 def most_edits(words: Column) -> Column:
@@ -99,21 +123,31 @@ def _filed(rows: DataFrame, masks: Column) -> DataFrame:
     return rows.withColumn("_m", F.explode(masks)).withColumn("mask", F.col("_m")).drop("_m").withColumn("file", F.col("simhash").bitwiseAND(F.col("mask")))
 
 
-def files(lines: DataFrame, also: str) -> DataFrame:
-    """``(mask, file, id, n, simhash)`` and a further column: each line in its files.
-
-    Lines of too few words for an edit (SIMILARITY allows none) have no file: equal ones are one line already.
-    Lines of a file of more than SPLIT_ROWS go to the file's parts by further masks instead.
-    """
-    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", also, F.lit(0).cast("long").alias("mask"))
-    rows = _filed(able, F.array(*_masks(0)))
+def large_files(lines: DataFrame) -> list[DataFrame]:
+    """``(mask, file, large)`` of the files of more than SPLIT_ROWS lines, then of their parts that still are."""
+    found: list[DataFrame] = []
+    rows = files(lines, [], [])
     for kind in range(1, len(MASKS)):
         # at most a file for every SPLIT_ROWS rows
         size = rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > SPLIT_ROWS)
         large = stage(size.select("mask", "file", F.lit(True).alias("large")), "large-files", free=True)
         if large.isEmpty():
             break
-        rows = rows.join(large, ["mask", "file"], "left")
+        found.append(large)
+        rows = _filed(rows.join(large, ["mask", "file"]), F.array(*_masks(kind))).drop("large")  # what isn't split again needs no count again
+    return found
+
+
+def files(lines: DataFrame, also: list[str], large: list[DataFrame]) -> DataFrame:
+    """``(mask, file, id, n, simhash)`` and further columns: each line in its files.
+
+    Lines of too few words for an edit (SIMILARITY allows none) have no file: equal ones are one line already.
+    Lines of a file of more than SPLIT_ROWS (``large_files``) go to the file's parts by further masks instead.
+    """
+    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", *also, F.lit(0).cast("long").alias("mask"))
+    rows = _filed(able, F.array(*_masks(0)))
+    for kind, some in enumerate(large, 1):
+        rows = rows.join(some, ["mask", "file"], "left")
         rows = _filed(rows, F.when(F.col("large"), F.array(*_masks(kind))).otherwise(F.array("mask"))).drop("large")
     return rows
 
@@ -129,6 +163,18 @@ def letters(line: Column) -> list[Column]:
     return [F.size(words).alias("n"), coded(1).alias("x"), coded(2).alias("y")]
 
 
+def of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose ``id`` is in ``ids``, few of them; ``ids`` are staged.
+
+    Lines are shuffled only if one of up to 64 * WORDS bits, that ids set by their hash and that are sent to every task, is set for them.
+    """
+    place = F.xxhash64("id").bitwiseAND(F.lit(64 * WORDS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    set_ = ids.groupBy(F.shiftrightunsigned(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    some = lines.join(F.broadcast(set_), F.shiftrightunsigned(place, 6) == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0)
+    return some.drop("_word", "_bits").join(ids, "id", "left_semi")
+
+
 def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Of pairs of ids ``(a, b)``, those whose words are at least SIMILARITY alike; ``lines(id, line)``.
 
@@ -137,9 +183,9 @@ def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     that share a character in one of them still differ in the other.
     """
     pairs = stage(pairs, "line-pairs", free=True)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids", free=True)
     # staged: a filter on the letters would be pushed below the semi-join and code every line
-    texts = stage(lines.join(needed, "id", "left_semi").select("id", *letters(F.col("line"))), "line-letters", free=True)
+    texts = stage(of_ids(lines.select("id", "line"), needed).select("id", *letters(F.col("line"))), "line-letters", free=True)
     both = pairs.join(texts.toDF("a", "n_a", "x_a", "y_a"), "a").join(texts.toDF("b", "n_b", "x_b", "y_b"), "b")
     both = both.withColumn("most", most_edits(F.greatest("n_a", "n_b")))
     both = both.filter(F.expr("levenshtein(x_a, x_b, most) >= 0 and levenshtein(y_a, y_b, most) >= 0"))
@@ -150,19 +196,21 @@ def line_groups(lines: DataFrame) -> DataFrame:
     """``(k1, k2, component, occ, copies)`` of the distinct lines of ``lines`` (see ``lines_of``)."""
     once = distinct_lines(lines)
     file = Window.partitionBy("mask", "file")
-    near = files(once, "copies")
+    large = large_files(once)
+    near = files(once, ["copies"], large)
     for c in ("id", "n", "simhash"):  # of ties, the same line for each column
         near = near.withColumn(f"{c}_h", F.max_by(c, "copies").over(file))
-    first = near.filter((F.col("id") != F.col("id_h")) & near_enough("", "_h"))
+    first = near.filter((F.col("id") != F.col("id_h")) & near_enough("{}", "{}_h"))
     first = first.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct()
     links = alike(first, once)
     parts = stage(connected_components(links), "line-parts")
 
     placed = once.join(parts, once.id == parts.node, "left").select("id", "n", "simhash", F.coalesce("component", "id").alias("part"))
-    placed = files(placed, "part")
-    other = placed.select("mask", "file", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "simhash", "part")])
-    rest = (placed.join(other, ["mask", "file"]).filter((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & near_enough("", "_b"))
-            .select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
+    placed = files(placed, ["part"], large)
+    # both sides read the same columns, so their rows are shuffled once
+    pairs = placed.alias("l").join(placed.alias("r"), (F.col("l.mask") == F.col("r.mask")) & (F.col("l.file") == F.col("r.file")))
+    rest = (pairs.filter(near_enough("l.{}", "r.{}") & (F.col("l.id") < F.col("r.id")) & (F.col("l.part") != F.col("r.part")))
+            .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
     more = alike(rest, once)
     if not more.isEmpty():
         parts = stage(connected_components(links.unionByName(more)), "line-parts")

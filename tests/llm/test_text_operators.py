@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import os
 import random
+import re
 import sys
 import textwrap
 import zlib
@@ -617,3 +619,39 @@ def test_quality_edges(spark):
     got = quality.classify(docs(spark, [*EDGES, (8, "word " * 30_000)])).collect()
     assert len(got) == len(EDGES) + 1 and all(0 <= r.score <= 1 for r in got)
     assert quality.classify(docs(spark, [])).count() == 0
+
+
+def test_lines_code_is_compiled_and_files_are_shuffled_once(spark, monkeypatch):
+    """The JVM leaves methods of over 8000 bytes to its interpreter; a line's SimHash was one of 18 thousand.  The rows of the files were shuffled for each side."""
+    plans, keep = {}, linededup.stage
+
+    def seen(df, name, free=False):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain("codegen" if name == "distinct-lines" else "simple")
+        plans.setdefault(name, []).append(out.getvalue())
+        return keep(df, name, free)
+
+    for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        before = spark.conf.get(k)
+        spark.conf.set(k, v)
+        monkeypatch.setattr(linededup, "stage", seen)
+        plans[k] = before
+    try:
+        text = "\n".join(f"{i} one two three four five six seven {i % 3}" for i in range(9))
+        rows = linededup.line_groups(linededup.lines_of(linededup.with_row(docs(spark, [(1, text), (2, text), (3, None)])))).collect()
+    finally:
+        for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.set(k, plans.pop(k))
+    assert len(rows) == 9 and {r.copies for r in rows} == {2}
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plans["distinct-lines"][0])]
+    assert sizes and max(sizes) < 8000
+    assert "ReusedExchange" in plans["line-pairs"][1]
+
+
+def test_rows_of_ids_are_found_without_shuffling_the_others(spark, monkeypatch):
+    lines = spark.range(2000).select("id", F.concat(F.lit("line "), F.col("id")).alias("line"))
+    ids = spark.createDataFrame([(i,) for i in (0, 7, 63, 64, 1999, 5000)], "id long")
+    for words in (1 << 19, 1):  # one word: most bits are set
+        monkeypatch.setattr(linededup, "WORDS", words)
+        assert sorted(r.id for r in linededup.of_ids(lines, ids).collect()) == [0, 7, 63, 64, 1999]
+    assert linededup.of_ids(lines, ids.limit(0)).count() == 0
