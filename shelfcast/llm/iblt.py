@@ -112,13 +112,15 @@ def peel(cells: Column, level: int = 0) -> Column:
         pure = F.transform(F.filter(F.slice(s["cells"], turn % 3 * PART + 1, F.lit(PART)), lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == check(c["key"]))),
                            lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key")))
 
-        def without(cells: Column, e: Column) -> Column:
-            return F.concat(*[F.transform(F.slice(cells, PART * j + 1, PART), lambda c, i: F.when(
-                e[f"c{j}"] == i, _cell(c["n"] - e["n"], c["key"].bitwiseXOR(e["key"]), c["chk"].bitwiseXOR(e["chk"]))).otherwise(c)) for j in range(3)])
+        def without(placed: Column) -> Column:
+            def part(j: int) -> Column:
+                return F.transform(F.slice(s["cells"], PART * j + 1, PART), lambda c, i: F.aggregate(F.filter(placed, lambda e: e[f"c{j}"] == i), c, lambda x, e: _cell(
+                    x["n"] - e["n"], x["key"].bitwiseXOR(e["key"]), x["chk"].bitwiseXOR(e["chk"]))))
+
+            return F.concat(*[part(j) for j in range(3)])
 
         def taken(some: Column) -> Column:
-            left = F.aggregate(_placed(some, level), s["cells"], without)
-            return F.when(F.size(some) == 0, s).otherwise(F.struct(left.alias("cells"), F.concat(s["found"], some).alias("found")))
+            return F.when(F.size(some) == 0, s).otherwise(F.struct(let(_placed(some, level), without).alias("cells"), F.concat(s["found"], some).alias("found")))
 
         return let(pure, taken)
 
