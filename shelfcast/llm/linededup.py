@@ -164,7 +164,7 @@ def letters(line: Column) -> list[Column]:
 
 
 def of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``lines`` whose ``id`` is in ``ids``, few of them; ``ids`` are staged.
+    """The rows of ``lines`` whose ``id`` is in ``ids(id)``, few of them, staged and each once.
 
     Lines are shuffled only if one of up to 64 * WORDS bits, that ids set by their hash and that are sent to every task, is set for them.
     """
@@ -172,7 +172,8 @@ def of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     set_ = ids.groupBy(F.shiftrightunsigned(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     some = lines.join(F.broadcast(set_), F.shiftrightunsigned(place, 6) == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0)
-    return some.drop("_word", "_bits").join(ids, "id", "left_semi")
+    # not a semi-join, which Spark would push below the filter
+    return some.drop("_word", "_bits").join(ids, "id")
 
 
 def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:

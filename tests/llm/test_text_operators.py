@@ -649,9 +649,21 @@ def test_lines_code_is_compiled_and_files_are_shuffled_once(spark, monkeypatch):
 
 
 def test_rows_of_ids_are_found_without_shuffling_the_others(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
     lines = spark.range(2000).select("id", F.concat(F.lit("line "), F.col("id")).alias("line"))
     ids = spark.createDataFrame([(i,) for i in (0, 7, 63, 64, 1999, 5000)], "id long")
     for words in (1 << 19, 1):  # one word: most bits are set
         monkeypatch.setattr(linededup, "WORDS", words)
         assert sorted(r.id for r in linededup.of_ids(lines, ids).collect()) == [0, 7, 63, 64, 1999]
     assert linededup.of_ids(lines, ids.limit(0)).count() == 0
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            linededup.of_ids(lines, ids).explain()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert out.getvalue().index("SortMergeJoin") < out.getvalue().index("BroadcastHashJoin")  # the bits are looked up below the shuffle
