@@ -4,9 +4,9 @@ Lines are normalised and deduplicated by two 64-bit hashes.  A distinct line
 has a SimHash of its words (a bit is set if over half of the words' hashes set
 it).  Two lines are alike if their SimHashes differ in at most ``BITS`` bits and
 the edit similarity of their words is at least ``SIMILARITY``.  SimHashes within
-three bits agree in one of four blocks of 16 bits, so each line is filed under
-its four blocks; files that hold too many lines are split again by four columns
-of the remaining bits (the same pigeonhole argument), and once more.  In a file,
+three bits agree in two of five blocks of 12 or 13 bits, so each line is filed under
+its ten pairs of blocks; files that hold too many lines are split again by four columns
+of the bits (the same pigeonhole argument), and once more.  In a file of many lines,
 every line is first compared with the file's head, the line with the most exact
 copies (of near copies, mostly the one they come from); the components of those links are found, and only lines of one file that are still apart are compared
 with each other.  One occurrence per component stays.
@@ -15,6 +15,7 @@ with each other.  One occurrence per component stays.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,14 +24,19 @@ from shelfcast.llm.common import connected_components, stage
 
 #: Two lines are alike within so many bits of their SimHashes and at so much edit similarity.
 SIMILARITY, BITS = 0.8, 3
-#: Lines of a file before it is split by further blocks.
-SPLIT_ROWS = 2000
+#: Lines of a file before they are first compared with its head, and before it is split by further blocks.
+HEAD_ROWS, SPLIT_ROWS = 64, 2000
 #: Words of a line whose bits are added up in the row, in counters of eight bits, before they are summed by line.
 GROUP = 8
+#: Words of all copies of a line from which the counters of its bits could run over.
+MOST_WORDS = 2**30
 #: Words of 64 bits, at most, by which a task knows most of the lines that no pair has (a power of two; 16 bytes each).
 WORDS = 1 << 19
-#: Four disjoint masks that cover the word: 16-bit blocks, nibble columns, bit columns.
-MASKS = [(0xFFFF, 16), (0x000F000F000F000F, 4), (0x1111111111111111, 1)]
+#: Five blocks that cover the word, and the ten pairs of them.
+BLOCKS = [((1 << n) - 1) << at for at, n in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))]
+PAIRS = [a | b for a, b in combinations(BLOCKS, 2)]
+#: Four disjoint masks that cover the word: nibble columns, bit columns.
+MASKS = [(0x000F000F000F000F, 4), (0x1111111111111111, 1)]
 
 
 def normalised(line: Column) -> Column:
@@ -67,35 +73,44 @@ def simhash(over: Column) -> Column:
     return bits
 
 
-def word_groups(once: DataFrame) -> DataFrame:
-    """``(k1, k2, c, a, n, b0 to b7)`` of every GROUP words of a line: n words; ``bj`` has eight counters, of every eighth bit from j on."""
-    # in the order in which lines were aggregated, else their shuffle is run twice
-    words = once.select("k1", "k2", F.col("occ.at").alias("a"), F.col("copies").alias("c"), F.split("line", " ").alias("words"))
-    rows = words.select("k1", "k2", "c", "a", "words", F.size("words").alias("of"), F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(GROUP))).alias("at"))
+def word_groups(lines: DataFrame) -> DataFrame:
+    """``(id, k1, k2, first, n, b0 to b7)`` of every GROUP words of a line: n words; ``bj`` has eight counters, of every eighth bit from j on; first is 1 for a line's first row, else 0."""
+    words = lines.select("id", "k1", "k2", F.split("line", " ").alias("words"))
+    rows = words.select("id", "k1", "k2", "words", F.size("words").alias("of"), F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(GROUP))).alias("at"))
     hashes = [F.when(F.col("at") + i < F.col("of"), F.xxhash64(F.get("words", F.col("at") + i))).otherwise(F.lit(0).cast("long")).alias(f"h{i}") for i in range(GROUP)]
-    rows = rows.select("k1", "k2", "c", "a", F.least(F.lit(GROUP), F.col("of") - F.col("at")).alias("n"), *hashes)
+    rows = rows.select("id", "k1", "k2", (F.col("at") == 0).cast("int").alias("first"), F.least(F.lit(GROUP), F.col("of") - F.col("at")).alias("n"), *hashes)
     lanes = F.lit(0x0101010101010101).cast("long")
 
     def added(j: int) -> Column:
         return reduce(Column.__add__, [F.shiftrightunsigned(f"h{i}", j).bitwiseAND(lanes) for i in range(GROUP)])
 
-    return rows.select("k1", "k2", "c", "a", "n", *[added(j).alias(f"b{j}") for j in range(8)])
+    return rows.select("id", "k1", "k2", "first", "n", *[added(j).alias(f"b{j}") for j in range(8)])
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """``(id, k1, k2, occ, copies, n, simhash, line)`` of the distinct lines, staged; occ is the first occurrence, n the words.
+def hashed(lines: DataFrame) -> DataFrame:
+    """``(id, k1, k2, copies, n, words, simhash)`` of the distinct ones of ``lines(id, k1, k2, line)``: least id, words of a line and of all copies.
 
-    The join of the lines with their words' sums needs no shuffle: both sides read the one that made lines
-    distinct.  (The words carry what the other side reads too, or that shuffle would be run twice, with fewer columns.)
+    The bits of all copies are added up: of copies, as of one line, over half of the words set a bit.  That holds for
+    under MOST_WORDS words.
     """
-    once = lines.groupBy("k1", "k2").agg(F.min("occ").alias("occ"), F.count("*").alias("copies"), F.first("line").alias("line"))
     lanes = F.lit(0x000000FF000000FF).cast("long")
-    counts = word_groups(once).groupBy("k1", "k2").agg(F.max("c").alias("c"), F.max("a").alias("a"), F.sum("n").alias("n"),
-                                                       *[F.sum(F.shiftrightunsigned(f"b{j % 8}", j // 8 * 8).bitwiseAND(lanes)).alias(f"c{j}") for j in range(32)])
-    counts = counts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "c", "a", F.coalesce("n", F.lit(0)).cast("int").alias("n"), *[f"c{j}" for j in range(32)])
-    counts = counts.select("w1", "w2", "c", "a", "n", simhash((F.lit(2**30 - 1).cast("long") - F.col("n")) * F.lit(0x0000000100000001).cast("long")).alias("simhash"))
-    both = once.join(counts, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & (F.abs(F.col("copies") - F.col("c")) + F.abs(F.col("occ.at") - F.col("a")) <= 0))
-    return stage(both.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "occ", "copies", "n", "simhash", "line"), "distinct-lines", free=True)
+    counts = word_groups(lines).groupBy("k1", "k2").agg(F.min("id").alias("id"), F.sum("first").alias("copies"), F.sum("n").alias("words"),
+                                                        *[F.sum(F.shiftrightunsigned(f"b{j % 8}", j // 8 * 8).bitwiseAND(lanes)).alias(f"c{j}") for j in range(32)])
+    over = (F.lit(2**30 - 1).cast("long") - F.col("words")) * F.lit(0x0000000100000001).cast("long")
+    return counts.select("id", "k1", "k2", "copies", F.expr("words div copies").cast("int").alias("n"), "words", simhash(over).alias("simhash"))
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """``(id, k1, k2, copies, n, simhash)`` of the distinct ones of ``lines(id, k1, k2, line)``, staged; id is the least of the copies', n the words.
+
+    A line whose copies have too many words in all for the counters (few lines can have) is hashed again, alone.
+    """
+    once = stage(hashed(lines), "distinct-lines", free=True)
+    many = once.filter(F.col("words") >= MOST_WORDS).select("id")
+    if not many.isEmpty():
+        alone = hashed(of_ids(lines, many)).select("id", F.col("simhash").alias("own"))
+        once = stage(once.join(alone, "id", "left").withColumn("simhash", F.coalesce("own", "simhash")), "distinct-lines", free=True)
+    return once.select("id", "k1", "k2", "copies", "n", "simhash")
 
 
 def near_enough(a: str, b: str) -> Column:
@@ -112,10 +127,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masks(kind: int) -> list[Column]:
+def _longs(masks: list[int]) -> list[Column]:
+    return [F.lit(_signed(m)).cast("long") for m in masks]
+
+
+def _masks(kind: int) -> Column:
     """Four further masks: ``mask`` has the bits that a file's lines share."""
     base, step = MASKS[kind]
-    return [F.col("mask").bitwiseOR(F.lit(_signed(base << (step * i))).cast("long")) for i in range(4)]
+    return F.array(*[F.col("mask").bitwiseOR(m) for m in _longs([base << (step * i) for i in range(4)])])
 
 
 def _filed(rows: DataFrame, masks: Column) -> DataFrame:
@@ -123,35 +142,42 @@ def _filed(rows: DataFrame, masks: Column) -> DataFrame:
     return rows.withColumn("_m", F.explode(masks)).withColumn("mask", F.col("_m")).drop("_m").withColumn("file", F.col("simhash").bitwiseAND(F.col("mask")))
 
 
-def large_files(lines: DataFrame) -> list[DataFrame]:
-    """``(mask, file, large)`` of the files of more than SPLIT_ROWS lines, then of their parts that still are."""
+def busy_files(lines: DataFrame) -> list[DataFrame]:
+    """``(mask, file, large)`` of the files of more than HEAD_ROWS lines, then of the parts of large ones, which have more than SPLIT_ROWS."""
     found: list[DataFrame] = []
     rows = files(lines, [], [])
-    for kind in range(1, len(MASKS)):
-        # at most a file for every SPLIT_ROWS rows
-        size = rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > SPLIT_ROWS)
-        large = stage(size.select("mask", "file", F.lit(True).alias("large")), "large-files", free=True)
-        if large.isEmpty():
+    for kind in range(len(MASKS) + 1):
+        # at most a file for every HEAD_ROWS rows
+        size = rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > min(HEAD_ROWS, SPLIT_ROWS))
+        large = (F.col("lines") > SPLIT_ROWS) if kind < len(MASKS) else F.lit(False)  # the last parts stay whole
+        found.append(stage(size.select("mask", "file", large.alias("large")), "busy-files", free=True))
+        if found[-1].filter("large").isEmpty():
             break
-        found.append(large)
-        rows = _filed(rows.join(large, ["mask", "file"]), F.array(*_masks(kind))).drop("large")  # what isn't split again needs no count again
+        rows = _filed(rows.join(found[-1].filter("large"), ["mask", "file"]), _masks(kind)).drop("large")  # what isn't split again needs no count again
     return found
 
 
-def files(lines: DataFrame, also: list[str], large: list[DataFrame]) -> DataFrame:
+def files(lines: DataFrame, also: list[str], busy: list[DataFrame]) -> DataFrame:
     """``(mask, file, id, n, simhash)`` and further columns: each line in its files.
 
     Lines of too few words for an edit (SIMILARITY allows none) have no file: equal ones are one line already.
-    Lines of a file of more than SPLIT_ROWS (``large_files``) go to the file's parts by further masks instead.
+    Lines of a large file (``busy_files``) go to the file's parts by further masks instead.
     """
     able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", *also, F.lit(0).cast("long").alias("mask"))
-    rows = _filed(able, F.array(*_masks(0)))
-    for kind, some in enumerate(large, 1):
-        rows = rows.join(some, ["mask", "file"], "left")
-        rows = _filed(rows, F.when(F.col("large"), F.array(*_masks(kind))).otherwise(F.array("mask"))).drop("large")
+    rows = _filed(able, F.array(*_longs(PAIRS)))
+    for kind, some in enumerate(busy[:-1]):  # of the last ones, none is large
+        rows = rows.join(some.filter("large"), ["mask", "file"], "left")
+        rows = _filed(rows, F.when(F.col("large"), _masks(kind)).otherwise(F.array("mask"))).drop("large")
     return rows
 
 
+def first_shared(a: str, b: str, mask: Column) -> Column:
+    """Whether ``mask`` has the first pair of blocks in which two SimHashes agree: of the files that two lines share, it is true in one (in some, if that one is split)."""
+    apart = F.col(a).bitwiseXOR(F.col(b))
+    least = reduce(lambda rest, m: F.when(apart.bitwiseAND(m) == 0, m).otherwise(rest), reversed(_longs(PAIRS)), F.lit(0).cast("long"))
+    return mask.bitwiseAND(least) == least
+
+
 def letters(line: Column) -> list[Column]:
     """A line's words as characters, by two independent hashes; U+0100 up to the surrogates."""
     words = F.split(line, " ")
@@ -163,17 +189,17 @@ def letters(line: Column) -> list[Column]:
     return [F.size(words).alias("n"), coded(1).alias("x"), coded(2).alias("y")]
 
 
-def of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``lines`` whose ``id`` is in ``ids(id)``, few of them, staged and each once.
+def of_ids(lines: DataFrame, ids: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The rows of ``lines`` whose ``key`` is in ``ids(key)``, few of them, staged and each once.
 
     Lines are shuffled only if one of up to 64 * WORDS bits, that ids set by their hash and that are sent to every task, is set for them.
     """
-    place = F.xxhash64("id").bitwiseAND(F.lit(64 * WORDS - 1))
+    place = F.xxhash64(*key).bitwiseAND(F.lit(64 * WORDS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     set_ = ids.groupBy(F.shiftrightunsigned(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     some = lines.join(F.broadcast(set_), F.shiftrightunsigned(place, 6) == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0)
     # not a semi-join, which Spark would push below the filter
-    return some.drop("_word", "_bits").join(ids, "id")
+    return some.drop("_word", "_bits").join(ids, list(key))
 
 
 def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -193,38 +219,53 @@ def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return stage(both.select("a", "b"), "line-links", free=True)
 
 
-def line_groups(lines: DataFrame) -> DataFrame:
-    """``(k1, k2, component, occ, copies)`` of the distinct lines of ``lines`` (see ``lines_of``)."""
+def line_parts(lines: DataFrame) -> DataFrame:
+    """``(k1, k2, component, copies)`` of the distinct ones of ``lines`` (see ``numbered``)."""
     once = distinct_lines(lines)
-    file = Window.partitionBy("mask", "file")
-    large = large_files(once)
-    near = files(once, ["copies"], large)
+    file = Window.partitionBy("file", "mask")
+    busy = busy_files(once)
+    whole = reduce(DataFrame.unionByName, busy).filter("not large").select("mask", "file")
+    near = of_ids(files(once, ["copies"], busy), whole, ("file", "mask"))
     for c in ("id", "n", "simhash"):  # of ties, the same line for each column
         near = near.withColumn(f"{c}_h", F.max_by(c, "copies").over(file))
     first = near.filter((F.col("id") != F.col("id_h")) & near_enough("{}", "{}_h"))
     first = first.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct()
-    links = alike(first, once)
+    links = alike(first, lines)
     parts = stage(connected_components(links), "line-parts")
 
     placed = once.join(parts, once.id == parts.node, "left").select("id", "n", "simhash", F.coalesce("component", "id").alias("part"))
-    placed = files(placed, ["part"], large)
-    # both sides read the same columns, so their rows are shuffled once
-    pairs = placed.alias("l").join(placed.alias("r"), (F.col("l.mask") == F.col("r.mask")) & (F.col("l.file") == F.col("r.file")))
-    rest = (pairs.filter(near_enough("l.{}", "r.{}") & (F.col("l.id") < F.col("r.id")) & (F.col("l.part") != F.col("r.part")))
+    placed = files(placed, ["part"], busy)
+    # both sides read the same columns, so their rows are shuffled once; by file first, as a sort compares the first column's bits, and masks are few
+    pairs = placed.alias("l").join(placed.alias("r"), (F.col("l.file") == F.col("r.file")) & (F.col("l.mask") == F.col("r.mask")))
+    rest = (pairs.filter(near_enough("l.{}", "r.{}") & (F.col("l.id") < F.col("r.id")) & (F.col("l.part") != F.col("r.part")) & first_shared("l.simhash", "r.simhash", F.col("l.mask")))
             .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
-    more = alike(rest, once)
+    more = alike(rest, lines)
     if not more.isEmpty():
         parts = stage(connected_components(links.unionByName(more)), "line-parts")
-    return once.join(parts, once.id == parts.node, "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), "occ", "copies")
+    return once.join(parts, once.id == parts.node, "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), "copies")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` (see ``lines_of``) and a number ``id`` of each, staged: they are normalised once, and of most only the hashes are read again."""
+    return stage(lines.select(F.monotonically_increasing_id().alias("id"), "*"), "lines")
+
+
+def line_groups(lines: DataFrame) -> DataFrame:
+    """``(k1, k2, component, occ, copies)`` of the distinct lines of ``lines`` (see ``lines_of``); occ is the first occurrence."""
+    lines = numbered(lines)
+    first = lines.groupBy("k1", "k2").agg(F.min("occ").alias("occ"))
+    return line_parts(lines).join(first, ["k1", "k2"]).select("k1", "k2", "component", "occ", "copies")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, row, gone array<int>)``: the numbers (from 0) of lines that go, for rows that lose any."""
-    lines = lines_of(with_row(docs))
-    groups = line_groups(lines)
-    kept = groups.groupBy("component").agg(F.min("occ").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
-    keys = stage(groups.select("k1", "k2", "component").join(kept, "component").select("k1", "k2", "keep"), "repeated-lines", free=True)
-    gone = lines.select("k1", "k2", "occ").join(keys, ["k1", "k2"]).filter("occ <> keep").select("occ.*")
+    lines = numbered(lines_of(with_row(docs)))
+    parts = line_parts(lines)
+    several = parts.groupBy("component").agg(F.sum("copies").alias("n")).filter("n > 1").select("component")
+    keys = stage(parts.select("k1", "k2", "component").join(several, "component"), "repeated-lines", free=True)
+    rows = stage(lines.select("k1", "k2", "occ").join(keys, ["k1", "k2"]).select("component", "occ"), "occurrences", free=True)
+    keep = rows.groupBy("component").agg(F.min("occ").alias("keep"))
+    gone = rows.join(keep, "component").filter("occ <> keep").select("occ.*")
     return stage(gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone")), "gone-lines", free=True)
 
 

@@ -667,3 +667,61 @@ def test_rows_of_ids_are_found_without_shuffling_the_others(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert out.getvalue().index("SortMergeJoin") < out.getvalue().index("BroadcastHashJoin")  # the bits are looked up below the shuffle
+
+
+def test_lines_of_many_copies_keep_their_simhash(spark, monkeypatch):
+    """The bits of all copies are added up; a line whose copies have too many words for the counters is hashed alone."""
+    lines = linededup.numbered(linededup.lines_of(linededup.with_row(docs(spark, [(i, "one two three four five six seven eight nine\nonce told") for i in range(40)]))))
+    want = sorted((r.copies, r.n, r.simhash) for r in linededup.distinct_lines(lines).collect())
+    assert [x[:2] for x in want] == [(40, 2), (40, 9)]
+    alone = linededup.numbered(linededup.lines_of(linededup.with_row(docs(spark, [(0, "one two three four five six seven eight nine\nonce told")]))))
+    assert sorted((r.n, r.simhash) for r in linededup.distinct_lines(alone).collect()) == [x[1:] for x in want]
+    hashed = []
+    monkeypatch.setattr(linededup, "hashed", lambda rows, f=linededup.hashed: hashed.append(rows) or f(rows))
+    for most in (81, 1):
+        monkeypatch.setattr(linededup, "MOST_WORDS", most)
+        hashed.clear()
+        assert sorted((r.copies, r.n, r.simhash) for r in linededup.distinct_lines(lines).collect()) == want
+        assert len(hashed) == 2 and hashed[1].count() == (1 if most == 81 else 2)
+
+
+def test_lines_have_as_many_files_however_many_there_are(spark):
+    """Files of common bits were split from 2000 lines on: rows grew 111 times as the lines grew five times.  Every line is under ten pairs of blocks now, and a pair is found in one of them."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    assert sum(linededup.BLOCKS) == 2**64 - 1 and all(not a & b for a, b in combinations(linededup.BLOCKS, 2))
+    # 6000 lines that agree in the lowest 16 bits, and in no other
+    lines = spark.range(6000).select("id", F.lit(9).alias("n"), F.lit(1).cast("long").alias("copies"), F.xxhash64("id").bitwiseAND(~0xFFFF).alias("simhash"))
+    busy = linededup.busy_files(lines)
+    assert len(busy) == 1 and not busy[0].filter("large").count()
+    rows = linededup.files(lines, [], busy)
+    assert rows.count() == 60_000
+    rng = random.Random(5)
+    pairs = []
+    for i in range(200):
+        x = rng.getrandbits(64)
+        pairs.append((i, linededup._signed(x), linededup._signed(x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))))))
+    both = spark.createDataFrame(pairs, "id long, x long, y long").select("id", "x", "y", F.explode(F.array(*linededup._longs(linededup.PAIRS))).alias("mask"))
+    agree = F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.col("mask")) == 0
+    found = both.filter(agree & linededup.first_shared("x", "y", F.col("mask"))).groupBy("id").count().collect()
+    assert len(found) == 200 and {r["count"] for r in found} == {1}
+
+
+def test_removed_lines_are_normalised_once(spark, monkeypatch):
+    """Lines were normalised twice, once for the groups and once for the lines that go."""
+    calls, keep = [], linededup.lines_of
+    monkeypatch.setattr(linededup, "lines_of", lambda rows: calls.append(keep(rows)) or calls[-1])
+    plans, write = {}, linededup.stage
+
+    def seen(df, name, free=False):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        plans.setdefault(name, []).append(out.getvalue())
+        return write(df, name, free)
+
+    monkeypatch.setattr(linededup, "stage", seen)
+    got = linededup.removed_lines(docs(spark, [(1, "a line of five words\nother"), (2, "A line, of five words!")])).collect()
+    assert [(r.doc_id, r.gone) for r in got] == [(2, [0])]
+    assert [name for name, x in plans.items() if any("regexp_replace" in p for p in x)] == ["lines"]
