@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import held
+from shelfcast.llm.common import few, held
 
 #: Entries of a memo's newer half; bytes of the widest piece merged side by side; pieces merged at once.
 MEMO, WIDE, BLOCK = 60_000, 64, 8_000
@@ -255,13 +255,6 @@ def unpack(ids: bytes, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _parts(batches):
-    """Slices of few rows, so that their Python objects stay few."""
-    for b in batches:
-        for s in range(0, b.num_rows, ROWS):
-            yield b.slice(s, ROWS)
-
-
 def _chunks(texts: list, size: int = 1 << 20):
     """Runs of texts of about ``size`` characters."""
     held, n = [], 0
@@ -286,7 +279,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
     def run(batches):
         e = shared.encoder()
-        for b in _parts(batches):
+        for b in few(batches, ROWS):
             ids = [x for c in _chunks(b.column(len(keep)).to_pylist()) for x in e.encode(c)]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
@@ -300,7 +293,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     at = encoded.columns.index("ids")
 
     def run(batches):
-        for b in _parts(batches):
+        for b in few(batches, ROWS):
             yield b.append_column("decoded", pa.array([unpack(x, shared.tokens) for x in b.column(at).to_pylist()], pa.binary()))
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from typing import Callable, Iterable, Iterator
 
 import numpy as np
@@ -50,10 +51,27 @@ def held(key: str, build: Callable[[], object]) -> object:
     """
     if key not in _held:
         _held.clear()
+        gc.collect()  # a model may refer to itself
+        pa.default_memory_pool().release_unused()
         _held[key] = build()
     return _held[key]
 
 
+def let_go() -> None:
+    """Drop the model that this worker holds of an earlier operator."""
+    held("", lambda: None)
+
+
+def few(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, so that their Python objects stay few; what Arrow's pool keeps of past batches goes back to the system."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+        pa.default_memory_pool().release_unused()
+    b = None
+    pa.default_memory_pool().release_unused()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of ``edges(a, b)`` (long) as ``(node, component)``, component = smallest node.
 

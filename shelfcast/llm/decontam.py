@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import held, stage
+from shelfcast.llm.common import let_go, stage
 from shelfcast.llm.substring import CHUNK, Words
 
 PASSAGE, STRIDE = 32, 16
@@ -132,6 +132,7 @@ def frequencies(docs: DataFrame, items: DataFrame) -> Space:
     known[[r.term for r in items.select("text").mapInArrow(used, "term long").distinct().collect()]] = True
 
     def count(batches):
+        let_go()
         n, docs_seen = np.zeros(BUCKETS, np.int64), 0
         for _, texts in _parts(batches, 1):
             words = Terms(texts)
@@ -284,7 +285,7 @@ class Needed:
 
 def _held_by(rows: DataFrame, shared) -> DataFrame:
     def run(batches):
-        held("decontamination", lambda: None)
+        let_go()
         space, own = shared.value
         items = Terms([t for _, _, t in own])
         words = [items.hash[a:b].tolist() for a, b in zip(items.first[:-1], items.first[1:])]

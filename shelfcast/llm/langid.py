@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import held, mix
+from shelfcast.llm.common import few, held, let_go, mix
 
 ORDER = 4
 TRAIN_BYTES, MODEL_BYTES = 2_000_000, 16_000_000
@@ -144,6 +144,7 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> list[tuple[str, np
     first = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, -1.0 if r.least is None else float(r.least))])
 
     def count(batches):
+        let_go()
         for b in batches:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in set(langs):
@@ -198,13 +199,6 @@ def _told(shared, texts: list):
     return lang, score, rate
 
 
-def _parts(batches):
-    """Slices of few rows, so that their Python objects stay few."""
-    for b in batches:
-        for s in range(0, b.num_rows, ROWS):
-            yield b.slice(s, ROWS)
-
-
 def identify(docs: DataFrame, model: list) -> DataFrame:
     """``(doc_id, lang_pred, score, bits_per_byte)`` for every row of ``docs(doc_id, text)``, by whole texts alone.
 
@@ -216,7 +210,7 @@ def identify(docs: DataFrame, model: list) -> DataFrame:
     shared = Shared(docs.sparkSession, model) if model else None
 
     def run(batches):
-        for b in _parts(batches):
+        for b in few(batches, ROWS):
             lang, score, rate = _told(shared, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate, from_pandas=True)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
@@ -230,7 +224,7 @@ def keep_known(docs: DataFrame, model: list, bits: float = 8.0) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in _parts(batches):
+        for b in few(batches, ROWS):
             lang, _, rate = _told(shared, b.column(at).cast(pa.string()).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN and r < bits for x, r in zip(lang, rate)], pa.bool_()))
 

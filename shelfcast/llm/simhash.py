@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import connected_components, join_forest, slabs, stage
+from shelfcast.llm.common import connected_components, join_forest, let_go, slabs, stage
 
 FAN_OUT = 4
 #: A group of more fingerprints is split by further columns.
@@ -61,6 +61,7 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, fp long)`` for every row; fp holds the unsigned bits, 0 for null, empty or blank text."""
     def run(batches):
+        let_go()
         for b in batches:
             fps = [majority(shingle_hashes(t, shingle)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])

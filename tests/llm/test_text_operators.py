@@ -725,3 +725,29 @@ def test_removed_lines_are_normalised_once(spark, monkeypatch):
     got = linededup.removed_lines(docs(spark, [(1, "a line of five words\nother"), (2, "A line, of five words!")])).collect()
     assert [(r.doc_id, r.gone) for r in got] == [(2, [0])]
     assert [name for name, x in plans.items() if any("regexp_replace" in p for p in x)] == ["lines"]
+
+
+def test_a_worker_frees_a_model_that_refers_to_itself(spark):
+    """An encoder's memos refer to the encoder; it stayed in memory under the next operator's model."""
+    import weakref
+
+    class Model:
+        def __init__(self):
+            self.own = self.__init__
+
+    gone = weakref.ref(common.held("first", Model))
+    assert gone() is not None
+    common.held("second", Model)
+    assert gone() is None
+    common.let_go()
+    assert list(common._held) == [""]
+
+
+def test_few_rows_at_a_time_and_nothing_kept():
+    import pyarrow as pa
+
+    before = pa.total_allocated_bytes()
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(n * 7, n * 7 + 7))], ["x"]) for n in range(3))
+    got = [b.column(0).to_pylist() for b in common.few(batches, 3)]
+    assert [x for g in got for x in g] == list(range(21)) and max(map(len, got)) == 3
+    assert pa.total_allocated_bytes() == before
