@@ -8,7 +8,7 @@ three bits agree in two of five blocks of 12 or 13 bits, so each line is filed u
 its ten pairs of blocks; files that hold too many lines are split again by four columns
 of the bits (the same pigeonhole argument), and once more.  In a file of many lines,
 every line is first compared with the file's head, the line with the most exact
-copies (of near copies, mostly the one they come from); the components of those links are found, and only lines of one file that are still apart are compared
+copies (of near copies, mostly the one they come from), and only lines near it are kept; the components of those links are found, and only lines of one file that are still apart are compared
 with each other.  One occurrence per component stays.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import connected_components, stage
@@ -32,8 +32,13 @@ GROUP = 8
 MOST_WORDS = 2**30
 #: Words of 64 bits, at most, by which a task knows most of the lines that no pair has (a power of two; 16 bytes each).
 WORDS = 1 << 19
-#: Five blocks that cover the word, and the ten pairs of them.
-BLOCKS = [((1 << n) - 1) << at for at, n in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))]
+#: Heads of files, at most, that are sent to every task (four numbers each); more are joined by a shuffle.
+HEADS = 1 << 17
+#: Bits of a line's number beside which its copies are counted where a file's head is chosen.
+ID_BITS = 51
+#: Five blocks that cover the word, by their first bit and number of bits, and the ten pairs of them.
+CUTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+BLOCKS = [((1 << n) - 1) << at for at, n in CUTS]
 PAIRS = [a | b for a, b in combinations(BLOCKS, 2)]
 #: Four disjoint masks that cover the word: nibble columns, bit columns.
 MASKS = [(0x000F000F000F000F, 4), (0x1111111111111111, 1)]
@@ -142,35 +147,61 @@ def _filed(rows: DataFrame, masks: Column) -> DataFrame:
     return rows.withColumn("_m", F.explode(masks)).withColumn("mask", F.col("_m")).drop("_m").withColumn("file", F.col("simhash").bitwiseAND(F.col("mask")))
 
 
+def _pair_files() -> Column:
+    """The numbers of a line's ten files: the pair's number, then the bits of its two blocks."""
+    bits = [F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << n) - 1).cast("long")) for at, n in CUTS]
+    return F.array(*[F.shiftleft(a, 13).bitwiseOR(b).bitwiseOR(F.lit(i << 26).cast("long")) for i, (a, b) in enumerate(combinations(bits, 2))])
+
+
+def _pair_mask(file: str) -> Column:
+    return F.element_at(F.array(*_longs(PAIRS)), F.shiftrightunsigned(file, 26).cast("int") + 1)
+
+
 def busy_files(lines: DataFrame) -> list[DataFrame]:
-    """``(mask, file, large)`` of the files of more than HEAD_ROWS lines, then of the parts of large ones, which have more than SPLIT_ROWS."""
+    """``(mask, file, large, top)`` of the files of more than HEAD_ROWS lines, then of the parts of large ones, which have more than SPLIT_ROWS; top: the head's copies and id.
+
+    Of files that aren't split, the number alone tells them apart; mask follows from it.
+    """
     found: list[DataFrame] = []
-    rows = files(lines, [], [])
+    most = F.lit((1 << 63 - ID_BITS) - 1).cast("long")
+    lines = lines.withColumn("top", F.shiftleft(F.least("copies", most), ID_BITS).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << ID_BITS) - 1))))
+    rows, keys = files(lines, ["top"], []), ["file"]
     for kind in range(len(MASKS) + 1):
         # at most a file for every HEAD_ROWS rows
-        size = rows.groupBy("mask", "file").agg(F.count("*").alias("lines")).filter(F.col("lines") > min(HEAD_ROWS, SPLIT_ROWS))
+        size = rows.groupBy(*keys).agg(F.count("*").alias("lines"), F.max("top").alias("top")).filter(F.col("lines") > min(HEAD_ROWS, SPLIT_ROWS))
         large = (F.col("lines") > SPLIT_ROWS) if kind < len(MASKS) else F.lit(False)  # the last parts stay whole
-        found.append(stage(size.select("mask", "file", large.alias("large")), "busy-files", free=True))
+        mask = F.col("mask") if kind else _pair_mask("file").alias("mask")
+        found.append(stage(size.select(mask, "file", large.alias("large"), "top"), "busy-files", free=True))
         if found[-1].filter("large").isEmpty():
             break
-        rows = _filed(rows.join(found[-1].filter("large"), ["mask", "file"]), _masks(kind)).drop("large")  # what isn't split again needs no count again
+        rows = _filed(rows.join(found[-1].filter("large").select("mask", "file"), ["mask", "file"]), _masks(kind))  # what isn't split again needs no count again
+        keys = ["mask", "file"]
     return found
 
 
 def files(lines: DataFrame, also: list[str], busy: list[DataFrame]) -> DataFrame:
-    """``(mask, file, id, n, simhash)`` and further columns: each line in its files.
+    """``(id, n, simhash)``, further columns, ``mask`` and ``file``: each line in its files.
 
     Lines of too few words for an edit (SIMILARITY allows none) have no file: equal ones are one line already.
-    Lines of a large file (``busy_files``) go to the file's parts by further masks instead.
+    Lines of a large file (``busy_files``) go to the file's parts by further masks instead; a part is told by mask and bits.
     """
-    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", *also, F.lit(0).cast("long").alias("mask"))
-    rows = _filed(able, F.array(*_longs(PAIRS)))
+    able = lines.filter(most_edits(F.col("n")) > 0).select("id", "n", "simhash", *also)
+    rows = able.withColumn("file", F.explode(_pair_files())).withColumn("mask", _pair_mask("file"))
     for kind, some in enumerate(busy[:-1]):  # of the last ones, none is large
-        rows = rows.join(some.filter("large"), ["mask", "file"], "left")
-        rows = _filed(rows, F.when(F.col("large"), _masks(kind)).otherwise(F.array("mask"))).drop("large")
+        rows = rows.withColumnRenamed("file", "_file").join(some.filter("large").select("mask", F.col("file").alias("_file"), "large"), ["mask", "_file"], "left")
+        rows = _filed(rows, F.when(F.col("large"), _masks(kind)).otherwise(F.array("mask")))
+        rows = rows.withColumn("file", F.when(F.col("large"), F.col("file")).otherwise(F.col("_file"))).drop("large", "_file")
     return rows
 
 
+def heads(lines: DataFrame, busy: list[DataFrame]) -> DataFrame:
+    """``(mask, file, id_h, n_h, simhash_h)`` of the busy files that aren't split, staged: the head is the line with the most copies."""
+    whole = reduce(DataFrame.unionByName, busy).filter("not large").select("mask", "file", F.col("top").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("id"))
+    whole = stage(whole, "head-ids", free=True)
+    own = of_ids(lines.select("id", "n", "simhash"), whole.select("id").distinct())
+    return stage(whole.join(own, "id").select("mask", "file", *[F.col(c).alias(f"{c}_h") for c in ("id", "n", "simhash")]), "heads", free=True)
+
+
 def first_shared(a: str, b: str, mask: Column) -> Column:
     """Whether ``mask`` has the first pair of blocks in which two SimHashes agree: of the files that two lines share, it is true in one (in some, if that one is split)."""
     apart = F.col(a).bitwiseXOR(F.col(b))
@@ -222,22 +253,21 @@ def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def line_parts(lines: DataFrame) -> DataFrame:
     """``(k1, k2, component, copies)`` of the distinct ones of ``lines`` (see ``numbered``)."""
     once = distinct_lines(lines)
-    file = Window.partitionBy("file", "mask")
     busy = busy_files(once)
-    whole = reduce(DataFrame.unionByName, busy).filter("not large").select("mask", "file")
-    near = of_ids(files(once, ["copies"], busy), whole, ("file", "mask"))
-    for c in ("id", "n", "simhash"):  # of ties, the same line for each column
-        near = near.withColumn(f"{c}_h", F.max_by(c, "copies").over(file))
-    first = near.filter((F.col("id") != F.col("id_h")) & near_enough("{}", "{}_h"))
-    first = first.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct()
-    links = alike(first, lines)
+    split = len(busy) > 1
+    keys = ["file", "mask"] if split else ["file"]  # by file first, as a sort compares the first column's bits, and masks are few
+    head = heads(once, busy)
+    head = F.broadcast(head) if head.count() <= HEADS else head
+    near = files(once, [], busy).join(head if split else head.drop("mask"), keys).filter((F.col("id") != F.col("id_h")) & near_enough("{}", "{}_h"))
+    links = alike(near.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct(), lines)
     parts = stage(connected_components(links), "line-parts")
 
     placed = once.join(parts, once.id == parts.node, "left").select("id", "n", "simhash", F.coalesce("component", "id").alias("part"))
-    placed = files(placed, ["part"], busy)
-    # both sides read the same columns, so their rows are shuffled once; by file first, as a sort compares the first column's bits, and masks are few
-    pairs = placed.alias("l").join(placed.alias("r"), (F.col("l.file") == F.col("r.file")) & (F.col("l.mask") == F.col("r.mask")))
-    rest = (pairs.filter(near_enough("l.{}", "r.{}") & (F.col("l.id") < F.col("r.id")) & (F.col("l.part") != F.col("r.part")) & first_shared("l.simhash", "r.simhash", F.col("l.mask")))
+    placed = files(placed, ["part"], busy).select(*keys, "id", "n", "simhash", "part")
+    # both sides read the same columns, so their rows are shuffled once
+    pairs = placed.alias("l").join(placed.alias("r"), reduce(Column.__and__, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]))
+    shared = first_shared("l.simhash", "r.simhash", F.col("l.mask") if split else _pair_mask("l.file"))
+    rest = (pairs.filter(near_enough("l.{}", "r.{}") & (F.col("l.id") < F.col("r.id")) & (F.col("l.part") != F.col("r.part")) & shared)
             .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
     more = alike(rest, lines)
     if not more.isEmpty():

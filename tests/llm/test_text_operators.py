@@ -709,6 +709,36 @@ def test_lines_have_as_many_files_however_many_there_are(spark):
     assert len(found) == 200 and {r["count"] for r in found} == {1}
 
 
+def test_lines_of_busy_files_are_not_listed(spark, monkeypatch):
+    """All rows of files of many lines, up to ten a line, were gathered to compare them with the head; now only lines near it are."""
+    rng = random.Random(41)
+    near = prose(rng, 60, 5000).split()
+    lines = [" ".join(near)] * 3 + [" ".join(near[:i] + ["other"] + near[i + 1:]) for i in range(60)] + [prose(rng, 20, 5000) for _ in range(40)]
+    table = docs(spark, list(enumerate(lines)))
+    made, keep = [], linededup.of_ids
+
+    def seen(*args):
+        made.append((out := keep(*args)).count())
+        return out
+
+    monkeypatch.setattr(linededup, "of_ids", seen)
+    for rows, most in ((2, 1 << 17), (2, 0), (64, 1 << 17)):  # heads sent to every task, or shuffled
+        monkeypatch.setattr(linededup, "HEAD_ROWS", rows)
+        monkeypatch.setattr(linededup, "HEADS", most)
+        made.clear()
+        got = linededup.line_groups(linededup.lines_of(linededup.with_row(table))).collect()
+        assert max(made) <= len(set(lines)) == len(got)
+        part = {r.occ.doc_id: r.component for r in got}
+        assert len({part[i] for i in part if i < 63}) < 10 and len({part[i] for i in part if i >= 63}) == 40
+    # the head is the line of the most copies
+    once = linededup.distinct_lines(linededup.numbered(linededup.lines_of(linededup.with_row(table))))
+    monkeypatch.setattr(linededup, "HEAD_ROWS", 2)
+    first = once.filter("copies = 3").first()
+    head = linededup.heads(once, linededup.busy_files(once)).collect()
+    own = [r for r in head if (r.simhash_h ^ first.simhash) & r.mask == 0]
+    assert own and {(r.id_h, r.n_h, r.simhash_h) for r in own} == {(first.id, 60, first.simhash)}
+
+
 def test_removed_lines_are_normalised_once(spark, monkeypatch):
     """Lines were normalised twice, once for the groups and once for the lines that go."""
     calls, keep = [], linededup.lines_of
