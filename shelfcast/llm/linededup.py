@@ -46,7 +46,8 @@ MASKS = [(0x000F000F000F000F, 4), (0x1111111111111111, 1)]
 
 def normalised(line: Column) -> Column:
     """Lower case; everything but letters and digits is one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    # a to z and 0 to 9 are looked at first, as most characters are one of them
+    return F.trim(F.regexp_replace(F.lower(line), r"[[^a-z0-9]&&[^\p{L}\p{N}]]+", " "))
 
 
 def with_row(docs: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def alike(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def line_parts(lines: DataFrame) -> DataFrame:
-    """``(k1, k2, component, copies)`` of the distinct ones of ``lines`` (see ``numbered``)."""
+    """``(k1, k2, component, copies, several)`` of the distinct ones of ``lines`` (see ``numbered``); several: whether the component has more than one line of all."""
     once = distinct_lines(lines)
     busy = busy_files(once)
     split = len(busy) > 1
@@ -272,7 +273,8 @@ def line_parts(lines: DataFrame) -> DataFrame:
     more = alike(rest, lines)
     if not more.isEmpty():
         parts = stage(connected_components(links.unionByName(more)), "line-parts")
-    return once.join(parts, once.id == parts.node, "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), "copies")
+    several = F.col("component").isNotNull() | (F.col("copies") > 1)  # only lines with a link have a component here
+    return once.join(parts, once.id == parts.node, "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), "copies", several.alias("several"))
 
 
 def numbered(lines: DataFrame) -> DataFrame:
@@ -290,10 +292,8 @@ def line_groups(lines: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, row, gone array<int>)``: the numbers (from 0) of lines that go, for rows that lose any."""
     lines = numbered(lines_of(with_row(docs)))
-    parts = line_parts(lines)
-    several = parts.groupBy("component").agg(F.sum("copies").alias("n")).filter("n > 1").select("component")
-    keys = stage(parts.select("k1", "k2", "component").join(several, "component"), "repeated-lines", free=True)
-    rows = stage(lines.select("k1", "k2", "occ").join(keys, ["k1", "k2"]).select("component", "occ"), "occurrences", free=True)
+    keys = stage(line_parts(lines).filter("several").select("k1", "k2", "component"), "repeated-lines", free=True)
+    rows = stage(of_ids(lines.select("k1", "k2", "occ"), keys, ("k1", "k2")).select("component", "occ"), "occurrences", free=True)
     keep = rows.groupBy("component").agg(F.min("occ").alias("keep"))
     gone = rows.join(keep, "component").filter("occ <> keep").select("occ.*")
     return stage(gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone")), "gone-lines", free=True)

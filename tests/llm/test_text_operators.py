@@ -739,6 +739,16 @@ def test_lines_of_busy_files_are_not_listed(spark, monkeypatch):
     assert own and {(r.id_h, r.n_h, r.simhash_h) for r in own} == {(first.id, 60, first.simhash)}
 
 
+def test_normalised_lines(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    marks = list("aZ09 \t-_,.[]&^\u00e9\u00c9\u00df\u0130\u0663\u00bd\u4e2d\u0301\u200b\U0001d400\U0001f600")
+    rows = [(i, "".join(rng.choice(marks) for _ in range(rng.randrange(30)))) for i in range(300)]
+    plainly = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+    assert docs(spark, rows).filter(linededup.normalised(F.col("text")) != plainly).count() == 0
+
+
 def test_removed_lines_are_normalised_once(spark, monkeypatch):
     """Lines were normalised twice, once for the groups and once for the lines that go."""
     calls, keep = [], linededup.lines_of
